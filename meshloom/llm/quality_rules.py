@@ -123,10 +123,11 @@ def learn(labelled: DataFrame, n_cuts: int = 48, max_rules: int = 8, max_conditi
     if not any(cuts.values()):
         return DecisionList()
 
-    def bins() -> Column:
-        return F.array(*[F.struct(F.lit(k).alias("f"), F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts[n]]).cast("array<double>"), lambda c, n=n: F.col(n) >= c)).alias("b")) for k, n in enumerate(names)])
+    def bin_of(name: str) -> Column:
+        return F.size(F.filter(F.lit([float(c) for c in cuts[name]]).cast("array<double>"), lambda c: F.col(name) >= c))
 
-    binned = cut(rows.withColumn("bins", bins()), "rules")
+    bins = F.array(*[F.struct(F.lit(k).alias("f"), bin_of(n).alias("b")) for k, n in enumerate(names)])
+    binned = cut(rows.withColumn("bins", bins), "rules")
 
     def holds(conditions: list[Condition]) -> Column:
         out = F.lit(True)
