@@ -4,8 +4,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality_rules
-from .common import table
+from . import chat, quality_rules, warc
+from .common import cut, new_path, table
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload"))
+    folder = warc.make_folder(new_path(spark, "warc"))
+    cut(warc.write_archives(warc.mark_revisits(pages), folder), "manifest")
+    return warc.read_archives(spark, folder).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +28,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
     "op5_chat_format": op5_chat_format,
 }
@@ -42,6 +50,17 @@ select conv_id, count(*) as n_turns,
 from e group by conv_id
 """
 
+_WARC_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, octet_length(b) as n, sha256(b) as h from p),
+f as (select *, min(page_id) over (partition by h) as first from d)
+select page_id, n as payload_bytes, h as payload_digest,
+  case when n >= 100 and first <> page_id then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and first <> page_id then first end as refers_to
+from f
+"""
+
 ORACLE_SQL = {
+    "op3_warc": _WARC_SQL,
     "op5_chat_format": _CHAT_SQL,
 }
