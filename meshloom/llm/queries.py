@@ -4,10 +4,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality_rules, warc
+from . import bpe, chat, quality_rules, warc
 from .common import cut, new_path, table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public tokenizer's file, which is read on the driver and sent to the tasks."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload"))
     folder = warc.make_folder(new_path(spark, "warc"))
@@ -28,6 +39,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
     "op5_chat_format": op5_chat_format,
