@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality_rules, warc
+from . import bpe, chat, quality_rules, substring, warc
 from .common import cut, new_path, table
 
 
@@ -38,11 +38,16 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.format_conversations(turns.unionByName(more))))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
     "op5_chat_format": op5_chat_format,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 _CHAT_SQL = """
