@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ngram_join, quality_rules, substring, warc
+from . import bpe, chat, html, ngram_join, quality_rules, substring, warc
 from .common import cut, new_path, table
 
 
@@ -46,6 +46,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_texts(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
@@ -53,6 +57,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_ngram_join": op9_ngram_join,
+    "op10_html_text": op10_html_text,
 }
 
 _CHAT_SQL = """
@@ -82,7 +87,18 @@ select page_id, n as payload_bytes, h as payload_digest,
 from f
 """
 
+# For pages of the tables' form: the article's headings and paragraphs, tags removed, references decoded.
+_HTML_SQL = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') as x from pages),
+b as (select page_id, url, list_transform(string_split_regex(x, '</?(?:p|h1)>'), lambda v:
+  trim(regexp_replace(regexp_replace(regexp_replace(v, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) as v from a),
+t as (select page_id, url, array_to_string(list_filter(v, lambda s: s <> ''), chr(10)) as r from b),
+d as (select page_id, url, regexp_replace(replace(replace(replace(replace(r, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39)), '&amp;?', '&', 'g') as text from t)
+select page_id, url, text, length(text) as n_chars from d
+"""
+
 ORACLE_SQL = {
+    "op10_html_text": _HTML_SQL,
     "op3_warc": _WARC_SQL,
     "op5_chat_format": _CHAT_SQL,
 }
