@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, ngram_join, quality_rules, substring, warc
+from . import bpe, chat, decontaminate, html, ngram_join, quality_rules, substring, warc
 from .common import cut, new_path, table
 
 
@@ -50,11 +50,16 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
     "op5_chat_format": op5_chat_format,
+    "op6_decontaminate": op6_decontaminate,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_html_text": op10_html_text,
