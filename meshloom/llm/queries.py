@@ -1,11 +1,22 @@
 """The subpackage's queries, each over its whole table, and their SQL where SQL can say it."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, ngram_join, quality_rules, substring, warc
-from .common import cut, new_path, table
+from . import bpe, chat, decontaminate, html, ngram_join, quality_gam, quality_rules, substring, toxicity, warc
+from .common import cut, fold, new_path, table
+
+
+def _held_out() -> Column:
+    return F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.sample(docs, table(spark, sf_dir, "labels"), "text", "toxic", toxicity.SAMPLE_POSITIVE, toxicity.SAMPLE_NEGATIVE)
+    scored = toxicity.score(docs, toxicity.fit(rows))
+    return scored.select("doc_id", _held_out(), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").alias("n_offending"), F.get("offending", F.lit(0))["begin"].alias("first_begin"))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -54,13 +65,22 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.sample(docs, table(spark, sf_dir, "labels"), "text", "quality", quality_gam.SAMPLE_GOOD, quality_gam.SAMPLE_POOR)
+    scored = quality_gam.score(docs, quality_gam.fit_rows(rows))
+    return scored.select("doc_id", _held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
     "op5_chat_format": op5_chat_format,
     "op6_decontaminate": op6_decontaminate,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality_gam": op8_quality_gam,
     "op9_ngram_join": op9_ngram_join,
     "op10_html_text": op10_html_text,
 }
