@@ -69,11 +69,12 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(B.expand(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-BLOCKS = "block long, doc_ids array<long>, n_words binary, positions binary, word_bytes binary, word_ends binary"
+BLOCKS = "block long, doc_ids array<long>, n_words binary, positions binary, word_bytes binary, word_lengths binary, dealt binary"
 
 
-def word_blocks(docs: DataFrame, text: str, added: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per block of documents: positions into the block's distinct words, and these words."""
+def word_blocks(docs: DataFrame, text: str, added: list[str], buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per block of documents: positions into the block's distinct words, these words, and the bucket
+    of each, from which a block knows the order of its answers without the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, t in enumerate(B.concat_batches(batches, 2 * block_bytes)):
@@ -85,22 +86,22 @@ def word_blocks(docs: DataFrame, text: str, added: list[str], block_bytes: int =
             place = np.empty_like(rank)
             place[rank] = np.arange(len(rank))
             data, offsets = B.text_buffer(coded.dictionary.take(pa.array(rank)))
+            dealt = B.hash_spans(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)
             yield pa.RecordBatch.from_arrays([
                 pa.array([B.block_number(k)], pa.int64()), pa.array([B.column(t, "doc_id").to_pylist()], pa.list_(pa.int64())),
                 pa.array([_planes(n_words)], pa.binary()), pa.array([_planes(place[order])], pa.binary()),
-                pa.array([B.squeeze(data, 3)], pa.binary()), pa.array([_planes(offsets[1:])], pa.binary()),
-            ], ["block", "doc_ids", "n_words", "positions", "word_bytes", "word_ends"])
+                pa.array([B.squeeze(data, 3)], pa.binary()), pa.array([_planes(np.diff(offsets))], pa.binary()), pa.array([_planes(dealt)], pa.binary()),
+            ], ["block", "doc_ids", "n_words", "positions", "word_bytes", "word_lengths", "dealt"])
 
     rows = docs.select(F.col("doc_id").cast("long"), split_words(text_of(docs, text), added).alias("words"))
     return cut(rows.mapInArrow(run, BLOCKS), "words")
 
 
-def _dealt(row: dict, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's words: bytes, offsets, and the words' numbers sorted by bucket with the bucket of each."""
-    data, offsets = B.expand(row["word_bytes"], np.uint8), np.concatenate([[0], _numbers(row["word_ends"]).astype(np.int64)])
-    bucket = (B.hash_spans(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int64)
+def _dealt(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a block's words sorted by bucket, and the bucket of each."""
+    bucket = _numbers(row["dealt"]).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    return data, offsets, order, bucket[order]
+    return order, bucket[order]
 
 
 def _take_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -116,10 +117,11 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", dige
     spec = json.load(open(tokenizer_path, encoding="utf-8"))
     added, source = [a["content"] for a in spec["added_tokens"]], json.dumps(spec)
     buckets = partitions(spark)
-    packed = word_blocks(docs, text, added)
+    packed = word_blocks(docs, text, added, buckets)
 
     def asked(row: dict) -> Iterator[tuple[int, bytes]]:
-        data, offsets, order, bucket = _dealt(row, buckets)
+        data, offsets = B.expand(row["word_bytes"], np.uint8), np.concatenate([[0], np.cumsum(_numbers(row["word_lengths"]).astype(np.int64))])
+        order, bucket = _dealt(row)
         for lo, hi in _runs(bucket):
             own = order[lo:hi]
             lengths = offsets[own + 1] - offsets[own]
@@ -148,7 +150,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", dige
     table = pieces(tokenizer_path)
 
     def joined(row: dict, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        _, offsets, order, bucket = _dealt(row, buckets)
+        order, bucket = _dealt(row)
         n_ids = np.zeros(len(order), np.int64)
         held, starts, size = [], np.zeros(len(order), np.int64), 0
         for lo, hi in _runs(bucket):
@@ -164,9 +166,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", dige
         positions, n_words = _numbers(row["positions"]).astype(np.int64), _numbers(row["n_words"]).astype(np.int64)
         yield from _finish(row["doc_ids"], n_words, positions, starts, n_ids, word_ids, table, digests)
 
-    answers = B.answer(B.ask(packed, asked, ["word_bytes", "word_ends"]), buckets, encoded)
+    answers = B.answer(B.ask(packed, asked, ["word_bytes", "word_lengths", "dealt"]), buckets, encoded)
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return B.meet(packed, ["doc_ids", "n_words", "positions", "word_bytes", "word_ends"], [answers], buckets, joined, schema)
+    return B.meet(packed, ["doc_ids", "n_words", "positions", "dealt"], [answers], buckets, joined, schema)
 
 
 _held: dict = {}
