@@ -14,6 +14,7 @@ from .functions import fields
 from .operators import attention, logs, mesh, metrics, pool, retrieval, sampling, series, spatial, tokens
 from .plans import views
 from .plans.views import sql
+from .streaming import series as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -647,3 +648,22 @@ def _(s, d):
 @query("masked_maxpool", sql(f"select case_id, point_id % 8 as token, {r('max(ux) filter (where wall_dist < 0.5) as ux', 'max(cp) filter (where wall_dist < 0.5) as cp')} from points group by all", "points"))
 def _(s, d):
     return attention.max_pool(views.points(s, d).withColumn("token", F.col("point_id") % 8), ["case_id", "token"], ["ux", "cp"], F.col("wall_dist") < 0.5)
+
+
+# --- streams -----------------------------------------------------------------------------------------------------
+def _event_stream(s: SparkSession, d: str) -> DataFrame:
+    """The events table's file as a stream."""
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_latest_wins", f"select user_id as run_id, {r('it')}, {r('value')} from (select user_id, round(floor(value) / 7, 9) as it, arg_max(value, (event_type, event_id)) as value from events group by all)")
+def _(s, d):
+    rows = _event_stream(s, d).select(F.col("user_id").alias("run_id"), (F.floor("value") / 7).alias("it"), F.col("event_type").alias("start"), F.col("event_id").alias("line"), "value")
+    return streaming.run_now(streaming.latest_wins(rows))
+
+
+@query("stream_residual_state", f"select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, user_id as run_id, event_type as name, count(*) as n, {r('arg_max(value, event_id) as last')}, max(value) > 150 as over from events group by all")
+def _(s, d):
+    rows = _event_stream(s, d).select("ts", F.col("user_id").alias("run_id"), F.col("event_type").alias("name"), "value", "event_id")
+    return streaming.run_now(streaming.residual_state(rows, 150.0))
