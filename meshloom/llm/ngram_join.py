@@ -197,7 +197,8 @@ def similar_texts(docs: DataFrame, text: str = "text", threshold: float = 0.8, t
     grouped = groups.select(F.col("node").alias("rep"), F.col("component").alias("group"))
     members = _tiled(grouped, grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "group", TILE_GROUP)
     # A repeated row of a representative is counted once: equal ids within a tile are dropped in the task.
-    whole = members.join(texts, "rep").repartition(parts, "group", "ti", "tj").sortWithinPartitions("group", "ti", "tj", "rep")
+    # Texts are far larger than the groups' rows, which grow with the corpus: the rows are the side that is hashed.
+    whole = texts.join(members.hint("shuffle_hash"), "rep").repartition(parts, "group", "ti", "tj").sortWithinPartitions("group", "ti", "tj", "rep")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, g in _sorted_groups(batches, ["group", "ti", "tj"]):
