@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fields
-from .operators import attention, logs, mesh, metrics, pool, retrieval, sampling, series, spatial, tokens
+from .operators import attention, etl, logs, mesh, metrics, pool, retrieval, samples, sampling, series, spatial, tokens
 from .plans import views
 from .plans.views import sql
 from .streaming import series as streaming
@@ -667,3 +667,65 @@ def _(s, d):
 def _(s, d):
     rows = _event_stream(s, d).select("ts", F.col("user_id").alias("run_id"), F.col("event_type").alias("name"), "value", "event_id")
     return streaming.run_now(streaming.residual_state(rows, 150.0))
+
+
+# --- samples and manifest jobs -----------------------------------------------------------------------------------
+_SPEC = samples.SampleSpec(n_context=14, n_query=12)
+_N = f"'{1 * 1_000_003 + 2 * 1_009 + 3}'"
+_CTX = f"""a as (select case_id, point_id from points where wall_dist < 0.25 qualify row_number() over (partition by case_id order by {_md5(_N, "'near'", "point_id")}, point_id) <= 10),
+  t as (select case_id, count(*) as t from a group by 1),
+  b as (select case_id, point_id, coalesce(t, 0) as t, row_number() over (partition by case_id order by {_md5(_N, "'rest'", "point_id")}, point_id) as n from points left join t using (case_id) where (case_id, point_id) not in (select case_id, point_id from a)),
+  ctx as (select case_id, point_id from a union all select case_id, point_id from b where n <= 14 - t),
+  dr as (select case_id, case when u >= 0.75 then 1.0 when u >= 0.5 then 0.9 else 0.6 end as ratio, p < 0.5 as use_prior from (select case_id, {_unit_sql("'1'", "'2'", "'3'", "'ratio'", "case_id")} as u, {_unit_sql("'1'", "'2'", "'3'", "'prior'", "case_id")} as p from (select distinct case_id from points))),
+  sc as (select case_id, point_id, ratio, use_prior, {_unit_sql(_N, "'mask'", "point_id")} as score from ctx join dr using (case_id)),
+  cu as (select case_id, case any_value(ratio) when 0.6 then quantile_cont(score, 0.4) when 0.9 then quantile_cont(score, 0.1) else -1 end as cut from sc group by 1),
+  mk as (select case_id, point_id, ratio, use_prior, score >= cut as masked from sc join cu using (case_id))"""
+
+
+@query("sample_context", sql(f", {_CTX} select case_id, point_id, masked, use_prior, cast(ratio as double) as ratio from mk", "points"))
+def _(s, d):
+    return samples.sample(views.points(s, d), _SPEC, 1, 2, 3)["context"]
+
+
+@query("sample_queries", sql(f""", {_CTX}, h as (select case_id, point_id, count(*) over (partition by case_id) as n from mk where masked),
+  e as (select case_id, point_id, unnest(range(0, cast(ceil(12 / n) as bigint))) as round from h)
+select case_id, cast(row_number() over w as int) as slot, point_id from e window w as (partition by case_id order by round, {_md5(_N, "'query'", "round", "point_id")}, point_id) qualify row_number() over w <= 12""", "points"))
+def _(s, d):
+    return samples.sample(views.points(s, d), _SPEC, 1, 2, 3)["queries"]
+
+
+_NEAR3 = f", n as (select a.case_id, a.point_id, b.ux, b.cp, 1 / (sqrt({_D2}) + 1e-9) as w from points a join points b on a.case_id = b.case_id and b.point_id % 3 = 0 where a.point_id % 3 <> 0 qualify row_number() over (partition by a.case_id, a.point_id order by {_D2}, b.point_id) <= 3)"
+
+
+@query("knn_interpolated", sql(_NEAR3 + f" select case_id, point_id, {r('sum(w * ux) / sum(w) as ux', 'sum(w * cp) / sum(w) as cp')} from n group by all", "points"))
+def _(s, d):
+    p = views.points(s, d)
+    return samples.interpolate(p.where("point_id % 3 <> 0"), p.where("point_id % 3 = 0"), ["ux", "cp"])
+
+
+@query("ensemble_spread", sql(f"select case_id, {r('avg(v) as v_mean', 'stddev_pop(v) as v_std')} from (select case_id, ux as v from points union all select case_id, p_ux from points) group by 1", "points"))
+def _(s, d):
+    p = views.points(s, d)
+    return samples.ensemble(p.select("case_id", F.col("ux").alias("v")).unionByName(p.select("case_id", F.col("p_ux").alias("v"))), ["case_id"], ["v"])
+
+
+@query("backfill_reynolds", sql(", m as (select case_id, 10.0 as u_ref, n_points as l_ref from pool), q as (select case_id, case when case_id % 9 = 0 then 11.0 else 10.0 end as u, 1e-5 as nu from pool where case_id % 10 <> 3), e as (select m.*, case when nu is null then 'no parameters' when abs(u - u_ref) > 1e-9 then 'velocity differs' end as error, nu from m left join q using (case_id)) select case_id, u_ref::double as u_ref, round(l_ref, 6) + 0.0 as l_ref, error, case when error is null then round(log10(u_ref * l_ref / nu), 6) + 0.0 end as log10_re from e", "pool"))
+def _(s, d):
+    p = views.pool(s, d)
+    m = p.select("case_id", F.lit(10.0).alias("u_ref"), F.col("n_points").alias("l_ref"))
+    q = p.where("case_id % 10 <> 3").select("case_id", F.when(F.col("case_id") % 9 == 0, 11.0).otherwise(10.0).alias("u"), F.lit(1e-5).alias("nu"))
+    return etl.backfill_reynolds(m, q)
+
+
+@query("voxel_points", f"with {_GRID}, n as (select a.case_id, a.ix, a.iy, a.iz, min(sqrt(((a.ix + 0.5) * 0.5 - (b.ix + 0.5) * 0.5) ** 2 + ((a.iy + 0.5) * 0.5 - (b.iy + 0.5) * 0.5) ** 2 + ((a.iz + 0.5) * 0.5 - (b.iz + 0.5) * 0.5) ** 2)) as d from g a left join g b on a.case_id = b.case_id and not b.fluid where a.fluid group by all) select case_id, cast(ix as int) as ix, cast(iy as int) as iy, cast(iz as int) as iz, {r('(ix + 0.5) * 0.5 / 2 as x', '(iy + 0.5) * 0.5 / 2 as y', '(iz + 0.5) * 0.5 / 2 as z')}, {r('greatest(least(d, (iz + 0.5) * 0.5 + 0.25) - 0.25, 0) / 2 as wall_dist')} from n")
+def _(s, d):
+    return etl.voxels_to_points(_grid(s, d).withColumn("ix", F.col("ix").cast("int")), ["case_id"], 0.5, 2.0)
+
+
+@query("swap_partner", sql(", c as (select case_id, row_number() over (order by case_id) - 1 as i, count(*) over () as n from (select distinct case_id from points)) select a.case_id, b.case_id as partner from c a join c b on b.i = (a.i + 1) % a.n", "points"))
+def _(s, d):
+    c = views.points(s, d).select("case_id").distinct()
+    # One row per case of an evaluation set; the whole set is one small window.
+    w = Window.partitionBy(F.lit(0)).orderBy("case_id")
+    first = c.agg(F.min("case_id").alias("first"))
+    return c.withColumn("next", F.lead("case_id").over(w)).join(F.broadcast(first)).select("case_id", F.coalesce("next", "first").alias("partner"))
