@@ -3,6 +3,11 @@ decontamination and tokenisation.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined results: rows are known by doc_id, so a row without one is dropped by the first stage, and rows that repeat
+a doc_id stay or go together; a null text has no words and is rejected by the base filter; empty tables pass
+through every stage; further columns of documents are kept, whatever they are called, as long as they are not
+named like the columns that a stage works on (doc_id, text, n_chars).
 """
 from __future__ import annotations
 
@@ -31,7 +36,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that a smaller document holds go; a text that loses none stays as it is, of the others
     the kept words stay, joined by one space, and a document that loses all its words goes."""
-    found = substring.remove_repeats(docs, digests=False).where("n_removed > 0").select("doc_id", "n_words", "n_removed", F.col("text").alias("rest"))
+    found = substring.remove_repeats(docs, digests=False).where("n_removed > 0").select("doc_id", "n_words", "n_removed", F.col("text").alias("rest")).dropDuplicates(["doc_id"])
     out = docs.join(found, "doc_id", "left").where(F.coalesce(F.col("n_removed") < F.col("n_words"), F.lit(True)))
     text = F.when(F.col("rest").isNotNull(), F.col("rest")).otherwise(F.col("text"))
     return out.withColumns({"n_chars": F.when(F.col("rest").isNotNull(), F.length("rest").cast("long")).otherwise(F.col("n_chars")), "text": text}).select(docs.columns)
