@@ -24,7 +24,7 @@ from . import blocks as B
 from .common import text_of
 
 #: Labelled documents of each kind that the tables are learned from, at most.
-SAMPLE_GOOD, SAMPLE_POOR = 10_000, 6_000
+SAMPLE_GOOD, SAMPLE_POOR = 5_000, 3_000
 BINS, PAIR_BINS, PAIRS = 48, 12, 8
 NAMES = ["words", "word_length", "long_words", "short_words", "capitals", "digits", "symbols", "stops", "exclamations", "bars", "other_signs", "beyond_ascii", "lines", "words_a_line", "sentence_words", "repeated_words", "repeated_pairs", "repeated_triples", "repeated_lines", "commas", "top_word"]
 
@@ -189,8 +189,8 @@ def fit_rows(rows: list) -> Gam:
     """rows: y (0 or 1) and text."""
     if not rows:
         return Gam(0.0)
-    data, offsets = B.text_buffer(pa.array([r["text"] for r in rows], pa.large_string()))
-    return fit(features(data, offsets), np.array([float(r["y"] == 1) for r in rows]))
+    parts = [features(*B.text_buffer(pa.array([r["text"] for r in rows[at : at + 500]], pa.large_string()))) for at in range(0, len(rows), 500)]
+    return fit(np.concatenate(parts), np.array([float(r["y"] == 1) for r in rows]))
 
 
 def score(docs: DataFrame, model: Gam, text: str = "text") -> DataFrame:

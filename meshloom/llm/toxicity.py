@@ -13,6 +13,7 @@ score is the base rate; an empty table gives no row; further columns are ignored
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .common import fold, text_of
 
-#: Labelled documents of each kind that the weights are fitted on, at most, and characters of all of them.
-SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 4_000, 8_000
+#: Labelled documents of each kind that the weights are fitted on, at most.
+SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 2_500, 4_000
 LEAST_DOCS = 4
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5)
 _STRIP = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "¡¿«»“”„‘’…–—"
 
 
@@ -96,33 +97,44 @@ def fit(rows: list, rounds: int = 160, rate: float = 0.15, shrink: float = 2e-4)
     if not n_pos or n_pos == len(rows):
         p = (n_pos + 0.5) / (len(rows) + 1)
         return Model({}, float(np.log(-np.log1p(-p)) if p < 0.5 else 2.0))
-    seen: dict[str, int] = {}
-    cache: dict[str, list[str]] = {}
-    parsed = []
+    # Features get numbers as they come; an array holds those of all sentences in a row.
+    number: dict[str, int] = {}
+    cache: dict[str, tuple[int, ...]] = {}
+    held, bag_sizes, n_sent, in_docs = array("i"), array("i"), [], np.zeros(1 << 16, np.int32)
     for r in rows:
-        per_doc: set[str] = set()
-        own = []
+        begin, n = len(held), 0
         for a, b in sentences(r["text"]):
-            words = [f for w in set(r["text"][a:b].split()) for f in (cache.get(w) or cache.setdefault(w, _features(w)))]
-            own.append(words)
-            per_doc.update(words)
-        parsed.append(own or [[]])
-        for f in per_doc:
-            seen[f] = seen.get(f, 0) + 1
-    vocabulary = {f: k for k, f in enumerate(f for f, n in seen.items() if n >= LEAST_DOCS)}
+            size = len(held)
+            for word in set(r["text"][a:b].split()):
+                if word not in cache:
+                    cache[word] = tuple(number.setdefault(f, len(number)) for f in _features(word))
+                held.extend(cache[word])
+            bag_sizes.append(len(held) - size)
+            n += 1
+        if not n:
+            bag_sizes.append(0)
+        n_sent.append(max(1, n))
+        if len(number) > len(in_docs):
+            in_docs = np.concatenate([in_docs, np.zeros(2 * len(number) - len(in_docs), np.int32)])
+        in_docs[np.unique(np.frombuffer(held, np.int32)[begin:])] += 1
+    del cache
+    place = np.where(in_docs[: len(number)] >= LEAST_DOCS, np.cumsum(in_docs[: len(number)] >= LEAST_DOCS) - 1, -1).astype(np.int32)
+    vocabulary = {f: int(place[k]) for f, k in number.items() if place[k] >= 0}
+    del number
     y = np.array([r["y"] == 1 for r in rows], float)
-    n_sent = np.array([len(p) for p in parsed])
-    doc = np.repeat(np.arange(len(parsed)), n_sent)
-    bags = [[vocabulary[f] for f in s if f in vocabulary] for p in parsed for s in p]
-    sent = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    feat = np.fromiter((k for b in bags for k in b), np.int64, len(sent))
+    n_sent = np.array(n_sent)
+    doc = np.repeat(np.arange(len(n_sent)), n_sent)
+    n_bags = len(bag_sizes)
+    sent = np.repeat(np.arange(n_bags, dtype=np.int32), np.frombuffer(bag_sizes, np.int32))
+    feat = place[np.frombuffer(held, np.int32)]
+    sent, feat = sent[feat >= 0], feat[feat >= 0]
     w, bias = np.zeros(len(vocabulary)), float(np.log(max(1e-6, y.mean() / n_sent.mean())))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     learns = np.arange(len(y)) % 5 != 4  # rows come in the order of a hash
     weight = np.where(learns, balance, 0.0)
     for t in range(1, rounds + 1):
-        z = bias + np.bincount(sent, w[feat], minlength=len(bags))
+        z = bias + np.bincount(sent, w[feat], minlength=n_bags)
         soft = np.logaddexp(0, z)  # -log(1 - p) of a sentence
         s = np.bincount(doc, soft, minlength=len(y))
         pull = np.where(y == 1, -np.exp(-s) / np.maximum(1e-12, -np.expm1(-s)), 1.0) * weight
@@ -139,7 +151,7 @@ def fit(rows: list, rounds: int = 160, rate: float = 0.15, shrink: float = 2e-4)
         w = np.sign(w) * np.maximum(0, np.abs(w) - step * 0.02)
     # Scale and bias are set once more on the part that taught no weight: a bias that is a little too high adds
     # up to a false alarm over many sentences, and weights that fit their own documents are too sure.
-    z = np.bincount(sent, w[feat], minlength=len(bags))
+    z = np.bincount(sent, w[feat], minlength=n_bags)
     rest = np.flatnonzero(~learns[doc])
 
     def loss(scale: float, b: float) -> float:
