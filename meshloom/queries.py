@@ -554,6 +554,21 @@ def _(s, d):
     return mesh.building_height(_grid(s, d), ["case_id"], 5, 0.5)
 
 
+def _whole_grid(s, d):
+    """All lines of all suppliers as 10 x 10 x 5 grids: a supplier's case has one part for every 500 lines."""
+    w = views.table(s, d, "lineitem").withColumn("i", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax")) - 1)
+    at = lambda by, n: F.floor(F.col("i") / by % n).cast("int")
+    return w.select(F.col("l_suppkey").alias("case_id"), F.floor(F.col("i") / 500).cast("int").alias("part"), at(1, 10).alias("ix"), at(10, 10).alias("iy"), at(100, 5).alias("iz"), (F.col("l_quantity") / 50).alias("ux"), (F.col("l_discount") * 10).alias("uy"), (F.col("l_tax") * 10).alias("uz"), (F.col("l_quantity") > 20).alias("fluid"))
+
+
+_WHOLE_GRID = "g as (select l_suppkey as case_id, i // 500 as part, i % 10 as ix, i // 10 % 10 as iy, i // 100 % 5 as iz, l_quantity / 50 as ux, l_discount * 10 as uy, l_tax * 10 as uz, l_quantity > 20 as fluid from (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax) - 1 as i from lineitem))"
+
+
+@query("mean_building_height_all", f"with {_WHOLE_GRID}, c as (select case_id, part, ix, iy, bool_or(iz = 0 and not fluid) as solid, coalesce(min(iz) filter (where fluid), 5) as top from g group by all) select case_id, cast(part as int) as part, {r('avg(top) * 0.5 as height')}, count(*) as n_columns, {r('avg((ix + 0.5) * 0.5) as x', 'avg((iy + 0.5) * 0.5) as y')} from c where solid group by case_id, part")
+def _(s, d):
+    return mesh.building_height(_whole_grid(s, d), ["case_id", "part"], 5, 0.5)
+
+
 def _slope_sql(u: str, by: str, others: str) -> str:
     w = f"(partition by case_id, {others} order by {by})"
     return f"coalesce(case when lag({u}) over {w} is null then (lead({u}) over {w} - {u}) / 0.5 when lead({u}) over {w} is null then ({u} - lag({u}) over {w}) / 0.5 else (lead({u}) over {w} - lag({u}) over {w}) / 1.0 end, 0)"
@@ -564,6 +579,11 @@ def _(s, d):
     return mesh.vorticity(_grid(s, d), ["case_id"], 0.5).withColumn("ix", F.col("ix").cast("int"))
 
 
+@query("vorticity_all", f"with {_WHOLE_GRID}, s as (select case_id, part, ix, iy, iz, {_slope_sql('uz', 'iy', 'part, ix, iz')} - {_slope_sql('uy', 'iz', 'part, ix, iy')} as a, {_slope_sql('ux', 'iz', 'part, ix, iy')} - {_slope_sql('uz', 'ix', 'part, iy, iz')} as b, {_slope_sql('uy', 'ix', 'part, iy, iz')} - {_slope_sql('ux', 'iy', 'part, ix, iz')} as c from g) select case_id, cast(part as int) as part, cast(ix as int) as ix, cast(iy as int) as iy, cast(iz as int) as iz, {r('sqrt(a * a + b * b + c * c) as vorticity')} from s")
+def _(s, d):
+    return mesh.vorticity(_whole_grid(s, d), ["case_id", "part"], 0.5)
+
+
 @query("orient_normals", sql("select case_id, point_id, " + ", ".join(r(f"case when nx * (p_ux - x) + ny * (p_uy - y) + nz * (p_uz - z) < 0 then -n{c} else n{c} end as n{c}") for c in "xyz") + ", nx * (p_ux - x) + ny * (p_uy - y) + nz * (p_uz - z) < 0 as flip from points", "points"))
 def _(s, d):
     f = views.points(s, d).select("case_id", "point_id", "nx", "ny", "nz", *[F.col(c).alias(f"c{c}") for c in "xyz"], F.col("p_ux").alias("ox"), F.col("p_uy").alias("oy"), F.col("p_uz").alias("oz"))
@@ -722,6 +742,12 @@ def _(s, d):
     return etl.voxels_to_points(_grid(s, d).withColumn("ix", F.col("ix").cast("int")), ["case_id"], 0.5, 2.0)
 
 
+@query("voxel_points_all", f"with {_WHOLE_GRID}, n as (select a.case_id, a.part, a.ix, a.iy, a.iz, min(sqrt(((a.ix + 0.5) * 0.5 - (b.ix + 0.5) * 0.5) ** 2 + ((a.iy + 0.5) * 0.5 - (b.iy + 0.5) * 0.5) ** 2 + ((a.iz + 0.5) * 0.5 - (b.iz + 0.5) * 0.5) ** 2)) as d from g a left join g b on a.case_id = b.case_id and a.part = b.part and not b.fluid where a.fluid group by all) select case_id, cast(part as int) as part, cast(ix as int) as ix, cast(iy as int) as iy, cast(iz as int) as iz, {r('(ix + 0.5) * 0.5 / 2 as x', '(iy + 0.5) * 0.5 / 2 as y', '(iz + 0.5) * 0.5 / 2 as z')}, {r('greatest(least(d, (iz + 0.5) * 0.5 + 0.25) - 0.25, 0) / 2 as wall_dist')} from n")
+def _(s, d):
+    out = etl.voxels_to_points(_whole_grid(s, d), ["case_id", "part"], 0.5, 2.0)
+    return out.select("case_id.*", *out.columns[1:])
+
+
 @query("swap_partner", sql(", c as (select case_id, row_number() over (order by case_id) - 1 as i, count(*) over () as n from (select distinct case_id from points)) select a.case_id, b.case_id as partner from c a join c b on b.i = (a.i + 1) % a.n", "points"))
 def _(s, d):
     c = views.points(s, d).select("case_id").distinct()
