@@ -58,9 +58,10 @@ class Node:
 
 
 def _kind(tag: str, attrs: str) -> tuple[str, bool]:
-    """The node's name for matching (element and class), and whether it is a part of the page that is not the article."""
+    """The node's name for matching (element, class, and ! if it is a part of the page that is not the article), and
+    whether it is such a part. So nodes of one path have one role, also where only an id or a role attribute tells it."""
     if not attrs or "=" not in attrs:
-        return tag, tag in NOT_CONTENT
+        return (f"{tag}!", True) if tag in NOT_CONTENT else (tag, False)
     name, out = tag, tag in NOT_CONTENT
     for key, *values in _ATTR.findall(attrs):
         value = _html.unescape("".join(values)).lower()
@@ -71,7 +72,7 @@ def _kind(tag: str, attrs: str) -> tuple[str, bool]:
             name = f"{tag}.{'.'.join(sorted(value.split()))}"
         if tag not in ("html", "body", "main", "article"):
             out = out or not PARTS.isdisjoint(re.split(r"[^a-z]+", value))
-    return name, out
+    return f"{name}!" if out else name, out
 
 
 def parse(source: str) -> Node:

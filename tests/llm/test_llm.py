@@ -375,3 +375,18 @@ def test_tree_matching_aligns_the_common_part():
     found = {}
     assert html.match(a, b, found) == 5
     assert {x.tag: html.own_text(y) for x, y in found.items() if x.tag in ("li", "p")} == {"li": "y", "p": "3"}
+
+
+BY_ID = '<html><body><article><div id="%s"><p>%s</p></div><div id="%s"><p>%s</p></div></article></body></html>'
+
+
+@pytest.mark.parametrize("first", ["body", "comments"])
+def test_parts_told_by_their_id_alone(spark, first):
+    pages, want = [], {}
+    for i in range(8):
+        want[i] = f"story {i} {prose(12)}"
+        parts = [("body", want[i]), ("comments", f"reader {i} {prose(9)}")]
+        a, b = parts if first == "body" else parts[::-1]
+        pages.append((i, f"http://ids.example/{i}", BY_ID % (*a, *b)))
+    got = html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
