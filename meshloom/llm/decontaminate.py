@@ -1,9 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are lower-cased without the punctuation around them; numbers, names and units become typed placeholders,
-whose values are kept as slots. Windows of WINDOW template words are hashed and joined with the benchmark's;
-matches of one document, item and offset are put together, and the slots must be consistent: one value
-of the item stands for one value in the document. So a question is caught with its numbers and names changed.
+Words are lower-cased without the punctuation around them; names and amounts become typed placeholders, whose values
+are kept as slots. An amount is one placeholder however it is written: 12kg, 12 kg, 12%, 25, twenty-five, twenty five
+kg. Windows of WINDOW template words are hashed and joined with the benchmark's; matches of one document, item
+and offset are put together, and so are those of nearby offsets (no further from the next than the item has windows), as
+inserted and dropped words shift what follows. The slots must be consistent: one value of the item stands for one
+value in the document. So a question is caught with its numbers and names changed.
 
 Defined results: a null text is empty; rows of a null doc_id or item_id are never reported; items with fewer than
 WINDOW words, or whose windows are mostly placeholders, cannot be told from chance and match nothing; repeated
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -33,27 +35,56 @@ UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile mil
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "¡¿«»“”„‘’‚…–—·•§¶"
 END = (".", "!", "?", ":", "…")
-PLAIN, NUMBER, UNIT, NAME, QUANTITY = range(5)
+TENS = {w: 10 * (i + 2) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
+ONES = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
+POWERS = {"hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9}
+PLAIN, NUMBER, NAME = range(3)
 _NUMBER = re.compile(r"[\d.,:/]*\d[\d.,:/]*")
 _QUANTITY = re.compile(r"([\d.,:/]*\d[\d.,:/]*)([^\W\d_]{1,10}\d?)")
 
 
-def canonical(word: str) -> tuple[str, int, bool, bool]:
-    """The word without signs and capitals, its type (NUMBER, QUANTITY or PLAIN), whether it looks like a name
-    and whether it ends a sentence. UNIT and NAME depend on the words before and are decided later."""
+def amount(words: list[str]) -> str:
+    """The value of a run of number words, perhaps after figures and before a unit: digits and the unit."""
+    unit = [words.pop()] if len(words) > 1 and words[-1] in UNITS else []
+    if words[0] not in NUMBER_WORDS:
+        return " ".join([*words, *unit])
+    whole = part = 0
+    for w in words:
+        if (n := POWERS.get(w)) == 100:
+            part = (part or 1) * 100
+        elif n:
+            whole, part = whole + (part or 1) * n, 0
+        else:
+            part += TENS.get(w, 0) or ONES.get(w, 0)
+    return " ".join([str(whole + part), *unit])
+
+
+def canonical(word: str) -> tuple[str, int, bool, bool, str]:
+    """The word without signs and capitals, its type (NUMBER or PLAIN), whether it looks like a name, whether it ends
+    a sentence, and its value. NAME, and the words that go on with a number, depend on the words before and are
+    decided later."""
     core = word.strip(PUNCTUATION)
     if not core:
-        return "", PLAIN, False, word.endswith(END)
+        return "", PLAIN, False, word.endswith(END), ""
     low = core.lower()
-    kind = PLAIN
+    kind, value = PLAIN, low
     if not core.isalpha():
         if _NUMBER.fullmatch(core):
-            kind = NUMBER
+            kind, value = NUMBER, f"{low} percent" if word.rstrip(".,;:!?)\"'").endswith("%") else low
         elif (m := _QUANTITY.fullmatch(low)) and m[2] in UNITS:
-            kind = QUANTITY
+            kind, value = NUMBER, f"{m[1]} {m[2]}"
+        elif "-" in low and NUMBER_WORDS.issuperset(parts := low.split("-")):
+            kind, value = NUMBER, amount(parts)
     elif low in NUMBER_WORDS:
-        kind = NUMBER
-    return low, kind, kind == PLAIN and len(core) > 1 and core[0].isupper() and core[1:].islower(), word.rstrip("\"')]»”’").endswith(END)
+        kind, value = NUMBER, amount([low])
+    return low, kind, kind == PLAIN and len(core) > 1 and core[0].isupper() and core[1:].islower(), word.rstrip("\"')]»”’").endswith(END), value
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    raw = [w.encode() for w in words]
+    sizes = np.array([len(x) for x in raw], np.int64)
+    spans = np.cumsum(sizes)
+    return B.hash_spans(np.frombuffer(b"".join(raw), np.uint8), spans - sizes, spans) if len(raw) else np.zeros(0, np.uint64)
 
 
 class Templates:
@@ -65,12 +96,10 @@ class Templates:
         distinct, at, back = np.unique(raw, return_index=True, return_inverse=True)
         body = data.tobytes()
         known = [canonical(body[a:b].decode("utf-8", "replace")) for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-        lows = [k[0].encode() for k in known]
-        sizes = np.array([len(x) for x in lows], np.int64)
-        spans = np.cumsum(sizes)
-        low_hash = B.hash_spans(np.frombuffer(b"".join(lows), np.uint8), spans - sizes, spans) if len(lows) else np.zeros(0, np.uint64)
+        sizes = np.array([len(k[0]) for k in known], np.int64)
+        value_hash = _hashes([k[4] for k in known])
         kinds, capital, ending = (np.array([k[c] for k in known], t) for c, t in ((1, np.int8), (2, bool), (3, bool)))
-        unit = np.array([k[0] in UNITS for k in known], bool)
+        unit, spoken = (np.array([k[0] in names for k in known], bool) for names in (UNITS, NUMBER_WORDS))
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         fresh = np.ones(len(back), bool)  # first word of a text or a sentence
         if len(back):
@@ -79,11 +108,24 @@ class Templates:
         kind = kinds[back].copy()
         kind[capital[back] & ~fresh] = NAME
         kind, back, doc = kind[keep], back[keep], doc[keep]
+        same = np.zeros(len(kind), bool)  # the word before is of the same text
+        same[1:] = doc[1:] == doc[:-1]
+        after = np.zeros(len(kind), bool)  # the word before is a number without a unit in it
+        bare = np.array([" " not in k[4] for k in known], bool)
+        after[1:] = same[1:] & (kind[:-1] == NUMBER) & bare[back[:-1]]
+        more = after & (unit | spoken)[back]  # goes on with the amount before it
+        value = value_hash[back]
+        heads = np.flatnonzero(~more & np.append(more[1:], False))
+        if len(heads):  # amounts of several words
+            stops = np.append(np.flatnonzero(~more), len(more))
+            stops = stops[np.searchsorted(stops, heads, "right")]
+            written = [amount([w for k in back[a:b].tolist() for w in known[k][0].split("-")]) for a, b in zip(heads.tolist(), stops.tolist())]
+            value[heads] = _hashes(written)
+        kind[more] = NUMBER
         before = np.full(len(kind), -1, np.int8)
-        before[1:] = np.where(doc[1:] == doc[:-1], kind[:-1], -1)
-        kind[unit[back] & (before == NUMBER)] = UNIT
-        on = ~((kind == NAME) & (before == NAME))  # a name of several words is one slot
-        self.kind, self.value, self.doc = kind[on], low_hash[back[on]], doc[on]
+        before[1:] = np.where(same[1:], kind[:-1], -1)
+        on = ~more & ~((kind == NAME) & (before == NAME))  # an amount or a name of several words is one slot
+        self.kind, self.value, self.doc = kind[on], value[on], doc[on]
         self.hash = np.where(self.kind == PLAIN, self.value, B.mix(self.kind.astype(np.uint64) + np.uint64(77)))
         self.first = np.searchsorted(self.doc, np.arange(len(first)))
 
@@ -136,11 +178,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", cove
     pairs = found.select(F.col("id").alias("doc_id"), "h", "pos", "slots").join(F.broadcast(item) if n_items <= BROADCAST_ROWS else item, "h")
     # A slot is (its place in the item's windows, item's value, document's value); windows that overlap repeat it.
     pairs = pairs.withColumn("pair", F.explode_outer(F.when(F.size("slots") > 0, F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))))
-    key = ["doc_id", "item_id", "item_windows", (F.col("pos") - F.col("item_pos")).alias("offset")]
-    slots = pairs.groupBy(*key, "pair").agg(F.collect_set("item_pos").alias("places"), F.min("pos").alias("begin"))
-    offsets = slots.groupBy("doc_id", "item_id", "item_windows", "offset").agg(
+    item_key = ["doc_id", "item_id", "item_windows"]
+    slots = pairs.groupBy(*item_key, (F.col("pos") - F.col("item_pos")).alias("offset"), "pair").agg(F.collect_set("item_pos").alias("places"), F.min("pos").alias("begin"))
+    # Every offset stands for itself, and once more in the run of nearby offsets that it belongs to.
+    order = Window.partitionBy("doc_id", "item_id").orderBy("offset")
+    jump = F.coalesce(F.col("offset") - F.lag("offset").over(order) > F.col("item_windows"), F.lit(False))
+    runs = slots.withColumn("jump", jump.cast("long")).withColumn("run", F.sum("jump").over(order))
+    runs = runs.withColumn("of", F.explode(F.array(F.struct(F.lit(False).alias("merged"), F.col("offset").alias("k")), F.struct(F.lit(True).alias("merged"), F.col("run").alias("k")))))
+    runs = runs.groupBy(*item_key, "of", "pair").agg(F.flatten(F.collect_list("places")).alias("places"), F.min("begin").alias("begin"), F.min("offset").alias("offset"))
+    offsets = runs.groupBy(*item_key, "of").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_windows"),
         F.min("begin").alias("begin"),
+        F.min("offset").alias("offset"),
         F.count("pair").alias("n_slots"),
         F.count_if(F.col("pair.a") != F.col("pair.b")).alias("n_changed"),
         F.size(F.collect_set("pair.a")).alias("n_values"),

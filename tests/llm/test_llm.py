@@ -390,3 +390,23 @@ def test_parts_told_by_their_id_alone(spark, first):
         pages.append((i, f"http://ids.example/{i}", BY_ID % (*a, *b)))
     got = html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == want
+
+
+def test_templates_with_amounts_in_other_words_and_shifts(spark):
+    plain = iter(f"w{c}{d}" for c in "abcdefgh" for d in "abcdefgh")
+    q = [next(plain) for _ in range(15)] + ["12kg"] + [next(plain) for _ in range(14)]
+    where = lambda *new: " ".join([*q[:15], *new, *q[16:]])
+    long = [f"v{c}{d}" for c in "abcdef" for d in "abcdefghij"]
+    shifted = [*long[:20], "added", *long[20:40], "added", *long[40:]]
+    docs = [where("12kg"), where("12", "kg"), where("twenty", "five", "kg"), where("twenty-five"), where("12%"), where("12", "percent"), where("12kg", "once", "more"), where(), " ".join(shifted), " ".join(q[:15])]
+    table = spark.createDataFrame([(i, f"{prose(12)} {t} {prose(12)}") for i, t in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminated(table, spark.createDataFrame([(1, " ".join(q)), (2, " ".join(long))], "item_id long, text string")).collect()}
+    assert set(got) == set(range(9))  # the last one holds 8 of 23 windows
+    assert all(got[i].n_windows == 23 for i in range(6)) and got[7].n_windows == 15 and got[8].n_windows == 39
+    assert got[0].n_changed == got[1].n_changed == 0 and got[2].n_changed == got[3].n_changed == 1
+
+
+def test_amounts_have_one_value_in_figures_and_words():
+    want = {"five": "5", "twenty five": "25", "three hundred two kg": "302 kg", "two thousand one hundred": "2100", "12 million": "12 million", "hundred": "100"}
+    assert {k: decontaminate.amount(k.split()) for k in want} == want
+    assert decontaminate.canonical("Twenty-five,")[4] == "25" and decontaminate.canonical("(12%)")[4] == "12 percent" and decontaminate.canonical("12kg")[4] == "12 kg"
