@@ -7,9 +7,10 @@ and offset are put together, and so are those of nearby offsets (no further from
 inserted and dropped words shift what follows. The slots must be consistent: one value of the item stands for one
 value in the document. So a question is caught with its numbers and names changed.
 
-Defined results: a null text is empty; rows of a null doc_id or item_id are never reported; items with fewer than
-WINDOW words, or whose windows are mostly placeholders, cannot be told from chance and match nothing; repeated
-rows are reported once; empty tables give no row; further columns are ignored; texts are read whole.
+Defined results: a null text is empty; rows of a null doc_id or item_id are never reported; items with
+less than two usable windows (fewer words than WINDOW + 1, or windows that are mostly placeholders) are also found where
+their words stand whole and unchanged, as one window of the item's own length; an item of figures and signs only
+cannot be told from chance and matches nothing; repeated rows are reported once; empty tables give no row; further columns are ignored; texts are read whole.
 """
 from __future__ import annotations
 
@@ -108,6 +109,7 @@ class Templates:
         kind = kinds[back].copy()
         kind[capital[back] & ~fresh] = NAME
         kind, back, doc = kind[keep], back[keep], doc[keep]
+        self.words, self.back, self.low_doc = [k[0] for k in known], back, doc
         same = np.zeros(len(kind), bool)  # the word before is of the same text
         same[1:] = doc[1:] == doc[:-1]
         after = np.zeros(len(kind), bool)  # the word before is a number without a unit in it
@@ -128,6 +130,7 @@ class Templates:
         self.kind, self.value, self.doc = kind[on], value[on], doc[on]
         self.hash = np.where(self.kind == PLAIN, self.value, B.mix(self.kind.astype(np.uint64) + np.uint64(77)))
         self.first = np.searchsorted(self.doc, np.arange(len(first)))
+        self.low_first, self.place = np.searchsorted(doc, np.arange(len(first))), np.cumsum(on) - 1
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the windows that lie in one text and have LITERALS plain words at least."""
@@ -137,29 +140,67 @@ class Templates:
         on = (at + WINDOW <= self.first[self.doc[at] + 1]) & (plain[at + WINDOW] - plain[at] >= LITERALS)
         return at[on], h[on]
 
+    def whole(self, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Length, places and hashes of all runs of so many words of one text, whatever their types: these do not depend
+        on the words around. Of equal runs of a text the first counts."""
+        low = _hashes(self.words)[self.back]
+        for n in lengths:
+            h = B.mix(B.windows(low, n) + np.uint64(n))
+            at = np.arange(len(h))
+            on = at + n <= self.low_first[self.low_doc[at] + 1]
+            yield n, at[on], h[on]
+
+    def whole_items(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The same for texts of less than two windows that have a letter, as one run each."""
+        n = np.bincount(self.doc[self.windows()[0]], minlength=len(self.first) - 1)
+        letters = np.array([any(c.isalpha() for c in w) for w in self.words], bool)[self.back]
+        spoken = np.bincount(self.low_doc[letters], minlength=len(n)) > 0
+        size = np.diff(self.low_first)
+        short = np.flatnonzero((n < 2) & spoken)
+        for length, at, h in self.whole(sorted(set(size[short].tolist()))):
+            on = np.isin(at, self.low_first[short[size[short] == length]])
+            yield length, at[on], h[on]
+
+    def whole_rows(self, ids: pa.Array, length: int, at: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        doc = self.low_doc[at]
+        pos, one = self.place[at] - self.first[doc], np.ones(len(at), np.int64)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(pos, pa.int64()), pa.array(one), pa.array([[]] * len(at), pa.list_(pa.int64())), pa.array(one * length)], NAMES)
+
     def rows(self, ids: pa.Array, at: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
         values = [[int(v) for v in self.value[a : a + WINDOW][self.kind[a : a + WINDOW] != PLAIN].view(np.int64)] for a in at.tolist()]
         n = np.bincount(self.doc[self.windows()[0]], minlength=len(ids)) if len(at) else np.zeros(len(ids), np.int64)
         doc = self.doc[at]
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(at - self.first[doc], pa.int64()), pa.array(n[doc], pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["id", "h", "pos", "n", "slots"])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(at - self.first[doc], pa.int64()), pa.array(n[doc], pa.int64()), pa.array(values, pa.list_(pa.int64())), pa.array(np.zeros(len(at), np.int64))], NAMES)
+
 
+ROWS = "id long, h long, pos long, n long, slots array<long>, length long"
+NAMES = ["id", "h", "pos", "n", "slots", "length"]
 
-ROWS = "id long, h long, pos long, n long, slots array<long>"
 
+def template_windows(rows: DataFrame, only: np.ndarray | None = None, lengths: list[int] | None = None) -> DataFrame:
+    """id, h, pos, n (windows of the text), slots of every window, with length 0, and the runs of words of the given
+    lengths, with their length, or (None) those that stand for a whole item; with `only` (sorted hashes), of those in it."""
 
-def template_windows(rows: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """id, h, pos, n (windows of the text), slots of every window; with `only` (sorted hashes), of those in it."""
+    def held(h: np.ndarray) -> np.ndarray:
+        if only is None or not len(only):
+            return np.full(len(h), only is None)
+        return only[np.minimum(np.searchsorted(only, h), len(only) - 1)] == h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in B.concat_batches(batches, 6 << 20):
             x = Templates(*B.text_buffer(B.column(t, "text")))
             at, h = x.windows()
-            if only is not None:
-                place = np.minimum(np.searchsorted(only, h), max(0, len(only) - 1))
-                hit = only[place] == h if len(only) else np.zeros(len(h), bool)
-                at, h = at[hit], h[hit]
+            hit = held(h)
+            at, h = at[hit], h[hit]
             for k in range(0, len(at), 50_000):
                 yield x.rows(B.column(t, "id"), at[k : k + 50_000], h[k : k + 50_000])
+            for length, at, h in x.whole_items() if lengths is None else x.whole(lengths) if lengths else ():
+                hit = held(h)
+                at, h = at[hit], h[hit]
+                first = np.sort(np.unique(np.stack([x.low_doc[at].astype(np.uint64), h]), axis=1, return_index=True)[1]) if len(at) else at
+                at, h = at[first], h[first]
+                for k in range(0, len(at), 50_000):
+                    yield x.whole_rows(B.column(t, "id"), length, at[k : k + 50_000], h[k : k + 50_000])
 
     return rows.mapInArrow(run, ROWS)
 
@@ -173,8 +214,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", cove
     only = None
     if n_items <= HELD:  # a size that is checked: 8 bytes a window
         only = np.unique(np.array([r.h for r in items.select("h").distinct().toLocalIterator()], np.int64).view(np.uint64))
-    found = template_windows(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), text_of(docs, text).alias("text")), only)
-    item = items.select(F.col("id").alias("item_id"), "h", F.col("pos").alias("item_pos"), F.col("n").alias("item_windows"), F.col("slots").alias("item_slots"))
+    lengths = sorted(r.length for r in items.where("length > 0").select("length").distinct().collect())
+    found = template_windows(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), text_of(docs, text).alias("text")), only, lengths)
+    item = items.select(F.col("id").alias("item_id"), "h", F.when(F.col("length") > 0, 0).otherwise(F.col("pos")).alias("item_pos"), F.col("n").alias("item_windows"), F.col("slots").alias("item_slots"))
     pairs = found.select(F.col("id").alias("doc_id"), "h", "pos", "slots").join(F.broadcast(item) if n_items <= BROADCAST_ROWS else item, "h")
     # A slot is (its place in the item's windows, item's value, document's value); windows that overlap repeat it.
     pairs = pairs.withColumn("pair", F.explode_outer(F.when(F.size("slots") > 0, F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))))
@@ -187,7 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", cove
     runs = runs.withColumn("of", F.explode(F.array(F.struct(F.lit(False).alias("merged"), F.col("offset").alias("k")), F.struct(F.lit(True).alias("merged"), F.col("run").alias("k")))))
     runs = runs.groupBy(*item_key, "of", "pair").agg(F.flatten(F.collect_list("places")).alias("places"), F.min("begin").alias("begin"), F.min("offset").alias("offset"))
     offsets = runs.groupBy(*item_key, "of").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_windows"),
+        F.least(F.size(F.array_distinct(F.flatten(F.collect_list("places")))), "item_windows").alias("n_windows"),
         F.min("begin").alias("begin"),
         F.min("offset").alias("offset"),
         F.count("pair").alias("n_slots"),

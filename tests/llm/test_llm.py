@@ -410,3 +410,14 @@ def test_amounts_have_one_value_in_figures_and_words():
     want = {"five": "5", "twenty five": "25", "three hundred two kg": "302 kg", "two thousand one hundred": "2100", "12 million": "12 million", "hundred": "100"}
     assert {k: decontaminate.amount(k.split()) for k in want} == want
     assert decontaminate.canonical("Twenty-five,")[4] == "25" and decontaminate.canonical("(12%)")[4] == "12 percent" and decontaminate.canonical("12kg")[4] == "12 kg"
+
+
+def test_short_items_are_found_where_they_stand_whole(spark):
+    items = {1: "Convert 12 kg to grams", 2: "Anna Peter Clara Hugo Jon", 3: "Paris hosts seven old bridges over cold rivers", 4: "What is 7 + 12?", 5: "7 + 12 = 19", 6: "", 7: "Anna 1 Peter 2 Hugo 3 Clara 4 Jon 5 Lisa 6 Max 7"}
+    docs = {i: f"{prose(9)} and {t} {prose(9)}" for i, t in items.items()} | {20: f"{prose(9)} Convert 13 kg to grams", 21: f"{prose(9)} Anna Peter Clara Hugo", 22: "convert 12 kg"}
+    docs[8], docs[9] = f"See Lyon Paris hosts seven old bridges over cold rivers", items[2]
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(table, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (7, 7), (8, 3), (9, 2)}
+    assert all(r.n_windows == r.item_windows == 1 and r.consistency == 1.0 for r in got.values())
+    assert got[1, 1].begin == 10 and got[9, 2].begin == 0
