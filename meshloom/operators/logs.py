@@ -1,28 +1,42 @@
 """Solver logs and monitor files as text tables."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CRASH = r"(?i)floating point exception|foam fatal error|segmentation fault|nan detected"
+# The signs of a crash in a solver's log, and how it writes times and residuals. The start-up banner
+# "sigFpe : Floating point exception trapping - not supported" is no crash.
+CRASH = r"(?i)(Floating point exception \(core dumped\)|^#\d+\s+Foam::error::printStack|--> FOAM FATAL|^\s*nan\b)"
+TIME = r"^Time = ([-+]?[0-9.]+(?:[eE][-+]?\d+)?)"
+RESIDUAL = r"(?i)Solving for (\w+), Initial residual = ([^,\s]+)"
+
+
+def _number(text: str) -> Column:
+    """The text's number; NaN where it cannot be read."""
+    return F.coalesce(F.expr(f"try_cast({text} as double)"), F.lit(float("nan")))
 
 
 def residuals(lines: DataFrame) -> DataFrame:
-    """run_id, field, step, residual: the first initial residual of each field within a time step. Lines before
+    """run_id, field, step, it, residual: the first initial residual of each field within a time step, and the number after
+    the step's `Time =` (or the step, if that is no number), by which restarted logs are aligned with monitors. Lines before
     the first `Time =` are left out; a number that cannot be read is NaN. lines: run_id, line_no, line."""
     order = Window.partitionBy("run_id").orderBy("line_no")
-    d = lines.withColumn("is_time", F.col("line").rlike(r"^Time = ").cast("int"))
-    d = d.withColumns({"step": F.sum("is_time").over(order), "field": F.regexp_extract("line", r"Solving for (\w+), Initial residual = ([^,\s]+)", 1), "raw": F.regexp_extract("line", r"Solving for (\w+), Initial residual = ([^,\s]+)", 2)})
+    time, found = F.startswith("line", F.lit("Time = ")), F.regexp_extract("line", RESIDUAL, 1)
+    # Only lines of times and residuals go through the shuffle.
+    d = lines.withColumns({"field": found, "raw": F.regexp_extract("line", RESIDUAL, 2), "time": F.when(time, F.regexp_extract("line", TIME, 1))}).where(F.col("time").isNotNull() | (F.col("field") != ""))
+    d = d.select("run_id", "line_no", "field", "raw", "time").withColumns({"step": F.count("time").over(order), "time": F.last("time", True).over(order)})
     d = d.where((F.col("step") > 0) & (F.col("field") != ""))
-    first = d.groupBy("run_id", "field", "step").agg(F.min_by("raw", "line_no").alias("raw"))
-    return first.select("run_id", "field", F.col("step").cast("long").alias("step"), F.coalesce(F.expr("try_cast(raw as double)"), F.lit(float("nan"))).alias("residual"))
+    first = d.groupBy("run_id", "field", "step").agg(F.min_by(F.struct("raw", "time"), "line_no").alias("r")).select("run_id", "field", "step", "r.*")
+    return first.select("run_id", "field", "step", F.coalesce(F.expr("try_cast(time as double)"), F.col("step").cast("double")).alias("it"), _number("raw").alias("residual"))
 
 
 def summary(lines: DataFrame) -> DataFrame:
-    """run_id, converged, execution_time (the last), crashed."""
-    seconds = F.expr(r"try_cast(nullif(regexp_extract(line, 'ExecutionTime = ([0-9.eE+-]+) s', 1), '') as double)")
-    d = lines.withColumn("seconds", seconds)
-    return d.groupBy("run_id").agg(F.bool_or(F.col("line").contains("solution converged")).alias("converged"), F.max_by("seconds", F.when(F.col("seconds").isNotNull(), F.col("line_no"))).alias("execution_time"), F.bool_or(F.col("line").rlike(CRASH)).alias("crashed"))
+    """run_id, iterations, converged, execution_time (the last; NaN if there is none), crashed."""
+    d = lines.withColumn("raw", F.regexp_extract("line", r"ExecutionTime = ([0-9.]+) s", 1))
+    return d.groupBy("run_id").agg(
+        F.count_if(F.startswith("line", F.lit("Time = "))).alias("iterations"), F.bool_or(F.col("line").contains("solution converged")).alias("converged"),
+        F.max_by("raw", F.when(F.col("raw") != "", F.col("line_no"))).alias("raw"), F.bool_or(F.col("line").rlike(CRASH)).alias("crashed"),
+    ).select("run_id", "iterations", "converged", _number("raw").alias("execution_time"), "crashed")
 
 
 def diverged(res: DataFrame, last: int = 5, most: float = 1e3) -> DataFrame:
@@ -48,6 +62,19 @@ def forces(parsed: DataFrame) -> DataFrame:
     return parsed.select("run_id", "line_no", bad.alias("malformed"), *[F.when(~bad, F.get("numbers", F.lit(i))).alias(n) for i, n in enumerate(("it", "fx", "fy", "fz"))])
 
 
+def probes(parsed: DataFrame) -> DataFrame:
+    """run_id, line_no, malformed, it, speeds: the lengths of the vectors of monitor lines `it (ux uy uz) (ux uy uz) ...`. A
+    line is malformed if it holds anything but numbers, not a time and whole vectors, or another number of them than
+    the run's first line does."""
+    n = F.size("numbers")
+    bad = F.col("malformed") | (n < 4) | ((n - 1) % 3 != 0)
+    width = F.first(n).over(Window.partitionBy("run_id").orderBy("line_no"))
+    d = parsed.withColumn("malformed", bad | (n != width))
+    part = lambda k: F.get("numbers", k) * F.get("numbers", k)
+    speeds = F.transform(F.sequence(F.lit(1), n - 3, F.lit(3)), lambda k: F.sqrt(part(k) + part(k + 1) + part(k + 2)))
+    return d.select("run_id", "line_no", "malformed", *[F.when(~F.col("malformed"), x).alias(c) for c, x in (("it", F.get("numbers", F.lit(0))), ("speeds", speeds))])
+
+
 def last_records(records: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last record of each key, by `order`."""
     others = [c for c in records.columns if c not in keys]

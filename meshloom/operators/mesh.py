@@ -17,14 +17,17 @@ def cell_centres(centres: DataFrame, owner: DataFrame, neighbour: DataFrame) ->
     return sides.join(centres, ["case_id", "face_id"]).groupBy("case_id", "cell_id").agg(*[F.avg(c).alias(c) for c in "xyz"], F.count(F.lit(1)).alias("n_faces"))
 
 
-def footprint(faces: DataFrame, keys: list[str]) -> DataFrame:
-    """Area-weighted centroid and mean height of the faces that look up; ground faces count only if there are no
-    others, and plain areas weigh where nothing looks up. faces: cx, cy, cz, nz, area, is_ground."""
-    body = F.bool_or(~F.col("is_ground")).over(Window.partitionBy(*keys))
-    d = faces.withColumn("body", body).where(~F.col("body") | ~F.col("is_ground")).withColumn("w", F.greatest("nz", F.lit(0.0)) * F.col("area"))
-    sums = d.groupBy(*keys).agg(*[F.sum(F.col("w") * F.col(c)).alias(f"w_{c}") for c in ("cx", "cy", "cz")], F.sum("w").alias("w"), *[F.sum(F.col("area") * F.col(c)).alias(f"a_{c}") for c in ("cx", "cy", "cz")], F.sum("area").alias("a"))
+def footprint(faces: DataFrame, keys: list[str], ground: DataFrame | None = None) -> DataFrame:
+    """Area-weighted centroid of the faces that look up, on the ground, and their mean height above it; ground faces
+    count only if there are no others, and plain areas weigh where nothing looks up. The ground is that of `ground`
+    (keys, ground_z), else the mean of the ground faces, else the lowest of the counted faces. faces: cx, cy, cz, nz, area, is_ground."""
+    case = Window.partitionBy(*keys)
+    d = faces.withColumns({"body": F.bool_or(~F.col("is_ground")).over(case), "level": F.avg(F.when(F.col("is_ground"), F.col("cz"))).over(case)}).where(~F.col("body") | ~F.col("is_ground")).withColumn("w", F.greatest("nz", F.lit(0.0)) * F.col("area"))
+    sums = d.groupBy(*keys).agg(*[F.sum(F.col("w") * F.col(c)).alias(f"w_{c}") for c in ("cx", "cy", "cz")], F.sum("w").alias("w"), *[F.sum(F.col("area") * F.col(c)).alias(f"a_{c}") for c in ("cx", "cy", "cz")], F.sum("area").alias("a"), F.coalesce(F.first("level"), F.min("cz")).alias("level"))
+    sums = sums.join(ground.select(*keys, "ground_z"), keys, "left") if ground is not None else sums.withColumn("ground_z", F.lit(None).cast("double"))
+    z0 = F.coalesce("ground_z", "level")
     pick = lambda c: F.when(F.col("w") > 0, F.try_divide(F.col(f"w_{c}"), F.col("w"))).otherwise(F.try_divide(F.col(f"a_{c}"), F.col("a")))
-    return sums.select(*keys, pick("cx").alias("x"), pick("cy").alias("y"), pick("cz").alias("height"))
+    return sums.select(*keys, pick("cx").alias("x"), pick("cy").alias("y"), z0.alias("z"), (pick("cz") - z0).alias("height"))
 
 
 def orient(faces: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -36,11 +39,18 @@ def orient(faces: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return d, d.groupBy(*keys).agg(F.avg(F.col("flip").cast("double")).alias("flipped"))
 
 
-def building_height(voxels: DataFrame, keys: list[str], nz: int, dx: float) -> DataFrame:
-    """Mean height over the columns that are solid at the ground: the first fluid layer, or all layers.
-    voxels: ix, iy, iz, fluid."""
-    columns = voxels.groupBy(*keys, "ix", "iy").agg(F.bool_or((F.col("iz") == 0) & ~F.col("fluid")).alias("solid"), F.coalesce(F.min(F.when(F.col("fluid"), F.col("iz"))), F.lit(nz)).alias("top"))
-    return columns.where("solid").groupBy(*keys).agg((F.avg("top") * dx).alias("height"), F.count(F.lit(1)).alias("n_columns"), F.avg((F.col("ix") + 0.5) * dx).alias("x"), F.avg((F.col("iy") + 0.5) * dx).alias("y"))
+def building_height(voxels: DataFrame, keys: list[str], dx: float, nz: int | None = None) -> DataFrame:
+    """Mean height and centroid over the columns that are solid at the ground: the first fluid layer, or all layers of the
+    grid (nz, or as many as its highest voxel tells). NaN where no column is solid there. voxels: ix, iy, iz, fluid."""
+    columns = voxels.groupBy(*keys, "ix", "iy").agg(F.bool_or((F.col("iz") == 0) & ~F.col("fluid")).alias("solid"), F.min(F.when(F.col("fluid"), F.col("iz"))).alias("top"), F.max("iz").alias("last"))
+    solid = lambda x: F.when(F.col("solid"), x)
+    # The grid's layers are known after the sums: columns without fluid are counted and get the grid's height.
+    sums = columns.groupBy(*keys).agg(
+        (F.max("last") + 1 if nz is None else F.first(F.lit(nz))).alias("nz"), F.sum(solid(F.coalesce("top", F.lit(0)))).alias("tops"), F.count_if(F.col("solid") & F.col("top").isNull()).alias("whole"), F.count_if("solid").alias("n_columns"),
+        F.avg(solid(F.col("ix") + 0.5)).alias("x"), F.avg(solid(F.col("iy") + 0.5)).alias("y"))
+    nan = F.lit(float("nan"))
+    height = F.try_divide(F.col("tops") + F.col("whole") * F.col("nz"), F.col("n_columns")) * dx
+    return sums.select(*keys, F.coalesce(height, nan).alias("height"), "n_columns", *[F.coalesce(F.col(c) * dx, nan).alias(c) for c in ("x", "y")])
 
 
 def _slope(value: str, along: str, across: list[str], dx: float) -> F.Column:

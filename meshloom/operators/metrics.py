@@ -51,18 +51,26 @@ def nan_median(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
 
 def channel_stats(df: DataFrame, rotation_invariant: bool = True, common: bool = False) -> DataFrame:
-    """channel, mean, std (population, + 1e-6) in encoded space, present values only. rotation_invariant: one
-    scale and mean 0 for the horizontal velocity; common: for all three components."""
-    coded = [F.col(c) if c not in ("k", "eps") else encode(F.col(c)) for c in CHANNELS]
-    row = df.agg(*[F.avg(x).alias(f"m_{c}") for c, x in zip(CHANNELS, coded)], *[F.stddev_pop(x).alias(f"s_{c}") for c, x in zip(CHANNELS, coded)], *[F.avg(x * x).alias(f"q_{c}") for c, x in zip(CHANNELS, coded)])
-    mean = {c: F.col(f"m_{c}") for c in CHANNELS}
-    std = {c: F.col(f"s_{c}") for c in CHANNELS}
-    if rotation_invariant:
-        same = ("ux", "uy", "uz") if common else ("ux", "uy")
-        for c in same:
-            mean[c] = F.lit(0.0)
-            std[c] = F.sqrt(sum((F.col(f"q_{s}") for s in same), F.lit(0.0)) / len(same))
-    stats = [F.struct(F.lit(c).alias("channel"), F.coalesce(mean[c], F.lit(0.0)).alias("mean"), F.coalesce(std[c] + 1e-6, F.lit(1.0)).alias("std")) for c in CHANNELS]
+    """channel, mean, std (population, + 1e-6) in encoded space, present values only; 0 and 1 for a channel without any.
+    rotation_invariant: mean 0 and the horizontal root mean square for ux and uy, and with `common` for uz too. `common`
+    alone: mean 0 and the root mean square of all three. Statistics that are not finite and positive raise an error."""
+    coded = [F.col(c) if c not in ("k", "eps") else F.when(F.col(c).isNotNull(), encode(F.col(c))) for c in CHANNELS]
+    row = df.agg(*[F.avg(x).alias(f"m_{c}") for c, x in zip(CHANNELS, coded)], *[F.stddev_pop(x).alias(f"s_{c}") for c, x in zip(CHANNELS, coded)],
+                 *[F.sum(x * x).alias(f"q_{c}") for c, x in zip(CHANNELS, coded)], *[F.count(x).alias(f"n_{c}") for c, x in zip(CHANNELS, coded)])
+    mean = {c: F.coalesce(F.col(f"m_{c}"), F.lit(0.0)) for c in CHANNELS}
+    std = {c: F.coalesce(F.col(f"s_{c}") + 1e-6, F.lit(1.0)) for c in CHANNELS}
+    if rotation_invariant or common:
+        measured = ("ux", "uy") if rotation_invariant else ("ux", "uy", "uz")
+        there = F.least(*[F.col(f"n_{c}") for c in measured]) > 0
+        if rotation_invariant:  # each component counts alike; without the turn all values do
+            scale = F.sqrt(sum((F.try_divide(F.col(f"q_{c}"), F.col(f"n_{c}")) for c in measured), F.lit(0.0)) / len(measured))
+        else:
+            scale = F.sqrt(F.try_divide(sum((F.col(f"q_{c}") for c in measured), F.lit(0.0)), sum((F.col(f"n_{c}") for c in measured), F.lit(0))))
+        for c in ("ux", "uy", "uz") if common else ("ux", "uy"):
+            mean[c], std[c] = F.when(there, 0.0).otherwise(mean[c]), F.when(there, scale).otherwise(std[c])
+    good = lambda c: finite(mean[c]) & finite(std[c]) & (std[c] > 0)
+    checked = {c: F.when(good(c), std[c]).otherwise(F.raise_error(F.lit(f"statistics of {c} are not finite and positive")).cast("double")) for c in CHANNELS}
+    stats = [F.struct(F.lit(c).alias("channel"), mean[c].alias("mean"), checked[c].alias("std")) for c in CHANNELS]
     return row.select(F.explode(F.array(*stats)).alias("s")).select("s.*")
 
 
@@ -98,7 +106,7 @@ def case_targets(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def case_features(df: DataFrame, keys: list[str]) -> DataFrame:
-    near = F.col("wall_dist") < 0.25
+    near = F.col("wall_dist") < 0.1
     body = F.when(near & (F.col("z") > 0.05), F.col("z"))
     return df.groupBy(*keys).agg(
         F.avg(near.cast("double")).alias("near_share"), F.coalesce(F.avg(body), F.lit(0.0)).alias("mean_z"), F.coalesce(F.stddev_pop(body), F.lit(0.0)).alias("std_z"), F.coalesce(F.percentile(body, 0.9), F.lit(0.0)).alias("q90_z"),

@@ -20,29 +20,35 @@ def convergence(series: DataFrame, residuals: list[str], quantities: list[str],
     quantity stays within rel of its value for the next `window` iterations, all of them there without a gap.
 
     Status: invalid for a missing or repeated series entry, a value that is not finite, no common iteration, or a
-    gap behind a candidate when none succeeds; else converged or not_converged.
+    gap behind a candidate when none succeeds; else converged or not_converged. The iteration is counted from the first
+    one that the first residual has, in its median steps.
     """
     names = [*residuals, *quantities]
-    s = series.where(F.col("name").isin(names)).withColumn("it", F.round("it", 9))
-    health = s.groupBy("run_id", "name", "it").agg(F.count(F.lit(1)).alias("c"), F.bool_and(finite(F.col("value"))).alias("ok"), F.max("value").alias("value"))
-    runs = series.select("run_id").distinct()
-    bad = health.groupBy("run_id").agg((F.bool_or((F.col("c") > 1) | ~F.col("ok")) | (F.count_distinct("name") < len(names))).alias("bad"))
-    wide = health.groupBy("run_id", "it").agg(F.count(F.lit(1)).alias("n"), *[F.max(F.when(F.col("name") == n, F.col("value"))).alias(f"v_{i}") for i, n in enumerate(names)]).where(F.col("n") == len(names))
-    order = Window.partitionBy("run_id").orderBy("it")
-    steps = s.where(F.col("name") == residuals[0]).select("run_id", (F.lead("it").over(order) - F.col("it")).alias("d")).groupBy("run_id").agg(F.percentile("d", 0.5).alias("step"))
+    own = [F.when(F.col("name") == n, F.col("value")) for n in names]
+    # One shuffle by run; the grouping and all windows below keep its partitioning.
+    d = series.select("run_id", "name", F.round("it", 9).alias("it"), "value").repartition("run_id").groupBy("run_id", "it").agg(
+        F.bool_and(F.when(F.col("name").isin(names), finite(F.col("value")))).alias("ok"),
+        *[F.count_if(F.col("name") == n).alias(f"c_{i}") for i, n in enumerate(names)], *[F.max(x).alias(f"v_{i}") for i, x in enumerate(own)])
+    here = reduce(lambda a, b: a & b, [F.col(f"c_{i}") > 0 for i in range(len(names))])
+    d = d.withColumns({"here": here, "led": F.col("c_0") > 0})
+    lead = Window.partitionBy("run_id", "led").orderBy("it")
+    d = d.withColumn("d", F.when(F.col("led"), F.lead("it").over(lead) - F.col("it")))
+    run = Window.partitionBy("run_id")
+    d = d.withColumns({"step": F.coalesce(F.percentile("d", 0.5).over(run), F.lit(1.0)), "start": F.min(F.when(F.col("led"), F.col("it"))).over(run)})
+    order = Window.partitionBy("run_id", "here").orderBy("it")
     ahead = order.rowsBetween(Window.currentRow, window)
     small = reduce(lambda a, b: a & b, [F.col(f"v_{i}") <= tol for i in range(len(residuals))])
     still = reduce(lambda a, b: a & b, [F.greatest(F.max(f"v_{i}").over(ahead) - F.col(f"v_{i}"), F.col(f"v_{i}") - F.min(f"v_{i}").over(ahead)) <= rel * F.greatest(F.abs(F.col(f"v_{i}")), F.lit(1e-30)) for i in range(len(residuals), len(names))], F.lit(True))
-    gap = F.col("span") - window * F.col("step")
-    rows = wide.withColumns({"span": F.lead("it", window).over(order) - F.col("it") if window else F.lit(0.0), "small": small, "still": still, "first": F.first("it").over(order)}).join(steps, "run_id", "left")
-    rows = rows.withColumns({"whole": F.col("span").isNotNull(), "even": F.abs(gap) <= 1e-8 + 1e-5 * F.abs(window * F.col("step")) if window else F.lit(True)})
-    found = rows.groupBy("run_id").agg(
-        F.min(F.when(F.col("whole") & F.col("small") & F.col("even") & F.col("still"), F.col("it"))).alias("hit"),
-        F.bool_or(F.col("whole") & F.col("small") & ~F.col("even")).alias("blocked"), F.first("step").alias("step"), F.min("it").alias("first"))
-    out = runs.join(bad, "run_id", "left").join(found, "run_id", "left")
-    invalid = F.coalesce("bad", F.lit(True)) | F.col("first").isNull() | (F.col("hit").isNull() & F.coalesce("blocked", F.lit(False)))
+    d = d.withColumns({"span": F.lead("it", window).over(order) - F.col("it") if window else F.lit(0.0), "still": still})
+    even = F.abs(F.col("span") - window * F.col("step")) <= 1e-8 + 1e-5 * F.abs(window * F.col("step")) if window else F.lit(True)
+    candidate = F.col("here") & small & F.col("span").isNotNull()
+    bad = reduce(lambda a, b: a | b, [F.max(f"c_{i}") > 1 for i in range(len(names))] + [F.sum(f"c_{i}") == 0 for i in range(len(names))], F.bool_or(~F.col("ok")))
+    out = d.groupBy("run_id").agg(
+        F.coalesce(bad, F.lit(True)).alias("bad"), F.bool_or("here").alias("aligned"), F.first("step").alias("step"), F.first("start").alias("start"),
+        F.min(F.when(candidate & even & F.col("still"), F.col("it"))).alias("hit"), F.bool_or(candidate & ~even).alias("blocked"))
+    invalid = F.col("bad") | ~F.col("aligned") | (F.col("hit").isNull() & F.col("blocked"))
     status = F.when(invalid, "invalid").when(F.col("hit").isNotNull(), "converged").otherwise("not_converged")
-    number = F.bround((F.col("hit") - F.col("first")) / F.coalesce("step", F.lit(1.0)), 0).cast("long") + 1
+    number = F.bround((F.col("hit") - F.col("start")) / F.col("step"), 0).cast("long") + 1
     return out.select("run_id", status.alias("status"), F.when(status == "converged", number).alias("iteration"))
 
 
@@ -60,3 +66,19 @@ def safety(series: DataFrame, settle: int, blowup: float, probe: int, ratio: flo
     reason = (F.when(F.size("r") < 2, "too_short").when(F.exists("r", lambda x: ~finite(x)), "not_finite")
               .when(F.exists(tail, lambda x: x >= blowup), "blowup").when((at <= ratio * F.col("r")[0]) | (at <= accept_below), "accepted").otherwise("no_progress"))
     return a.select("run_id", (reason == "accepted").alias("accepted"), reason.alias("reason"))
+
+
+def safety_all(series: DataFrame, field: str, diverged: DataFrame, settle: int, blowup: float, probe: int, ratio: float, accept_below: float, reference: DataFrame | None = None) -> DataFrame:
+    """run_id, accepted, reason, from the residuals of all fields (run_id, name, it, value): rejected when the run diverged,
+    when `field` has fewer than two, or when any field has one that is not finite or one after its first `settle` that
+    reaches blowup. Else the field's residual at `probe` decides: against the run's reference residual (run_id,
+    reference) where there is one, else against the field's first and against accept_below."""
+    a = series.groupBy("run_id", "name").agg(F.transform(F.sort_array(F.collect_list(F.struct("it", "value"))), lambda x: x["value"]).alias("r"))
+    bad = F.exists("r", lambda x: ~finite(x)) | F.exists(F.filter("r", lambda x, i: i >= settle), lambda x: x >= blowup)
+    runs = a.groupBy("run_id").agg(F.bool_or(bad).alias("bad"), F.max(F.when(F.col("name") == field, F.col("r"))).alias("r"))
+    runs = runs.join(diverged.select("run_id", "diverged"), "run_id", "left")
+    runs = runs.join(reference.select("run_id", "reference"), "run_id", "left") if reference is not None else runs.withColumn("reference", F.lit(None).cast("double"))
+    at = F.element_at("r", F.least(F.lit(probe), F.size("r")))
+    good = F.when(F.col("reference").isNotNull(), at <= F.col("reference")).otherwise((at <= ratio * F.col("r")[0]) | (at <= accept_below))
+    reason = (F.when(F.coalesce("diverged", F.lit(False)), "diverged").when(F.col("r").isNull() | (F.size("r") < 2), "too_short").when(F.col("bad"), "blowup").when(good, "accepted").otherwise("no_progress"))
+    return runs.select("run_id", (reason == "accepted").alias("accepted"), reason.alias("reason"))

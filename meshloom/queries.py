@@ -53,21 +53,24 @@ def _case(x: str, *groups: str) -> str:
 RES, QUA = ["click", "view"], ["purchase", "signup"]
 
 
-def _converge_sql(quantities: list[str], window: int, tol: float, rel: float) -> str:
+def _converge_sql(quantities: list[str], window: int, tol: float, rel: float, which: str = "true") -> str:
     names = RES + quantities
     pivot = ", ".join(f"max(value) filter (where name = '{n}') as v{i}" for i, n in enumerate(names))
     still = " and ".join([f"greatest(max(v{i}) over a - v{i}, v{i} - min(v{i}) over a) <= {rel} * greatest(abs(v{i}), 1e-30)" for i in range(2, len(names))]) or "true"
     span = f"lead(it, {window}) over o - it" if window else "0.0"
     inlist = ", ".join(f"'{n}'" for n in names)
-    return sql(f""", s as (select run_id, name, it, value from series where name in ({inlist})),
+    return sql(f""", s as (select run_id, name, it, value from series where name in ({inlist}) and ({which})),
   w as (select run_id, it, {pivot} from s group by all having count(distinct name) = {len(names)}),
-  f as (select *, {span} as span, (v0 <= {tol} and v1 <= {tol}) as small, ({still}) as still, min(it) over (partition by run_id) as first
-    from w window o as (partition by run_id order by it), a as (partition by run_id order by it rows between current row and {window} following)),
-  g as (select run_id, min(first) as first, min(it) filter (where span is not null and small and still and abs(span - {window}) < 1e-4) as hit from f group by run_id),
-  n as (select run_id, count(distinct name) as k from s group by run_id)
-select r.run_id, case when coalesce(k, 0) < {len(names)} or first is null then 'invalid' when hit is not null then 'converged' else 'not_converged' end as status,
-  case when coalesce(k, 0) >= {len(names)} and hit is not null then cast(round_even(hit - first, 0) as bigint) + 1 end as iteration
-from (select distinct run_id from series) r left join n using (run_id) left join g using (run_id)""", "series")
+  l as (select run_id, it, lead(it) over (partition by run_id order by it) - it as d from s where name = '{RES[0]}'),
+  t as (select run_id, min(it) as start, coalesce(quantile_cont(d, 0.5), 1) as step from l group by run_id),
+  f as (select *, {span} as span, (v0 <= {tol} and v1 <= {tol}) as small, ({still}) as still
+    from w join t using (run_id) window o as (partition by run_id order by it), a as (partition by run_id order by it rows between current row and {window} following)),
+  e as (select *, span is not null and small as candidate, abs(span - {window} * step) <= 1e-8 + 1e-5 * {window} * step as even from f),
+  g as (select run_id, any_value(start) as start, any_value(step) as step, min(it) filter (where candidate and even and still) as hit, coalesce(bool_or(candidate and not even), false) as blocked from e group by run_id),
+  n as (select run_id, count(distinct name) as k from s group by run_id),
+  v as (select run_id, coalesce(k, 0) < {len(names)} or start is null or (hit is null and blocked) as invalid, hit, start, step from (select distinct run_id from series) r left join n using (run_id) left join g using (run_id))
+select run_id, case when invalid then 'invalid' when hit is not null then 'converged' else 'not_converged' end as status,
+  case when not invalid and hit is not null then cast(round_even((hit - start) / step, 0) as bigint) + 1 end as iteration from v""", "series")
 
 
 @query("convergence_first_iteration", _converge_sql(QUA, 1, 60.0, 0.9))
@@ -75,6 +78,17 @@ def _(s, d):
     return series.convergence(views.series(s, d), RES, QUA, 60.0, 1, 0.9)
 
 
+_LATE = "name in ('click', 'view') or (it >= 3 and it <> 6)"
+
+
+@query("convergence_late_monitors", _converge_sql(QUA, 2, 120.0, 3.0, _LATE))
+def _(s, d):
+    """The monitors begin at the third iteration and miss one; the residuals do not."""
+    x = views.series(s, d)
+    out = series.convergence(x.where(_LATE), RES, QUA, 120.0, 2, 3.0)
+    return x.select("run_id").distinct().join(out, "run_id", "left").select("run_id", F.coalesce("status", F.lit("invalid")).alias("status"), "iteration")
+
+
 @query("residual_only_iteration", _converge_sql([], 0, 20.0, 0.0))
 def _(s, d):
     return series.convergence(views.series(s, d), RES, [], 20.0, 0, 0.0)
@@ -108,14 +122,44 @@ def _(s, d):
     return series.safety(views.series(s, d).where("name = 'click'"), 5, 200.0, 10, 0.5, 15.0)
 
 
+_SAFE = """, f as (select run_id, name, list(value order by it) as r from series group by all),
+  b as (select run_id, bool_or(len(list_filter(r[4:], lambda x: x >= 380)) > 0) as bad, max(r) filter (where name = 'click') as r, run_id % 13 = 0 as diverged, case when run_id % 3 = 0 then 20.0 end as reference from f group by run_id),
+  c as (select *, case when diverged then 'diverged' when r is null or len(r) < 2 then 'too_short' when bad then 'blowup'
+    when case when reference is not null then r[least(10, len(r))] <= reference else r[least(10, len(r))] <= 0.5 * r[1] or r[least(10, len(r))] <= 15 end then 'accepted' else 'no_progress' end as reason from b)
+select run_id, reason = 'accepted' as accepted, reason from c"""
+
+
+@query("safety_all_fields", sql(_SAFE, "series"))
+def _(s, d):
+    x = views.series(s, d)
+    runs = x.select("run_id").distinct()
+    reference = runs.where("run_id % 3 = 0").withColumn("reference", F.lit(20.0))
+    return series.safety_all(x, "click", runs.withColumn("diverged", F.col("run_id") % 13 == 0), 3, 380.0, 10, 0.5, 15.0, reference)
+
+
 # --- logs --------------------------------------------------------------------------------------------------------
-@query("log_parse_residuals", sql(r""", a as (select *, sum(case when line like 'Time = %' then 1 else 0 end) over (partition by run_id order by line_no) as step,
-  regexp_extract(line, 'Solving for (\w+), Initial residual = ([^,\s]+)', 1) as field, regexp_extract(line, 'Solving for (\w+), Initial residual = ([^,\s]+)', 2) as raw from lines)
-select run_id, field, cast(step as bigint) as step, round(cast(arg_min(raw, line_no) as double), 6) + 0.0 as residual from a where step > 0 and field <> '' group by all""", "lines"))
+@query("log_parse_residuals", sql(r""", a as (select *, sum(case when line like 'Time = %' then 1 else 0 end) over o as step, last_value(case when line like 'Time = %' then line end ignore nulls) over o as time,
+  regexp_extract(line, 'Solving for (\w+), Initial residual = ([^,\s]+)', 1) as field, regexp_extract(line, 'Solving for (\w+), Initial residual = ([^,\s]+)', 2) as raw from lines window o as (partition by run_id order by line_no))
+select run_id, field, cast(step as bigint) as step, cast(substr(any_value(time), 8) as double) as it, round(cast(arg_min(raw, line_no) as double), 6) + 0.0 as residual from a where step > 0 and field <> '' group by run_id, field, step""", "lines"))
 def _(s, d):
     return logs.residuals(views.log_lines(s, d))
 
 
+# Logs that begin with the banner about floating point exceptions; some runs crash, by each of the four signs.
+_LOG = """select run_id, line_no, line from {t}
+union all select run_id, -1 as line_no, 'sigFpe : Floating point exception trapping - not supported on this platform' as line from (select distinct run_id from {t}) a
+union all select run_id, line_no + 1000000000 as line_no, case run_id % 8 when 0 then 'Floating point exception (core dumped)' when 1 then '#0  Foam::error::printStack(Foam::Ostream&)' when 2 then '--> FOAM FATAL ERROR: (openfoam)'
+  when 3 then '  nan residual' when 4 then 'SIMPLE solution converged in 12 iterations' when 5 then concat('ExecutionTime = ', cast(line_no as {s}), '.25 s  ClockTime = 3 s') when 6 then 'a banana' else 'End' end as line from {t} where line like 'Time = %'"""
+
+
+@query("log_summary", sql(", l as (" + _LOG.format(t="lines", s="varchar") + r""") select run_id, count(*) filter (where line like 'Time = %') as iterations, bool_or(line like '%solution converged%') as converged,
+  coalesce(arg_max(cast(nullif(regexp_extract(line, 'ExecutionTime = ([0-9.]+) s', 1), '') as double), case when line like 'ExecutionTime%' then line_no end), 'nan'::double) as execution_time,
+  bool_or(line like '%Floating point exception (core dumped)%' or regexp_matches(line, '^#[0-9]+ +Foam::error::printStack') or line like '%--> FOAM FATAL%' or regexp_matches(line, '^ *nan([^a-z]|$)')) as crashed from l group by 1""", "lines"))
+def _(s, d):
+    views.log_lines(s, d).createOrReplaceTempView("meshloom_lines")
+    return logs.summary(s.sql(_LOG.format(t="meshloom_lines", s="string")))
+
+
 _MONITOR = "select run_id, event_id as line_no, case when event_id % 17 = 0 then concat('# comment ', cast(event_id as {s})) when event_id % 13 = 0 then concat(cast(it as {s}), ' (1.5 x 2)') when event_id % 19 = 0 then concat(cast(it as {s}), ' 1') else concat(cast(cast(it as bigint) as {s}), ' (', cast(cast(round(value * 100) as bigint) as {s}), ' -2 nan) (1 2 3)') end as line from {t}"
 
 
@@ -128,6 +172,19 @@ def _(s, d):
     return logs.forces(logs.numbers(s.sql(_MONITOR.format(s="string", t="meshloom_series")))).drop("fz")
 
 
+_PROBES = "select run_id, event_id as line_no, case when event_id % 29 = 0 then concat(cast(it as {s}), ' (1 2)') when event_id % 23 = 0 then concat(cast(it as {s}), ' (1 2 2) (3 4 x)') when event_id % 31 = 0 then concat(cast(it as {s}), ' (1 2 2)') else concat(cast(cast(it as bigint) as {s}), ' (', cast(cast(round(value * 100) as bigint) as {s}), ' -2 1) (3 4 0)') end as line from {t}"
+
+
+@query("probe_monitors", sql(f""", m as ({_PROBES.format(s='varchar', t='series')}),
+  p as (select run_id, line_no, list_transform(list_filter(string_split_regex(regexp_replace(line, '[()]', ' ', 'g'), '\\s+'), lambda x: x <> ''), lambda x: try_cast(x as double)) as v from m),
+  b as (select *, len(list_filter(v, lambda x: x is null)) > 0 or len(v) < 4 or (len(v) - 1) % 3 <> 0 or len(v) <> first_value(len(v)) over (partition by run_id order by line_no) as bad from p)
+select run_id, line_no, bad as malformed, case when not bad then v[1] end as it, case when not bad then round(sqrt(v[2] ** 2 + v[3] ** 2 + v[4] ** 2), 6) end as first_speed, case when not bad then len(v) // 3 end as n_probes from b""", "series"))
+def _(s, d):
+    views.series(s, d).createOrReplaceTempView("meshloom_series")
+    p = logs.probes(logs.numbers(s.sql(_PROBES.format(s="string", t="meshloom_series"))))
+    return p.select("run_id", "line_no", "malformed", "it", F.get("speeds", F.lit(0)).alias("first_speed"), F.when(~F.col("malformed"), F.size("speeds").cast("long")).alias("n_probes"))
+
+
 @query("log_last_record_per_step", """select user_id, event_type, arg_max(event_id, event_id) as event_id, round(arg_max(value, event_id), 6) + 0.0 as value from events group by all""")
 def _(s, d):
     return logs.last_records(views.table(s, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
@@ -170,21 +227,30 @@ def _(s, d):
 _ENC = {c: (f"ln(1 + greatest({c}, 0) / 0.001)" if c in ("k", "eps") else c) for c in ("ux", "uy", "uz", "cp", "k", "eps")}
 
 
-def _stats_sql(invariant: tuple[str, ...]) -> str:
-    std = {c: f"stddev_pop({e})" for c, e in _ENC.items()} | ({c: "sqrt((" + " + ".join(f"avg({s} * {s})" for s in invariant) + f") / {len(invariant)})" for c in invariant})
-    return sql(" union all ".join(f"select '{c}' as channel, {r(('0.0' if c in invariant else f'avg({e})') + ' as mean', std[c] + ' + 1e-6 as std')} from points" for c, e in _ENC.items()), "points")
+def _stats_sql(scale: str, scaled: tuple[str, ...]) -> str:
+    """The components in `scaled` have mean 0 and the given scale, the others their own moments."""
+    own = {c: (f"avg({e})", f"stddev_pop({e}) + 1e-6") for c, e in _ENC.items()} | {c: ("0.0", scale) for c in scaled}
+    return sql(" union all ".join(f"select '{c}' as channel, {r(f'{m} as mean', f'{v} as std')} from points" for c, (m, v) in own.items()), "points")
+
 
+_HORIZONTAL = "sqrt(0.5 * (avg(ux * ux) + avg(uy * uy)))"
 
-@query("channel_stats", _stats_sql(("ux", "uy")))
+
+@query("channel_stats", _stats_sql(_HORIZONTAL, ("ux", "uy")))
 def _(s, d):
     return metrics.channel_stats(views.points(s, d))
 
 
-@query("channel_stats_common", _stats_sql(("ux", "uy", "uz")))
+@query("channel_stats_common", _stats_sql(_HORIZONTAL, ("ux", "uy", "uz")))
 def _(s, d):
     return metrics.channel_stats(views.points(s, d), common=True)
 
 
+@query("channel_stats_common_scale", _stats_sql("sqrt((sum(ux * ux) + sum(uy * uy) + sum(uz * uz)) / (3 * count(*)))", ("ux", "uy", "uz")))
+def _(s, d):
+    return metrics.channel_stats(views.points(s, d), rotation_invariant=False, common=True)
+
+
 @query("clipped_fraction", sql(f"select case_id, {r('count(*) filter (where uz - 0.1 < 0) / count(*) as clipped_k', 'count(*) filter (where cp < 0) / count(*) as clipped_eps')}, cast(count(*) filter (where ux > 0.2) as bigint) as not_finite from points group by case_id", "points"))
 def _(s, d):
     x = views.points(s, d).withColumns({"k": F.col("uz") - 0.1, "eps": F.col("cp")}).withColumn("ux", F.when(F.col("ux") > 0.2, F.lit(float("nan"))).otherwise(F.col("ux")))
@@ -209,7 +275,7 @@ def _(s, d):
     return metrics.case_targets(views.points(s, d), ["case_id"])
 
 
-@query("geometry_features_case", sql(f"""select case_id, {r("avg(case when wall_dist < 0.25 then 1.0 else 0.0 end) as near_share", "coalesce(avg(z) filter (where wall_dist < 0.25 and z > 0.05), 0) as mean_z", "coalesce(stddev_pop(z) filter (where wall_dist < 0.25 and z > 0.05), 0) as std_z", "coalesce(quantile_cont(z, 0.9) filter (where wall_dist < 0.25 and z > 0.05), 0) as q90_z", "max(x) - min(x) as extent_x", "max(y) - min(y) as extent_y", "ln(count(*)) as log_n")} from points group by case_id""", "points"))
+@query("geometry_features_case", sql(f"""select case_id, {r("avg(case when wall_dist < 0.1 then 1.0 else 0.0 end) as near_share", "coalesce(avg(z) filter (where wall_dist < 0.1 and z > 0.05), 0) as mean_z", "coalesce(stddev_pop(z) filter (where wall_dist < 0.1 and z > 0.05), 0) as std_z", "coalesce(quantile_cont(z, 0.9) filter (where wall_dist < 0.1 and z > 0.05), 0) as q90_z", "max(x) - min(x) as extent_x", "max(y) - min(y) as extent_y", "ln(count(*)) as log_n")} from points group by case_id""", "points"))
 def _(s, d):
     return metrics.case_features(views.points(s, d), ["case_id"])
 
@@ -532,41 +598,55 @@ def _(s, d):
 
 
 # --- meshes ------------------------------------------------------------------------------------------------------
-@query("footprint_stats", sql(""", f as (select case_id, x, y, z, nz, cell_size as area, wall_dist < 0.2 as g from points), k as (select * from f where not g or case_id not in (select case_id from f where not g)),
-  s as (select case_id, sum(greatest(nz, 0) * area) as w, sum(greatest(nz, 0) * area * x) as wx, sum(greatest(nz, 0) * area * y) as wy, sum(greatest(nz, 0) * area * z) as wz from k group by 1)
-select case_id, """ + r("wx / w as x", "wy / w as y", "wz / w as height") + " from s", "points"))
+@query("footprint_stats", sql(""", f as (select case_id, x, y, z, nz, cell_size as area, wall_dist < 0.2 as g, case when case_id % 2 = 0 then -0.05 end as ground from points), k as (select * from f where not g or case_id not in (select case_id from f where not g)),
+  l as (select case_id, avg(z) filter (where g) as level from f group by 1),
+  s as (select case_id, coalesce(any_value(ground), any_value(level), min(z)) as z0, sum(greatest(nz, 0) * area) as w, sum(greatest(nz, 0) * area * x) as wx, sum(greatest(nz, 0) * area * y) as wy, sum(greatest(nz, 0) * area * z) as wz from k join l using (case_id) group by 1)
+select case_id, """ + r("wx / w as x", "wy / w as y", "z0 as z", "wz / w - z0 as height") + " from s", "points"))
 def _(s, d):
     f = views.points(s, d).select("case_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"), "nz", F.col("cell_size").alias("area"), (F.col("wall_dist") < 0.2).alias("is_ground"))
-    return mesh.footprint(f, ["case_id"])
+    return mesh.footprint(f, ["case_id"], f.where("case_id % 2 = 0").select("case_id", F.lit(-0.05).alias("ground_z")).distinct())
+
+
+_IN_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax"]
+_GRID_VALUES = "l_quantity / 50 as ux, l_discount * 10 as uy, l_tax * 10 as uz, l_quantity > 20 as fluid"
+_NUMBERED = f"(select *, row_number() over (partition by l_suppkey order by {', '.join(_IN_ORDER)}) - 1 as i from lineitem)"
+
+
+def _numbered(s, d):
+    return views.table(s, d, "lineitem").withColumn("i", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*_IN_ORDER)) - 1)
 
 
 def _grid(s, d):
-    """A 10 x 10 x 5 grid for each of several suppliers' first 500 lines."""
-    w = views.table(s, d, "lineitem").where("l_suppkey <= 8").withColumn("i", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax")) - 1)
-    return w.where("i < 500").select(F.col("l_suppkey").alias("case_id"), (F.col("i") % 10).alias("ix"), F.floor(F.col("i") / 10 % 10).cast("int").alias("iy"), F.floor(F.col("i") / 100).cast("int").alias("iz"), (F.col("l_quantity") / 50).alias("ux"), (F.col("l_discount") * 10).alias("uy"), (F.col("l_tax") * 10).alias("uz"), (F.col("l_quantity") > 20).alias("fluid"))
+    """A grid of 10 x 5 columns for each supplier, with as many layers as all its lines fill."""
+    at = lambda e: F.floor(e).cast("int")
+    return _numbered(s, d).select(F.col("l_suppkey").alias("case_id"), at(F.col("i") % 10).alias("ix"), at(F.col("i") / 10 % 5).alias("iy"), at(F.col("i") / 50).alias("iz"), *[F.expr(e) for e in _GRID_VALUES.split(", ")])
 
 
-_GRID = "g as (select l_suppkey as case_id, i % 10 as ix, i // 10 % 10 as iy, i // 100 as iz, l_quantity / 50 as ux, l_discount * 10 as uy, l_tax * 10 as uz, l_quantity > 20 as fluid from (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax) - 1 as i from lineitem where l_suppkey <= 8) where i < 500)"
+_GRID = f"g as (select l_suppkey as case_id, i % 10 as ix, i // 10 % 5 as iy, i // 50 as iz, {_GRID_VALUES} from {_NUMBERED})"
 
 
-@query("mean_building_height", f"with {_GRID}, c as (select case_id, ix, iy, bool_or(iz = 0 and not fluid) as solid, coalesce(min(iz) filter (where fluid), 5) as top from g group by all) select case_id, {r('avg(top) * 0.5 as height')}, count(*) as n_columns, {r('avg((ix + 0.5) * 0.5) as x', 'avg((iy + 0.5) * 0.5) as y')} from c where solid group by 1")
+@query("mean_building_height", f"""with {_GRID}, n as (select case_id, max(iz) + 1 as nz from g group by 1),
+  c as (select case_id, ix, iy, bool_or(iz = 0 and not fluid) as solid, min(iz) filter (where fluid) as top from g group by all)
+select case_id, {r("coalesce(avg(coalesce(top, nz)) filter (where solid) * 0.5, 'nan'::double) as height")}, count(*) filter (where solid) as n_columns,
+  {r("coalesce(avg((ix + 0.5) * 0.5) filter (where solid), 'nan'::double) as x", "coalesce(avg((iy + 0.5) * 0.5) filter (where solid), 'nan'::double) as y")} from c join n using (case_id) group by 1""")
 def _(s, d):
-    return mesh.building_height(_grid(s, d), ["case_id"], 5, 0.5)
+    return mesh.building_height(_grid(s, d), ["case_id"], 0.5)
 
 
 def _whole_grid(s, d):
     """All lines of all suppliers as 10 x 10 x 5 grids: a supplier's case has one part for every 500 lines."""
-    w = views.table(s, d, "lineitem").withColumn("i", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax")) - 1)
     at = lambda by, n: F.floor(F.col("i") / by % n).cast("int")
-    return w.select(F.col("l_suppkey").alias("case_id"), F.floor(F.col("i") / 500).cast("int").alias("part"), at(1, 10).alias("ix"), at(10, 10).alias("iy"), at(100, 5).alias("iz"), (F.col("l_quantity") / 50).alias("ux"), (F.col("l_discount") * 10).alias("uy"), (F.col("l_tax") * 10).alias("uz"), (F.col("l_quantity") > 20).alias("fluid"))
+    return _numbered(s, d).select(F.col("l_suppkey").alias("case_id"), F.floor(F.col("i") / 500).cast("int").alias("part"), at(1, 10).alias("ix"), at(10, 10).alias("iy"), at(100, 5).alias("iz"), *[F.expr(e) for e in _GRID_VALUES.split(", ")])
 
 
-_WHOLE_GRID = "g as (select l_suppkey as case_id, i // 500 as part, i % 10 as ix, i // 10 % 10 as iy, i // 100 % 5 as iz, l_quantity / 50 as ux, l_discount * 10 as uy, l_tax * 10 as uz, l_quantity > 20 as fluid from (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax) - 1 as i from lineitem))"
+_WHOLE_GRID = f"g as (select l_suppkey as case_id, i // 500 as part, i % 10 as ix, i // 10 % 10 as iy, i // 100 % 5 as iz, {_GRID_VALUES} from {_NUMBERED})"
 
 
-@query("mean_building_height_all", f"with {_WHOLE_GRID}, c as (select case_id, part, ix, iy, bool_or(iz = 0 and not fluid) as solid, coalesce(min(iz) filter (where fluid), 5) as top from g group by all) select case_id, cast(part as int) as part, {r('avg(top) * 0.5 as height')}, count(*) as n_columns, {r('avg((ix + 0.5) * 0.5) as x', 'avg((iy + 0.5) * 0.5) as y')} from c where solid group by case_id, part")
+@query("mean_building_height_all", f"""with {_WHOLE_GRID}, c as (select case_id, part, ix, iy, bool_or(iz = 0 and not fluid) as solid, coalesce(min(iz) filter (where fluid), 5) as top from g group by all)
+select case_id, cast(part as int) as part, {r("coalesce(avg(top) filter (where solid) * 0.5, 'nan'::double) as height")}, count(*) filter (where solid) as n_columns,
+  {r("coalesce(avg((ix + 0.5) * 0.5) filter (where solid), 'nan'::double) as x", "coalesce(avg((iy + 0.5) * 0.5) filter (where solid), 'nan'::double) as y")} from c group by case_id, part""")
 def _(s, d):
-    return mesh.building_height(_whole_grid(s, d), ["case_id", "part"], 5, 0.5)
+    return mesh.building_height(_whole_grid(s, d), ["case_id", "part"], 0.5, 5)
 
 
 def _slope_sql(u: str, by: str, others: str) -> str:
@@ -576,7 +656,7 @@ def _slope_sql(u: str, by: str, others: str) -> str:
 
 @query("vorticity", f"with {_GRID}, s as (select case_id, ix, iy, iz, {_slope_sql('uz', 'iy', 'ix, iz')} - {_slope_sql('uy', 'iz', 'ix, iy')} as a, {_slope_sql('ux', 'iz', 'ix, iy')} - {_slope_sql('uz', 'ix', 'iy, iz')} as b, {_slope_sql('uy', 'ix', 'iy, iz')} - {_slope_sql('ux', 'iy', 'ix, iz')} as c from g) select case_id, cast(ix as int) as ix, cast(iy as int) as iy, cast(iz as int) as iz, {r('sqrt(a * a + b * b + c * c) as vorticity')} from s")
 def _(s, d):
-    return mesh.vorticity(_grid(s, d), ["case_id"], 0.5).withColumn("ix", F.col("ix").cast("int"))
+    return mesh.vorticity(_grid(s, d), ["case_id"], 0.5)
 
 
 @query("vorticity_all", f"with {_WHOLE_GRID}, s as (select case_id, part, ix, iy, iz, {_slope_sql('uz', 'iy', 'part, ix, iz')} - {_slope_sql('uy', 'iz', 'part, ix, iy')} as a, {_slope_sql('ux', 'iz', 'part, ix, iy')} - {_slope_sql('uz', 'ix', 'part, iy, iz')} as b, {_slope_sql('uy', 'ix', 'part, iy, iz')} - {_slope_sql('ux', 'iy', 'part, ix, iz')} as c from g) select case_id, cast(part as int) as part, cast(ix as int) as ix, cast(iy as int) as iy, cast(iz as int) as iz, {r('sqrt(a * a + b * b + c * c) as vorticity')} from s")
@@ -739,7 +819,7 @@ def _(s, d):
 
 @query("voxel_points", f"with {_GRID}, n as (select a.case_id, a.ix, a.iy, a.iz, min(sqrt(((a.ix + 0.5) * 0.5 - (b.ix + 0.5) * 0.5) ** 2 + ((a.iy + 0.5) * 0.5 - (b.iy + 0.5) * 0.5) ** 2 + ((a.iz + 0.5) * 0.5 - (b.iz + 0.5) * 0.5) ** 2)) as d from g a left join g b on a.case_id = b.case_id and not b.fluid where a.fluid group by all) select case_id, cast(ix as int) as ix, cast(iy as int) as iy, cast(iz as int) as iz, {r('(ix + 0.5) * 0.5 / 2 as x', '(iy + 0.5) * 0.5 / 2 as y', '(iz + 0.5) * 0.5 / 2 as z')}, {r('greatest(least(d, (iz + 0.5) * 0.5 + 0.25) - 0.25, 0) / 2 as wall_dist')} from n")
 def _(s, d):
-    return etl.voxels_to_points(_grid(s, d).withColumn("ix", F.col("ix").cast("int")), ["case_id"], 0.5, 2.0)
+    return etl.voxels_to_points(_grid(s, d), ["case_id"], 0.5, 2.0)
 
 
 @query("voxel_points_all", f"with {_WHOLE_GRID}, n as (select a.case_id, a.part, a.ix, a.iy, a.iz, min(sqrt(((a.ix + 0.5) * 0.5 - (b.ix + 0.5) * 0.5) ** 2 + ((a.iy + 0.5) * 0.5 - (b.iy + 0.5) * 0.5) ** 2 + ((a.iz + 0.5) * 0.5 - (b.iz + 0.5) * 0.5) ** 2)) as d from g a left join g b on a.case_id = b.case_id and a.part = b.part and not b.fluid where a.fluid group by all) select case_id, cast(part as int) as part, cast(ix as int) as ix, cast(iy as int) as iy, cast(iz as int) as iz, {r('(ix + 0.5) * 0.5 / 2 as x', '(iy + 0.5) * 0.5 / 2 as y', '(iz + 0.5) * 0.5 / 2 as z')}, {r('greatest(least(d, (iz + 0.5) * 0.5 + 0.25) - 0.25, 0) / 2 as wall_dist')} from n")

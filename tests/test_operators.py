@@ -198,3 +198,70 @@ def test_ridge_finds_a_linear_law_and_no_noise(spark):
     noise = pd.DataFrame(rng.normal(size=(60, 3)), columns=list("abc")).assign(g=1, y=rng.normal(size=60))
     got = {r.g: r.r2 for r in retrieval.ridge_loo(spark.createDataFrame(pd.concat([good, noise])), ["g"], list("abc"), "y", (1e-3, 1.0, 1e3)).collect()}
     assert got[0] > 0.95 and got[1] < 0.2
+
+
+# --- hand-worked cases of what the operators are defined by ------------------------------------------------------
+BANNER = "sigFpe : Floating point exception trapping - not supported on this platform"
+
+
+def test_crash_signs_and_the_banner_that_is_none(spark):
+    logs_of = {1: [BANNER, "Time = 1"], 2: [BANNER, "Floating point exception (core dumped)"], 3: ["#0  Foam::error::printStack(Foam::Ostream&) at ??:?"], 4: ["--> FOAM FATAL ERROR:"], 5: ["  nan"], 6: ["nanobot", "x nan"], 7: ["segmentation fault"]}
+    lines = spark.createDataFrame([(r, i, t) for r, ts in logs_of.items() for i, t in enumerate(ts)], "run_id int, line_no int, line string")
+    got = {r.run_id: r for r in logs.summary(lines).collect()}
+    assert {k for k, r in got.items() if r.crashed} == {2, 3, 4, 5}
+    assert got[1].iterations == 1 and math.isnan(got[1].execution_time)
+
+
+def test_residuals_keep_the_time_that_aligns_restarts(spark):
+    text = ["Time = 250", "Solving for p, Initial residual = 0.1, Final", "Time = abc", "Solving for p, Initial residual = 0.2, Final", "Time = 2.5e2s", "Solving for p, Initial residual = nan, Final"]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "run_id int, line_no int, line string")
+    assert [(r.step, r.it) for r in logs.residuals(lines).orderBy("step").collect()] == [(1, 250.0), (2, 2.0), (3, 250.0)]
+
+
+def test_iterations_count_from_the_first_residual(spark):
+    """Residuals from 1, the monitor from 5, criterion met at 8: the eighth iteration."""
+    rows = [line(1, "p", i, 1.0 if i < 8 else 1e-6) for i in range(1, 13)] + [line(1, "drag", i, 2.0) for i in range(5, 13)]
+    rows += [line(2, "p", 10 * i, 1e-6) for i in range(3, 9)] + [line(2, "drag", 10 * i, 2.0) for i in range(4, 9)]
+    s = spark.createDataFrame(rows, "run_id int, name string, it double, value double")
+    assert {r.run_id: (r.status, r.iteration) for r in series.convergence(s, ["p"], ["drag"], 1e-3, 2, 0.01).collect()} == {1: ("converged", 8), 2: ("converged", 2)}
+
+
+def test_channel_scales(spark):
+    p = spark.createDataFrame([(3.0, 4.0, 12.0, 1.0, None, 0.0)] * 2, "ux double, uy double, uz double, cp double, k double, eps double")
+    one = lambda **how: {r.channel: (r.mean, r.std) for r in metrics.channel_stats(p, **how).collect()}
+    rms = math.sqrt(12.5)
+    assert one()["ux"] == one()["uy"] == (0.0, pytest.approx(rms, abs=1e-12)) and one()["uz"] == (12.0, pytest.approx(1e-6)) and one()["k"] == (0.0, 1.0)
+    assert one(common=True)["uz"] == (0.0, pytest.approx(rms, abs=1e-12))
+    assert one(rotation_invariant=False, common=True)["uz"] == (0.0, pytest.approx(math.sqrt(169 / 3)))
+    bad = p.withColumn("cp", F.lit(float("nan")))
+    with pytest.raises(Exception, match="not finite and positive"):
+        metrics.channel_stats(bad).collect()
+
+
+def test_footprint_heights_are_above_the_ground(spark):
+    face = "case_id int, cx double, cy double, cz double, nz double, area double, is_ground boolean"
+    f = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 1.0, 1.0, False), (1, 2.0, 0.0, 7.0, 1.0, 3.0, False), (2, 1.0, 1.0, 4.0, 1.0, 1.0, True)], face)
+    got = {r.case_id: r for r in mesh.footprint(f, ["case_id"], spark.createDataFrame([(1, 2.0)], "case_id int, ground_z double")).collect()}
+    assert (got[1].z, got[1].height) == (2.0, 4.5) and (got[2].z, got[2].height) == (4.0, 0.0)
+    assert mesh.footprint(f.where("case_id = 1"), ["case_id"]).first().height == 1.5  # above the lowest face
+
+
+def test_a_case_without_a_building_has_no_height_but_a_row(spark):
+    v = spark.createDataFrame([(c, 0, 0, z, c == 1 or (c == 3 and z == 1)) for c in (1, 2, 3) for z in range(3)], "case_id int, ix int, iy int, iz int, fluid boolean")
+    got = {r.case_id: (r.height, r.n_columns) for r in mesh.building_height(v, ["case_id"], 0.5).collect()}
+    assert math.isnan(got[1][0]) and got[1][1] == 0 and got[2] == (1.5, 1) and got[3] == (0.5, 1)
+
+
+def test_probes_of_other_widths_are_malformed(spark):
+    text = ["# probes", "1 (3 4 0) (0 0 2)", "2 (3 4 0)", "3 (3 4 0) (0 0 x)", "4 (1 2 2) (nan 0 0)", "5 1 2"]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "run_id int, line_no int, line string")
+    got = {r.line_no: r for r in logs.probes(logs.numbers(lines)).collect()}
+    assert [k for k, r in sorted(got.items()) if r.malformed] == [2, 3, 5] and got[1].speeds == [5.0, 2.0] and got[4].it == 4.0 and math.isnan(got[4].speeds[1])
+
+
+def test_safety_over_all_fields(spark):
+    rows = [line(r, n, i, v) for r, n, vs in [(1, "U", [1, 0.1]), (1, "p", [1, 1e6]), (2, "U", [1, 0.1]), (2, "p", [1, float("nan")]), (3, "U", [1, 0.4]), (4, "U", [1, 0.4]), (5, "p", [1, 1]), (6, "U", [1, 0.9]), (7, "U", [1, 0.1])] for i, v in enumerate(vs)]
+    s = spark.createDataFrame(rows, "run_id int, name string, it double, value double")
+    known, reference = spark.createDataFrame([(7, True), (1, False)], "run_id int, diverged boolean"), spark.createDataFrame([(4, 0.3)], "run_id int, reference double")
+    got = {r.run_id: r.reason for r in series.safety_all(s, "U", known, 1, 100.0, 2, 0.5, 1e-4, reference).collect()}
+    assert got == {1: "blowup", 2: "blowup", 3: "accepted", 4: "no_progress", 5: "too_short", 6: "no_progress", 7: "diverged"}
