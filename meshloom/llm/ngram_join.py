@@ -4,14 +4,15 @@ Equal texts are first counted as one. Each different text gets a MinHash signatu
 random densification; texts that agree on a band of four values are candidates. Within a band's bucket pairs
 are compared by more and more MinHash values, and dropped once the posterior probability that their
 similarity reaches the threshold (uniform prior, binomial likelihood) falls below a tolerance. The pairs that
-are left tie texts into candidate groups, of which only spanning links leave the tasks; within each group
-every pair that could link is verified exactly on the shingle sets, in blocks of rows against blocks of rows,
-so that a large group is many tasks and only counts and spanning links leave them.
+are left tie texts into candidate groups, of which only spanning links leave the tasks. A group says which texts
+are put together, once for all bands, in tiles of bounded rows and bytes; within a tile only the pairs that survive
+the same pruning are verified exactly on the shingle sets, and only counts and spanning links leave the task.
 
 Defined results: a text of fewer than five words has no shingles and links with nothing but its equal copies;
 a null text is the empty text; rows of a null doc_id have a null class and no links; repeated rows get the
-same result each; an empty table gives no row; further columns are ignored. n_links is the number of
-different texts that the document's text is linked with.
+same result each; of different texts under one doc_id, one (the largest digest) speaks for the document; an
+empty table gives no row; further columns are ignored. n_links is the number of different texts that the
+document's text is linked with.
 """
 from __future__ import annotations
 
@@ -29,8 +30,8 @@ from .components import components
 
 SHINGLE, VALUES, BAND = 5, 128, 4
 BANDS = VALUES // BAND
-#: Rows of a bucket or group that one task compares with as many others.
-TILE_BUCKET, TILE_GROUP = 1024, 256
+#: Rows of a bucket or group that one task compares with as many others, and bytes of text that a group's rows may have.
+TILE_BUCKET, TILE_GROUP, TILE_BYTES = 1024, 1024, 4 << 20
 _rng = np.random.Generator(np.random.PCG64(7))
 #: Where an empty bin of a signature looks for a value, in this order (the same for every text).
 _PROBES = np.argsort(_rng.random((VALUES, VALUES)), axis=1).astype(np.int64)
@@ -132,13 +133,13 @@ def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _tiled(members: DataFrame, sizes: DataFrame, key: str, tile: int) -> DataFrame:
-    """Members of groups of more than one, dealt to pairs of tiles: columns ti <= tj and side. A group of up to
-    `tile` rows is one pair (0, 0); of s tiles each row goes to s pairs, so no task holds more than two tiles."""
+def _tiled(members: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """Members of groups of more than one (sizes: key, n, tiles), dealt to pairs of tiles: columns ti <= tj and t. A group
+    of one tile is one pair (0, 0); of s tiles each row goes to s pairs, so no task holds more than two tiles."""
     rows = members.join(sizes.where("n > 1"), key)
-    rows = rows.withColumn("s", F.ceil(F.col("n") / tile).cast("int")).withColumn("t", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("s")).cast("int"))
+    rows = rows.withColumn("s", F.col("tiles").cast("int")).withColumn("t", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("s")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    return rows.withColumns({"ti": F.least("t", "o"), "tj": F.greatest("t", "o")}).drop("o", "s", "n")
+    return rows.withColumns({"ti": F.least("t", "o"), "tj": F.greatest("t", "o")}).drop("o", "s", "n", "tiles")
 
 
 def similar_texts(docs: DataFrame, text: str = "text", threshold: float = 0.8, tolerance: float = 1e-7) -> DataFrame:
@@ -161,7 +162,7 @@ def similar_texts(docs: DataFrame, text: str = "text", threshold: float = 0.8, t
 
     # One representative, the smallest id, for all equal texts.
     copies = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")), "copies")
-    reps = signed.where("n_shingles > 0").join(copies, [signed.digest == copies.digest, signed.doc_id == copies.rep], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "signature").dropDuplicates(["rep"])
+    reps = signed.where("n_shingles > 0").join(copies, [signed.digest == copies.digest, signed.doc_id == copies.rep], "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.max_by(F.struct("n_shingles", "signature", "digest"), "digest").alias("x")).select("rep", "x.*")
     reps = cut(reps, "reps")
 
     # Bands: texts that agree on four values. Only rows of buckets of two or more go on.
@@ -177,8 +178,8 @@ def similar_texts(docs: DataFrame, text: str = "text", threshold: float = 0.8, t
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(b.column(0)), BANDS))], ["bucket", "rep"])
 
     keyed = reps.select("rep", "signature").mapInArrow(bands, "bucket long, rep long")
-    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    placed = _tiled(keyed, sizes, "bucket", TILE_BUCKET).join(reps.select("rep", "n_shingles", "signature"), "rep")
+    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / TILE_BUCKET).alias("tiles"))
+    placed = _tiled(keyed, sizes, "bucket").join(reps.select("rep", "n_shingles", "signature"), "rep")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, g in _sorted_groups(batches, ["bucket", "ti", "tj"]):
@@ -194,22 +195,27 @@ def similar_texts(docs: DataFrame, text: str = "text", threshold: float = 0.8, t
 
     # Exact verification within the candidate groups.
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), text_of(docs, text).alias("text"))
-    grouped = groups.select(F.col("node").alias("rep"), F.col("component").alias("group"))
-    members = _tiled(grouped, grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "group", TILE_GROUP)
-    # A repeated row of a representative is counted once: equal ids within a tile are dropped in the task.
+    texts = texts.select("rep", "text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    # A shingle is a word more; words and the space behind them are taken as eight bytes.
+    grouped = groups.select(F.col("node").alias("rep"), F.col("component").alias("group")).join(reps.select("rep", "digest", "n_shingles"), "rep")
+    tiles = F.ceil(F.greatest(F.count(F.lit(1)) / TILE_GROUP, F.sum("n_shingles") * 8 / TILE_BYTES))
+    members = _tiled(grouped.select("rep", "digest", "group"), grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"), tiles.alias("tiles")), "group")
     # Texts are far larger than the groups' rows, which grow with the corpus: the rows are the side that is hashed.
-    whole = texts.join(members.hint("shuffle_hash"), "rep").repartition(parts, "group", "ti", "tj").sortWithinPartitions("group", "ti", "tj", "rep")
+    whole = texts.join(members.hint("shuffle_hash"), ["rep", "digest"]).repartition(parts, "group", "ti", "tj").sortWithinPartitions("group", "ti", "tj", "rep")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, g in _sorted_groups(batches, ["group", "ti", "tj"]):
             rep = np.asarray(g["rep"])
             new = np.ones(len(rep), bool)
             new[1:] = rep[1:] != rep[:-1]
-            if not new.all():
+            if not new.all():  # a repeated row counts once
                 g = {k: v.filter(pa.array(new)) for k, v in g.items()}
                 rep = rep[new]
             h, first = shingle_sets(*B.text_buffer(g["text"]))
-            i, j = _between(g["t"], key, lambda a, b: _linked(h, first, a, b, threshold))
+            sig = (signatures(h, first) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            i, j = _between(g["t"], key, lambda a, b: _survivors(sig[a], sig[b], least))
+            linked = _linked(h, first, i, j, threshold)
+            i, j = i[linked], j[linked]
             if not len(i):
                 continue
             count = np.bincount(np.concatenate([i, j]), minlength=len(rep))
@@ -245,29 +251,48 @@ def _between(tiles: pa.Array, key: tuple, compare) -> tuple[np.ndarray, np.ndarr
     return a[i], b[j]
 
 
-def _linked(h: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, columns: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (place in a, place in b) whose sets reach the threshold, from exact counts of common shingles."""
-    own = np.union1d(a, b)
+def _linked(h: np.ndarray, first: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, columns: int = 8192, rows: int = 512) -> np.ndarray:
+    """Which of the pairs (i, j) of sets reach the threshold, from exact counts of common shingles."""
     n = np.diff(first)
-    at = np.concatenate([np.arange(first[d], first[d + 1]) for d in own]) if len(own) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(own)), n[own])
-    values, column, times = np.unique(h[at], return_inverse=True, return_counts=True)
-    shared = times > 1  # only these can be in common
-    name = np.cumsum(shared) - 1
-    on = shared[column]
-    row, column = row[on], name[column[on]]
-    common = np.zeros((len(a), len(b)), np.float32)
-    ra, rb = np.searchsorted(own, a), np.searchsorted(own, b)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for lo in range(0, int(shared.sum()), columns):
-        x, y = np.searchsorted(column, [lo, lo + columns])
-        m = np.zeros((len(own), min(columns, int(shared.sum()) - lo)), np.float32)
-        m[row[x:y], column[x:y] - lo] = 1
-        common += m[ra] @ m[rb].T
-    c = common.astype(np.int64)
-    either = n[a][:, None] + n[b][None, :] - c
-    return np.nonzero(c * 1_000_000 >= round(threshold * 1_000_000) * either)
+    common = np.zeros(len(i), np.int64)
+    own = np.unique(np.concatenate([i, j]))
+    if len(i) * 20 < len(own) ** 2:  # few pairs: the elements that stand twice among those of a pair
+        at = 0
+        ends = np.cumsum(n[i] + n[j])
+        while at < len(i):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
+            sets = np.stack([i[at:to], j[at:to]], axis=1).ravel()
+            pair = np.repeat(np.arange(to - at), n[i[at:to]] + n[j[at:to]])
+            size = n[sets]
+            values = h[np.repeat(first[sets] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            order = np.lexsort((values, pair))
+            v, p = values[order], pair[order]
+            twice = (v[1:] == v[:-1]) & (p[1:] == p[:-1])
+            common[at:to] = np.bincount(p[1:][twice], minlength=to - at)
+            at = to
+    else:  # nearly all pairs: products of 0/1 matrices, some shared shingles and some rows at a time
+        at = np.concatenate([np.arange(first[d], first[d + 1]) for d in own]) if len(own) else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(own)), n[own])
+        _, column, times = np.unique(h[at], return_inverse=True, return_counts=True)
+        shared = times > 1  # only these can be in common
+        name = np.cumsum(shared) - 1
+        on = shared[column]
+        row, column = row[on], name[column[on]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        ri, rj = np.searchsorted(own, i), np.searchsorted(own, j)
+        by_row = np.argsort(ri, kind="stable")
+        for lo in range(0, int(shared.sum()), columns):
+            x, y = np.searchsorted(column, [lo, lo + columns])
+            m = np.zeros((len(own), min(columns, int(shared.sum()) - lo)), np.float32)
+            m[row[x:y], column[x:y] - lo] = 1
+            for r in range(0, len(own), rows):
+                a, b = np.searchsorted(ri[by_row], [r, r + rows])
+                if b > a:
+                    pick = by_row[a:b]
+                    common[pick] += (m[r : r + rows] @ m.T)[ri[pick] - r, rj[pick]].astype(np.int64)
+    either = n[i] + n[j] - common
+    return common * 1_000_000 >= round(threshold * 1_000_000) * either
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, pa.Array]]]:

@@ -122,7 +122,37 @@ d as (select page_id, url, regexp_replace(replace(replace(replace(replace(r, '&q
 select page_id, url, text, length(text) as n_chars from d
 """
 
+# Exact: all pairs that share a shingle, and the closure of the links.
+_JOIN_SQL = r"""
+with recursive d as (select distinct coalesce(text, '') as text from documents where doc_id is not null),
+t as (select row_number() over () as t, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from d),
+g as (select t, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) as g from t where len(w) >= 5),
+n as (select t, count(*) as n from g group by t),
+c as (select a.t as a, b.t as b, count(*) as c from g a join g b on a.g = b.g and a.t <> b.t group by all),
+l as (select a, b from c join n x on x.t = a join n y on y.t = b where 5 * c >= 4 * (x.n + y.n - c)),
+e as (select t as a, t as b from t union select a, b from l),
+p as (select * from e union select p.a, e.b from p join e on p.b = e.a),
+i as (select t.t, r.doc_id from documents r join t on coalesce(r.text, '') = t.text where r.doc_id is not null),
+k as (select p.a as t, min(i.doc_id) as class_id from p join i on i.t = p.b group by 1),
+m as (select a as t, count(*) as n_links from l group by 1)
+select i.doc_id, k.class_id, coalesce(m.n_links, 0) as n_links from i join k using (t) left join m using (t)
+union all select null, null, 0 from documents where doc_id is null
+"""
+
+_SUBSTRING_SQL = r"""
+with d as (select doc_id, row_number() over () as r, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+h as (select r, doc_id, len(w) as n, generate_subscripts(w, 1) as i, unnest(w) as w from d),
+x as (select r, doc_id, i, md5(string_agg(w, ' ') over (partition by r order by i rows between current row and 49 following)) as k from h where n >= 50 qualify i <= n - 49),
+f as (select k, min(doc_id) as least from x where doc_id is not null group by k),
+g as (select x.r, x.i from x join f using (k) where x.doc_id > f.least),
+m as (select distinct r, i + s as i from g, range(50) t(s)),
+o as (select h.r, count(*) filter (where m.i is not null) as n_removed, string_agg(h.w, ' ' order by h.i) filter (where m.i is null) as kept from h left join m on m.r = h.r and m.i = h.i group by 1)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(o.n_removed, 0) as n_removed, sha256(coalesce(o.kept, '')) as kept_sha256 from d left join o using (r)
+"""
+
 ORACLE_SQL = {
+    "op7_substring_dedup": _SUBSTRING_SQL,
+    "op9_ngram_join": _JOIN_SQL,
     "op10_html_text": _HTML_SQL,
     "op3_warc": _WARC_SQL,
     "op5_chat_format": _CHAT_SQL,

@@ -349,6 +349,41 @@ def test_components_of_paths_and_stars(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[k] == 100 for k in range(100, 130)) and 200 not in got
 
 
+def test_pairs_near_the_threshold_are_all_found(spark):
+    """400 pairs whose sets agree to between 0.75 and 0.9, against exact counts: none at 0.8 or more is missed, none below linked."""
+    rows, want = [], {}
+    for k in range(400):
+        own = [f"w{k}x{i}" for i in range(60)]
+        other = list(own)
+        for at in range(5, 5 + 9 * (1 + k % 2), 9):
+            other[at] = "changed"
+        cut = 60 - k % 9
+        a, b = own[:cut], other[: cut - k % 4]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        want[2 * k + 1] = 2 * k if 5 * len(x & y) >= 4 * len(x | y) else 2 * k + 1
+    got = {r.doc_id: r.class_id for r in ngram_join.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in want} == want and 50 < sum(v < k for k, v in want.items()) < 350
+
+
+def test_both_ways_of_counting_common_shingles_agree():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(5, 40)).astype(np.uint64)) for _ in range(40)]
+    h, first = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    i, j = np.triu_indices(40, 1)
+    want = [len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.3 for a, b in zip(i, j)]
+    assert ngram_join._linked(h, first, i, j, 0.3, columns=7, rows=6).tolist() == want
+    some = np.arange(0, len(i), 97)
+    assert ngram_join._linked(h, first, i[some], j[some], 0.3).tolist() == [want[k] for k in some]
+
+
+def test_different_texts_of_one_id_have_one_result(spark):
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = spark.createDataFrame([(5, a), (5, b), (7, a), (8, b), (9, c)], "doc_id long, text string")
+    got = {(r.doc_id, r.class_id, r.n_links) for r in ngram_join.similar_texts(rows).collect()}
+    assert got == {(5, 5, 0), (7, 5, 0), (8, 5, 0), (9, 9, 0)}
+
+
 # --- 10 pages ----------------------------------------------------------------------------------------------------
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/a">Menu %(k)s</a><li>More</ul></nav>
 <div class="ad">Buy %(k)s</div><article><h1>Head %(k)s &amp; co</h1><p class="share">Share this story with friends</p><p>First&nbsp;%(k)s  <b>bold</b>
