@@ -4,8 +4,10 @@ Words are lower-cased without the punctuation around them; names and amounts bec
 are kept as slots. An amount is one placeholder however it is written: 12kg, 12 kg, 12%, 25, twenty-five, twenty five
 kg. Windows of WINDOW template words are hashed and joined with the benchmark's; matches of one document, item
 and offset are put together, and so are those of nearby offsets (no further from the next than the item has windows), as
-inserted and dropped words shift what follows. The slots must be consistent: one value of the item stands for one
-value in the document. So a question is caught with its numbers and names changed.
+inserted and dropped words shift what follows. The slots must be consistent: one value of the item stands for one value
+of its type in the document, and no two names of the item for one name. So a question is caught with its numbers and
+names changed. A capitalised word is a name wherever it stands, as a sentence may begin with one; a name of several
+words is one slot with all of them as its value.
 
 Defined results: a null text is empty; rows of a null doc_id or item_id are never reported; items with
 less than two usable windows (fewer words than WINDOW + 1, or windows that are mostly placeholders) are also found where
@@ -62,7 +64,7 @@ def amount(words: list[str]) -> str:
 
 def canonical(word: str) -> tuple[str, int, bool, bool, str]:
     """The word without signs and capitals, its type (NUMBER or PLAIN), whether it looks like a name, whether it ends
-    a sentence, and its value. NAME, and the words that go on with a number, depend on the words before and are
+    a sentence, and its value. Words that go on with a number or a name depend on the words before and are
     decided later."""
     core = word.strip(PUNCTUATION)
     if not core:
@@ -99,15 +101,12 @@ class Templates:
         known = [canonical(body[a:b].decode("utf-8", "replace")) for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         sizes = np.array([len(k[0]) for k in known], np.int64)
         value_hash = _hashes([k[4] for k in known])
-        kinds, capital, ending = (np.array([k[c] for k in known], t) for c, t in ((1, np.int8), (2, bool), (3, bool)))
+        kinds, capital = (np.array([k[c] for k in known], t) for c, t in ((1, np.int8), (2, bool)))
         unit, spoken = (np.array([k[0] in names for k in known], bool) for names in (UNITS, NUMBER_WORDS))
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        fresh = np.ones(len(back), bool)  # first word of a text or a sentence
-        if len(back):
-            fresh[1:] = ending[back[:-1]] | (doc[1:] != doc[:-1])
         keep = sizes[back] > 0  # words of signs only are left out
         kind = kinds[back].copy()
-        kind[capital[back] & ~fresh] = NAME
+        kind[capital[back]] = NAME
         kind, back, doc = kind[keep], back[keep], doc[keep]
         self.words, self.back, self.low_doc = [k[0] for k in known], back, doc
         same = np.zeros(len(kind), bool)  # the word before is of the same text
@@ -127,6 +126,15 @@ class Templates:
         before = np.full(len(kind), -1, np.int8)
         before[1:] = np.where(same[1:], kind[:-1], -1)
         on = ~more & ~((kind == NAME) & (before == NAME))  # an amount or a name of several words is one slot
+        name = kind == NAME
+        if name.any():  # a name's value is that of all its words, in order
+            run = np.cumsum(on)[name] - 1
+            nth = np.arange(len(run)) - np.searchsorted(run, run)
+            whole = np.zeros(int(on.sum()), np.uint64)
+            np.add.at(whole, run, B.mix(value[name] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            heads = np.flatnonzero(on & name)
+            value = value.copy()
+            value[heads] = whole[np.cumsum(on)[heads] - 1]
         self.kind, self.value, self.doc = kind[on], value[on], doc[on]
         self.hash = np.where(self.kind == PLAIN, self.value, B.mix(self.kind.astype(np.uint64) + np.uint64(77)))
         self.first = np.searchsorted(self.doc, np.arange(len(first)))
@@ -167,7 +175,8 @@ class Templates:
         return pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(pos, pa.int64()), pa.array(one), pa.array([[]] * len(at), pa.list_(pa.int64())), pa.array(one * length)], NAMES)
 
     def rows(self, ids: pa.Array, at: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-        values = [[int(v) for v in self.value[a : a + WINDOW][self.kind[a : a + WINDOW] != PLAIN].view(np.int64)] for a in at.tolist()]
+        typed = (self.value & ~np.uint64(1) | (self.kind == NAME)).view(np.int64)  # the last bit tells names
+        values = [typed[a : a + WINDOW][self.kind[a : a + WINDOW] != PLAIN].tolist() for a in at.tolist()]
         n = np.bincount(self.doc[self.windows()[0]], minlength=len(ids)) if len(at) else np.zeros(len(ids), np.int64)
         doc = self.doc[at]
         return pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(at - self.first[doc], pa.int64()), pa.array(n[doc], pa.int64()), pa.array(values, pa.list_(pa.int64())), pa.array(np.zeros(len(at), np.int64))], NAMES)
@@ -228,6 +237,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", cove
     runs = slots.withColumn("jump", jump.cast("long")).withColumn("run", F.sum("jump").over(order))
     runs = runs.withColumn("of", F.explode(F.array(F.struct(F.lit(False).alias("merged"), F.col("offset").alias("k")), F.struct(F.lit(True).alias("merged"), F.col("run").alias("k")))))
     runs = runs.groupBy(*item_key, "of", "pair").agg(F.flatten(F.collect_list("places")).alias("places"), F.min("begin").alias("begin"), F.min("offset").alias("offset"))
+    name = F.col("pair.a").bitwiseAND(1) == 1
     offsets = runs.groupBy(*item_key, "of").agg(
         F.least(F.size(F.array_distinct(F.flatten(F.collect_list("places")))), "item_windows").alias("n_windows"),
         F.min("begin").alias("begin"),
@@ -235,8 +245,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", cove
         F.count("pair").alias("n_slots"),
         F.count_if(F.col("pair.a") != F.col("pair.b")).alias("n_changed"),
         F.size(F.collect_set("pair.a")).alias("n_values"),
+        F.count_if(name).alias("n_names"),
+        F.size(F.collect_set(F.when(name, F.col("pair.b")))).alias("n_written"),
     )
-    whole = offsets.withColumn("consistency", F.when(F.col("n_slots") == 0, 1.0).otherwise(F.col("n_values") / F.col("n_slots")))
+    # Of an item's value, one value; of a written name, one name of the item. Two numbers may be the same by chance.
+    kept = F.least(F.col("n_values"), F.col("n_slots") - F.col("n_names") + F.col("n_written"))
+    whole = offsets.withColumn("consistency", F.when(F.col("n_slots") == 0, 1.0).otherwise(kept / F.col("n_slots")))
     good = whole.where((F.col("n_windows") >= coverage * F.col("item_windows")) & (F.col("consistency") >= consistency))
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", -F.col("offset"), "item_windows", "begin", "n_slots", "n_changed", "consistency")).alias("x"))
     return best.select("doc_id", "item_id", *[F.col(f"x.{c}").cast("double" if c == "consistency" else "long").alias(c) for c in ("n_windows", "item_windows", "n_slots", "n_changed", "consistency", "begin")])
