@@ -1,9 +1,10 @@
-"""Word hashing over whole Arrow batches, and the exchange between blocks of documents and buckets of keys.
+"""Word hashing over whole Arrow batches, and the exchange between blocks of documents and the keys they ask about.
 
-Documents are packed into blocks of a bounded size, written once to the shared folder. A block asks about its
-distinct keys (words, windows) by sending each bucket of the key space one packed row; a bucket answers each
-block with one packed row. A key that many documents share is asked once per block, so no key can make a
-group as large as the rows that hold it, and only packed bytes are shuffled.
+Documents are packed into blocks of a bounded size, written once to the shared folder. A block asks about each of its
+distinct keys (words, windows) with one row; the rows are shuffled by key, where each key is answered in a sorted stream,
+and what was answered is shuffled back by block. A key that many documents share is asked once per block, so no key
+makes a group as large as the rows that hold it; no task holds more than a block or a key at a time, and the number of
+rows is that of the blocks' distinct keys, whatever the number of blocks and tasks.
 """
 from __future__ import annotations
 
@@ -155,68 +156,50 @@ def block_number(k: int) -> int:
     return TaskContext.get().partitionId() << 24 | k
 
 
-# The exchange. Asking rows: (bucket, block, data). Answering rows: (block, bucket, data).
-ASK = "bucket int, block long, data binary"
-
-
-def ask(blocks: DataFrame, fn: Callable, columns: list[str]) -> DataFrame:
-    """fn takes a dict of a block's columns and yields (bucket, bytes)."""
+def ask(blocks: DataFrame, fn: Callable, columns: list[str], schema: str) -> DataFrame:
+    """fn takes a dict of a block's columns and gives the columns (a dict of arrays) of its questions, one row a key; they
+    are returned with their `block` and `place`, the key's number in the block."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in rows_of(b):
-                out = list(fn(row))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([row["block"]] * len(out), pa.int64()), pa.array([d for _, d in out], pa.binary())], ["bucket", "block", "data"])
-
-    return blocks.select("block", *columns).mapInArrow(run, ASK)
-
-
-def answer(asked: DataFrame, buckets: int, fn: Callable) -> DataFrame:
-    """fn takes the list of a bucket's data and gives the list of answers in the same order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in groups(batches, "bucket"):
-            out = fn([r["data"] for r in rows])
-            yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(rows), pa.int32()), pa.array([r["block"] for r in rows], pa.int64()), pa.array(out, pa.binary())], ["bucket", "block", "data"])
+                asked = fn(row)
+                n = len(asked[names[0]])
+                for lo in range(0, n, 1 << 17):
+                    hi = min(n, lo + (1 << 17))
+                    place = pa.array(np.arange(lo, hi, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([*[pa.array(asked[c][lo:hi]) for c in names], pa.array(np.full(hi - lo, row["block"], np.int64)), place], [*names, "block", "place"])
 
-    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, ASK)
+    return blocks.select("block", *columns).mapInArrow(run, f"{schema}, block long, place int")
 
 
-def meet(blocks: DataFrame, columns: list[str], answers: list[DataFrame], buckets: int, fn: Callable, schema: str) -> DataFrame:
-    """Each block meets its answers again. fn takes the block's columns and, for each of `answers`, a dict
-    bucket -> data, and yields RecordBatches of `schema`. Blocks are streamed, one at a time."""
+def meet(blocks: DataFrame, columns: list[str], answers: list[DataFrame], parts: int, fn: Callable, schema: str) -> DataFrame:
+    """Each block meets its answers again (rows of block, place and perhaps data, a binary). fn takes the block's columns
+    and, for each of `answers`, the places in order and the data, and yields RecordBatches of `schema`. Blocks are streamed, one at a time."""
     n = len(answers)
-    own = blocks.select("block", F.lit(n).alias("kind"), F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("data"), *columns)
-    every = own
+    every = blocks.select("block", F.lit(n).alias("kind"), F.lit(-1).alias("place"), F.lit(None).cast("binary").alias("data"), *columns)
     for k, a in enumerate(answers):
-        every = every.unionByName(a.select("block", F.lit(k).alias("kind"), "bucket", "data"), allowMissingColumns=True)
+        data = F.col("data") if "data" in a.columns else F.lit(None).cast("binary")
+        every = every.unionByName(a.select("block", F.lit(k).alias("kind"), "place", data.alias("data")), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in groups(batches, "block"):
-            got: list[dict[int, bytes]] = [{} for _ in range(n)]
-            for r in rows:
-                if r["kind"] < n:
-                    got[r["kind"]][r["bucket"]] = r["data"]
-                else:
-                    yield from fn({c: r[c] for c in ["block", *columns]}, *got)
+        got: list[list[tuple]] = [[] for _ in range(n)]
+        for b in batches:
+            block, kind, place = (np.asarray(b.column(k)) for k in range(3))
+            edges = np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(block)]):
+                if kind[lo] < n:
+                    got[kind[lo]].append((place[lo:hi], b.column(3).slice(lo, hi - lo)))
+                    continue
+                for row in rows_of(b.slice(lo, hi - lo)):
+                    told = [(np.concatenate([x[0] for x in g]) if g else np.zeros(0, np.int32), pa.concat_arrays([x[1] for x in g]) if g else pa.array([], pa.binary())) for g in got]
+                    yield from fn({c: row[c] for c in ["block", *columns]}, *told)
+                got = [[] for _ in range(n)]
 
-    return every.repartition(buckets, "block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
+    return every.repartition(parts, "block").sortWithinPartitions("block", "kind", "place").mapInArrow(run, schema)
 
 
 def rows_of(b: pa.RecordBatch) -> Iterator[dict]:
     for i in range(b.num_rows):
         yield {name: b.column(k)[i].as_py() if not pa.types.is_list(b.schema.field(k).type) else b.column(k)[i].values for k, name in enumerate(b.schema.names)}
-
-
-def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple]:
-    """Runs of rows of the same key from sorted batches, also across them."""
-    now, held = None, []
-    for b in batches:
-        for row in rows_of(b):
-            if held and row[key] != now:
-                yield now, held
-                held = []
-            now = row[key]
-            held.append(row)
-    if held:
-        yield now, held

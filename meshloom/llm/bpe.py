@@ -1,10 +1,13 @@
 """BPE encoding and decoding by a distinct-word table.
 
 Spark splits the texts into the words of the tokenizer's own pattern. Blocks of documents keep each document
-as positions into the block's distinct words; the words are dealt to buckets by their hash, where each distinct
-word is encoded once by the tokenizers library, and its ids are joined back by position. Decoding joins the
+as positions into the block's distinct words; the words are shuffled, and in their sorted stream each distinct
+word is encoded once by the tokenizers library, and its ids are joined back by block and position. Decoding joins the
 ids to the vocabulary's pieces, a table of a size fixed by the tokenizer, not by the corpus.
 
+A tokenizer file of another kind than byte-level BPE with this pattern (a normaliser, another pre-tokenizer, flags that
+change how its added tokens are found) is refused.
+
 Defined results: a null or empty text has no ids and decodes to the empty text; a null doc_id and repeated
 rows are returned as they are; an empty table gives no row; further columns are ignored. A text that holds
 the tokenizer's added token gets that token's id, as the library does.
@@ -69,12 +72,11 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(B.expand(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-BLOCKS = "block long, doc_ids array<long>, n_words binary, positions binary, word_bytes binary, word_lengths binary, dealt binary"
+BLOCKS = "block long, doc_ids array<long>, n_words binary, positions binary, word_bytes binary, word_lengths binary"
 
 
-def word_blocks(docs: DataFrame, text: str, added: list[str], buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per block of documents: positions into the block's distinct words, these words, and the bucket
-    of each, from which a block knows the order of its answers without the words."""
+def word_blocks(docs: DataFrame, text: str, added: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per block of documents: positions into the block's distinct words, and these words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, t in enumerate(B.concat_batches(batches, 2 * block_bytes)):
@@ -86,24 +88,16 @@ def word_blocks(docs: DataFrame, text: str, added: list[str], buckets: int, bloc
             place = np.empty_like(rank)
             place[rank] = np.arange(len(rank))
             data, offsets = B.text_buffer(coded.dictionary.take(pa.array(rank)))
-            dealt = B.hash_spans(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)
             yield pa.RecordBatch.from_arrays([
                 pa.array([B.block_number(k)], pa.int64()), pa.array([B.column(t, "doc_id").to_pylist()], pa.list_(pa.int64())),
                 pa.array([_planes(n_words)], pa.binary()), pa.array([_planes(place[order])], pa.binary()),
-                pa.array([B.squeeze(data, 3)], pa.binary()), pa.array([_planes(np.diff(offsets))], pa.binary()), pa.array([_planes(dealt)], pa.binary()),
-            ], ["block", "doc_ids", "n_words", "positions", "word_bytes", "word_lengths", "dealt"])
+                pa.array([B.squeeze(data, 3)], pa.binary()), pa.array([_planes(np.diff(offsets))], pa.binary()),
+            ], ["block", "doc_ids", "n_words", "positions", "word_bytes", "word_lengths"])
 
     rows = docs.select(F.col("doc_id").cast("long"), split_words(text_of(docs, text), added).alias("words"))
     return cut(rows.mapInArrow(run, BLOCKS), "words")
 
 
-def _dealt(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of a block's words sorted by bucket, and the bucket of each."""
-    bucket = _numbers(row["dealt"]).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, bucket[order]
-
-
 def _take_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The spans data[starts : starts + lengths] in a row."""
     ends = np.cumsum(lengths)
@@ -111,64 +105,56 @@ def _take_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     return data[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
+def _checked(spec: dict) -> list[str]:
+    """The added tokens of a tokenizer file that this operator reads as the library does; an error for any other."""
+    before, after, model = spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}, spec["model"]
+    plain = lambda x: x.get("type") == "ByteLevel" and not x.get("add_prefix_space", False) and x.get("use_regex", True)
+    if model.get("type", "BPE") != "BPE" or spec.get("normalizer") or not plain(before) or after.get("type") != "ByteLevel" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+        raise ValueError("not a byte-level BPE tokenizer with the byte-level pattern and no normaliser")
+    if any(a.get(k) for a in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that are found by other rules than their own text")
+    return [a["content"] for a in spec["added_tokens"]]
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", digests: bool = True) -> DataFrame:
     """doc_id, n_tokens and, with digests, ids_sha256 and decoded_sha256; without, ids array<int> and decoded string."""
-    spark = docs.sparkSession
+    parts = partitions(docs.sparkSession)
     spec = json.load(open(tokenizer_path, encoding="utf-8"))
-    added, source = [a["content"] for a in spec["added_tokens"]], json.dumps(spec)
-    buckets = partitions(spark)
-    packed = word_blocks(docs, text, added, buckets)
-
-    def asked(row: dict) -> Iterator[tuple[int, bytes]]:
-        data, offsets = B.expand(row["word_bytes"], np.uint8), np.concatenate([[0], np.cumsum(_numbers(row["word_lengths"]).astype(np.int64))])
-        order, bucket = _dealt(row)
-        for lo, hi in _runs(bucket):
-            own = order[lo:hi]
-            lengths = offsets[own + 1] - offsets[own]
-            yield int(bucket[lo]), B.squeeze(len(own).to_bytes(4, "little") + lengths.astype("<u4").tobytes() + _take_spans(data, offsets[own], lengths).tobytes(), 3)
-
-    def encoded(requests: list[bytes]) -> list[bytes]:
-        """Every distinct word of the bucket is encoded once, however many blocks ask for it."""
+    added, source = _checked(spec), json.dumps(spec)
+    packed = word_blocks(docs, text, added)
+
+    def asked(row: dict) -> dict:
+        offsets = np.concatenate([[0], np.cumsum(_numbers(row["word_lengths"]).astype(np.int64))]).astype(np.int32)
+        return {"word": pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(B.expand(row["word_bytes"])))}
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the sorted words each is encoded once, however many blocks ask for it."""
         tokenizer = _tokenizer(source)
-        table: dict[bytes, bytes] = {}
-        out = []
-        for r in requests:
-            raw = B.expand(r)
-            n = int.from_bytes(raw[:4], "little")
-            ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)).tolist()
-            body = raw[4 + 4 * n :]
-            wanted = [body[a:b] for a, b in zip([0, *ends], ends)]
-            new = [w for w in wanted if w not in table]
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for w, e in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                    table[w] = np.array(e.ids, "<u4").tobytes()
-            ids = [table[w] for w in wanted]
-            out.append(_pair(np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), "<u4")))
-        return out
+        last, held = None, b""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = b.column(0).dictionary_encode()
+            words = own.dictionary.to_pylist()
+            ids = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(words[words[0] == last :], add_special_tokens=False)]
+            ids = [held, *ids] if words[0] == last else ids
+            last, held = words[-1], ids[-1]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(ids, pa.binary()).take(own.indices)], ["block", "place", "data"])
 
     table = pieces(tokenizer_path)
 
-    def joined(row: dict, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        order, bucket = _dealt(row)
-        n_ids = np.zeros(len(order), np.int64)
-        held, starts, size = [], np.zeros(len(order), np.int64), 0
-        for lo, hi in _runs(bucket):
-            lengths, ids = _unpair(got[int(bucket[lo])])
-            own = order[lo:hi]
-            if len(lengths) != len(own):
-                raise ValueError(f"block {row['block']}: a bucket answered {len(lengths)} of {len(own)} words")
-            n_ids[own] = lengths
-            starts[own] = size + np.cumsum(lengths) - lengths
-            held.append(ids)
-            size += len(ids)
-        word_ids = np.concatenate(held) if held else np.zeros(0, np.uint32)
+    def joined(row: dict, answer: tuple) -> Iterator[pa.RecordBatch]:
+        places, data = answer
+        raw, offsets = B.text_buffer(data)
+        if len(places) and (len(places) != places[-1] + 1 or (np.diff(places) != 1).any()):
+            raise ValueError(f"block {row['block']}: {len(places)} answers for {places[-1] + 1} words")
         positions, n_words = _numbers(row["positions"]).astype(np.int64), _numbers(row["n_words"]).astype(np.int64)
-        yield from _finish(row["doc_ids"], n_words, positions, starts, n_ids, word_ids, table, digests)
+        yield from _finish(row["doc_ids"], n_words, positions, offsets[:-1] // 4, np.diff(offsets) // 4, np.frombuffer(raw.tobytes(), "<u4"), table, digests)
 
-    answers = B.answer(B.ask(packed, asked, ["word_bytes", "word_lengths", "dealt"]), buckets, encoded)
+    words = B.ask(packed, asked, ["word_bytes", "word_lengths"], "word string").repartition(parts, "word").sortWithinPartitions("word")
+    answers = words.mapInArrow(encoded, "block long, place int, data binary")
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return B.meet(packed, ["doc_ids", "n_words", "positions", "dealt"], [answers], buckets, joined, schema)
+    return B.meet(packed, ["doc_ids", "n_words", "positions"], [answers], parts, joined, schema)
 
 
 _held: dict = {}
@@ -187,22 +173,6 @@ def _tokenizer(source: str):
     return _held[key]
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> bytes:
-    first = _planes(a)
-    return len(first).to_bytes(4, "little") + first + _planes(b)
-
-
-def _unpair(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(data[:4], "little")
-    return _numbers(data[4 : 4 + n]).astype(np.int64), _numbers(data[4 + n :])
-
-
-def _runs(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    if len(sorted_keys):
-        edges = np.flatnonzero(np.diff(sorted_keys)) + 1
-        yield from zip([0, *edges.tolist()], [*edges.tolist(), len(sorted_keys)])
-
-
 def _finish(doc_ids: pa.Array, n_words: np.ndarray, positions: np.ndarray, starts: np.ndarray, n_ids: np.ndarray, word_ids: np.ndarray, table: list[bytes], digests: bool, step: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Documents' ids and decoded texts from word positions, some documents at a time."""
     piece_data = np.frombuffer(b"".join(table), np.uint8)

@@ -6,8 +6,9 @@ shift that takes both into the cover, so two equal windows of LENGTH words alway
 same place within them. Anchors that occur in two documents mark the windows that may repeat; these are
 extended to LENGTH words, hashed to 96 bits and compared, and the smallest document of each sequence keeps it.
 
-Both questions (is this anchor elsewhere, does a smaller document hold this window) go from blocks of
-documents to buckets of hashes and back, see blocks.py: linear in the text, whatever repeats how often.
+Both questions (is this anchor elsewhere, does a smaller document hold this window) go from blocks of documents to the
+hashes and back, see blocks.py: linear in the text, whatever repeats how often. Blocks send each hash once, and only
+what is held elsewhere comes back.
 
 Defined results: null and empty texts have no words; rows of a null doc_id neither remove nor lose words;
 rows that repeat a doc_id do not remove from each other; an empty table gives no row; a text of any length
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -65,7 +66,7 @@ class Block:
 class Keys:
     """Distinct keys among a block's places, with the smallest doc_id of each and whether two ids hold it."""
 
-    def __init__(self, high: np.ndarray, low: np.ndarray, ids: np.ndarray, buckets: int):
+    def __init__(self, high: np.ndarray, low: np.ndarray, ids: np.ndarray):
         order = np.lexsort((ids, low, high))
         h, lo, i = high[order], low[order], ids[order]
         new = np.ones(len(order), bool)
@@ -76,66 +77,14 @@ class Keys:
         self.high, self.low, self.least = h[new], lo[new], i[new]
         last = np.append(np.flatnonzero(new)[1:], len(order)) - 1
         self.many = i[last] != self.least
-        bucket = (self.low % np.uint64(buckets)).astype(np.int64)
-        # Sent in order of the smallest id, which compresses well.
-        self.order = np.lexsort((self.least, bucket))
-        self.bucket = bucket[self.order]
-
-    def runs(self) -> Iterator[tuple[int, np.ndarray]]:
-        if len(self.bucket):
-            edges = np.flatnonzero(np.diff(self.bucket)) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(self.bucket)]):
-                yield int(self.bucket[a]), self.order[a:b]
-
-    def ask(self, high: bool) -> Iterator[tuple[int, bytes]]:
-        """Per bucket: the keys (96 bits, or 64 where high is False) and the smallest id of each."""
-        for bucket, own in self.runs():
-            first = B.squeeze(np.diff(self.least[own], prepend=0))
-            hashes = self.low[own].tobytes() + (self.high[own].astype("<u4").tobytes() if high else b"")
-            yield bucket, len(own).to_bytes(4, "little") + len(first).to_bytes(4, "little") + first + hashes
-
-    def told(self, got: dict[int, bytes]) -> np.ndarray:
-        """The answers' bits by key."""
+
+    def told(self, answer: tuple) -> np.ndarray:
+        """By key: is it among the answers."""
         out = np.zeros(len(self.low), bool)
-        for bucket, own in self.runs():
-            out[own] = np.unpackbits(B.expand(got[bucket], np.uint8), count=len(own)).astype(bool)
+        out[answer[0]] = True
         return out
 
 
-def _read(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    n, size = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
-    ids = np.cumsum(B.expand(data[8 : 8 + size], np.int64))
-    low = np.frombuffer(data, "<u8", n, 8 + size)
-    at = 8 + size + 8 * n
-    return ids, low, (np.frombuffer(data, "<u4", n, at) if len(data) > at else None)
-
-
-def _elsewhere(smaller: bool):
-    """Answers per key: does another document hold it, or (smaller) one of a smaller id."""
-
-    def run(requests: list[bytes]) -> list[bytes]:
-        read = [_read(r) for r in requests]
-        ids, low = np.concatenate([r[0] for r in read]), np.concatenate([r[1] for r in read])
-        keys = (ids, low) if read[0][2] is None else (ids, low, np.concatenate([r[2] for r in read]))
-        order = np.lexsort(keys)
-        new = np.ones(len(order), bool)
-        new[1:] = False
-        for k in keys[1:]:
-            new[1:] |= k[order[1:]] != k[order[:-1]]
-        group, at, sorted_ids = np.cumsum(new) - 1, np.flatnonzero(new), ids[order]
-        least = sorted_ids[at][group]
-        if smaller:
-            bit = sorted_ids > least
-        else:
-            most = sorted_ids[np.append(at[1:], len(order)) - 1]
-            bit = (most != sorted_ids[at])[group]
-        bits = np.empty(len(order), bool)
-        bits[order] = bit
-        return [B.squeeze(np.packbits(x)) for x in np.split(bits, np.cumsum([len(r[0]) for r in read])[:-1])]
-
-    return run
-
-
 def _anchors(b: Block, length: int) -> np.ndarray:
     """Places (words of the block) of the anchors."""
     cover = np.zeros(PERIOD, bool)
@@ -144,50 +93,63 @@ def _anchors(b: Block, length: int) -> np.ndarray:
     return at[b.fits(at, length - PERIOD + 1) & (b.n_words[b.doc[at]] >= length) & b.known[b.doc[at]]]
 
 
-def _anchor_keys(b: Block, length: int, buckets: int) -> tuple[np.ndarray, Keys]:
+def _anchor_keys(b: Block, length: int) -> tuple[np.ndarray, Keys]:
     at = _anchors(b, length)
     h = B.windows(b.hashes, length - PERIOD + 1)[at]
-    return at, Keys(np.zeros(len(at), np.uint32), h, b.ids[b.doc[at]], buckets)
+    return at, Keys(np.zeros(len(at), np.int32), h, b.ids[b.doc[at]])
 
 
-def _window_keys(b: Block, length: int, buckets: int, got: dict[int, bytes]) -> tuple[np.ndarray, Keys]:
+def _window_keys(b: Block, length: int, shared_anchors: tuple) -> tuple[np.ndarray, Keys]:
     """Windows of `length` words that hold an anchor which another document has too."""
-    at, keys = _anchor_keys(b, length, buckets)
-    shared = at[(keys.told(got) | keys.many)[keys.of]]
+    at, keys = _anchor_keys(b, length)
+    shared = at[(keys.told(shared_anchors) | keys.many)[keys.of]]
     marks = np.zeros(len(b.doc) + 1, np.int32)
     np.add.at(marks, np.maximum(shared - (PERIOD - 1), b.first[b.doc[shared]]), 1)
     np.add.at(marks, shared + 1, -1)
     w = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
     w = w[b.fits(w, length)]
-    high = (B.windows(B.mix(b.hashes ^ np.uint64(_SECOND)), length, _SECOND)[w] >> np.uint64(32)).astype(np.uint32)
-    return w, Keys(high, B.windows(b.hashes, length)[w], b.ids[b.doc[w]], buckets)
+    high = (B.windows(B.mix(b.hashes ^ np.uint64(_SECOND)), length, _SECOND)[w] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return w, Keys(high, B.windows(b.hashes, length)[w], b.ids[b.doc[w]])
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = 50, digests: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, and kept_sha256 of the kept words joined by one space or, without
     digests, the kept words themselves (column text) and the removed runs of words (column removed)."""
-    buckets = partitions(docs.sparkSession)
+    parts = partitions(docs.sparkSession)
     packed = text_blocks(docs, text)
     columns = ["doc_ids", "bytes", "ends"]
 
-    def ask_windows(row: dict, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        out = list(_window_keys(Block(row), length, buckets, got)[1].ask(True))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([row["block"]] * len(out), pa.int64()), pa.array([d for _, d in out], pa.binary())], ["bucket", "block", "data"])
+    def ask_anchors(row: dict) -> dict:
+        keys = _anchor_keys(Block(row), length)[1]
+        return {"low": keys.low.view(np.int64), "least": keys.least}
+
+    def ask_windows(row: dict, shared_anchors: tuple) -> Iterator[pa.RecordBatch]:
+        keys = _window_keys(Block(row), length, shared_anchors)[1]
+        n = len(keys.low)
+        for lo in range(0, n, 1 << 17):
+            own = slice(lo, min(n, lo + (1 << 17)))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(keys.low[own].view(np.int64)), pa.array(keys.high[own]), pa.array(keys.least[own]),
+                pa.array(np.full(own.stop - lo, row["block"], np.int64)), pa.array(np.arange(lo, own.stop, dtype=np.int32))], ["low", "high", "least", "block", "place"])
 
-    def finish(row: dict, anchors: dict[int, bytes], known: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+    def finish(row: dict, shared_anchors: tuple, held_before: tuple) -> Iterator[pa.RecordBatch]:
         b = Block(row)
-        w, keys = _window_keys(b, length, buckets, anchors)
-        gone = w[(b.ids[b.doc[w]] > keys.least[keys.of]) | keys.told(known)[keys.of]]
+        w, keys = _window_keys(b, length, shared_anchors)
+        gone = w[(b.ids[b.doc[w]] > keys.least[keys.of]) | keys.told(held_before)[keys.of]]
         marks = np.zeros(len(b.doc) + 1, np.int32)
         np.add.at(marks, gone, 1)
         np.add.at(marks, gone + length, -1)
         drop = np.cumsum(marks[:-1]) > 0
         yield from _results(b, row["doc_ids"], drop, digests)
 
-    first = cut(B.answer(B.ask(packed, lambda row: _anchor_keys(Block(row), length, buckets)[1].ask(False), columns), buckets, _elsewhere(False)), "anchors")
-    second = B.answer(B.meet(packed, columns, [first], buckets, ask_windows, B.ASK), buckets, _elsewhere(True))
+    anchor, window = Window.partitionBy("low"), Window.partitionBy("low", "high")
+    asked = B.ask(packed, ask_anchors, columns, "low long, least long").repartition(parts, "low")
+    elsewhere = asked.withColumns({"a": F.min("least").over(anchor), "z": F.max("least").over(anchor)}).where("a <> z").select("block", "place")
+    elsewhere = cut(elsewhere, "anchors")
+    asked = B.meet(packed, columns, [elsewhere], parts, ask_windows, "low long, high int, least long, block long, place int").repartition(parts, "low")
+    before = asked.withColumn("a", F.min("least").over(window)).where("least > a").select("block", "place")
     schema = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digests else "text string, removed array<struct<start: long, end: long>>")
-    return B.meet(packed, columns, [first, second], buckets, finish, schema)
+    return B.meet(packed, columns, [elsewhere, before], parts, finish, schema)
 
 
 def _results(b: Block, doc_ids: pa.Array, drop: np.ndarray, digests: bool, step: int = 2_000) -> Iterator[pa.RecordBatch]:
