@@ -24,15 +24,15 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: What a condition may test; all are defined where n_words > 0.
+#: What a condition may test; null, so that no condition holds, where a text has no words.
 FEATURES: dict[str, str] = {
     "n_words": "cast(n_words as double)",
-    "mean_word_chars": "word_chars / n_words",
-    "symbol_share": "n_symbols / word_chars",
+    "mean_word_chars": "try_divide(word_chars, n_words)",
+    "symbol_share": "try_divide(n_symbols, word_chars)",
     "duplicate_lines": "cast(n_dup_lines as double)",
-    "repeat_share": "n_repeat_words / n_words",
-    "capital_share": "n_capitals / word_chars",
-    "exclamation_share": "n_exclamations / n_words",
+    "repeat_share": "try_divide(n_repeat_words, n_words)",
+    "capital_share": "try_divide(n_capitals, word_chars)",
+    "exclamation_share": "try_divide(n_exclamations, n_words)",
 }
 
 
