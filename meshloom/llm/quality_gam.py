@@ -6,7 +6,7 @@ looked-up bins through the logistic function, so it can be read feature by featu
 from a bounded sample of labelled documents; scoring adds bins for whole batches at once.
 
 Defined results: a null or empty text has the features of no words and is scored by them; a null doc_id is
-scored and not held out; of several labels of one id the largest counts; repeated rows get equal results;
+scored and not held out; of several labels of one id the largest counts, of several texts of one id the greatest is learned from; repeated rows get equal results;
 without labels of both kinds every score is the base rate; an empty table gives no row; further columns are
 ignored; texts are read whole.
 """
@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .common import text_of
+from .toxicity import in_order
 
 #: Labelled documents of each kind that the tables are learned from, at most.
-SAMPLE_GOOD, SAMPLE_POOR = 5_000, 3_000
+SAMPLE_GOOD, SAMPLE_POOR = 10_000, 6_000
 BINS, PAIR_BINS, PAIRS = 48, 12, 8
 NAMES = ["words", "word_length", "long_words", "short_words", "capitals", "digits", "symbols", "stops", "exclamations", "bars", "other_signs", "beyond_ascii", "lines", "words_a_line", "sentence_words", "repeated_words", "repeated_pairs", "repeated_triples", "repeated_lines", "commas", "top_word"]
 
@@ -193,6 +194,18 @@ def fit_rows(rows: list) -> Gam:
     return fit(np.concatenate(parts), np.array([float(r["y"] == 1) for r in rows]))
 
 
+def learn(rows: DataFrame) -> Gam:
+    """A model of rows (doc_id, y, text): features are taken in Spark, so that NAMES numbers a document reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in B.concat_batches(batches, 6 << 20):
+            x = features(*B.text_buffer(B.column(t, "text")))
+            yield pa.RecordBatch.from_arrays([B.column(t, "doc_id"), B.column(t, "y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+
+    got = in_order(rows.select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(run, "doc_id long, y int, x array<double>"))
+    return fit(np.array([r.x for r in got]), np.array([float(r.y == 1) for r in got])) if got else Gam(0.0)
+
+
 def score(docs: DataFrame, model: Gam, text: str = "text") -> DataFrame:
     """doc_id, score."""
 

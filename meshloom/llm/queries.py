@@ -14,8 +14,8 @@ def _held_out() -> Column:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = toxicity.sample(docs, table(spark, sf_dir, "labels"), "text", "toxic", toxicity.SAMPLE_POSITIVE, toxicity.SAMPLE_NEGATIVE)
-    scored = toxicity.score(docs, toxicity.fit(rows))
+    rows = toxicity.sampled(docs, table(spark, sf_dir, "labels"), "text", "toxic", toxicity.SAMPLE_POSITIVE, toxicity.SAMPLE_NEGATIVE)
+    scored = toxicity.score(docs, toxicity.learn(rows))
     return scored.select("doc_id", _held_out(), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").alias("n_offending"), F.get("offending", F.lit(0))["begin"].alias("first_begin"))
 
 
@@ -68,8 +68,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = toxicity.sample(docs, table(spark, sf_dir, "labels"), "text", "quality", quality_gam.SAMPLE_GOOD, quality_gam.SAMPLE_POOR)
-    scored = quality_gam.score(docs, quality_gam.fit_rows(rows))
+    rows = toxicity.sampled(docs, table(spark, sf_dir, "labels"), "text", "quality", quality_gam.SAMPLE_GOOD, quality_gam.SAMPLE_POOR)
+    scored = quality_gam.score(docs, quality_gam.learn(rows))
     return scored.select("doc_id", _held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

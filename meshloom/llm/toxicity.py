@@ -2,18 +2,18 @@
 
 A sentence's probability is a logistic function of the words and word beginnings in it; a document's is the
 noisy-or of its sentences, so document labels alone teach which sentences offend. The weights are fitted by
-gradient steps on the noisy-or likelihood over a bounded sample of labelled documents; scoring reads every
-whole text once and returns where the offending sentences are.
+gradient steps on the noisy-or likelihood over a bounded sample of labelled documents, of which only numbered
+features reach the driver; scoring reads every whole text once and returns where the offending sentences are.
 
 Defined results: a null or empty text has no sentence and scores the probability of an empty sentence; a null
 doc_id is scored like any other and is not held out; labels of unknown ids and null labels are ignored, of
-several labels of one id the largest counts; repeated rows get equal results; without labels of both kinds every
+several labels of one id the largest counts, of several texts of one id the greatest is learned from; repeated rows get equal results; without labels of both kinds every
 score is the base rate; an empty table gives no row; further columns are ignored.
 """
 from __future__ import annotations
 
 import re
-from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import fold, text_of
+from .common import cut, fold, text_of
 
 #: Labelled documents of each kind that the weights are fitted on, at most.
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 2_500, 4_000
 LEAST_DOCS = 4
 PREFIXES = (4, 5)
-_STRIP = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "¡¿«»“”„‘’…–—"
+_STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—"
 
 
 @dataclass
@@ -81,53 +81,85 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, text: str, label: str, positive: int, negative: int) -> list:
-    """At most so many labelled documents of each kind from outside the held-out third, chosen by hash; the
-    ids are bounded by these numbers, and the texts of no other documents leave the executors."""
+def sampled(docs: DataFrame, labels: DataFrame, text: str, label: str, positive: int, negative: int) -> DataFrame:
+    """doc_id, y, text of at most so many labelled documents of each kind from outside the held-out third, chosen by hash."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     order = F.xxhash64(F.col("doc_id"), F.lit(91))
     chosen = marks.where("y = 1").orderBy(order).limit(positive).union(marks.where("y <> 1").orderBy(order).limit(negative))
     # One text per id; at most positive + negative ids are sent to the executors.
-    return docs.select(F.col("doc_id"), text_of(docs, text).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.max("text").alias("text")).orderBy(order).collect()
+    return docs.select(F.col("doc_id"), text_of(docs, text).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.max("text").alias("text"))
+
+
+def in_order(rows: DataFrame) -> list:
+    """Rows of a bounded sample, in the order of a hash of doc_id."""
+    return rows.orderBy(F.xxhash64(F.col("doc_id"), F.lit(91)), "doc_id").collect()
+
+
+def sample(docs: DataFrame, labels: DataFrame, text: str, label: str, positive: int, negative: int) -> list:
+    """The sampled documents with their texts, on the driver."""
+    return in_order(sampled(docs, labels, text, label, positive, negative))
+
+
+def _bags(text: str) -> list[list[str]]:
+    """The features of each sentence's different words; words that begin alike count that beginning each."""
+    return [[f for word in set(text[a:b].split()) for f in _features(word)] for a, b in sentences(text)]
+
 
+def learn(rows: DataFrame) -> Model:
+    """A model of rows (doc_id, y, text): features are counted and numbered in Spark, and those of fewer than LEAST_DOCS
+    documents never leave it."""
+    rows = cut(rows, "labelled")
 
-def fit(rows: list, rounds: int = 160, rate: float = 0.15, shrink: float = 2e-4) -> Model:
-    """rows: y (0 or 1) and text. Full-batch Adam on the noisy-or likelihood, with a small ridge penalty."""
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*_bags(text))), pa.string())], ["feature"])
+
+    counted = rows.select("text").mapInArrow(seen, "feature string").groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS)
+    vocabulary = {r.feature: k for k, r in enumerate(counted.select("feature").orderBy("feature").collect())}  # bounded by the sample
+    handle = rows.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = handle.value
+        for b in batches:
+            sizes, held = [], []
+            for text in b.column("text").to_pylist():
+                bags = [sorted(known[f] for f in bag if f in known) for bag in _bags(text)] or [[]]
+                sizes.append(np.array([len(x) for x in bags], "<i4").tobytes())
+                held.append(np.array([k for x in bags for k in x], "<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(sizes, pa.binary()), pa.array(held, pa.binary())], ["doc_id", "y", "sizes", "held"])
+
+    got = in_order(rows.select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(numbered, "doc_id long, y int, sizes binary, held binary"))
+    y = np.array([r.y == 1 for r in got], float)
+    parts = [np.frombuffer(r.sizes, "<i4") for r in got]
+    if not len(y) or y.min() == y.max():
+        return _base_rate(int(y.sum()), len(y))
+    return _descend(y, np.array([len(x) for x in parts]), np.concatenate(parts), np.concatenate([np.frombuffer(r.held, "<i4") for r in got]), vocabulary)
+
+
+def _base_rate(n_pos: int, n: int) -> Model:
+    p = (n_pos + 0.5) / (n + 1)
+    return Model({}, float(np.log(-np.log1p(-p)) if p < 0.5 else 2.0))
+
+
+def fit(rows: list, **how) -> Model:
+    """A model of a list of rows (y, 0 or 1, and text), in this process."""
     n_pos = sum(r["y"] == 1 for r in rows)
     if not n_pos or n_pos == len(rows):
-        p = (n_pos + 0.5) / (len(rows) + 1)
-        return Model({}, float(np.log(-np.log1p(-p)) if p < 0.5 else 2.0))
-    # Features get numbers as they come; an array holds those of all sentences in a row.
-    number: dict[str, int] = {}
-    cache: dict[str, tuple[int, ...]] = {}
-    held, bag_sizes, n_sent, in_docs = array("i"), array("i"), [], np.zeros(1 << 16, np.int32)
-    for r in rows:
-        begin, n = len(held), 0
-        for a, b in sentences(r["text"]):
-            size = len(held)
-            for word in set(r["text"][a:b].split()):
-                if word not in cache:
-                    cache[word] = tuple(number.setdefault(f, len(number)) for f in _features(word))
-                held.extend(cache[word])
-            bag_sizes.append(len(held) - size)
-            n += 1
-        if not n:
-            bag_sizes.append(0)
-        n_sent.append(max(1, n))
-        if len(number) > len(in_docs):
-            in_docs = np.concatenate([in_docs, np.zeros(2 * len(number) - len(in_docs), np.int32)])
-        in_docs[np.unique(np.frombuffer(held, np.int32)[begin:])] += 1
-    del cache
-    place = np.where(in_docs[: len(number)] >= LEAST_DOCS, np.cumsum(in_docs[: len(number)] >= LEAST_DOCS) - 1, -1).astype(np.int32)
-    vocabulary = {f: int(place[k]) for f, k in number.items() if place[k] >= 0}
-    del number
-    y = np.array([r["y"] == 1 for r in rows], float)
-    n_sent = np.array(n_sent)
+        return _base_rate(n_pos, len(rows))
+    docs = [_bags(r["text"]) or [[]] for r in rows]
+    n = Counter(f for bags in docs for f in set().union(*bags))
+    vocabulary = {f: k for k, f in enumerate(sorted(f for f, c in n.items() if c >= LEAST_DOCS))}
+    held = [sorted(vocabulary[f] for f in bag if f in vocabulary) for bags in docs for bag in bags]
+    return _descend(np.array([r["y"] == 1 for r in rows], float), np.array([len(b) for b in docs]), np.array([len(x) for x in held]), np.array([k for x in held for k in x], np.int32), vocabulary, **how)
+
+
+def _descend(y: np.ndarray, n_sent: np.ndarray, bag_sizes: np.ndarray, feat: np.ndarray, vocabulary: dict[str, int], rounds: int = 160, rate: float = 0.15, shrink: float = 2e-4) -> Model:
+    """Full-batch Adam on the noisy-or likelihood, with a small ridge penalty. y by document, the number of its sentences,
+    the number of features by sentence, and the features in a row."""
     doc = np.repeat(np.arange(len(n_sent)), n_sent)
     n_bags = len(bag_sizes)
-    sent = np.repeat(np.arange(n_bags, dtype=np.int32), np.frombuffer(bag_sizes, np.int32))
-    feat = place[np.frombuffer(held, np.int32)]
-    sent, feat = sent[feat >= 0], feat[feat >= 0]
+    sent = np.repeat(np.arange(n_bags, dtype=np.int32), bag_sizes)
     w, bias = np.zeros(len(vocabulary)), float(np.log(max(1e-6, y.mean() / n_sent.mean())))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
