@@ -174,32 +174,69 @@ def ask(blocks: DataFrame, fn: Callable, columns: list[str], schema: str) -> Dat
     return blocks.select("block", *columns).mapInArrow(run, f"{schema}, block long, place int")
 
 
+def _packed(answers: DataFrame, rows: int = 1 << 21) -> DataFrame:
+    """Rows (block, place) as rows (block, data), each with the places of one block among so many rows of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            block, place = (np.concatenate([h[k] for h in held]) for k in range(2))
+            held.clear()
+            order = np.lexsort((place, block))
+            block, place = block[order], place[order]
+            edges = np.flatnonzero(np.diff(block)) + 1
+            starts, ends = [0, *edges.tolist()], [*edges.tolist(), len(block)]
+            data = [squeeze(np.diff(place[a:b], prepend=0).astype("<i4")) for a, b in zip(starts, ends)]
+            return pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(data, pa.binary())], ["block", "data"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append((np.asarray(b.column(0)), np.asarray(b.column(1))))
+            if sum(len(h[0]) for h in held) >= rows:
+                yield flush()
+        if held:
+            yield flush()
+
+    return answers.select("block", "place").mapInArrow(run, "block long, data binary")
+
+
 def meet(blocks: DataFrame, columns: list[str], answers: list[DataFrame], parts: int, fn: Callable, schema: str) -> DataFrame:
-    """Each block meets its answers again (rows of block, place and perhaps data, a binary). fn takes the block's columns
-    and, for each of `answers`, the places in order and the data, and yields RecordBatches of `schema`. Blocks are streamed, one at a time."""
+    """Each block meets its answers again (rows of block and place). fn takes the block's columns and, for each of
+    `answers`, the places, and yields RecordBatches of `schema`. Blocks are streamed, one at a time."""
     n = len(answers)
-    every = blocks.select("block", F.lit(n).alias("kind"), F.lit(-1).alias("place"), F.lit(None).cast("binary").alias("data"), *columns)
+    every = blocks.select("block", F.lit(n).alias("kind"), F.lit(None).cast("binary").alias("data"), *columns)
     for k, a in enumerate(answers):
-        data = F.col("data") if "data" in a.columns else F.lit(None).cast("binary")
-        every = every.unionByName(a.select("block", F.lit(k).alias("kind"), "place", data.alias("data")), allowMissingColumns=True)
+        every = every.unionByName(_packed(a).withColumn("kind", F.lit(k)), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[tuple]] = [[] for _ in range(n)]
+        got: list[list[np.ndarray]] = [[] for _ in range(n)]
         for b in batches:
-            block, kind, place = (np.asarray(b.column(k)) for k in range(3))
-            edges = np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(block)]):
-                if kind[lo] < n:
-                    got[kind[lo]].append((place[lo:hi], b.column(3).slice(lo, hi - lo)))
+            for row in rows_of(b):
+                if row["kind"] < n:
+                    got[row["kind"]].append(np.cumsum(expand(row["data"], "<i4")))
                     continue
-                for row in rows_of(b.slice(lo, hi - lo)):
-                    told = [(np.concatenate([x[0] for x in g]) if g else np.zeros(0, np.int32), pa.concat_arrays([x[1] for x in g]) if g else pa.array([], pa.binary())) for g in got]
-                    yield from fn({c: row[c] for c in ["block", *columns]}, *told)
+                told = [np.concatenate(g) if g else np.zeros(0, np.int64) for g in got]
+                yield from fn({c: row[c] for c in ["block", *columns]}, *told)
                 got = [[] for _ in range(n)]
 
-    return every.repartition(parts, "block").sortWithinPartitions("block", "kind", "place").mapInArrow(run, schema)
+    return every.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
 
 
 def rows_of(b: pa.RecordBatch) -> Iterator[dict]:
     for i in range(b.num_rows):
         yield {name: b.column(k)[i].as_py() if not pa.types.is_list(b.schema.field(k).type) else b.column(k)[i].values for k, name in enumerate(b.schema.names)}
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple]:
+    """Runs of rows of the same key from sorted batches, also across them."""
+    now, held = None, []
+    for b in batches:
+        for row in rows_of(b):
+            if held and row[key] != now:
+                yield now, held
+                held = []
+            now = row[key]
+            held.append(row)
+    if held:
+        yield now, held

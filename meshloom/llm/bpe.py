@@ -1,9 +1,11 @@
 """BPE encoding and decoding by a distinct-word table.
 
 Spark splits the texts into the words of the tokenizer's own pattern. Blocks of documents keep each document
-as positions into the block's distinct words; the words are shuffled, and in their sorted stream each distinct
-word is encoded once by the tokenizers library, and its ids are joined back by block and position. Decoding joins the
-ids to the vocabulary's pieces, a table of a size fixed by the tokenizer, not by the corpus.
+as positions into the block's distinct words; the words are dealt to buckets by their hash, where each distinct
+word is encoded once by the tokenizers library, and its ids are joined back by position. There are so many buckets that
+one of them is small whatever the size of the corpus; a task takes its buckets one after another. A block sends a
+bucket one packed row, so there are never more rows than distinct words of blocks. Decoding joins the ids to the
+vocabulary's pieces, a table of a size fixed by the tokenizer, not by the corpus.
 
 A tokenizer file of another kind than byte-level BPE with this pattern (a normaliser, another pre-tokenizer, flags that
 change how its added tokens are found) is refused.
@@ -17,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,8 @@ from .common import cut, partitions, text_of
 
 #: The byte-level pattern, with Unicode classes for \s as in the library.
 PATTERN = r"""(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK_BYTES = 24 << 20
+#: Text of a block, and text of the corpus for each bucket: more than the distinct words that reach it.
+BLOCK_BYTES, BUCKET_BYTES = 24 << 20, 64 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -72,11 +75,12 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(B.expand(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-BLOCKS = "block long, doc_ids array<long>, n_words binary, positions binary, word_bytes binary, word_lengths binary"
+BLOCKS = "block long, doc_ids array<long>, n_words binary, positions binary, word_bytes binary, word_lengths binary, dealt binary"
 
 
-def word_blocks(docs: DataFrame, text: str, added: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per block of documents: positions into the block's distinct words, and these words."""
+def word_blocks(docs: DataFrame, text: str, added: list[str], buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per block of documents: positions into the block's distinct words, these words, and the bucket
+    of each, from which a block knows the order of its answers without the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, t in enumerate(B.concat_batches(batches, 2 * block_bytes)):
@@ -88,16 +92,24 @@ def word_blocks(docs: DataFrame, text: str, added: list[str], block_bytes: int =
             place = np.empty_like(rank)
             place[rank] = np.arange(len(rank))
             data, offsets = B.text_buffer(coded.dictionary.take(pa.array(rank)))
+            dealt = B.hash_spans(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)
             yield pa.RecordBatch.from_arrays([
                 pa.array([B.block_number(k)], pa.int64()), pa.array([B.column(t, "doc_id").to_pylist()], pa.list_(pa.int64())),
                 pa.array([_planes(n_words)], pa.binary()), pa.array([_planes(place[order])], pa.binary()),
-                pa.array([B.squeeze(data, 3)], pa.binary()), pa.array([_planes(np.diff(offsets))], pa.binary()),
-            ], ["block", "doc_ids", "n_words", "positions", "word_bytes", "word_lengths"])
+                pa.array([B.squeeze(data, 3)], pa.binary()), pa.array([_planes(np.diff(offsets))], pa.binary()), pa.array([_planes(dealt)], pa.binary()),
+            ], ["block", "doc_ids", "n_words", "positions", "word_bytes", "word_lengths", "dealt"])
 
     rows = docs.select(F.col("doc_id").cast("long"), split_words(text_of(docs, text), added).alias("words"))
     return cut(rows.mapInArrow(run, BLOCKS), "words")
 
 
+def _dealt(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a block's words sorted by bucket, and the bucket of each."""
+    bucket = _numbers(row["dealt"]).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order]
+
+
 def _take_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The spans data[starts : starts + lengths] in a row."""
     ends = np.cumsum(lengths)
@@ -121,40 +133,117 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", dige
     parts = partitions(docs.sparkSession)
     spec = json.load(open(tokenizer_path, encoding="utf-8"))
     added, source = _checked(spec), json.dumps(spec)
-    packed = word_blocks(docs, text, added)
-
-    def asked(row: dict) -> dict:
-        offsets = np.concatenate([[0], np.cumsum(_numbers(row["word_lengths"]).astype(np.int64))]).astype(np.int32)
-        return {"word": pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(B.expand(row["word_bytes"])))}
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of the sorted words each is encoded once, however many blocks ask for it."""
+    size = docs.agg(F.sum(F.octet_length(text_of(docs, text)))).first()[0] or 0
+    buckets = max(parts, -(-size // BUCKET_BYTES))
+    packed = word_blocks(docs, text, added, buckets)
+
+    def asked(row: dict) -> Iterator[tuple[int, bytes]]:
+        data, offsets = B.expand(row["word_bytes"], np.uint8), np.concatenate([[0], np.cumsum(_numbers(row["word_lengths"]).astype(np.int64))])
+        order, bucket = _dealt(row)
+        for lo, hi in _runs(bucket):
+            own = order[lo:hi]
+            lengths = offsets[own + 1] - offsets[own]
+            yield int(bucket[lo]), B.squeeze(len(own).to_bytes(4, "little") + lengths.astype("<u4").tobytes() + _take_spans(data, offsets[own], lengths).tobytes(), 3)
+
+    def encoded(requests: list[bytes]) -> Iterator[bytes]:
+        """Every distinct word of the bucket is encoded once, however many blocks ask for it."""
         tokenizer = _tokenizer(source)
-        last, held = None, b""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            own = b.column(0).dictionary_encode()
-            words = own.dictionary.to_pylist()
-            ids = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(words[words[0] == last :], add_special_tokens=False)]
-            ids = [held, *ids] if words[0] == last else ids
-            last, held = words[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(ids, pa.binary()).take(own.indices)], ["block", "place", "data"])
+        table: dict[bytes, bytes] = {}
+        for r in requests:
+            raw = B.expand(r)
+            n = int.from_bytes(raw[:4], "little")
+            ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)).tolist()
+            body = raw[4 + 4 * n :]
+            wanted = [body[a:b] for a, b in zip([0, *ends], ends)]
+            new = [w for w in wanted if w not in table]
+            for at in range(0, len(new), 4_000):
+                part = new[at : at + 4_000]
+                for w, e in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
+                    table[w] = np.array(e.ids, "<u4").tobytes()
+            ids = [table[w] for w in wanted]
+            yield _pair(np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), "<u4"))
 
     table = pieces(tokenizer_path)
 
-    def joined(row: dict, answer: tuple) -> Iterator[pa.RecordBatch]:
-        places, data = answer
-        raw, offsets = B.text_buffer(data)
-        if len(places) and (len(places) != places[-1] + 1 or (np.diff(places) != 1).any()):
-            raise ValueError(f"block {row['block']}: {len(places)} answers for {places[-1] + 1} words")
+    def joined(row: dict, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        order, bucket = _dealt(row)
+        n_ids = np.zeros(len(order), np.int64)
+        held, starts, size = [], np.zeros(len(order), np.int64), 0
+        for lo, hi in _runs(bucket):
+            lengths, ids = _unpair(got[int(bucket[lo])])
+            own = order[lo:hi]
+            if len(lengths) != len(own):
+                raise ValueError(f"block {row['block']}: a bucket answered {len(lengths)} of {len(own)} words")
+            n_ids[own] = lengths
+            starts[own] = size + np.cumsum(lengths) - lengths
+            held.append(ids)
+            size += len(ids)
+        word_ids = np.concatenate(held) if held else np.zeros(0, np.uint32)
         positions, n_words = _numbers(row["positions"]).astype(np.int64), _numbers(row["n_words"]).astype(np.int64)
-        yield from _finish(row["doc_ids"], n_words, positions, offsets[:-1] // 4, np.diff(offsets) // 4, np.frombuffer(raw.tobytes(), "<u4"), table, digests)
+        yield from _finish(row["doc_ids"], n_words, positions, starts, n_ids, word_ids, table, digests)
 
-    words = B.ask(packed, asked, ["word_bytes", "word_lengths"], "word string").repartition(parts, "word").sortWithinPartitions("word")
-    answers = words.mapInArrow(encoded, "block long, place int, data binary")
+    columns = ["doc_ids", "n_words", "positions", "dealt"]
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return B.meet(packed, ["doc_ids", "n_words", "positions"], [answers], parts, joined, schema)
+    return _meet(packed, columns, _answer(_ask(packed, asked, ["word_bytes", "word_lengths", "dealt"]), parts, encoded), parts, joined, schema)
+
+
+# The exchange. Asking rows: (bucket, block, data); an answer goes back under the same bucket and block.
+ASK = "bucket int, block long, data binary"
+
+
+def _batch(buckets: list[int], blocks: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blocks, pa.int64()), pa.array(data, pa.binary())], ["bucket", "block", "data"])
+
+
+def _ask(blocks: DataFrame, fn: Callable, columns: list[str]) -> DataFrame:
+    """fn takes a dict of a block's columns and yields (bucket, bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in B.rows_of(b):
+                out = list(fn(row))
+                for at in range(0, len(out), 10_000):
+                    part = out[at : at + 10_000]
+                    yield _batch([k for k, _ in part], [row["block"]] * len(part), [d for _, d in part])
+
+    return blocks.select("block", *columns).mapInArrow(run, ASK)
+
+
+def _answer(asked: DataFrame, parts: int, fn: Callable) -> DataFrame:
+    """fn takes the list of a bucket's data and yields the answers in the same order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in B.groups(batches, "bucket"):
+            held: list[bytes] = []
+            done = 0
+            for out in fn([r["data"] for r in rows]):
+                held.append(out)
+                if len(held) >= 1_000:
+                    yield _batch([bucket] * len(held), [r["block"] for r in rows[done : done + len(held)]], held)
+                    done, held = done + len(held), []
+            if held:
+                yield _batch([bucket] * len(held), [r["block"] for r in rows[done:]], held)
+
+    return asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, ASK)
+
+
+def _meet(blocks: DataFrame, columns: list[str], answers: DataFrame, parts: int, fn: Callable, schema: str) -> DataFrame:
+    """Each block meets its answers again. fn takes the block's columns and a dict bucket -> data, and yields RecordBatches
+    of `schema`. Blocks are streamed, one at a time."""
+    own = blocks.select("block", F.lit(True).alias("own"), F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("data"), *columns)
+    every = own.unionByName(answers.select("block", F.lit(False).alias("own"), "bucket", "data"), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, bytes] = {}
+        for b in batches:
+            for row in B.rows_of(b):
+                if not row["own"]:
+                    got[row["bucket"]] = row["data"]
+                    continue
+                yield from fn({c: row[c] for c in ["block", *columns]}, got)
+                got = {}
+
+    return every.repartition(parts, "block").sortWithinPartitions("block", "own").mapInArrow(run, schema)
 
 
 _held: dict = {}
@@ -173,7 +262,23 @@ def _tokenizer(source: str):
     return _held[key]
 
 
-def _finish(doc_ids: pa.Array, n_words: np.ndarray, positions: np.ndarray, starts: np.ndarray, n_ids: np.ndarray, word_ids: np.ndarray, table: list[bytes], digests: bool, step: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _pair(a: np.ndarray, b: np.ndarray) -> bytes:
+    first = _planes(a)
+    return len(first).to_bytes(4, "little") + first + _planes(b)
+
+
+def _unpair(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    return _numbers(data[4 : 4 + n]).astype(np.int64), _numbers(data[4 + n :])
+
+
+def _runs(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    if len(sorted_keys):
+        edges = np.flatnonzero(np.diff(sorted_keys)) + 1
+        yield from zip([0, *edges.tolist()], [*edges.tolist(), len(sorted_keys)])
+
+
+def _finish(doc_ids: pa.Array, n_words: np.ndarray, positions: np.ndarray, starts: np.ndarray, n_ids: np.ndarray, word_ids: np.ndarray, table: list[bytes], digests: bool, step: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Documents' ids and decoded texts from word positions, some documents at a time."""
     piece_data = np.frombuffer(b"".join(table), np.uint8)
     piece_len = np.array([len(p) for p in table], np.int64)

@@ -78,10 +78,10 @@ class Keys:
         last = np.append(np.flatnonzero(new)[1:], len(order)) - 1
         self.many = i[last] != self.least
 
-    def told(self, answer: tuple) -> np.ndarray:
+    def told(self, places: np.ndarray) -> np.ndarray:
         """By key: is it among the answers."""
         out = np.zeros(len(self.low), bool)
-        out[answer[0]] = True
+        out[places] = True
         return out
 
 
@@ -99,7 +99,7 @@ def _anchor_keys(b: Block, length: int) -> tuple[np.ndarray, Keys]:
     return at, Keys(np.zeros(len(at), np.int32), h, b.ids[b.doc[at]])
 
 
-def _window_keys(b: Block, length: int, shared_anchors: tuple) -> tuple[np.ndarray, Keys]:
+def _window_keys(b: Block, length: int, shared_anchors: np.ndarray) -> tuple[np.ndarray, Keys]:
     """Windows of `length` words that hold an anchor which another document has too."""
     at, keys = _anchor_keys(b, length)
     shared = at[(keys.told(shared_anchors) | keys.many)[keys.of]]
@@ -123,7 +123,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 50, digest
         keys = _anchor_keys(Block(row), length)[1]
         return {"low": keys.low.view(np.int64), "least": keys.least}
 
-    def ask_windows(row: dict, shared_anchors: tuple) -> Iterator[pa.RecordBatch]:
+    def ask_windows(row: dict, shared_anchors: np.ndarray) -> Iterator[pa.RecordBatch]:
         keys = _window_keys(Block(row), length, shared_anchors)[1]
         n = len(keys.low)
         for lo in range(0, n, 1 << 17):
@@ -132,7 +132,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 50, digest
                 pa.array(keys.low[own].view(np.int64)), pa.array(keys.high[own]), pa.array(keys.least[own]),
                 pa.array(np.full(own.stop - lo, row["block"], np.int64)), pa.array(np.arange(lo, own.stop, dtype=np.int32))], ["low", "high", "least", "block", "place"])
 
-    def finish(row: dict, shared_anchors: tuple, held_before: tuple) -> Iterator[pa.RecordBatch]:
+    def finish(row: dict, shared_anchors: np.ndarray, held_before: np.ndarray) -> Iterator[pa.RecordBatch]:
         b = Block(row)
         w, keys = _window_keys(b, length, shared_anchors)
         gone = w[(b.ids[b.doc[w]] > keys.least[keys.of]) | keys.told(held_before)[keys.of]]
