@@ -125,3 +125,22 @@ def warmup_cosine(step: Column, base: float, warmup: int, total: int, least: flo
     """Linear warm-up, then a cosine from base to least * base."""
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (step - warmup) / max(1, total - warmup)))
     return F.when(step < warmup, base * (step + 1) / max(1, warmup)).otherwise(base * (least + (1 - least) * 0.5 * (1 + F.cos(math.pi * share))))
+
+
+def physical_points(l_ref: Column, origin: list[Column]) -> dict[str, Column]:
+    """Coordinates in the source's own frame; null without an origin."""
+    return {f"si_{c}": F.col(c) * l_ref + o for c, o in zip("xyz", origin)}
+
+
+def standardise(df: DataFrame, stats: DataFrame, channels: tuple[str, ...], back: bool = False) -> DataFrame:
+    """Channels of df less their mean over their standard deviation, or (back) the way back. stats: channel, mean, std, a row a
+    channel, which reach every row as one."""
+    one = stats.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("channel", F.struct("mean", "std")))).alias("stats_"))
+    at = lambda c: F.col("stats_")[c]
+    new = {c: F.col(c) * at(c)["std"] + at(c)["mean"] if back else (F.col(c) - at(c)["mean"]) / at(c)["std"] for c in channels}
+    return df.join(F.broadcast(one)).withColumns(new).drop("stats_")
+
+
+def should_evaluate(step: Column, every: int, last: Column, stopped: Column) -> Column:
+    """At a boundary or the last step, but never after a stop."""
+    return ~stopped & ((step % every == 0) | last)

@@ -3,16 +3,28 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Cases of a bucket of a fingerprint.
+BUCKET = 100_000
+
+
 class PoolError(ValueError):
     """All violations of a pool together."""
 
 
+#: Columns that every manifest needs.
+NEEDED = ("case_id", "source", "split", "shard")
+
+
 def union(manifests: dict[str, DataFrame]) -> DataFrame:
-    """Manifests by name as one table with a column `manifest`; rows with an error are left out."""
+    """Manifests by name as one table with a column `manifest`; rows with an error are left out. A manifest that lacks a
+    needed column, and no manifest at all, raise PoolError."""
+    lacking = [f"{n}: no {', '.join(c for c in NEEDED if c not in m.columns)}" for n, m in manifests.items() if not set(NEEDED) <= set(m.columns)]
+    if lacking or not manifests:
+        raise PoolError("; ".join(lacking) or "no manifests")
     named = [m.withColumn("manifest", F.lit(n)) for n, m in manifests.items()]
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
     return out.where(F.col("error").isNull()) if "error" in out.columns else out
@@ -36,17 +48,28 @@ def held_out(pool: DataFrame, excluded: DataFrame) -> DataFrame:
     return pool.join(excluded, "source", "left_semi")
 
 
+def of_sources(pool: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """The rows of the wanted sources, or all."""
+    return pool if wanted is None else pool.join(wanted.select("source").distinct(), "source", "left_semi").select(pool.columns)
+
+
 def violations(pool: DataFrame, wanted: DataFrame, excluded: DataFrame, native: tuple[str, ...] = ()) -> DataFrame:
-    """rule, n for every rule, 0 where it holds."""
-    rows = [
-        duplicates(pool).agg(F.lit("duplicate_case").alias("rule"), F.count(F.lit(1)).alias("n")),
-        family_leaks(pool).agg(F.lit("family_in_splits").alias("rule"), F.count(F.lit(1)).alias("n")),
-        absent_sources(pool, wanted).agg(F.lit("absent_source").alias("rule"), F.count(F.lit(1)).alias("n")),
-        held_out(pool, excluded).agg(F.lit("held_out_source").alias("rule"), F.count(F.lit(1)).alias("n")),
-    ]
-    if "validated" in pool.columns:
-        rows.append(pool.where(~F.col("source").isin(list(native)) & ~F.coalesce("validated", F.lit(False))).agg(F.lit("not_validated").alias("rule"), F.count(F.lit(1)).alias("n")))
-    return reduce(DataFrame.unionByName, rows)
+    """rule, n for every rule, 0 where it holds, from one scan: the pool is grouped by case, family and source at once, which
+    combines before the shuffle, and the few rows of sources meet the lists of wanted and excluded ones."""
+    family = F.col("family") if "family" in pool.columns else F.lit(None).cast("string")
+    validated = F.coalesce(F.col("validated"), F.lit(False)) if "validated" in pool.columns else F.lit("validated" not in pool.columns)
+    rows = pool.select("case_id", "source", "split", family.alias("family"), (~F.col("source").isin(list(native)) & ~validated).alias("doubtful"))
+    grouped = rows.groupingSets([["case_id"], ["family"], ["source"]], "case_id", "family", "source").agg(
+        F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.min("split").alias("a"), F.max("split").alias("z"), F.count_if("doubtful").alias("doubtful"))
+    listed = lambda t, name: t.select(F.col("source").alias(name)).distinct()
+    of_source = F.col("g") == 6
+    joined = grouped.join(listed(wanted, "asked"), of_source & (F.col("source") == F.col("asked")), "left").join(listed(excluded, "barred"), of_source & (F.col("source") == F.col("barred")), "left")
+    sums = joined.agg(
+        F.count_if((F.col("g") == 3) & (F.col("n") > 1)).alias("duplicate_case"), F.count_if((F.col("g") == 5) & F.col("family").isNotNull() & (F.col("a") < F.col("z"))).alias("family_in_splits"),
+        F.count("asked").alias("found"), F.coalesce(F.sum(F.when(F.col("barred").isNotNull(), F.col("n"))), F.lit(0)).alias("held_out_source"), F.coalesce(F.sum(F.when(of_source, F.col("doubtful"))), F.lit(0)).alias("not_validated"))
+    sums = sums.join(listed(wanted, "asked").agg(F.count("asked").alias("asked")), F.lit(True)).withColumn("absent_source", F.col("asked") - F.col("found"))
+    rules = ["duplicate_case", "family_in_splits", "absent_source", "held_out_source", *(["not_validated"] if "validated" in pool.columns else [])]
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(x).alias("rule"), F.col(x).cast("long").alias("n")) for x in rules])).alias("r")).select("r.*")
 
 
 def require(pool: DataFrame, wanted: DataFrame, excluded: DataFrame, native: tuple[str, ...] = ()) -> DataFrame:
@@ -57,15 +80,31 @@ def require(pool: DataFrame, wanted: DataFrame, excluded: DataFrame, native: tup
     return pool.orderBy("shard")
 
 
-def fingerprint(pool: DataFrame, buckets: int = 256) -> DataFrame:
-    """SHA-256 over the pool: cases are digested in buckets by case_id, then the buckets' digests in order, so
-    that no task holds the pool."""
+def fingerprint(pool: DataFrame) -> DataFrame:
+    """SHA-256 over the pool: cases are digested in buckets by case_id, then the buckets' digests in order. There are 256
+    buckets, and sixteen times more as long as one would have more than BUCKET cases, so that no task holds the pool."""
+    n, buckets = pool.count(), 256
+    while n > buckets * BUCKET:
+        buckets *= 16
     line = F.concat_ws(",", "case_id", "source", "split", "shard")
     parts = pool.select(F.pmod("case_id", F.lit(buckets)).alias("b"), F.struct("case_id", line.alias("line")).alias("r")).groupBy("b").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["line"]), "\n").cast("binary"), 256).alias("d"), F.count(F.lit(1)).alias("n"))
     return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n").cast("binary"), 256).alias("fingerprint"), F.sum("n").alias("n"))
 
 
-def assign_splits(cases: DataFrame, seed: str, n_val: int, reused: DataFrame | None = None, bucket_bits: int = 8) -> DataFrame:
+def next_case(cases: DataFrame, pieces: int = 256) -> DataFrame:
+    """case_id, partner: the next larger id, and the smallest for the largest. Ids are cut into ranges, so that no task
+    sorts them all; only the ranges' first ids, at most `pieces`, are put in one order."""
+    ends = cases.agg(F.min("case_id").cast("double").alias("lo"), F.max("case_id").cast("double").alias("hi"))
+    piece = F.floor((F.col("case_id") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * pieces)
+    c = cases.select("case_id").distinct().join(F.broadcast(ends)).withColumn("piece", piece)
+    firsts = c.groupBy("piece").agg(F.min("case_id").alias("first"))
+    whole = Window.orderBy("piece")  # at most `pieces` rows
+    after = firsts.select("piece", F.coalesce(F.lead("first").over(whole), F.first("first").over(whole)).alias("after"))
+    own = c.withColumn("next", F.lead("case_id").over(Window.partitionBy("piece").orderBy("case_id")))
+    return own.join(F.broadcast(after), "piece").select("case_id", F.coalesce("next", "after").alias("partner"))
+
+
+def assign_splits(cases: DataFrame, seed: str, n_val: int, reused: DataFrame | None = None) -> DataFrame:
     """case_id, split: reused splits where the case is still there, of the others n_val by keyed order are val."""
     known = cases.select("case_id").join(reused, "case_id") if reused is not None else None
     rest = cases.select("case_id") if known is None else cases.select("case_id").join(known, "case_id", "left_anti")

@@ -44,12 +44,16 @@ def context(df: DataFrame, keys: list[str], n: int, seed: int, near_band: float
     return near.unionByName(more)
 
 
-def epoch_order(pool: DataFrame, seed: int, epoch: int, start: int = 0, shards: int = 64) -> DataFrame:
-    """case_id, pos: a permutation by key. Positions come from counts per key prefix and ranks within a prefix,
-    so no task sorts the whole pool; `start` resumes an epoch."""
-    k = pool.select("case_id", key(seed, epoch, F.col("case_id")).alias("key")).withColumn("s", F.substring("key", 1, 2))
+def epoch_order(pool: DataFrame, seed: int, epoch: int, start: int = 0) -> DataFrame:
+    """case_id, pos: a permutation by key. Positions come from counts per key prefix and ranks within a prefix, which is
+    two digits, and longer as long as one would have more than a million cases, so no task sorts the whole pool; `start`
+    resumes an epoch."""
+    n, digits = pool.count(), 2
+    while n > 16**digits * 1_000_000:
+        digits += 1
+    k = pool.select("case_id", key(seed, epoch, F.col("case_id")).alias("key")).withColumn("s", F.substring("key", 1, digits))
     counts = k.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
-    before = counts.select("s", (F.sum("c").over(Window.orderBy("s")) - F.col("c")).alias("base"))  # at most 256 rows
+    before = counts.select("s", (F.sum("c").over(Window.orderBy("s")) - F.col("c")).alias("base"))  # a row a prefix: 256, or one for about 60,000 cases or more
     out = k.join(F.broadcast(before), "s").withColumn("pos", F.col("base") + F.row_number().over(Window.partitionBy("s").orderBy("key", "case_id")) - 1)
     return out.select("case_id", "pos").where(F.col("pos") >= start)
 

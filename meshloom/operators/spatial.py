@@ -4,8 +4,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Reference points of a case up to which its pairs are compared directly.
-DIRECT = 512
+from ..plans.shared import cut
+
+#: Reference points of a case up to which its pairs are compared directly, and those a cell may hold before it is halved.
+DIRECT, CROWDED = 512, 64
+#: Levels of halving: cells of a 4096th of the first size are not divided.
+FINEST = 12
 
 
 def _d2(a: str, b: str) -> Column:
@@ -17,43 +21,58 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn(left: DataFrame, right: DataFrame, k: int, rounds: int = 6) -> DataFrame:
+def knn(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """case_id, point_id, rank (from 1), ref_id, d2: the k nearest rows of right (case_id, ref_id, x, y, z) to each row
     of left (case_id, point_id, x, y, z), nearest first, ties by ref_id.
 
-    Cases with few reference points are joined directly. In others a point meets the 27 cells around it, and its
-    result is certain once its k-th distance is no more than the cell size; what is not certain goes on
-    with cells twice as large, and what is left after `rounds` is joined with its whole case.
+    Cases with few reference points are joined directly. In others a point meets the 27 cells around it (around the
+    nearest place of the references' box, if it lies outside), of a size that its surroundings decide: crowded cells are
+    halved as often as their number of references asks for. The result is certain once the k-th distance is within
+    what the cells cover; what is not certain goes on, from a written table, with cells twice as large, until they
+    cover the box. No case is ever joined whole.
     """
     a = left.select("case_id", "point_id", *[F.col(c).alias(f"l{c}") for c in "xyz"])
     b = right.select("case_id", "ref_id", *[F.col(c).alias(f"r{c}") for c in "xyz"])
-    box = b.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), *[(F.max(f"r{c}") - F.min(f"r{c}")).alias(f"e{c}") for c in "xyz"])
-    # A cell size that holds about k points if they filled the box.
-    volume = F.greatest(F.col("ex"), F.lit(1e-9)) * F.greatest(F.col("ey"), F.lit(1e-9)) * F.greatest(F.col("ez"), F.lit(1e-9))
-    box = box.select("case_id", "n", F.pow(volume * k / F.col("n"), F.lit(1 / 3)).alias("h"))
+    bounds = b.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), *[F.min(f"r{c}").alias(f"lo{c}") for c in "xyz"], *[F.max(f"r{c}").alias(f"hi{c}") for c in "xyz"])
     columns = ["case_id", "point_id", "rank", "ref_id", "d2"]
-    small = box.where(F.col("n") <= DIRECT).select("case_id")
+    small = bounds.where(F.col("n") <= DIRECT).select("case_id")
     direct = _nearest(a.join(small, "case_id", "left_semi").join(b, "case_id").withColumn("d2", _d2("l", "r")), k).select(columns)
-    big = box.where(F.col("n") > DIRECT)
+    # A cell size that holds about k points if they filled the box.
+    extent = {c: F.greatest(F.col(f"hi{c}") - F.col(f"lo{c}"), F.lit(1e-9)) for c in "xyz"}
+    big = bounds.where(F.col("n") > DIRECT).withColumns({"h": F.pow(extent["x"] * extent["y"] * extent["z"] * k / F.col("n"), F.lit(1 / 3)), "e": F.greatest(*extent.values())})
     if big.limit(1).count() == 0:
         return direct
+    big = cut(big, "boxes")
+    size = F.col("h") * F.pow(F.lit(2.0), -F.col("level"))
+    cell = lambda p, h: [F.floor(F.col(f"{p}{c}") / h).alias(f"c{c}") for c in "xyz"]
+    refs = b.join(big.select("case_id", "h"), "case_id")
+    # Eight times fewer references fill a cell of half the size.
+    crowd = refs.select("case_id", *cell("r", F.col("h"))).groupBy("case_id", "cx", "cy", "cz").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > CROWDED)
+    crowd = crowd.withColumn("level", F.least(F.lit(FINEST), F.ceil(F.log2(F.col("held") / CROWDED) / 3)).cast("int")).drop("held")
+    inside = a.join(big, "case_id").withColumns({f"q{c}": F.greatest(F.least(F.col(f"l{c}"), F.col(f"hi{c}")), F.col(f"lo{c}")) for c in "xyz"})
+    outside = sum(((F.col(f"l{c}") - F.col(f"q{c}")) * (F.col(f"l{c}") - F.col(f"q{c}")) for c in "xyz"), F.lit(0.0))
+    first = inside.select("case_id", "point_id", *[f"l{c}" for c in "xyz"], *[f"q{c}" for c in "xyz"], "h", "e", "n", outside.alias("out2"), *cell("q", F.col("h")))
+    todo = first.join(crowd, ["case_id", "cx", "cy", "cz"], "left").drop("cx", "cy", "cz").withColumn("level", F.coalesce("level", F.lit(0)))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(m).alias("m")) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)]))
+    done = []
+    todo = cut(todo, "points")
+    while todo.limit(1).count():
+        levels = todo.select("case_id", "level").distinct()
+        held = refs.join(levels, "case_id").select("case_id", "level", "ref_id", "rx", "ry", "rz", *cell("r", size))
+        asks = todo.select("case_id", "level", "point_id", "lx", "ly", "lz", *cell("q", size)).withColumn("o", around)
+        asks = asks.withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j"), "cz": F.col("cz") + F.col("o.m")}).drop("o")
+        best = cut(_nearest(asks.join(held, ["case_id", "level", "cx", "cy", "cz"]).withColumn("d2", _d2("l", "r")), k).select(columns), "nearest")
+        got = best.groupBy("case_id", "point_id").agg(F.count(F.lit(1)).alias("got"), F.max("d2").alias("far"))
+        # A reference beyond the cells is at least a cell away from the place in the box, and so much more from a point outside.
+        certain = (size >= F.col("e")) | ((F.coalesce("got", F.lit(0)) >= F.least(F.lit(k), F.col("n"))) & (F.col("far") <= size * size + F.col("out2")))
+        told = todo.join(got, ["case_id", "point_id"], "left").withColumn("certain", F.coalesce(certain, F.lit(False)))
+        told = cut(told.drop("got", "far"), "points")
+        done.append(best.join(told.where("certain").select("case_id", "point_id"), ["case_id", "point_id"], "left_semi").select(columns))
+        todo = told.where("not certain").drop("certain").withColumn("level", F.col("level") - 1)
     out = direct
-    todo = a.join(big.select("case_id"), "case_id", "left_semi")
-    for level in range(rounds):
-        size = big.withColumn("h", F.col("h") * float(2**level))
-        cell = lambda p, o=0: [F.floor(F.col(f"{p}{c}") / F.col("h")).alias(f"c{c}") for c in "xyz"]
-        near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(m).alias("m")) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)]))
-        refs = b.join(size.select("case_id", "h"), "case_id").select("case_id", "ref_id", "rx", "ry", "rz", *cell("r"))
-        asks = todo.join(size, "case_id").select("case_id", "point_id", "lx", "ly", "lz", "h", "n", *cell("l")).withColumn("o", near)
-        asks = asks.select("case_id", "point_id", "lx", "ly", "lz", "h", "n", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), (F.col("cz") + F.col("o.m")).alias("cz"))
-        best = _nearest(asks.join(refs, ["case_id", "cx", "cy", "cz"]).withColumn("d2", _d2("l", "r")), k)
-        sure = best.groupBy("case_id", "point_id").agg(F.count(F.lit(1)).alias("got"), F.max("d2").alias("far"), F.first("h").alias("h"), F.first("n").alias("n")).where((F.col("got") >= F.least(F.lit(k), F.col("n"))) & (F.col("far") <= F.col("h") * F.col("h")))
-        sure = sure.select("case_id", "point_id")
-        out = out.unionByName(best.join(sure, ["case_id", "point_id"], "left_semi").select(columns))
-        todo = todo.join(sure, ["case_id", "point_id"], "left_anti")
-        if level >= 2 and todo.limit(1).count() == 0:
-            return out
-    return out.unionByName(_nearest(todo.join(b, "case_id").withColumn("d2", _d2("l", "r")), k).select(columns))
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
 def attach_prior(points: DataFrame, prior: DataFrame, fields: list[str]) -> DataFrame:

@@ -1,16 +1,51 @@
 """The folder that driver and executors share, for what a job writes and reads again."""
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def new_folder(spark: SparkSession, what: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (in tests), below a temporary folder."""
+def base_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir or the session's checkpoint folder. Where neither is set, a temporary folder on a local master
+    (in tests); on a cluster, whose machines do not share one, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="meshloom-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/meshloom-{what}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A new path below the shared folder, deleted when the driver ends."""
+    path = f"{base_folder(spark)}/meshloom-{what}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def cut(df: DataFrame, what: str = "cut") -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    path, schema = new_folder(df.sparkSession, what), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def forget() -> None:
+    """Delete what was written so far; tables that read it are gone then. Runs by itself when the driver ends."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session has ended; the folder is the cluster's to clear
+            return
+
+
+atexit.register(forget)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fields
-from .operators import attention, etl, logs, mesh, metrics, pool, retrieval, samples, sampling, series, spatial, tokens
+from .operators import attention, checks, etl, logs, mesh, metrics, pool, retrieval, samples, sampling, series, spatial, tokens
 from .plans import views
 from .plans.views import sql
 from .streaming import series as streaming
@@ -830,8 +830,108 @@ def _(s, d):
 
 @query("swap_partner", sql(", c as (select case_id, row_number() over (order by case_id) - 1 as i, count(*) over () as n from (select distinct case_id from points)) select a.case_id, b.case_id as partner from c a join c b on b.i = (a.i + 1) % a.n", "points"))
 def _(s, d):
-    c = views.points(s, d).select("case_id").distinct()
-    # One row per case of an evaluation set; the whole set is one small window.
-    w = Window.partitionBy(F.lit(0)).orderBy("case_id")
-    first = c.agg(F.min("case_id").alias("first"))
-    return c.withColumn("next", F.lead("case_id").over(w)).join(F.broadcast(first)).select("case_id", F.coalesce("next", "first").alias("partner"))
+    return pool.next_case(views.points(s, d).select("case_id"))
+
+
+# --- rules of cases, samples and manifests -----------------------------------------------------------------------
+_ODD = {"x": "case when point_id % 97 = 0 and case_id = 3 then {nan} else x end", "cell_size": "case when case_id = 4 then null when point_id % 101 = 0 then {inf} else cell_size end", "k": "case when point_id % 5 = 0 then {nan} else k end", "p_cp": "case when point_id % 7 = 0 then null else p_cp end"}
+_CASES = "select distinct label as case_id, case when label = 5 then 0.0 when label = 6 then {nan} else 1.5 end as l_ref, 10.0 as u_ref, label % 2 = 0 as k_there, label % 3 = 0 as cp_there from embeddings"
+
+
+@query("case_problems", sql(", p as (select * replace (" + ", ".join(f"{e.format(nan=chr(39) + 'nan' + chr(39) + '::double', inf=chr(39) + 'inf' + chr(39) + '::double')} as {c}" for c, e in _ODD.items()) + ") from points), c as (" + _CASES.format(nan="'nan'::double") + """),
+  b as (select case_id, count(*) filter (where isnan(x)) as points, count(*) filter (where isinf(cell_size)) as cell_size, count(*) filter (where isnan(k)) as k, count(*) filter (where p_cp is null) as p_cp from p group by 1),
+  r as (select case_id, 'scales' as rule, 1 as n from c where not l_ref > 0 or isnan(l_ref) union all select case_id, 'points', points from b union all select case_id, 'cell_size', cell_size from b
+    union all select case_id, 'fields', k from b join c using (case_id) where k_there union all select case_id, 'prior', p_cp from b join c using (case_id) where cp_there)
+select case_id, rule, cast(n as bigint) as n from r where n > 0""", "points"))
+def _(s, d):
+    p = views.points(s, d).withColumns({c: F.expr(e.format(nan="double('nan')", inf="double('inf')")) for c, e in _ODD.items()})
+    views.table(s, d, "embeddings").createOrReplaceTempView("meshloom_embeddings")
+    c = s.sql(_CASES.format(nan="double('nan')").replace("from embeddings", "from meshloom_embeddings"))
+    no = F.lit(False)
+    return checks.case_problems(p, c.select("case_id", "l_ref", "u_ref", F.array(no, no, F.col("k_there"), no).alias("presence"), F.array(no, F.col("cp_there"), no, no).alias("prior_presence")))
+
+
+@query("query_prior_problems", sql("""select case_id, case when case_id % 11 = 0 then 'another frame' when case_id % 4 = 0 then case when case_id % 8 = 0 then 'no prior' when case_id % 3 = 0 then 'other prior groups' end end as problem from pool
+where case_id % 11 = 0 or case_id % 8 = 0 or (case_id % 4 = 0 and case_id % 3 = 0)""", "pool"))
+def _(s, d):
+    c = views.pool(s, d).select("case_id", F.lit(2.0).alias("l_ref"), F.lit(10.0).alias("u_ref"), (F.col("case_id") % 4 == 0).alias("has_prior"), F.array(*[F.lit(x) for x in (True, True, False, False)]).alias("prior_presence"))
+    other = F.when(F.col("case_id") % 3 == 0, F.array(*[F.lit(x) for x in (True, False, False, False)])).otherwise(F.col("prior_presence"))
+    q = c.withColumns({"l_ref": F.when(F.col("case_id") % 11 == 0, 2.001).otherwise(2.000001), "has_prior": F.col("case_id") % 8 != 0, "prior_presence": other})
+    return checks.query_problems(c, q, F.lit(True))
+
+
+_PAPERS = """select n_name as source, case when n_nationkey % 9 = 1 then 'solid' else 'none' end as solid_field, case when n_nationkey = 10 then 1.0 end as solid_value,
+  case when n_nationkey = 2 then 'VERIFY: order' when n_nationkey = 3 then 'xyz' else 'vtk' end as stress_order, case when n_nationkey % 5 = 4 then 'static' else 'kinematic' end as pressure, case when n_nationkey < 15 then 1.2 end as rho, 0.0 as p_ref,
+  case when n_nationkey = 5 then {zero} else {one} end as inflow_dir, case when n_nationkey % 2 = 0 then 1.5 when n_nationkey = 7 then -1.0 end as l_ref_value, case when n_nationkey in (1, 9) then 'x-extent' end as l_ref_rule,
+  case when n_nationkey = 8 then null else 'bbox-centre-ground' end as origin_rule, case when n_nationkey = 12 then {point} end as origin_point, case when n_nationkey = 6 then 'high' when n_nationkey = 16 then '0.5' else 'none' end as ground from nation"""
+
+
+@query("manifest_problems", "with m as (" + _PAPERS.format(zero="[0.0, 0.0, 0.0]", one="[1.0, 0.0, 0.0]", point="[1.0, 2.0, 3.0]") + """),
+  a as (select *, list_filter([case when stress_order like '%VERIFY%' then 'stress_order: missing' end, case when l_ref_value is null and l_ref_rule is null then 'l_ref: missing' end, case when origin_point is null and origin_rule is null then 'origin: missing' end], lambda x: x is not null) as lack from m),
+  b as (select *, list_filter([case when solid_field <> 'none' and solid_value is null then 'solid_mask: no solid value' end, case when stress_order not in ('vtk', 'foam', 'none') then 'stress_order: unknown' end, case when pressure = 'static' and rho is null then 'pressure: static needs rho and p_ref' end,
+    case when inflow_dir[1] = 0 then 'inflow_dir: a non-zero 3-vector' end, case when l_ref_value <= 0 then 'l_ref: a length or x-extent' when source = 'INDONESIA' and l_ref_value is null then 'l_ref: this source needs a length' end, case when ground = 'high' then 'ground_z: a height or none' end], lambda x: x is not null) as bad from a)
+select source, array_to_string(case when len(lack) > 0 then lack else bad end, '; ') as problems from b""")
+def _(s, d):
+    views.table(s, d, "nation").createOrReplaceTempView("meshloom_nation")
+    m = s.sql(_PAPERS.format(zero="array(0.0D, 0.0D, 0.0D)", one="array(1.0D, 0.0D, 0.0D)", point="array(1.0D, 2.0D, 3.0D)").replace("from nation", "from meshloom_nation"))
+    return checks.manifest_problems(m, ("INDONESIA",)).select("source", F.array_join("problems", "; ").alias("problems"))
+
+
+@query("reference_frames", sql(", b as (select case_id, min(x) as lox, max(x) as hix, min(y) as loy, max(y) as hiy, min(z) as loz from points group by 1) select case_id, " + r("case when case_id % 2 = 0 then 3.0 else hix - lox end as l_ref", "case when case_id = 3 then 1.0 else (lox + hix) / 2 end as ox", "case when case_id = 3 then 2.0 else (loy + hiy) / 2 end as oy", "case when case_id = 3 then 3.0 when case_id % 4 = 0 then 0.25 else loz end as oz") + " from b", "points"))
+def _(s, d):
+    b = views.points(s, d).groupBy("case_id").agg(*[f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "xyz"]).withColumn("source", F.col("case_id").cast("string"))
+    m = b.select("source", F.when(F.col("case_id") % 2 == 0, 3.0).alias("l_ref_value"), F.when(F.col("case_id") == 3, F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))).alias("origin_point"), F.when(F.col("case_id") % 4 == 0, "0.25").otherwise("none").alias("ground"))
+    return checks.reference_frames(b, m).drop("source")
+
+
+@query("physical_points", sql("select case_id, point_id, " + r("x * 2.5 + case_id as si_x", "y * 2.5 - 1 as si_y", "case when case_id <> 4 then z * 2.5 end as si_z") + " from points", "points"))
+def _(s, d):
+    at = fields.physical_points(F.lit(2.5), [F.col("case_id"), F.lit(-1.0), F.when(F.col("case_id") != 4, F.lit(0.0))])
+    return views.points(s, d).select("case_id", "point_id", *[c.alias(n) for n, c in at.items()])
+
+
+@query("standardise_channels", sql(", m as (select avg(ux) as a, stddev_pop(ux) + 1e-6 as b, avg(cp) as c, stddev_pop(cp) + 1e-6 as e from points) select case_id, point_id, " + r("(ux - a) / b as ux", "(cp - c) / e as cp", "ux as ux_back") + " from points, m", "points"))
+def _(s, d):
+    p = views.points(s, d)
+    stats = metrics.channel_stats(p, rotation_invariant=False)
+    there = fields.standardise(p, stats, ("ux", "cp"))
+    back = fields.standardise(there, stats, ("ux",), back=True).select("case_id", "point_id", F.col("ux").alias("ux_back"))
+    return there.select("case_id", "point_id", "ux", "cp").join(back, ["case_id", "point_id"])
+
+
+@query("evaluation_steps", "select cast(i as bigint) as step, i % 12 <> 5 and (i % 10 = 0 or i = 57) as evaluate from range(60) t(i)")
+def _(s, d):
+    return s.range(60).select(F.col("id").alias("step"), fields.should_evaluate(F.col("id"), 10, F.col("id") == 57, F.col("id") % 12 == 5).alias("evaluate"))
+
+
+@query("pool_of_sources", sql(_MAN + " select case_id, source, split, shard from u where source in ('1-URGENT', '2-HIGH')", "pool"))
+def _(s, d):
+    wanted = s.createDataFrame([("1-URGENT",), ("2-HIGH",), ("2-HIGH",)], "source string")
+    return pool.of_sources(_manifests(s, d), wanted).select("case_id", "source", "split", "shard")
+
+
+# --- large cases: the grid of the neighbours, and Arrow folds ----------------------------------------------------
+_LINES = "select l_returnflag || l_linestatus as case_id, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as id, l_quantity / 50 as x, l_discount * 10 as y, l_extendedprice / 50000 as z from lineitem"
+
+
+def _line_points(s, d):
+    """Every line as a point, and the lines with an id in ten as references: clustered on planes of discount and quantity."""
+    # Ids are row numbers; they only have to be the same on both sides.
+    return s.sql(_LINES.replace("from lineitem", f"from parquet.`{d}/lineitem.parquet`")).withColumns({c: F.col(c).cast("double") for c in "xyz"})
+
+
+@query("knn_large", f"with p as ({_LINES}), n as (select a.case_id, a.id as point_id, b.id as ref_id, {_D2} as d2, row_number() over (partition by a.case_id, a.id order by {_D2}, b.id) as rank from p a join p b on a.case_id = b.case_id and b.id % 10 = 0 where a.id % 25 = 0) select case_id, point_id, cast(rank as int) as rank, ref_id, round(sqrt(d2), 6) + 0.0 as dist from n where rank <= 3")
+def _(s, d):
+    p = _line_points(s, d)
+    # The stated query points; every line is in the references' table or beside it.
+    asked = p.where("id % 25 = 0").withColumnRenamed("id", "point_id")
+    return spatial.knn(asked, p.where("id % 10 = 0").withColumnRenamed("id", "ref_id"), 3).select("case_id", "point_id", "rank", "ref_id", F.sqrt("d2").alias("dist"))
+
+
+# --- read-outs ---------------------------------------------------------------------------------------------------
+@query("readout_table")
+def _(s, d):
+    p = views.points(s, d)
+    names = ["near_share", "mean_z", "std_z", "q90_z", "extent_x", "extent_y"]
+    shapes = {"geometry": (metrics.case_features(p, ["case_id"]), names), "extents": (metrics.case_features(p, ["case_id"]), names[4:])}
+    return retrieval.readout(shapes, metrics.case_targets(p, ["case_id"]), "case_id", ["street_speed", "wall_cp", "mean_k"], tuple(10.0**k for k in range(-3, 8)), 200)

@@ -1,10 +1,9 @@
-"""Manifest jobs fail closed; the service's bytes keep their format; the command line lists the queries."""
+"""Manifest jobs fail closed; samples are whole and keyed; the command line lists the queries."""
 import pytest
 from pyspark.sql import functions as F
 
 from meshloom.__main__ import main
 from meshloom.operators import etl, samples
-from meshloom.sources import wire
 
 from .test_operators import cube
 
@@ -20,20 +19,6 @@ def test_backfill_is_all_or_nothing(spark):
     assert etl.require_complete(filled.where("case_id = 1")).columns == ["case_id", "u_ref", "l_ref", "log10_re"]
 
 
-@pytest.mark.parametrize("n", [0, 1, 127, 128, 300, wire.CHUNK + 1])
-def test_chunks_and_frames(n):
-    data = bytes(i % 251 for i in range(n))
-    assert wire.decode_chunk(wire.encode_chunk(data)) == data
-    assert b"".join(wire.split(data)) == data and len(list(wire.split(data))) == max(1, -(-n // wire.CHUNK))
-    assert wire.unframe(wire.frame({"a": 1}, data)) == ({"a": 1}, data)
-
-
-@pytest.mark.parametrize("bad", [b"\x12\x01a", b"\x0a", b"\x0a\x80", b"\x0a\x05abc", b"\x0a\x01abc"])
-def test_broken_chunks(bad):
-    with pytest.raises(wire.WireError):
-        wire.decode_chunk(bad)
-
-
 def test_sample_is_whole_and_keyed(spark):
     p = cube(spark, 120, 2)
     spec = samples.SampleSpec(n_context=40, n_tokens=(5, 3), k=4, n_query=60)
