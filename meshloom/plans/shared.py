@@ -31,19 +31,36 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path, schema = new_folder(df.sparkSession, what), df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    _paths[id(out)] = out, path
+    return out
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables of cut() that nothing reads any more."""
+    for t in tables:
+        out, path = _paths.pop(id(t), (None, None))
+        if out is not None:
+            _delete(t.sparkSession, path)
+            _made[:] = [m for m in _made if m[1] != path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Folders written so far, and the tables that read them (held, so that their numbers stay theirs).
 _made: list[tuple[SparkSession, str]] = []
+_paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def forget() -> None:
     """Delete what was written so far; tables that read it are gone then. Runs by itself when the driver ends."""
+    _paths.clear()
     while _made:
-        spark, path = _made.pop()
         try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(*_made.pop())
         except Exception:  # noqa: BLE001  the session has ended; the folder is the cluster's to clear
             return
 
