@@ -1,12 +1,13 @@
 """What the operators of this subpackage share: shared storage, table access, hashing of labelled splits."""
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import cut, new_folder, release
+
+__all__ = ["WORD", "cut", "fold", "new_path", "partitions", "release", "table", "text_of"]
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,29 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (in tests only, where it is
-    unset) a temporary folder that is then set for the session."""
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not conf:
-        conf = spark.sparkContext.getCheckpointDir()
-        if not conf:
-            conf = "file://" + tempfile.mkdtemp(prefix="meshloom-")
-            spark.sparkContext.setCheckpointDir(conf)
-    return conf
-
-
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/meshloom-{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return new_folder(spark, what)
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

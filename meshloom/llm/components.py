@@ -4,16 +4,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 #: A node of more edges is hot; up to so many hot nodes are sent to all executors, which is checked.
 HOT_EDGES, HOT_NODES = 1_000, 200_000
 
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """Edges a, b with the m of their a in `least` (a, m, n edges). The edges of a hot node stay where they are and get
-    its m from a table of the hot nodes, so no node's edges meet in one task; beyond HOT_NODES all are joined alike."""
-    least = cut(least, "least")
+    """Edges a, b with the m of their a in `least` (a, m, n edges; a written table). The edges of a hot node stay where they
+    are and get its m from a table of the hot nodes, so no node's edges meet in one task; beyond HOT_NODES all are joined
+    alike."""
     hot = least.where(F.col("n") > HOT_EDGES).select("a", "m")
     if not 0 < hot.count() <= HOT_NODES:
         return edges.join(least.select("a", "m"), "a")
@@ -33,14 +33,15 @@ def components(edges: DataFrame) -> DataFrame:
     while changed:
         both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: every larger neighbour of a node points to the smallest of its neighbourhood.
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
         large = _with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: a node and its smaller neighbours point to the smallest of them.
         large = cut(large, "edges")
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
         small = _with_least(large, low).select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         new = cut(small, "edges")
         changed = new.join(pairs, ["a", "b"], "left_anti").limit(1).count() + pairs.join(new, ["a", "b"], "left_anti").limit(1).count()
+        release(least, large, low, pairs)
         pairs = new
     stars = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -114,7 +114,8 @@ def _window_keys(b: Block, length: int, shared_anchors: np.ndarray) -> tuple[np.
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = 50, digests: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, and kept_sha256 of the kept words joined by one space or, without
-    digests, the kept words themselves (column text) and the removed runs of words (column removed)."""
+    digests, the kept words themselves (column text), the removed runs of words (column removed) and the whole text's
+    digest (text_sha256)."""
     parts = partitions(docs.sparkSession)
     packed = text_blocks(docs, text)
     columns = ["doc_ids", "bytes", "ends"]
@@ -148,7 +149,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 50, digest
     elsewhere = cut(elsewhere, "anchors")
     asked = B.meet(packed, columns, [elsewhere], parts, ask_windows, "low long, high int, least long, block long, place int").repartition(parts, "low")
     before = asked.withColumn("a", F.min("least").over(window)).where("least > a").select("block", "place")
-    schema = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digests else "text string, removed array<struct<start: long, end: long>>")
+    schema = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digests else "text string, removed array<struct<start: long, end: long>>, text_sha256 string")
     return B.meet(packed, columns, [elsewhere, before], parts, finish, schema)
 
 
@@ -173,4 +174,5 @@ def _results(b: Block, doc_ids: pa.Array, drop: np.ndarray, digests: bool, step:
         if digests:
             yield pa.RecordBatch.from_arrays([*head, pa.array([hashlib.sha256(k).hexdigest() for k in kept])], ["doc_id", "n_words", "n_removed", "kept_sha256"])
         else:
-            yield pa.RecordBatch.from_arrays([*head, pa.array([k.decode("utf-8", "replace") for k in kept]), pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "n_words", "n_removed", "text", "removed"])
+            whole = pa.array([hashlib.sha256(raw[b.offsets[d] : b.offsets[d + 1]]).hexdigest() for d in rows])
+            yield pa.RecordBatch.from_arrays([*head, pa.array([k.decode("utf-8", "replace") for k in kept]), pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), whole], ["doc_id", "n_words", "n_removed", "text", "removed", "text_sha256"])

@@ -44,3 +44,52 @@ def test_stages_do_what_brute_force_does(spark, tmp_path):
 def test_run_ends_with_tokens(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def prose(k: int, n: int) -> str:
+    return " ".join(f"w{(k * 7919 + i * i) % 9973}" for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd_folder(spark, tmp_path_factory):
+    """Tables with nulls, empty and long texts, repeated rows, one id with two texts, and clashing columns."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    shared = prose(1, 70)
+    texts = {1: prose(2, 90), 2: f"{prose(3, 60)} {shared}", 3: f"{shared} {prose(4, 60)}", 4: None, 5: "", 6: prose(5, 90), 7: prose(6, 90) + " end", 8: shared, 9: " ".join(f"long{i}" for i in range(40_000)), 10: "short"}
+    rows = [(i, t) for i, t in texts.items()] + [(6, prose(7, 90)), (6, prose(7, 90)), (1, texts[1]), (None, prose(8, 90))]
+    out = spark.createDataFrame([(i, t, "en", "web", len(t or ""), 1, 2, "r", "h", True, 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, n_removed int, n_words int, rest string, own_id string, kept boolean, class_id int")
+    out.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(2, None, 0), (3, 1, None), (99, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, texts[7][:200]), (2, None), (None, "x")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, odd_folder, tmp_path):
+    docs = table(spark, odd_folder, "documents")
+    columns, seen = docs.columns, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, odd_folder).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if name != "tokens":
+            assert docs.columns == columns
+            seen.append(sorted(r.doc_id for r in docs.collect()))
+        if name == "passages":
+            by = {}
+            for r in docs.collect():
+                by.setdefault(r.doc_id, []).append(r)
+            assert by[3][0].text == prose(4, 60) and by[3][0].n_chars == len(prose(4, 60)) and by[3][0].rest == "r"
+            assert sorted(r.text for r in by[6]) == sorted([prose(5, 90), prose(7, 90), prose(7, 90)])
+    assert seen == [[1, 1, 2, 3, 6, 6, 6, 7, 8, 9], [1, 1, 2, 3, 6, 6, 6, 7, 8, 9], [1, 1, 2, 3, 6, 6, 6, 7, 9], [1, 1, 2, 3, 6, 6, 6, 9]]
+    assert docs.count() == 8
+
+
+def test_stages_take_empty_tables(spark, odd_folder, tmp_path):
+    folder = str(tmp_path)
+    for name in ("documents", "labels", "benchmark"):
+        table(spark, odd_folder, name).limit(0).write.parquet(f"{folder}/{name}.parquet")
+    docs = table(spark, folder, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).count() == 0
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    kept = corpus_pipeline.STAGES[0][1](spark, table(spark, odd_folder, "documents"), folder)
+    assert kept.count() == 10  # without labels the base filter alone decides
