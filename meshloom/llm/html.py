@@ -187,7 +187,7 @@ class Page:
         def flush(block: int) -> None:
             nonlocal linked
             if held:
-                text = _SPACE.sub(" ", "".join(held)).strip()
+                text = " ".join("".join(held).split())
                 if text:
                     pieces.append((block, text, min(linked, len(text)), blocks[block].out))
                 held.clear()
