@@ -174,7 +174,7 @@ def ask(blocks: DataFrame, fn: Callable, columns: list[str], schema: str) -> Dat
     return blocks.select("block", *columns).mapInArrow(run, f"{schema}, block long, place int")
 
 
-def _packed(answers: DataFrame, rows: int = 1 << 21) -> DataFrame:
+def _packed(answers: DataFrame, rows: int = 1 << 19) -> DataFrame:
     """Rows (block, place) as rows (block, data), each with the places of one block among so many rows of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from .common import cut, partitions, text_of
 
 #: A perfect difference set modulo 31: every residue is a difference of two of its members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BLOCKS = "block long, doc_ids array<long>, bytes binary, ends binary"
 _SECOND = 0xC2B2AE3D27D4EB4F
 
