@@ -25,9 +25,10 @@ def require_complete(filled: DataFrame) -> DataFrame:
     return filled.drop("error")
 
 
-def voxels_to_points(voxels: DataFrame, keys: list[str], dx: float, l_ref: float) -> DataFrame:
+def voxels_to_points(voxels: DataFrame, keys: list[str], dx: float, l_ref: float, normals: bool = False) -> DataFrame:
     """Fluid voxels as points at cell centres over l_ref, with the distance to the nearest solid voxel less half a
-    cell, not below 0. voxels: ix, iy, iz, fluid. The ground layer (iz = -1) counts as solid."""
+    cell, not below 0. voxels: ix, iy, iz, fluid. The ground layer (iz = -1) counts as solid. With `normals` also nx, ny, nz,
+    the unit vector from that solid voxel (of equally near ones the first by number; the ground last) to the point."""
     from .spatial import knn
 
     at = {c: (F.col(f"i{c}") + 0.5) * dx for c in "xyz"}
@@ -35,7 +36,12 @@ def voxels_to_points(voxels: DataFrame, keys: list[str], dx: float, l_ref: float
     number = F.xxhash64(*[F.col(f"i{c}") for c in "xyz"])
     solid = voxels.where("not fluid").select(case, number.alias("ref_id"), *[v.alias(c) for c, v in at.items()])
     fluid = voxels.where("fluid").select(case, number.alias("point_id"), *[v.alias(c) for c, v in at.items()], "ix", "iy", "iz")
-    near = knn(fluid, solid, 1).select("case_id", "point_id", F.sqrt("d2").alias("d"))
+    near = knn(fluid, solid, 1).select("case_id", "point_id", "ref_id", F.sqrt("d2").alias("d"))
+    if normals:
+        near = near.join(solid.select("case_id", "ref_id", *[F.col(c).alias(f"s{c}") for c in "xyz"]), ["case_id", "ref_id"])
     out = fluid.join(near, ["case_id", "point_id"], "left")
-    wall = F.greatest(F.least(F.coalesce("d", F.lit(float("inf"))), F.col("z") + 0.5 * dx) - 0.5 * dx, F.lit(0.0))
-    return out.select("case_id", "ix", "iy", "iz", *[(F.col(c) / l_ref).alias(c) for c in "xyz"], (wall / l_ref).alias("wall_dist"))
+    down = F.col("z") + 0.5 * dx
+    wall = F.greatest(F.least(F.coalesce("d", F.lit(float("inf"))), down) - 0.5 * dx, F.lit(0.0))
+    building = F.coalesce(F.col("d") <= down, F.lit(False))
+    unit = [F.when(building, (F.col(c) - F.col(f"s{c}")) / F.col("d")).otherwise(F.lit(1.0 if c == "z" else 0.0)).alias(f"n{c}") for c in "xyz"] if normals else []
+    return out.select("case_id", "ix", "iy", "iz", *[(F.col(c) / l_ref).alias(c) for c in "xyz"], (wall / l_ref).alias("wall_dist"), *unit)

@@ -82,3 +82,16 @@ def point_mask(df: DataFrame, keys: list[str], score: Column, ratio: float) -> D
 def unit(*parts: Column | str | int) -> Column:
     """A number in [0, 1) from a key: eight hexadecimal digits."""
     return F.conv(F.substring(key(*parts), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def street_probes(points: DataFrame, keys: list[str], height: float, band: float, clear: float, span: tuple[float, float], n: int, seed: int) -> DataFrame:
+    """At most n points of each group near a height, clear of walls and within a span of x, by keyed order."""
+    near = points.where((F.abs(F.col("z") - height) <= band) & (F.col("wall_dist") > clear) & F.col("x").between(*span))
+    return first_by_key(near, keys, [key(seed, F.col("point_id")), F.col("point_id")], n).drop("rank")
+
+
+def nearest_layer(points: DataFrame, keys: list[str], height: float, digits: int = 2, band: float = 0.01) -> DataFrame:
+    """The points within `band` of the group's layer zl (heights rounded to so many digits) that is nearest to a height."""
+    layers = points.select(*keys, F.round("z", digits).alias("zl")).distinct()
+    chosen = layers.groupBy(*keys).agg(F.min_by("zl", F.struct(F.abs(F.col("zl") - height), "zl")).alias("zl"))
+    return points.join(chosen, keys).where(F.abs(F.col("z") - F.col("zl")) < band)

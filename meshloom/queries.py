@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fields
-from .operators import attention, checks, etl, logs, mesh, metrics, pool, retrieval, samples, sampling, series, spatial, tokens
+from .operators import attention, batches, checks, etl, logs, mesh, metrics, pool, retrieval, samples, sampling, series, spatial, tokens
 from .plans import views
 from .plans.views import sql
 from .streaming import series as streaming
@@ -417,8 +417,7 @@ def _(s, d):
 
 @query("pedestrian_probes", sql(f"select case_id, point_id from points where abs(z - 0.05) <= 0.08 and wall_dist > 0.2 and x between -0.2 and 0.2 qualify row_number() over (partition by case_id order by {_md5(chr(39) + '9' + chr(39), 'point_id')}, point_id) <= 8", "points"))
 def _(s, d):
-    near = views.points(s, d).where("abs(z - 0.05) <= 0.08 and wall_dist > 0.2 and x between -0.2 and 0.2")
-    return sampling.first_by_key(near, ["case_id"], [sampling.key(9, F.col("point_id")), F.col("point_id")], 8).select("case_id", "point_id")
+    return sampling.street_probes(views.points(s, d), ["case_id"], 0.05, 0.08, 0.2, (-0.2, 0.2), 8, 9).select("case_id", "point_id")
 
 
 # --- space -------------------------------------------------------------------------------------------------------
@@ -696,9 +695,7 @@ def _(s, d):
 
 @query("nearest_layer_slice", sql(f", l as (select case_id, arg_min(zl, (abs(zl - 0.05), zl)) as zl from (select distinct case_id, round(z, 2) as zl from points) group by 1) select case_id, {r('zl')}, count(*) as n, {r(_case('p_', 'ux', 'uy', 'uz') + ' as rel_l2')} from points join l using (case_id) where abs(z - zl) < 0.01 group by all", "points"))
 def _(s, d):
-    p = views.points(s, d)
-    layer = p.select("case_id", F.round("z", 2).alias("zl")).distinct().groupBy("case_id").agg(F.min_by("zl", F.struct(F.abs(F.col("zl") - 0.05), "zl")).alias("zl"))
-    near = p.join(layer, "case_id").where(F.abs(F.col("z") - F.col("zl")) < 0.01)
+    near = sampling.nearest_layer(views.points(s, d), ["case_id"], 0.05)
     return near.groupBy("case_id", "zl").agg(F.count(F.lit(1)).alias("n"), metrics.rel_l2([(F.col(f"p_{c}"), F.col(c)) for c in ("ux", "uy", "uz")]).alias("rel_l2"))
 
 
@@ -935,3 +932,43 @@ def _(s, d):
     names = ["near_share", "mean_z", "std_z", "q90_z", "extent_x", "extent_y"]
     shapes = {"geometry": (metrics.case_features(p, ["case_id"]), names), "extents": (metrics.case_features(p, ["case_id"]), names[4:])}
     return retrieval.readout(shapes, metrics.case_targets(p, ["case_id"]), "case_id", ["street_speed", "wall_cp", "mean_k"], tuple(10.0**k for k in range(-3, 8)), 200)
+
+
+# --- what a network reads ----------------------------------------------------------------------------------------
+_RNG = {c: f"case when case_id % 2 = 0 then {e} else 0 end as {c}" for c, e in _ENC.items()}
+
+
+@query("network_rows", sql("select case_id, point_id, " + r(_RNG["ux"].replace("case_id % 2 = 0", "case_id % 5 <> 0"), _RNG["k"], "case when case_id % 2 = 0 and case_id % 3 = 0 then p_cp else 0 end as p_cp", "case when point_id % 4 = 0 then 1.0 else cell_size end as cell_size", "case when point_id % 4 = 0 then 0.0 else 1.0 end as cs_flag") + " from points", "points"))
+def _(s, d):
+    p = views.points(s, d).withColumns({"cell_size": F.when(F.col("point_id") % 4 != 0, F.col("cell_size")), "ux": F.when(F.col("case_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("ux"))})
+    even, yes = F.col("case_id") % 2 == 0, F.lit(True)
+    c = p.select("case_id").distinct().select("case_id", F.array(F.col("case_id") % 5 != 0, yes, even, yes).alias("presence"), F.when(F.col("case_id") % 3 == 0, F.array(yes, yes, yes, yes)).alias("prior_presence"))
+    return batches.network_rows(p, c, even).select("case_id", "point_id", "ux", "k", "p_cp", "cell_size", "cs_flag")
+
+
+@query("padded_tokens", sql(_TOK + ", e as (select case_id, scale, step, point_id, count(*) as n, max(dist) as r_eff from t group by all), g as (select case_id, unnest(range(8)) as slot from (select distinct case_id from points)) select g.case_id, cast(slot as int) as slot, n is not null as valid, coalesce(point_id, 0) as centre_id, round(coalesce(r_eff, 1.0), 6) + 0.0 as r_eff from g left join e on g.case_id = e.case_id and e.scale = 0 and e.step = slot", "points", recursive=True))
+def _(s, d):
+    tokens_of = _groups(s, d).where("scale = 0").select("case_id", F.col("token").cast("int").alias("slot"), "centre_id", "r_eff").distinct()
+    return batches.pad(tokens_of, ["case_id"], "slot", 8, {"centre_id": 0, "r_eff": 1.0})
+
+
+@query("epoch_batches", sql(f", e as ({_EPOCH}) select case_id, pos // 16 as batch, cast(pos % 16 as int) as row from e", "pool"))
+def _(s, d):
+    return batches.collate(sampling.epoch_order(views.pool(s, d), 7, 2), 16)
+
+
+@query("voxel_channels", sql("select case_id, point_id, " + r("2 * cp as cp", "exp(greatest(uy, 0)) - 1 as k", "(exp(greatest(uz, 0)) - 1) * 0.75 as eps") + " from points", "points"))
+def _(s, d):
+    c = batches.voxel_channels([F.col(x) for x in ("ux", "uy", "uz", "cp", "uy", "uz")], F.lit(1.5), F.lit(2.0))
+    return views.points(s, d).select("case_id", "point_id", c[3].alias("cp"), c[4].alias("k"), c[5].alias("eps"))
+
+
+_TURN = f"{_unit_sql(chr(39) + '4' + chr(39), chr(39) + '1' + chr(39), chr(39) + '2' + chr(39), chr(39) + 'turn' + chr(39), 'case_id')} * 2 * pi()"
+_SIDE = f"case when {_unit_sql(chr(39) + '4' + chr(39), chr(39) + '1' + chr(39), chr(39) + '2' + chr(39), chr(39) + 'mirror' + chr(39), 'case_id')} < 0.5 then -1 else 1 end"
+
+
+@query("augmented_points", sql(f", a as (select *, case when case_id % 3 > 0 then {_TURN} else 0 end as t, {_SIDE} as m from points) select case_id, point_id, " + r("x * cos(t) - y * sin(t) as x", "m * (x * sin(t) + y * cos(t)) as y", "m * (p_ux * sin(t) + p_uy * cos(t)) as p_uy", "z") + " from a", "points"))
+def _(s, d):
+    p = views.points(s, d)
+    out = samples.augment(p, p.select("case_id").distinct().withColumn("rotation_ok", F.col("case_id") % 3 > 0), 4, 1, 2)
+    return out.select("case_id", "point_id", "x", "y", "p_uy", "z")

@@ -56,3 +56,27 @@ def read_manifest(spark: SparkSession, path: str, split: str | None = None, tier
     if source is not None:
         m = m.where(F.col("source") == source)
     return m.orderBy("shard")
+
+
+VOXELS = "case_id string, ix int, iy int, iz int, fluid boolean, " + ", ".join(f"{n}{i} float" for n in ("t", "i") for i in range(6)) + ", turbulence float, info string"
+
+
+def read_voxels(spark: SparkSession, path: str, glob: str = "*.npz") -> DataFrame:
+    """One row per voxel of every voxel archive below path: its place, whether it is fluid, the six cached target and input
+    channels (see batches.voxel_channels), the input turbulence and the archive's info (JSON). Layers go out one by one."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in VOXELS.split(", ")]
+        for b in batches:
+            for content in b["content"]:
+                with np.load(io.BytesIO(bytes(content)), allow_pickle=False) as z:
+                    fluid, target, given, info = z["mask"][0].astype(bool), z["tgt"], z["inp"], str(z["info"])
+                case = str(json.loads(info).get("case", ""))
+                y, x = (g.ravel() for g in np.meshgrid(np.arange(fluid.shape[1]), np.arange(fluid.shape[0])))
+                for k in range(fluid.shape[2]):
+                    out = {"case_id": case, "ix": x.astype(np.int32), "iy": y.astype(np.int32), "iz": np.full(len(x), k, np.int32), "fluid": fluid[x, y, k]}
+                    out |= {f"{n}{i}": a[i][x, y, k].astype(np.float32) for n, a in (("t", target), ("i", given)) for i in range(6)}
+                    yield pd.DataFrame(out | {"turbulence": given[10][x, y, k].astype(np.float32) if len(given) > 10 else np.float32("nan"), "info": info})[names]
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return files.select("content").mapInPandas(parse, VOXELS)

@@ -119,3 +119,45 @@ def read(spark: SparkSession, root: str, what: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", what).option("recursiveFileLookup", "true").load(root)
     case = F.regexp_extract("path", r"([^/]+)/constant/polyMesh/[^/]+$", 1).alias("case_id")
     return files.where(F.col("path").rlike(r"/constant/polyMesh/[^/]+$")).select(case, "content").mapInPandas(run, f"case_id string, {schema}")
+
+
+#: Components of a field's rows, by the type that its file declares.
+WIDTHS = {"scalar": 1, "vector": 3, "symmTensor": 6}
+FIELDS = "field string, time double, cell_id long, value array<double>"
+
+
+def internal_field(data: bytes) -> tuple[bool, np.ndarray]:
+    """Whether the internal field is uniform, and its rows (one if it is)."""
+    h, body = header(data), _body(data)
+    m = re.search(rb"internalField\s+(uniform|nonuniform)\s+(?:List<(\w+)>\s*)?", body)
+    if m is None:
+        raise MeshError("no internalField")
+    if m[1] == b"uniform":
+        value = re.sub(rb"[()]", b" ", body[m.end() : body.index(b";", m.end())]).split()
+        return True, np.array([value], np.float64)
+    width = WIDTHS.get((m[2] or b"").decode())
+    if width is None:
+        raise MeshError(f"a field of {m[2]!r}")
+    rows = next(_lists(body[m.end() :], types(h)[1], h.get("format") == "binary", width), None)
+    if rows is None:
+        raise MeshError("the internal field has no list")
+    return False, rows.astype(np.float64).reshape(-1, width)
+
+
+def read_fields(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """case_id, field, time, cell_id (null for a uniform field: all cells), value of the named fields of every case and
+    time folder below root."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for case, name, time, content in zip(b["case_id"], b["field"], b["time"], b["content"]):
+                uniform, rows = internal_field(bytes(content))
+                for at in range(0, len(rows), 50_000):
+                    part = rows[at : at + 50_000]
+                    cells = pd.array([None] if uniform else range(at, at + len(part)), dtype="Int64")
+                    yield pd.DataFrame({"case_id": case, "field": name, "time": time, "cell_id": cells, "value": part.tolist()})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(names) + "}").load(root)
+    part = lambda i: F.regexp_extract("path", r"([^/]+)/([^/]+)/([^/]+)$", i)
+    rows = files.select(part(1).alias("case_id"), part(3).alias("field"), part(2).alias("raw"), "content").withColumn("time", F.expr("try_cast(raw as double)")).where(F.col("time").isNotNull())
+    return rows.select("case_id", "field", "time", "content").mapInPandas(run, f"case_id string, {FIELDS}")

@@ -1,6 +1,8 @@
 """Solver logs and monitor files as line tables, numbered within their file; and checksummed backups."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +30,35 @@ def backup_faults(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Files of a manifest that are missing or differ: empty for a sound backup."""
     now = files.select("path", F.col("sha256").alias("now"))
     return manifest.join(now, "path", "left").where(~F.col("sha256").eqNullSafe(F.col("now"))).select("path", F.when(F.col("now").isNull(), "missing").otherwise("differs").alias("fault"))
+
+
+#: Geometry that a solver's tools write beside the fields, which it computes again.
+DERIVED = ("C", "Ccx", "Ccy", "Ccz", "Vc", "phi", "Phi")
+
+
+def case_files(spark: SparkSession, path: str) -> DataFrame:
+    """case_id, part (processor folder or null), folder, file, path, length of the files in solver cases below path; time is the
+    folder's number, or null. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    at = F.regexp_replace("path", r"^.*?" + re.escape(path.rstrip("/").split("://")[-1]) + "/", "")
+    d = files.select("path", "length", F.split(at, "/").alias("p"))
+    parallel = F.get("p", F.lit(1)).startswith("processor")
+    d = d.select("path", "length", F.get("p", F.lit(0)).alias("case_id"), F.when(parallel, F.get("p", F.lit(1))).alias("part"), F.when(parallel, F.slice("p", 3, 100)).otherwise(F.slice("p", 2, 100)).alias("p"))
+    d = d.where(F.size("p") > 1).select("case_id", "part", F.get("p", F.lit(0)).alias("folder"), F.array_join(F.slice("p", 2, 100), "/").alias("file"), "path", "length")
+    return d.withColumn("time", F.expr("try_cast(folder as double)"))
+
+
+def time_folders(files: DataFrame, start: float = 0.0) -> DataFrame:
+    """case_id, part, folder of the times other than the start."""
+    return files.where(F.col("time").isNotNull() & (F.col("time") != start)).select("case_id", "part", "folder").distinct()
+
+
+def latest_time(files: DataFrame) -> DataFrame:
+    """case_id, folder, time of each case's largest time, of the undivided case."""
+    return files.where(F.col("time").isNotNull() & F.col("part").isNull()).groupBy("case_id").agg(F.max_by("folder", "time").alias("folder"), F.max("time").alias("time"))
+
+
+def case_entries(files: DataFrame, time: str = "0") -> DataFrame:
+    """The files of a case that a solver needs to start from `time`: constant, system, and the fields of that folder."""
+    field = (F.col("folder") == time) & ~F.col("file").contains("/") & ~F.col("file").isin(*DERIVED)
+    return files.where(F.col("part").isNull() & (F.col("folder").isin("constant", "system") | field)).select("case_id", F.concat_ws("/", "folder", "file").alias("entry"), "path", "length")
