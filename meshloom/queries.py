@@ -94,10 +94,12 @@ def _(s, d):
     return series.convergence(views.series(s, d), RES, [], 20.0, 0, 0.0)
 
 
-_RESTART = "select run_id, cast(floor(value) as double) / 7 as it, case name when 'click' then 0.0 when 'view' then 79.0 else 120.0 end as start, event_id as line, value from series"
+_RESTART = ("select run_id, cast(floor(value) as double) / 7 as it, case name when 'click' then 0.0 when 'view' then 79.0 "
+    "else 120.0 end as start, event_id as line, value from series")
 
 
-@query("series_latest_wins", sql(f"select run_id, {r('it')}, {r('value')} from (select run_id, round(it, 9) as it, arg_max(value, (start, line)) as value from ({_RESTART}) group by all)", "series"))
+@query("series_latest_wins", sql(f"select run_id, {r('it')}, {r('value')} from (select run_id, round(it, 9) as it, arg_max(value, "
+    f"(start, line)) as value from ({_RESTART}) group by all)", "series"))
 def _(s, d):
     views.series(s, d).createOrReplaceTempView("meshloom_series")
     return series.latest_wins(s.sql(_RESTART.replace("from series", "from meshloom_series")))
@@ -160,7 +162,10 @@ def _(s, d):
     return logs.summary(s.sql(_LOG.format(t="meshloom_lines", s="string")))
 
 
-_MONITOR = "select run_id, event_id as line_no, case when event_id % 17 = 0 then concat('# comment ', cast(event_id as {s})) when event_id % 13 = 0 then concat(cast(it as {s}), ' (1.5 x 2)') when event_id % 19 = 0 then concat(cast(it as {s}), ' 1') else concat(cast(cast(it as bigint) as {s}), ' (', cast(cast(round(value * 100) as bigint) as {s}), ' -2 nan) (1 2 3)') end as line from {t}"
+_MONITOR = ("select run_id, event_id as line_no, case when event_id % 17 = 0 then concat('# comment ', "
+    "cast(event_id as {s})) when event_id % 13 = 0 then concat(cast(it as {s}), ' (1.5 x 2)') when event_id % 19 = 0 then concat(cast(it as {s}), "
+    "' 1') else concat(cast(cast(it as bigint) as {s}), ' (', cast(cast(round(value * 100) as bigint) as {s}), "
+    "' -2 nan) (1 2 3)') end as line from {t}")
 
 
 @query("monitor_numbers", sql(f""", m as ({_MONITOR.format(s='varchar', t='series')}), f as (select * from m where not regexp_matches(line, '^\\s*#')),
@@ -172,7 +177,10 @@ def _(s, d):
     return logs.forces(logs.numbers(s.sql(_MONITOR.format(s="string", t="meshloom_series")))).drop("fz")
 
 
-_PROBES = "select run_id, event_id as line_no, case when event_id % 29 = 0 then concat(cast(it as {s}), ' (1 2)') when event_id % 23 = 0 then concat(cast(it as {s}), ' (1 2 2) (3 4 x)') when event_id % 31 = 0 then concat(cast(it as {s}), ' (1 2 2)') else concat(cast(cast(it as bigint) as {s}), ' (', cast(cast(round(value * 100) as bigint) as {s}), ' -2 1) (3 4 0)') end as line from {t}"
+_PROBES = ("select run_id, event_id as line_no, case when event_id % 29 = 0 then concat(cast(it as {s}), "
+    "' (1 2)') when event_id % 23 = 0 then concat(cast(it as {s}), ' (1 2 2) (3 4 x)') when event_id % 31 = 0 then concat(cast(it as {s}), "
+    "' (1 2 2)') else concat(cast(cast(it as bigint) as {s}), ' (', cast(cast(round(value * 100) as bigint) as {s}), "
+    "' -2 1) (3 4 0)') end as line from {t}")
 
 
 @query("probe_monitors", sql(f""", m as ({_PROBES.format(s='varchar', t='series')}),
@@ -218,7 +226,10 @@ def _(s, d):
     return metrics.by_method(views.points(s, d), ["case_id"])
 
 
-@query("metrics_nanmedian", sql(f"{_METHODS}, l as (select case_id, method, {_case('m_', 'ux', 'uy', 'uz')} as rel_l2_u, case when case_id = 3 then 'nan'::double else {_case('m_', 'cp')} end as rel_l2_cp from m group by case_id, method) select method, {r('quantile_cont(rel_l2_u, 0.5) as rel_l2_u', 'quantile_cont(rel_l2_cp, 0.5) filter (where not isnan(rel_l2_cp)) as rel_l2_cp')} from l group by method", "points"))
+@query("metrics_nanmedian", sql(f"{_METHODS}, l as (select case_id, method, {_case('m_', 'ux', 'uy', 'uz')} as rel_l2_u, case "
+    f"when case_id = 3 then 'nan'::double else {_case('m_', 'cp')} end as rel_l2_cp from m group by case_id, "
+    f"method) select method, {r('quantile_cont(rel_l2_u, 0.5) as rel_l2_u', 'quantile_cont(rel_l2_cp, 0.5) filter (where not isnan(rel_l2_cp)) as rel_l2_cp')} "
+    f"from l group by method", "points"))
 def _(s, d):
     m = metrics.by_method(views.points(s, d), ["case_id"]).withColumn("rel_l2_cp", F.when(F.col("case_id") == 3, F.lit(float("nan"))).otherwise(F.col("rel_l2_cp")))
     return metrics.nan_median(m, ["method"], ["rel_l2_u", "rel_l2_cp"])
@@ -251,13 +262,18 @@ def _(s, d):
     return metrics.channel_stats(views.points(s, d), rotation_invariant=False, common=True)
 
 
-@query("clipped_fraction", sql(f"select case_id, {r('count(*) filter (where uz - 0.1 < 0) / count(*) as clipped_k', 'count(*) filter (where cp < 0) / count(*) as clipped_eps')}, cast(count(*) filter (where ux > 0.2) as bigint) as not_finite from points group by case_id", "points"))
+@query("clipped_fraction", sql(f"select case_id, {r('count(*) filter (where uz - 0.1 < 0) / count(*) as clipped_k', 'count(*) filter (where cp < 0) / count(*) as clipped_eps')}, "
+    f"cast(count(*) filter (where ux > 0.2) as bigint) as not_finite from points group by case_id", "points"))
 def _(s, d):
     x = views.points(s, d).withColumns({"k": F.col("uz") - 0.1, "eps": F.col("cp")}).withColumn("ux", F.when(F.col("ux") > 0.2, F.lit(float("nan"))).otherwise(F.col("ux")))
     return metrics.clipped(x, ["case_id"]).withColumn("not_finite", F.col("not_finite").cast("long"))
 
 
-@query("coverage_grouping_sets", sql(", d as (select source, tier, family % 4 as n_draws from pool) select case when grouping(source, tier) = 3 then 'all' when grouping(source, tier) = 1 then 'source' else 'tier' end as by, coalesce(source, tier, 'all') as name, count(*) as n, count(*) filter (where n_draws > 0) as drawn, cast(sum(n_draws) as bigint) as draws, round(count(*) filter (where n_draws > 0) / count(*), 6) + 0.0 as share from d group by grouping sets ((), (source), (tier))", "pool"))
+@query("coverage_grouping_sets", sql(", d as (select source, tier, family % 4 as n_draws from pool) select case when grouping(source, "
+    "tier) = 3 then 'all' when grouping(source, tier) = 1 then 'source' else 'tier' end as by, "
+    "coalesce(source, tier, 'all') as name, count(*) as n, count(*) filter (where n_draws > 0) as drawn, "
+    "cast(sum(n_draws) as bigint) as draws, round(count(*) filter (where n_draws > 0) / count(*), "
+    "6) + 0.0 as share from d group by grouping sets ((), (source), (tier))", "pool"))
 def _(s, d):
     return metrics.coverage(views.pool(s, d).withColumn("n_draws", F.col("family") % 4))
 
@@ -288,7 +304,8 @@ def _manifests(s, d):
     return pool.union({"a": first, "b": second})
 
 
-_MAN = ", u as (select case_id, source, split, family, shard from pool where case_id % 5 <> 4 and case_id % 50 <> 0 union all select case_id, source, split, family, shard from pool where case_id % 5 = 4 or case_id % 97 = 0)"
+_MAN = (", u as (select case_id, source, split, family, shard from pool where case_id % 5 <> 4 and case_id % 50 <> 0 "
+    "union all select case_id, source, split, family, shard from pool where case_id % 5 = 4 or case_id % 97 = 0)")
 
 
 @query("pool_union_validate", sql(_MAN + """ select 'duplicate_case' as rule, count(*) as n from (select case_id from u group by 1 having count(*) > 1)
@@ -319,12 +336,16 @@ def _(s, d):
     return pool.held_out(views.pool(s, d), s.createDataFrame([("5-LOW",), ("3-MEDIUM",)], "source string")).select("case_id", "source")
 
 
-@query("pool_fingerprint", sql(", b as (select case_id % 256 as b, sha256(string_agg(concat_ws(',', case_id, source, split, shard), chr(10) order by case_id)) as d, count(*) as n from pool group by 1) select sha256(string_agg(d, chr(10) order by b)) as fingerprint, cast(sum(n) as bigint) as n from b", "pool"))
+@query("pool_fingerprint", sql(", b as (select case_id % 256 as b, sha256(string_agg(concat_ws(',', case_id, source, split, "
+    "shard), chr(10) order by case_id)) as d, count(*) as n from pool group by 1) select sha256(string_agg(d, "
+    "chr(10) order by b)) as fingerprint, cast(sum(n) as bigint) as n from b", "pool"))
 def _(s, d):
     return pool.fingerprint(views.pool(s, d))
 
 
-@query("split_assignment", sql(", k as (select case_id, split from pool where tier = 'P'), r as (select case_id, row_number() over (order by md5('s1|' || case_id::varchar), case_id) as n from pool where tier <> 'P') select case_id, split from k union all select case_id, case when n <= 100 then 'val' else 'train' end from r", "pool"))
+@query("split_assignment", sql(", k as (select case_id, split from pool where tier = 'P'), r as (select case_id, row_number() over (order by md5('s1|' || case_id::varchar), "
+    "case_id) as n from pool where tier <> 'P') select case_id, split from k union all select case_id, "
+    "case when n <= 100 then 'val' else 'train' end from r", "pool"))
 def _(s, d):
     p = views.pool(s, d)
     return pool.assign_splits(p, "s1", 100, p.where("tier = 'P'").select("case_id", "split"))
@@ -379,7 +400,9 @@ def _unit_sql(*parts: str) -> str:
 
 
 def _mask_sql(score: str, ratio: float, head: str = "") -> str:
-    return sql(f"{head}, s as (select case_id, point_id, {score} as score from points), c as (select case_id, quantile_cont(score, {1 - ratio}) as cut from s group by 1) select case_id, point_id, round(score, 6) + 0.0 as score, score >= cut as masked from s join c using (case_id)", "points")
+    return sql(f"{head}, s as (select case_id, point_id, {score} as score from points), c as (select case_id, "
+    f"quantile_cont(score, {1 - ratio}) as cut from s group by 1) select case_id, point_id, round(score, "
+    f"6) + 0.0 as score, score >= cut as masked from s join c using (case_id)", "points")
 
 
 @query("mask_near_wall", _mask_sql("-wall_dist + 0.1 * " + _unit_sql("'1'", "point_id"), 0.6))
@@ -402,26 +425,34 @@ def _(s, d):
 
 
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
-_OWNER = f", n as (select a.case_id, a.point_id, b.point_id as ref_id, {_D2} as d2 from points a join points b on a.case_id = b.case_id and b.point_id % 7 = 0 qualify row_number() over (partition by a.case_id, a.point_id order by {_D2}, b.point_id) = 1)"
+_OWNER = (f", n as (select a.case_id, a.point_id, b.point_id as ref_id, {_D2} as d2 from points a join points b on a.case_id = b.case_id "
+    f"and b.point_id % 7 = 0 qualify row_number() over (partition by a.case_id, a.point_id order by {_D2}, "
+    f"b.point_id) = 1)")
 
 
 def _refs(s, d, modulo: int):
     return views.points(s, d).where(F.col("point_id") % modulo == 0).withColumnRenamed("point_id", "ref_id")
 
 
-@query("mask_tokens", sql(_OWNER + f", s as (select case_id, point_id, {_unit_sql(chr(39) + '1' + chr(39), 'ref_id')} as score from n), c as (select case_id, quantile_cont(score, 0.4) as cut from s group by 1) select case_id, point_id, round(score, 6) + 0.0 as score, score >= cut as masked from s join c using (case_id)", "points"))
+@query("mask_tokens", sql(_OWNER + f", s as (select case_id, point_id, {_unit_sql(chr(39) + '1' + chr(39), 'ref_id')} as score "
+    f"from n), c as (select case_id, quantile_cont(score, 0.4) as cut from s group by 1) select case_id, "
+    f"point_id, round(score, 6) + 0.0 as score, score >= cut as masked from s join c using (case_id)", "points"))
 def _(s, d):
     owner = spatial.knn(views.points(s, d), _refs(s, d, 7), 1)
     return sampling.point_mask(owner, ["case_id"], sampling.unit(1, F.col("ref_id")), 0.6).select("case_id", "point_id", "score", "masked")
 
 
-@query("pedestrian_probes", sql(f"select case_id, point_id from points where abs(z - 0.05) <= 0.08 and wall_dist > 0.2 and x between -0.2 and 0.2 qualify row_number() over (partition by case_id order by {_md5(chr(39) + '9' + chr(39), 'point_id')}, point_id) <= 8", "points"))
+@query("pedestrian_probes", sql(f"select case_id, point_id from points where abs(z - 0.05) <= 0.08 and wall_dist > 0.2 and x between -0.2 "
+    f"and 0.2 qualify row_number() over (partition by case_id order by {_md5(chr(39) + '9' + chr(39), 'point_id')}, "
+    f"point_id) <= 8", "points"))
 def _(s, d):
     return sampling.street_probes(views.points(s, d), ["case_id"], 0.05, 0.08, 0.2, (-0.2, 0.2), 8, 9).select("case_id", "point_id")
 
 
 # --- space -------------------------------------------------------------------------------------------------------
-@query("knn_tokens", sql(f"select a.case_id, a.point_id, cast(row_number() over w as int) as rank, b.point_id as ref_id, round(sqrt({_D2}), 6) + 0.0 as dist from points a join points b using (case_id) where a.point_id % 5 = 0 window w as (partition by a.case_id, a.point_id order by {_D2}, b.point_id) qualify row_number() over w <= 4", "points"))
+@query("knn_tokens", sql(f"select a.case_id, a.point_id, cast(row_number() over w as int) as rank, b.point_id as ref_id, "
+    f"round(sqrt({_D2}), 6) + 0.0 as dist from points a join points b using (case_id) where a.point_id % 5 = 0 "
+    f"window w as (partition by a.case_id, a.point_id order by {_D2}, b.point_id) qualify row_number() over w <= 4", "points"))
 def _(s, d):
     p = views.points(s, d)
     return spatial.knn(p.where("point_id % 5 = 0"), p.withColumnRenamed("point_id", "ref_id"), 4).select("case_id", "point_id", "rank", "ref_id", F.sqrt("d2").alias("dist"))
@@ -432,7 +463,8 @@ def _(s, d):
     return spatial.knn(views.points(s, d), _refs(s, d, 7), 1).select("case_id", "point_id", "ref_id")
 
 
-@query("attach_prior_nn", sql(_OWNER + f" select n.case_id, n.point_id, n.ref_id, {r('b.ux as prior_ux', 'b.cp as prior_cp')} from n join points b on n.case_id = b.case_id and n.ref_id = b.point_id", "points"))
+@query("attach_prior_nn", sql(_OWNER + f" select n.case_id, n.point_id, n.ref_id, {r('b.ux as prior_ux', 'b.cp as prior_cp')} from n "
+    f"join points b on n.case_id = b.case_id and n.ref_id = b.point_id", "points"))
 def _(s, d):
     return spatial.attach_prior(views.points(s, d), _refs(s, d, 7), ["ux", "cp"]).select("case_id", "point_id", "ref_id", "prior_ux", "prior_cp")
 
@@ -449,22 +481,32 @@ def _(s, d):
     return spatial.wall_geometry(views.points(s, d), _walls(s, d)).drop("z")
 
 
-@query("wall_distance_ground", sql(_WALL + f" select case_id, point_id, {r('least(wall, z + 0.1) as wall', 'case when z + 0.1 < wall then 0.0 else wnx end as wnx', 'case when z + 0.1 < wall then 0.0 else wny end as wny', 'case when z + 0.1 < wall then 1.0 else wnz end as wnz')} from g", "points"))
+@query("wall_distance_ground", sql(_WALL + f" select case_id, point_id, {r('least(wall, z + 0.1) as wall', 'case when z + 0.1 < wall then 0.0 else wnx end as wnx', 'case when z + 0.1 < wall then 0.0 else wny end as wny', 'case when z + 0.1 < wall then 1.0 else wnz end as wnz')} "
+    f"from g", "points"))
 def _(s, d):
     return spatial.with_ground(spatial.wall_geometry(views.points(s, d), _walls(s, d)), -0.1)
 
 
-@query("compare_frames", sql(_OWNER + ", m as (select n.case_id, sqrt(d2) / 2 as d, abs(a.wall_dist - b.wall_dist) / 2 as w from n join points a on n.case_id = a.case_id and n.point_id = a.point_id join points b on n.case_id = b.case_id and n.ref_id = b.point_id) select case_id, " + r(*[f"quantile_cont({c}, {q}) as {n}_q{str(q)[2:].ljust(2, '0')}" for c, n in (("d", "match"), ("w", "wall")) for q in (0.5, 0.9, 0.99)]) + " from m group by 1", "points"))
+@query("compare_frames", sql(_OWNER + ", m as (select n.case_id, sqrt(d2) / 2 as d, abs(a.wall_dist - b.wall_dist) / 2 as w from n "
+    "join points a on n.case_id = a.case_id and n.point_id = a.point_id join points b on n.case_id = b.case_id "
+    "and n.ref_id = b.point_id) select case_id, " + r(*[f"quantile_cont({c}, {q}) as {n}_q{str(q)[2:].ljust(2, '0')}" for c, n in (("d", "match"), ("w", "wall")) for q in (0.5, 0.9, 0.99)]) + " from m group by 1", "points"))
 def _(s, d):
     return spatial.compare_frames(views.points(s, d), _refs(s, d, 7), 2.0)
 
 
-@query("compare_shared_points", sql(_OWNER + f", m as (select n.case_id, a.ux as au, b.ux as bu, a.cp as ac, b.cp as bc from n join points a on n.case_id = a.case_id and n.point_id = a.point_id join points b on n.case_id = b.case_id and n.ref_id = b.point_id where sqrt(d2) / 2 <= 0.01), g as (select case_id, count(*) as n, sqrt(sum((au - bu) * (au - bu) + (ac - bc) * (ac - bc))) / (sqrt(sum(bu * bu + bc * bc)) + 1e-12) as e from m group by 1) select case_id, t.n_points, coalesce(n, 0) as n_matched, case when n > 0 then 'ok' else 'insufficient_matches' end as status, {r('e as rel_l2')} from (select case_id, count(*) as n_points from points group by 1) t left join g using (case_id)", "points"))
+@query("compare_shared_points", sql(_OWNER + f", m as (select n.case_id, a.ux as au, b.ux as bu, a.cp as ac, b.cp as bc from n join points a on n.case_id = a.case_id "
+    f"and n.point_id = a.point_id join points b on n.case_id = b.case_id and n.ref_id = b.point_id "
+    f"where sqrt(d2) / 2 <= 0.01), g as (select case_id, count(*) as n, sqrt(sum((au - bu) * (au - bu) + (ac - bc) * (ac - bc))) / (sqrt(sum(bu * bu + bc * bc)) + 1e-12) as e "
+    f"from m group by 1) select case_id, t.n_points, coalesce(n, 0) as n_matched, case when n > 0 then 'ok' "
+    f"else 'insufficient_matches' end as status, {r('e as rel_l2')} from (select case_id, count(*) as n_points "
+    f"from points group by 1) t left join g using (case_id)", "points"))
 def _(s, d):
     return spatial.compare_shared(views.points(s, d), _refs(s, d, 7), ["case_id"], ["ux", "cp"], 2.0, 0.01)
 
 
-@query("owner_match_one_to_one", sql(_OWNER + " select n.case_id, count(*) as n, count(*) filter (where sqrt(d2) <= 5 * cell_size) as n_close, count(distinct ref_id) as n_refs, bool_and(sqrt(d2) <= 5 * cell_size) and count(distinct ref_id) = count(*) as one_to_one from n join points a on n.case_id = a.case_id and n.point_id = a.point_id group by 1", "points"))
+@query("owner_match_one_to_one", sql(_OWNER + " select n.case_id, count(*) as n, count(*) filter (where sqrt(d2) <= 5 * cell_size) as n_close, "
+    "count(distinct ref_id) as n_refs, bool_and(sqrt(d2) <= 5 * cell_size) and count(distinct ref_id) = count(*) as one_to_one "
+    "from n join points a on n.case_id = a.case_id and n.point_id = a.point_id group by 1", "points"))
 def _(s, d):
     return spatial.one_to_one(views.points(s, d), _refs(s, d, 7), 5 * F.col("cell_size"))
 
@@ -494,20 +536,32 @@ def _groups(s, d):
     return tokens.token_groups(views.points(s, d), 6, 4, 5, 0.5, 2.0)
 
 
-_TOK = ", " + _fps_sql(6, _WW, 0) + ", " + _fps_sql(4, "1.0", 1).replace("recursive_rows", "rows2").replace("f(case_id", "f2(case_id").replace("from f join", "from f2 f join") + f", c as (select case_id, 0 as scale, step, point_id from f union all select case_id, 1, step, point_id from f2), t as (select c.case_id, c.scale, c.step, c.point_id, b.point_id as ref_id, sqrt({_D2}) as dist from c join points a on c.case_id = a.case_id and c.point_id = a.point_id join points b on b.case_id = c.case_id qualify row_number() over (partition by c.case_id, c.scale, c.step order by {_D2}, b.point_id) <= 5)"
+_TOK = ", " + _fps_sql(6, _WW, 0) + ", " + _fps_sql(4, "1.0", 1).replace("recursive_rows", "rows2").replace("f(case_id", "f2(case_id").replace("from f join", "from f2 f join") + (f", c as (select case_id, 0 as scale, step, point_id from f union all select case_id, 1, step, "
+    f"point_id from f2), t as (select c.case_id, c.scale, c.step, c.point_id, b.point_id as ref_id, "
+    f"sqrt({_D2}) as dist from c join points a on c.case_id = a.case_id and c.point_id = a.point_id "
+    f"join points b on b.case_id = c.case_id qualify row_number() over (partition by c.case_id, "
+    f"c.scale, c.step order by {_D2}, b.point_id) <= 5)")
 
 
-@query("token_coverage", sql(_TOK + f", v as (select case_id, point_id, wall_dist, case when (case_id, point_id) in (select case_id, ref_id from t) then 1.0 else 0.0 end as seen from points) select case_id, {r('avg(seen) as covered', 'avg(seen) filter (where wall_dist < 0.25) as covered_near', 'avg(seen) filter (where wall_dist >= 0.25) as covered_far')} from v group by 1", "points", recursive=True))
+@query("token_coverage", sql(_TOK + f", v as (select case_id, point_id, wall_dist, case when (case_id, point_id) in (select case_id, "
+    f"ref_id from t) then 1.0 else 0.0 end as seen from points) select case_id, {r('avg(seen) as covered', 'avg(seen) filter (where wall_dist < 0.25) as covered_near', 'avg(seen) filter (where wall_dist >= 0.25) as covered_far')} "
+    f"from v group by 1", "points", recursive=True))
 def _(s, d):
     return tokens.token_coverage(views.points(s, d), _groups(s, d))
 
 
-@query("tokeniser_stats", sql(_TOK + f", e as (select case_id, scale, step, max(dist) as r from t group by all), q as (select case_id, scale, quantile_cont(r, 0.1) as a, quantile_cont(r, 0.5) as b, quantile_cont(r, 0.9) as c from e group by all) select scale, {r('quantile_cont(a, 0.5) as r_q10', 'quantile_cont(b, 0.5) as r_q50', 'quantile_cont(c, 0.5) as r_q90')} from q group by 1", "points", recursive=True))
+@query("tokeniser_stats", sql(_TOK + f", e as (select case_id, scale, step, max(dist) as r from t group by all), q as (select case_id, "
+    f"scale, quantile_cont(r, 0.1) as a, quantile_cont(r, 0.5) as b, quantile_cont(r, 0.9) as c "
+    f"from e group by all) select scale, {r('quantile_cont(a, 0.5) as r_q10', 'quantile_cont(b, 0.5) as r_q50', 'quantile_cont(c, 0.5) as r_q90')} "
+    f"from q group by 1", "points", recursive=True))
 def _(s, d):
     return tokens.tokeniser_stats(_groups(s, d))
 
 
-@query("token_groups", sql(_TOK + ", e as (select *, row_number() over (partition by case_id, scale, step order by dist, ref_id) as rank, max(dist) over (partition by case_id, scale, step) as r_eff from t) select case_id, scale, step as token, point_id as centre_id, cast(rank as int) as rank, ref_id, round(r_eff, 6) + 0.0 as r_eff from e", "points", recursive=True))
+@query("token_groups", sql(_TOK + ", e as (select *, row_number() over (partition by case_id, scale, step order by dist, ref_id) as rank, "
+    "max(dist) over (partition by case_id, scale, step) as r_eff from t) select case_id, scale, "
+    "step as token, point_id as centre_id, cast(rank as int) as rank, ref_id, round(r_eff, 6) + 0.0 as r_eff "
+    "from e", "points", recursive=True))
 def _(s, d):
     return _groups(s, d).drop("dist", "radius")
 
@@ -650,15 +704,23 @@ def _(s, d):
 
 def _slope_sql(u: str, by: str, others: str) -> str:
     w = f"(partition by case_id, {others} order by {by})"
-    return f"coalesce(case when lag({u}) over {w} is null then (lead({u}) over {w} - {u}) / 0.5 when lead({u}) over {w} is null then ({u} - lag({u}) over {w}) / 0.5 else (lead({u}) over {w} - lag({u}) over {w}) / 1.0 end, 0)"
+    return (f"coalesce(case when lag({u}) over {w} is null then (lead({u}) over {w} - {u}) / 0.5 when lead({u}) over {w} is null then ({u} - lag({u}) over {w}) / 0.5 "
+    f"else (lead({u}) over {w} - lag({u}) over {w}) / 1.0 end, 0)")
 
 
-@query("vorticity", f"with {_GRID}, s as (select case_id, ix, iy, iz, {_slope_sql('uz', 'iy', 'ix, iz')} - {_slope_sql('uy', 'iz', 'ix, iy')} as a, {_slope_sql('ux', 'iz', 'ix, iy')} - {_slope_sql('uz', 'ix', 'iy, iz')} as b, {_slope_sql('uy', 'ix', 'iy, iz')} - {_slope_sql('ux', 'iy', 'ix, iz')} as c from g) select case_id, cast(ix as int) as ix, cast(iy as int) as iy, cast(iz as int) as iz, {r('sqrt(a * a + b * b + c * c) as vorticity')} from s")
+@query("vorticity", f"with {_GRID}, s as (select case_id, ix, iy, iz, {_slope_sql('uz', 'iy', 'ix, iz')} - {_slope_sql('uy', 'iz', 'ix, iy')} as a, "
+    f"{_slope_sql('ux', 'iz', 'ix, iy')} - {_slope_sql('uz', 'ix', 'iy, iz')} as b, {_slope_sql('uy', 'ix', 'iy, iz')} - {_slope_sql('ux', 'iy', 'ix, iz')} as c "
+    f"from g) select case_id, cast(ix as int) as ix, cast(iy as int) as iy, cast(iz as int) as iz, "
+    f"{r('sqrt(a * a + b * b + c * c) as vorticity')} from s")
 def _(s, d):
     return mesh.vorticity(_grid(s, d), ["case_id"], 0.5)
 
 
-@query("vorticity_all", f"with {_WHOLE_GRID}, s as (select case_id, part, ix, iy, iz, {_slope_sql('uz', 'iy', 'part, ix, iz')} - {_slope_sql('uy', 'iz', 'part, ix, iy')} as a, {_slope_sql('ux', 'iz', 'part, ix, iy')} - {_slope_sql('uz', 'ix', 'part, iy, iz')} as b, {_slope_sql('uy', 'ix', 'part, iy, iz')} - {_slope_sql('ux', 'iy', 'part, ix, iz')} as c from g) select case_id, cast(part as int) as part, cast(ix as int) as ix, cast(iy as int) as iy, cast(iz as int) as iz, {r('sqrt(a * a + b * b + c * c) as vorticity')} from s")
+@query("vorticity_all", f"with {_WHOLE_GRID}, s as (select case_id, part, ix, iy, iz, {_slope_sql('uz', 'iy', 'part, ix, iz')} - {_slope_sql('uy', 'iz', 'part, ix, iy')} as a, "
+    f"{_slope_sql('ux', 'iz', 'part, ix, iy')} - {_slope_sql('uz', 'ix', 'part, iy, iz')} as b, "
+    f"{_slope_sql('uy', 'ix', 'part, iy, iz')} - {_slope_sql('ux', 'iy', 'part, ix, iz')} as c from g) "
+    f"select case_id, cast(part as int) as part, cast(ix as int) as ix, cast(iy as int) as iy, cast(iz as int) as iz, "
+    f"{r('sqrt(a * a + b * b + c * c) as vorticity')} from s")
 def _(s, d):
     return mesh.vorticity(_whole_grid(s, d), ["case_id", "part"], 0.5)
 
@@ -669,7 +731,9 @@ def _(s, d):
     return mesh.orient(f, ["case_id"])[0].select("case_id", "point_id", "nx", "ny", "nz", "flip")
 
 
-_FACES = "f as (select case_id, point_id as face_id, [point_id, coalesce(lead(point_id) over w, point_id), coalesce(lead(point_id, 2) over w, point_id)] as v from points window w as (partition by case_id order by point_id))"
+_FACES = ("f as (select case_id, point_id as face_id, [point_id, coalesce(lead(point_id) over w, point_id), "
+    "coalesce(lead(point_id, 2) over w, point_id)] as v from points window w as (partition by case_id "
+    "order by point_id))")
 
 
 def _faces(s, d):
@@ -677,7 +741,9 @@ def _faces(s, d):
     return views.points(s, d).select("case_id", F.col("point_id").alias("face_id"), F.array("point_id", F.coalesce(F.lead("point_id").over(w), "point_id"), F.coalesce(F.lead("point_id", 2).over(w), "point_id")).alias("vertices"))
 
 
-_CENTRES = f", {_FACES}, e as (select case_id, face_id, unnest(v) as point_id from f), c as (select case_id, face_id, avg(x) as x, avg(y) as y, avg(z) as z from e join points using (case_id, point_id) group by all)"
+_CENTRES = (f", {_FACES}, e as (select case_id, face_id, unnest(v) as point_id from f), c as (select case_id, "
+    f"face_id, avg(x) as x, avg(y) as y, avg(z) as z from e join points using (case_id, point_id) "
+    f"group by all)")
 
 
 @query("face_centres", sql(f"{_CENTRES} select case_id, face_id, {r('x', 'y', 'z')} from c", "points"))
@@ -685,7 +751,9 @@ def _(s, d):
     return mesh.face_centres(_faces(s, d), views.points(s, d))
 
 
-@query("cell_centres", sql(f"{_CENTRES}, o as (select case_id, face_id, face_id // 4 as cell_id from f union all select case_id, face_id, face_id // 4 + 1 from f where face_id % 2 = 0) select case_id, cell_id, {r('avg(x) as x', 'avg(y) as y', 'avg(z) as z')}, count(*) as n_faces from o join c using (case_id, face_id) group by all", "points"))
+@query("cell_centres", sql(f"{_CENTRES}, o as (select case_id, face_id, face_id // 4 as cell_id from f union all select case_id, "
+    f"face_id, face_id // 4 + 1 from f where face_id % 2 = 0) select case_id, cell_id, {r('avg(x) as x', 'avg(y) as y', 'avg(z) as z')}, "
+    f"count(*) as n_faces from o join c using (case_id, face_id) group by all", "points"))
 def _(s, d):
     f = _faces(s, d)
     owner = f.select("case_id", "face_id", F.floor(F.col("face_id") / 4).alias("cell_id"))
@@ -693,14 +761,21 @@ def _(s, d):
     return mesh.cell_centres(mesh.face_centres(f, views.points(s, d)), owner, other)
 
 
-@query("nearest_layer_slice", sql(f", l as (select case_id, arg_min(zl, (abs(zl - 0.05), zl)) as zl from (select distinct case_id, round(z, 2) as zl from points) group by 1) select case_id, {r('zl')}, count(*) as n, {r(_case('p_', 'ux', 'uy', 'uz') + ' as rel_l2')} from points join l using (case_id) where abs(z - zl) < 0.01 group by all", "points"))
+@query("nearest_layer_slice", sql(f", l as (select case_id, arg_min(zl, (abs(zl - 0.05), zl)) as zl from (select distinct case_id, "
+    f"round(z, 2) as zl from points) group by 1) select case_id, {r('zl')}, count(*) as n, {r(_case('p_', 'ux', 'uy', 'uz') + ' as rel_l2')} "
+    f"from points join l using (case_id) where abs(z - zl) < 0.01 group by all", "points"))
 def _(s, d):
     near = sampling.nearest_layer(views.points(s, d), ["case_id"], 0.05)
     return near.groupBy("case_id", "zl").agg(F.count(F.lit(1)).alias("n"), metrics.rel_l2([(F.col(f"p_{c}"), F.col(c)) for c in ("ux", "uy", "uz")]).alias("rel_l2"))
 
 
 # --- retrieval and probes ----------------------------------------------------------------------------------------
-_Z = "m as (select i, avg(x) as m, stddev_pop(x) + 1e-6 as s from (select unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings) group by 1), e as (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), z as (select vec_id, label, i, (x - m) / s as z from e join m using (i)), n as (select vec_id, label, sqrt(sum(z * z)) + 1e-12 as n from z group by all), v as (select vec_id, label, list(z.z / n.n order by i) as v from z join n using (vec_id, label) group by all)"
+_Z = ("m as (select i, avg(x) as m, stddev_pop(x) + 1e-6 as s from (select unnest(embedding)::double as x, "
+    "generate_subscripts(embedding, 1) as i from embeddings) group by 1), e as (select vec_id, "
+    "label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), "
+    "z as (select vec_id, label, i, (x - m) / s as z from e join m using (i)), n as (select vec_id, "
+    "label, sqrt(sum(z * z)) + 1e-12 as n from z group by all), v as (select vec_id, label, list(z.z / n.n "
+    "order by i) as v from z join n using (vec_id, label) group by all)")
 
 
 @query("embedding_index", f"with {_Z} select vec_id, label, {r('v[1] as v0', 'v[17] as v16', 'v[64] as v63')} from v")
@@ -708,7 +783,9 @@ def _(s, d):
     return retrieval.standardise(views.table(s, d, "embeddings"), 64).select("vec_id", "label", *[F.col("v")[i].alias(f"v{i}") for i in (0, 16, 63)])
 
 
-@query("cosine_topk", f"with {_Z} select q.vec_id as query_id, b.vec_id, round(list_dot_product(q.v, b.v), 6) + 0.0 as score, cast(row_number() over w as int) as rank from v q, v b where q.vec_id % 20 = 0 window w as (partition by q.vec_id order by list_dot_product(q.v, b.v) desc, b.vec_id) qualify row_number() over w <= 5")
+@query("cosine_topk", f"with {_Z} select q.vec_id as query_id, b.vec_id, round(list_dot_product(q.v, b.v), 6) + 0.0 as score, "
+    f"cast(row_number() over w as int) as rank from v q, v b where q.vec_id % 20 = 0 window w as (partition by q.vec_id "
+    f"order by list_dot_product(q.v, b.v) desc, b.vec_id) qualify row_number() over w <= 5")
 def _(s, d):
     index = retrieval.standardise(views.table(s, d, "embeddings"), 64)
     return retrieval.top_k(index, index.where("vec_id % 20 = 0"), 5)
@@ -734,7 +811,12 @@ def _(s, d):
     return out.select("vec_id", *[F.col("r")[i].alias(f"r{i}") for i in range(10)])
 
 
-@query("attention_small", "with v as (select label, vec_id, list_transform(embedding[1:4], lambda x: x::double * 5) as q, list_transform(embedding[5:8], lambda x: x::double * 5) as k, list_transform(embedding[9:12], lambda x: x::double) as v from embeddings), s as (select a.label, a.vec_id as query_id, b.v, list_dot_product(a.q, b.k) / 2 as s from v a join v b on a.label = b.label and b.vec_id % 3 <> 0 where a.vec_id % 4 = 0), e as (select *, exp(s - max(s) over (partition by label, query_id)) as e from s) select label, query_id, " + r(*[f"sum(e * v[{i + 1}]) / sum(e) as o{i}" for i in range(4)]) + " from e group by all")
+@query("attention_small", "with v as (select label, vec_id, list_transform(embedding[1:4], lambda x: x::double * 5) as q, "
+    "list_transform(embedding[5:8], lambda x: x::double * 5) as k, list_transform(embedding[9:12], "
+    "lambda x: x::double) as v from embeddings), s as (select a.label, a.vec_id as query_id, b.v, "
+    "list_dot_product(a.q, b.k) / 2 as s from v a join v b on a.label = b.label and b.vec_id % 3 <> 0 "
+    "where a.vec_id % 4 = 0), e as (select *, exp(s - max(s) over (partition by label, query_id)) as e "
+    "from s) select label, query_id, " + r(*[f"sum(e * v[{i + 1}]) / sum(e) as o{i}" for i in range(4)]) + " from e group by all")
 def _(s, d):
     part = lambda a, scale: F.transform(F.slice("embedding", a, 4), lambda x: x.cast("double") * scale)
     e = views.table(s, d, "embeddings").select("label", "vec_id", part(1, 5.0).alias("q"), part(5, 5.0).alias("k"), part(9, 1.0).alias("v"))
@@ -742,7 +824,8 @@ def _(s, d):
     return attention.attention(q, e.select("label", F.col("vec_id").alias("key_id"), "k", "v", (F.col("vec_id") % 3 != 0).alias("valid")), "label", 4)
 
 
-@query("masked_maxpool", sql(f"select case_id, point_id % 8 as token, {r('max(ux) filter (where wall_dist < 0.5) as ux', 'max(cp) filter (where wall_dist < 0.5) as cp')} from points group by all", "points"))
+@query("masked_maxpool", sql(f"select case_id, point_id % 8 as token, {r('max(ux) filter (where wall_dist < 0.5) as ux', 'max(cp) filter (where wall_dist < 0.5) as cp')} "
+    f"from points group by all", "points"))
 def _(s, d):
     return attention.max_pool(views.points(s, d).withColumn("token", F.col("point_id") % 8), ["case_id", "token"], ["ux", "cp"], F.col("wall_dist") < 0.5)
 
@@ -754,13 +837,16 @@ def _event_stream(s: SparkSession, d: str) -> DataFrame:
     return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("stream_latest_wins", f"select user_id as run_id, {r('it')}, {r('value')} from (select user_id, round(floor(value) / 7, 9) as it, arg_max(value, (event_type, event_id)) as value from events group by all)")
+@query("stream_latest_wins", f"select user_id as run_id, {r('it')}, {r('value')} from (select user_id, round(floor(value) / 7, "
+    f"9) as it, arg_max(value, (event_type, event_id)) as value from events group by all)")
 def _(s, d):
     rows = _event_stream(s, d).select(F.col("user_id").alias("run_id"), (F.floor("value") / 7).alias("it"), F.col("event_type").alias("start"), F.col("event_id").alias("line"), "value")
     return streaming.run_now(streaming.latest_wins(rows))
 
 
-@query("stream_residual_state", f"select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, user_id as run_id, event_type as name, count(*) as n, {r('arg_max(value, event_id) as last')}, max(value) > 150 as over from events group by all")
+@query("stream_residual_state", f"select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, user_id as run_id, event_type as name, "
+    f"count(*) as n, {r('arg_max(value, event_id) as last')}, max(value) > 150 as over from events "
+    f"group by all")
 def _(s, d):
     rows = _event_stream(s, d).select("ts", F.col("user_id").alias("run_id"), F.col("event_type").alias("name"), "value", "event_id")
     return streaming.run_now(streaming.residual_state(rows, 150.0))
@@ -791,7 +877,9 @@ def _(s, d):
     return samples.sample(views.points(s, d), _SPEC, 1, 2, 3)["queries"]
 
 
-_NEAR3 = f", n as (select a.case_id, a.point_id, b.ux, b.cp, 1 / (sqrt({_D2}) + 1e-9) as w from points a join points b on a.case_id = b.case_id and b.point_id % 3 = 0 where a.point_id % 3 <> 0 qualify row_number() over (partition by a.case_id, a.point_id order by {_D2}, b.point_id) <= 3)"
+_NEAR3 = (f", n as (select a.case_id, a.point_id, b.ux, b.cp, 1 / (sqrt({_D2}) + 1e-9) as w from points a "
+    f"join points b on a.case_id = b.case_id and b.point_id % 3 = 0 where a.point_id % 3 <> 0 qualify row_number() over (partition by a.case_id, "
+    f"a.point_id order by {_D2}, b.point_id) <= 3)")
 
 
 @query("knn_interpolated", sql(_NEAR3 + f" select case_id, point_id, {r('sum(w * ux) / sum(w) as ux', 'sum(w * cp) / sum(w) as cp')} from n group by all", "points"))
@@ -800,13 +888,19 @@ def _(s, d):
     return samples.interpolate(p.where("point_id % 3 <> 0"), p.where("point_id % 3 = 0"), ["ux", "cp"])
 
 
-@query("ensemble_spread", sql(f"select case_id, {r('avg(v) as v_mean', 'stddev_pop(v) as v_std')} from (select case_id, ux as v from points union all select case_id, p_ux from points) group by 1", "points"))
+@query("ensemble_spread", sql(f"select case_id, {r('avg(v) as v_mean', 'stddev_pop(v) as v_std')} from (select case_id, ux as v "
+    f"from points union all select case_id, p_ux from points) group by 1", "points"))
 def _(s, d):
     p = views.points(s, d)
     return samples.ensemble(p.select("case_id", F.col("ux").alias("v")).unionByName(p.select("case_id", F.col("p_ux").alias("v"))), ["case_id"], ["v"])
 
 
-@query("backfill_reynolds", sql(", m as (select case_id, 10.0 as u_ref, n_points as l_ref from pool), q as (select case_id, case when case_id % 9 = 0 then 11.0 else 10.0 end as u, 1e-5 as nu from pool where case_id % 10 <> 3), e as (select m.*, case when nu is null then 'no parameters' when abs(u - u_ref) > 1e-9 then 'velocity differs' end as error, nu from m left join q using (case_id)) select case_id, u_ref::double as u_ref, round(l_ref, 6) + 0.0 as l_ref, error, case when error is null then round(log10(u_ref * l_ref / nu), 6) + 0.0 end as log10_re from e", "pool"))
+@query("backfill_reynolds", sql(", m as (select case_id, 10.0 as u_ref, n_points as l_ref from pool), q as (select case_id, "
+    "case when case_id % 9 = 0 then 11.0 else 10.0 end as u, 1e-5 as nu from pool where case_id % 10 <> 3), "
+    "e as (select m.*, case when nu is null then 'no parameters' when abs(u - u_ref) > 1e-9 then 'velocity differs' end as error, "
+    "nu from m left join q using (case_id)) select case_id, u_ref::double as u_ref, round(l_ref, "
+    "6) + 0.0 as l_ref, error, case when error is null then round(log10(u_ref * l_ref / nu), 6) + 0.0 end as log10_re "
+    "from e", "pool"))
 def _(s, d):
     p = views.pool(s, d)
     m = p.select("case_id", F.lit(10.0).alias("u_ref"), F.col("n_points").alias("l_ref"))
@@ -814,25 +908,35 @@ def _(s, d):
     return etl.backfill_reynolds(m, q)
 
 
-@query("voxel_points", f"with {_GRID}, n as (select a.case_id, a.ix, a.iy, a.iz, min(sqrt(((a.ix + 0.5) * 0.5 - (b.ix + 0.5) * 0.5) ** 2 + ((a.iy + 0.5) * 0.5 - (b.iy + 0.5) * 0.5) ** 2 + ((a.iz + 0.5) * 0.5 - (b.iz + 0.5) * 0.5) ** 2)) as d from g a left join g b on a.case_id = b.case_id and not b.fluid where a.fluid group by all) select case_id, cast(ix as int) as ix, cast(iy as int) as iy, cast(iz as int) as iz, {r('(ix + 0.5) * 0.5 / 2 as x', '(iy + 0.5) * 0.5 / 2 as y', '(iz + 0.5) * 0.5 / 2 as z')}, {r('greatest(least(d, (iz + 0.5) * 0.5 + 0.25) - 0.25, 0) / 2 as wall_dist')} from n")
+@query("voxel_points", f"with {_GRID}, n as (select a.case_id, a.ix, a.iy, a.iz, min(sqrt(((a.ix + 0.5) * 0.5 - (b.ix + 0.5) * 0.5) ** 2 + ((a.iy + 0.5) * 0.5 - (b.iy + 0.5) * 0.5) ** 2 + ((a.iz + 0.5) * 0.5 - (b.iz + 0.5) * 0.5) ** 2)) as d "
+    f"from g a left join g b on a.case_id = b.case_id and not b.fluid where a.fluid group by all) "
+    f"select case_id, cast(ix as int) as ix, cast(iy as int) as iy, cast(iz as int) as iz, {r('(ix + 0.5) * 0.5 / 2 as x', '(iy + 0.5) * 0.5 / 2 as y', '(iz + 0.5) * 0.5 / 2 as z')}, "
+    f"{r('greatest(least(d, (iz + 0.5) * 0.5 + 0.25) - 0.25, 0) / 2 as wall_dist')} from n")
 def _(s, d):
     return etl.voxels_to_points(_grid(s, d), ["case_id"], 0.5, 2.0)
 
 
-@query("voxel_points_all", f"with {_WHOLE_GRID}, n as (select a.case_id, a.part, a.ix, a.iy, a.iz, min(sqrt(((a.ix + 0.5) * 0.5 - (b.ix + 0.5) * 0.5) ** 2 + ((a.iy + 0.5) * 0.5 - (b.iy + 0.5) * 0.5) ** 2 + ((a.iz + 0.5) * 0.5 - (b.iz + 0.5) * 0.5) ** 2)) as d from g a left join g b on a.case_id = b.case_id and a.part = b.part and not b.fluid where a.fluid group by all) select case_id, cast(part as int) as part, cast(ix as int) as ix, cast(iy as int) as iy, cast(iz as int) as iz, {r('(ix + 0.5) * 0.5 / 2 as x', '(iy + 0.5) * 0.5 / 2 as y', '(iz + 0.5) * 0.5 / 2 as z')}, {r('greatest(least(d, (iz + 0.5) * 0.5 + 0.25) - 0.25, 0) / 2 as wall_dist')} from n")
+@query("voxel_points_all", f"with {_WHOLE_GRID}, n as (select a.case_id, a.part, a.ix, a.iy, a.iz, min(sqrt(((a.ix + 0.5) * 0.5 - (b.ix + 0.5) * 0.5) ** 2 + ((a.iy + 0.5) * 0.5 - (b.iy + 0.5) * 0.5) ** 2 + ((a.iz + 0.5) * 0.5 - (b.iz + 0.5) * 0.5) ** 2)) as d "
+    f"from g a left join g b on a.case_id = b.case_id and a.part = b.part and not b.fluid where a.fluid "
+    f"group by all) select case_id, cast(part as int) as part, cast(ix as int) as ix, cast(iy as int) as iy, "
+    f"cast(iz as int) as iz, {r('(ix + 0.5) * 0.5 / 2 as x', '(iy + 0.5) * 0.5 / 2 as y', '(iz + 0.5) * 0.5 / 2 as z')}, "
+    f"{r('greatest(least(d, (iz + 0.5) * 0.5 + 0.25) - 0.25, 0) / 2 as wall_dist')} from n")
 def _(s, d):
     out = etl.voxels_to_points(_whole_grid(s, d), ["case_id", "part"], 0.5, 2.0)
     return out.select("case_id.*", *out.columns[1:])
 
 
-@query("swap_partner", sql(", c as (select case_id, row_number() over (order by case_id) - 1 as i, count(*) over () as n from (select distinct case_id from points)) select a.case_id, b.case_id as partner from c a join c b on b.i = (a.i + 1) % a.n", "points"))
+@query("swap_partner", sql(", c as (select case_id, row_number() over (order by case_id) - 1 as i, count(*) over () as n "
+    "from (select distinct case_id from points)) select a.case_id, b.case_id as partner from c a "
+    "join c b on b.i = (a.i + 1) % a.n", "points"))
 def _(s, d):
     return pool.next_case(views.points(s, d).select("case_id"))
 
 
 # --- rules of cases, samples and manifests -----------------------------------------------------------------------
 _ODD = {"x": "case when point_id % 97 = 0 and case_id = 3 then {nan} else x end", "cell_size": "case when case_id = 4 then null when point_id % 101 = 0 then {inf} else cell_size end", "k": "case when point_id % 5 = 0 then {nan} else k end", "p_cp": "case when point_id % 7 = 0 then null else p_cp end"}
-_CASES = "select distinct label as case_id, case when label = 5 then 0.0 when label = 6 then {nan} else 1.5 end as l_ref, 10.0 as u_ref, label % 2 = 0 as k_there, label % 3 = 0 as cp_there from embeddings"
+_CASES = ("select distinct label as case_id, case when label = 5 then 0.0 when label = 6 then {nan} else 1.5 end as l_ref, "
+    "10.0 as u_ref, label % 2 = 0 as k_there, label % 3 = 0 as cp_there from embeddings")
 
 
 @query("case_problems", sql(", p as (select * replace (" + ", ".join(f"{e.format(nan=chr(39) + 'nan' + chr(39) + '::double', inf=chr(39) + 'inf' + chr(39) + '::double')} as {c}" for c, e in _ODD.items()) + ") from points), c as (" + _CASES.format(nan="'nan'::double") + """),
@@ -908,7 +1012,9 @@ def _(s, d):
 
 
 # --- large cases: the grid of the neighbours, and Arrow folds ----------------------------------------------------
-_LINES = "select l_returnflag || l_linestatus as case_id, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as id, l_quantity / 50 as x, l_discount * 10 as y, l_extendedprice / 50000 as z from lineitem"
+_LINES = ("select l_returnflag || l_linestatus as case_id, row_number() over (order by l_orderkey, l_linenumber, "
+    "l_partkey, l_suppkey, l_extendedprice, l_quantity) as id, l_quantity / 50 as x, l_discount * 10 as y, "
+    "l_extendedprice / 50000 as z from lineitem")
 
 
 def _line_points(s, d):
@@ -917,7 +1023,10 @@ def _line_points(s, d):
     return s.sql(_LINES.replace("from lineitem", f"from parquet.`{d}/lineitem.parquet`")).withColumns({c: F.col(c).cast("double") for c in "xyz"})
 
 
-@query("knn_large", f"with p as ({_LINES}), n as (select a.case_id, a.id as point_id, b.id as ref_id, {_D2} as d2, row_number() over (partition by a.case_id, a.id order by {_D2}, b.id) as rank from p a join p b on a.case_id = b.case_id and b.id % 10 = 0 where a.id % 25 = 0) select case_id, point_id, cast(rank as int) as rank, ref_id, round(sqrt(d2), 6) + 0.0 as dist from n where rank <= 3")
+@query("knn_large", f"with p as ({_LINES}), n as (select a.case_id, a.id as point_id, b.id as ref_id, {_D2} as d2, "
+    f"row_number() over (partition by a.case_id, a.id order by {_D2}, b.id) as rank from p a join p b on a.case_id = b.case_id "
+    f"and b.id % 10 = 0 where a.id % 25 = 0) select case_id, point_id, cast(rank as int) as rank, "
+    f"ref_id, round(sqrt(d2), 6) + 0.0 as dist from n where rank <= 3")
 def _(s, d):
     p = _line_points(s, d)
     # The stated query points; every line is in the references' table or beside it.
@@ -946,7 +1055,11 @@ def _(s, d):
     return batches.network_rows(p, c, even).select("case_id", "point_id", "ux", "k", "p_cp", "cell_size", "cs_flag")
 
 
-@query("padded_tokens", sql(_TOK + ", e as (select case_id, scale, step, point_id, count(*) as n, max(dist) as r_eff from t group by all), g as (select case_id, unnest(range(8)) as slot from (select distinct case_id from points)) select g.case_id, cast(slot as int) as slot, n is not null as valid, coalesce(point_id, 0) as centre_id, round(coalesce(r_eff, 1.0), 6) + 0.0 as r_eff from g left join e on g.case_id = e.case_id and e.scale = 0 and e.step = slot", "points", recursive=True))
+@query("padded_tokens", sql(_TOK + ", e as (select case_id, scale, step, point_id, count(*) as n, max(dist) as r_eff from t group by all), "
+    "g as (select case_id, unnest(range(8)) as slot from (select distinct case_id from points)) "
+    "select g.case_id, cast(slot as int) as slot, n is not null as valid, coalesce(point_id, 0) as centre_id, "
+    "round(coalesce(r_eff, 1.0), 6) + 0.0 as r_eff from g left join e on g.case_id = e.case_id "
+    "and e.scale = 0 and e.step = slot", "points", recursive=True))
 def _(s, d):
     tokens_of = _groups(s, d).where("scale = 0").select("case_id", F.col("token").cast("int").alias("slot"), "centre_id", "r_eff").distinct()
     return batches.pad(tokens_of, ["case_id"], "slot", 8, {"centre_id": 0, "r_eff": 1.0})
