@@ -1,11 +1,14 @@
 """Embedding retrieval and linear probes."""
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +21,14 @@ BLOCK, SENT_BYTES = 4096, 32 << 20
 
 def standardise(vectors: DataFrame, dims: int) -> DataFrame:
     """vec_id, label, v: z-scores by dimension (population, + 1e-6), then unit length (+ 1e-12). The moments are one
-    aggregation of 2 x dims numbers and reach every row as one broadcast row."""
-    e = lambda i: F.col("embedding")[i].cast("double")
-    moments = vectors.agg(F.array(*[F.avg(e(i)) for i in range(dims)]).alias("m"), F.array(*[F.stddev_pop(e(i)) + 1e-6 for i in range(dims)]).alias("s"))
-    z = vectors.join(F.broadcast(moments)).withColumn("z", F.expr("transform(embedding, (x, i) -> (cast(x as double) - m[i]) / s[i])"))
+    aggregation of whole vectors, which runs at once."""
+    given = vectors.where(F.size("embedding") == dims)
+    s = given.select(Summarizer.metrics("mean", "std", "count").summary(array_to_vector(F.col("embedding").cast("array<double>"))).alias("s"))
+    s = s.select("s.count", vector_to_array("s.mean").alias("mean"), vector_to_array("s.std").alias("std")).first()
+    # One row of 2 x dims numbers, which are constants of what follows; the sample's deviation becomes the population's.
+    scale = math.sqrt((s["count"] - 1) / s["count"]) if s["count"] else 1.0
+    m, d = F.lit([float(x) for x in s["mean"]]), F.lit([float(x) * scale + 1e-6 for x in s["std"]])
+    z = given.withColumn("z", F.zip_with(F.zip_with(F.col("embedding").cast("array<double>"), m, lambda x, y: x - y), d, lambda x, y: x / y))
     z = z.withColumn("n", F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x)) + 1e-12)
     return z.select("vec_id", "label", F.expr("transform(z, x -> x / n)").alias("v"))
 
@@ -40,17 +47,16 @@ def _packed(vectors: DataFrame, name: str) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), "v").mapInArrow(run, schema)
 
 
-def top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k most similar vectors of each stated query, ties by vec_id.
+def top_k(index: DataFrame, queries: DataFrame, k: int, dims: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k most similar vectors (of `dims` numbers) of each stated query, ties by vec_id.
 
     Queries and index go as packed blocks; a block of queries meets a block of vectors in one matrix product, which
     leaves k rows a query. The queries' blocks are sent to all parts of the index while they are SENT_BYTES or less,
     which is counted; beyond that both sides are cut into pieces that meet pairwise, a query block's with every part's.
     """
-    q = cut(_packed(queries, "q"), "queries")
-    size = q.agg(F.sum(F.octet_length("q_values"))).first()[0] or 0
-    x = _packed(index, "x")
-    pairs = x.join(F.broadcast(q)) if size <= SENT_BYTES else cut(x, "index").hint("shuffle_replicate_nl").join(q)
+    q, x = _packed(queries, "q"), _packed(index, "x")
+    few = queries.count() * 8 * dims <= SENT_BYTES
+    pairs = x.join(F.broadcast(q)) if few else cut(x, "index").hint("shuffle_replicate_nl").join(cut(q, "queries"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

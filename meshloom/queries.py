@@ -788,7 +788,7 @@ def _(s, d):
     f"order by list_dot_product(q.v, b.v) desc, b.vec_id) qualify row_number() over w <= 5")
 def _(s, d):
     index = retrieval.standardise(views.table(s, d, "embeddings"), 64)
-    return retrieval.top_k(index, index.where("vec_id % 20 = 0"), 5)
+    return retrieval.top_k(index, index.where("vec_id % 20 = 0"), 5, 64)
 
 
 _RF = ["x", "y", "z"]

@@ -35,7 +35,7 @@ def test_top_k_of_both_ways_and_ties(spark, monkeypatch, sent):
     v[100:120] = v[0]
     v /= np.sqrt((v * v).sum(1, keepdims=True))
     index = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>").repartition(3)
-    got = retrieval.top_k(index, index.where("vec_id % 50 = 0"), 6).toPandas()
+    got = retrieval.top_k(index, index.where("vec_id % 50 = 0"), 6, 8).toPandas()
     for q, g in got.groupby("query_id"):
         score = (v @ v[q]).round(12)
         want = sorted(range(300), key=lambda i: (-score[i], i))[:6]
