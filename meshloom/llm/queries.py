@@ -34,7 +34,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload"))
     folder = warc.make_folder(new_path(spark, "warc"))
     cut(warc.write_archives(warc.mark_revisits(pages), folder, sample=pages), "manifest")
-    records = warc.resolve_revisits(warc.read_archives(spark, folder))
+    records = warc.resolve_revisits(cut(warc.read_archives(spark, folder), "records"))
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -35,7 +35,7 @@ TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "
 RECORDS = "id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, stored_bytes long, archive string, record_id string, error string"
 #: First ids of repeated payloads that are sent to all executors; with more of them payloads are shuffled by digest.
 FEW = 100_000
-#: Rows that the dictionary is trained on, and bytes of each: what reaches the driver of a write.
+#: Rows that the dictionary is trained on (twice as many at most), and bytes of each: what reaches the driver of a write.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 8_192, 16_384
 
 
@@ -214,9 +214,12 @@ def mark_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
 
 def write_archives(marked: DataFrame, folder: str, archive_bytes: int = 64 << 20, sample: DataFrame | None = None) -> DataFrame:
     """Write the rows' records; returns archive, records, bytes. The write happens when the result is acted on, the training
-    of its dictionary at once, on SAMPLE_ROWS rows of `sample` (id, payload; by default the rows) that are chosen by hash."""
-    some = (marked if sample is None else sample).select(F.xxhash64("id").alias("k"), F.substring("payload", 1, SAMPLE_BYTES).alias("head")).where(F.octet_length("head") > 0)
-    dictionary = train([bytes(r.head) for r in some.orderBy("k").limit(SAMPLE_ROWS).collect()])
+    of its dictionary at once, on about SAMPLE_ROWS rows of `sample` (id, payload; by default the rows) that are chosen by hash."""
+    rows = marked if sample is None else sample
+    share = max(1, rows.count() // SAMPLE_ROWS)
+    # A share of all rows by hash; the limit only bounds what rows of one id or none can add.
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select(F.substring("payload", 1, SAMPLE_BYTES).alias("head")).where(F.octet_length("head") > 0).limit(2 * SAMPLE_ROWS)
+    dictionary = train([bytes(r.head) for r in some.collect()])
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
