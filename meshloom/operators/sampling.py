@@ -22,26 +22,28 @@ def quota(share: float, n: int) -> int:
 
 def stratified(df: DataFrame, keys: list[str], n_keep: int, seed: int, indicator: Column, near_band: float = 0.25, share: tuple[float, float, float] = (0.5, 0.2, 0.3)) -> DataFrame:
     """Rows with `stratum`: near-wall rows, then rows of any kind, then wake rows (indicator in its upper
-    tenth), each quota without replacement from what the ones before left. Small groups are kept whole."""
-    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"), F.percentile(indicator, 0.9).alias("q_"))
-    d = df.join(size, keys).withColumn("i_", indicator)
-    small = d.where(F.col("n_") <= n_keep).withColumn("stratum", F.when(F.col("wall_dist") < near_band, 1).otherwise(0))
-    d = d.where(F.col("n_") > n_keep)
-    near = first_by_key(d.where(F.col("wall_dist") < near_band), keys, [key(seed, "near", F.col("point_id")), F.col("point_id")], quota(share[0], n_keep)).withColumn("stratum", F.lit(1)).drop("rank")
-    left = d.join(near.select(*keys, "point_id"), [*keys, "point_id"], "left_anti")
-    uniform = first_by_key(left, keys, [key(seed, "any", F.col("point_id")), F.col("point_id")], quota(share[1], n_keep)).withColumn("stratum", F.lit(0)).drop("rank")
-    left = left.join(uniform.select(*keys, "point_id"), [*keys, "point_id"], "left_anti")
-    wake = first_by_key(left.where(F.col("i_") >= F.col("q_")), keys, [key(seed, "wake", F.col("point_id")), F.col("point_id")], quota(share[2], n_keep)).withColumn("stratum", F.lit(2)).drop("rank")
-    return small.unionByName(near).unionByName(uniform).unionByName(wake).drop("n_", "q_", "i_")
+    tenth), each quota without replacement from what the ones before left. Small groups are kept whole. The rows are
+    shuffled once; what one quota takes is a flag by which the next one's ranks are told apart."""
+    group = Window.partitionBy(*keys)
+    rank = lambda flag, what: F.row_number().over(Window.partitionBy(*keys, flag).orderBy(key(seed, what, F.col("point_id")), "point_id"))
+    take = lambda flag, what, n: F.col(flag) & (rank(flag, what) <= n)
+    near = F.col("wall_dist") < near_band
+    d = df.repartition(*keys).withColumn("i_", indicator).withColumns({"n_": F.count(F.lit(1)).over(group), "q_": F.percentile("i_", 0.9).over(group)})
+    d = d.withColumns({"small_": F.col("n_") <= n_keep, "f1_": F.coalesce(near, F.lit(False))})
+    d = d.withColumn("s1_", take("f1_", "near", quota(share[0], n_keep))).withColumn("f2_", ~F.col("s1_"))
+    d = d.withColumn("s2_", take("f2_", "any", quota(share[1], n_keep))).withColumn("f3_", F.coalesce(~F.col("s1_") & ~F.col("s2_") & (F.col("i_") >= F.col("q_")), F.lit(False)))
+    d = d.withColumn("s3_", take("f3_", "wake", quota(share[2], n_keep)))
+    stratum = F.when(F.col("small_"), F.when(near, 1).otherwise(0)).when(F.col("s1_"), 1).when(F.col("s2_"), 0).when(F.col("s3_"), 2)
+    return d.withColumn("stratum", stratum).where(F.col("stratum").isNotNull()).select(*df.columns, "stratum")
 
 
 def context(df: DataFrame, keys: list[str], n: int, seed: int, near_band: float = 0.25, share: float = 5 / 7) -> DataFrame:
-    """At most n rows of each group, `share` of them near walls."""
-    near = first_by_key(df.where(F.col("wall_dist") < near_band), keys, [key(seed, "near", F.col("point_id")), F.col("point_id")], quota(share, n)).drop("rank")
-    taken = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("t_"))
-    rest = df.join(near.select(*keys, "point_id"), [*keys, "point_id"], "left_anti").join(taken, keys, "left")
-    more = first_by_key(rest, keys, [key(seed, "rest", F.col("point_id")), F.col("point_id")], F.lit(n) - F.coalesce("t_", F.lit(0))).drop("rank", "t_")
-    return near.unionByName(more)
+    """At most n rows of each group, `share` of them near walls; the rows are shuffled once."""
+    order = lambda what: [key(seed, what, F.col("point_id")), F.col("point_id")]
+    d = df.repartition(*keys).withColumn("near_", F.coalesce(F.col("wall_dist") < near_band, F.lit(False)))
+    d = d.withColumn("taken_", F.col("near_") & (F.row_number().over(Window.partitionBy(*keys, "near_").orderBy(*order("near"))) <= quota(share, n)))
+    d = d.withColumns({"n_": F.count_if("taken_").over(Window.partitionBy(*keys)), "rank_": F.row_number().over(Window.partitionBy(*keys, "taken_").orderBy(*order("rest")))})
+    return d.where(F.col("taken_") | (F.col("rank_") <= n - F.col("n_"))).select(*df.columns)
 
 
 def epoch_order(pool: DataFrame, seed: int, epoch: int, start: int = 0) -> DataFrame:

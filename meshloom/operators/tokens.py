@@ -1,54 +1,49 @@
-"""Farthest-point sampling and two-scale token groups."""
-from __future__ import annotations
+"""Farthest-point sampling and two-scale token groups.
 
-from collections.abc import Iterator
+The choice is sequential within a case and parallel over cases: a case is one Arrow task, which holds five numbers a point
+(40 MB for a million points), so a case of some ten million points is the largest that an executor takes.
+"""
+from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import knn
 
-#: Points of a case up to which the fold runs as a Spark expression; larger cases go through Arrow.
-FOLD = 4096
+def _square(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    d = x - at
+    return d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+
+
+def greedy(x: np.ndarray, w: np.ndarray, n: int, start: int = 0) -> list[int]:
+    """Places of at most n points: the one at start (modulo their number), then always that of the largest weight x squared
+    distance to those chosen, the first on ties."""
+    chosen, least = [start % len(x)], np.full(len(x), np.inf)
+    for _ in range(min(n, len(x)) - 1):
+        least = np.minimum(least, _square(x, x[chosen[-1]]))
+        least[chosen] = -1
+        chosen.append(int(np.argmax(least * w)))
+    return chosen
+
+
+def _sorted(points: DataFrame, weight: str) -> DataFrame:
+    return points.select("case_id", "point_id", "x", "y", "z", F.expr(weight).cast("double").alias("w"))
+
+
+def _case_type(points: DataFrame) -> str:
+    return points.schema["case_id"].dataType.simpleString()
 
 
 def farthest_points(points: DataFrame, n: int, weight: str = "1.0", start: int = 0) -> DataFrame:
-    """case_id, step (from 0), point_id: greedy farthest points of each case, the next one having the largest
-    weight x squared distance to those chosen, the first in point order on ties; at most the case's points.
-
-    The fold is sequential within a case and parallel over cases. Cases beyond FOLD points are folded in an Arrow
-    task each, with the same arithmetic.
-    """
-    rows = points.select("case_id", "point_id", "x", "y", "z", F.expr(weight).cast("double").alias("w"))
-    size = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_"))
-    sized = rows.join(size, "case_id")
-    small = sized.where(F.col("n_") <= FOLD).groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("point_id", "x", "y", "z", "w"))).alias("pts"))
-    last = "pts[element_at(a.ch, -1)]"
-    fold = f"""aggregate(if(least({n}, size(pts)) > 1, sequence(1, least({n}, size(pts)) - 1), cast(array() as array<int>)),
-      named_struct('ch', array({start} % size(pts)), 'md', transform(pts, q -> double('infinity'))),
-      (a, i) -> transform(array(zip_with(
-          transform(a.md, (m, j) -> if(j = element_at(a.ch, -1), -1D, m)),
-          transform(pts, q -> (q.x - {last}.x) * (q.x - {last}.x) + (q.y - {last}.y) * (q.y - {last}.y) + (q.z - {last}.z) * (q.z - {last}.z)),
-          (m, e) -> if(m < 0, m, least(m, e)))),
-        md -> named_struct('ch', array_append(a.ch, cast(array_position(zip_with(md, pts, (m, p) -> m * p.w), array_max(zip_with(md, pts, (m, p) -> m * p.w))) - 1 as int)), 'md', md))[0]).ch"""
-    folded = small.select("case_id", F.expr(fold).alias("ch"), "pts").select("case_id", F.posexplode(F.expr("transform(ch, j -> pts[j].point_id)")).alias("step", "point_id"))
+    """case_id, step (from 0), point_id: greedy farthest points of each case in point order; at most the case's points."""
 
     def far(p: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         p = p.sort_values("point_id")
-        x, w = p[["x", "y", "z"]].to_numpy(), p["w"].to_numpy()
-        chosen, least = [start % len(p)], np.full(len(p), np.inf)
-        for _ in range(min(n, len(p)) - 1):
-            d = x - x[chosen[-1]]
-            least = np.minimum(least, d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
-            least[chosen] = -1
-            chosen.append(int(np.argmax(least * w)))
+        chosen = greedy(p[["x", "y", "z"]].to_numpy(), p["w"].to_numpy(), n, start)
         return pd.DataFrame({"case_id": p["case_id"].iloc[0], "step": range(len(chosen)), "point_id": p["point_id"].to_numpy()[chosen]})
 
-    schema = f"case_id {points.schema['case_id'].dataType.simpleString()}, step int, point_id long"
-    return folded.unionByName(sized.where(F.col("n_") > FOLD).groupBy("case_id").applyInPandas(far, schema))
+    return _sorted(points, weight).groupBy("case_id").applyInPandas(far, f"case_id {_case_type(points)}, step int, point_id long")
 
 
 def wall_weight(r1: float) -> str:
@@ -56,16 +51,25 @@ def wall_weight(r1: float) -> str:
 
 
 def token_groups(points: DataFrame, n1: int, n2: int, k: int, r1: float, r2: float) -> DataFrame:
-    """case_id, scale, token, centre_id, rank, ref_id, dist, r_eff: wall-weighted and uniform farthest centres with
-    their k nearest points, the centre among them."""
-    fine = farthest_points(points, n1, wall_weight(r1)).withColumn("scale", F.lit(0))
-    coarse = farthest_points(points, n2, "1.0", 1).withColumn("scale", F.lit(1))
-    centres = fine.unionByName(coarse)
-    at = points.select("case_id", "point_id", "x", "y", "z")
-    near = knn(centres.select("case_id", "point_id").distinct().join(at, ["case_id", "point_id"]), at.withColumnRenamed("point_id", "ref_id"), k)
-    far = near.groupBy("case_id", "point_id").agg(F.sqrt(F.max("d2")).alias("r_eff"))
-    out = centres.join(near, ["case_id", "point_id"]).join(far, ["case_id", "point_id"])
-    return out.select("case_id", "scale", F.col("step").alias("token"), F.col("point_id").alias("centre_id"), "rank", "ref_id", F.sqrt("d2").alias("dist"), "r_eff", F.when(F.col("scale") == 0, r1).otherwise(r2).alias("radius"))
+    """case_id, scale, token, centre_id, rank, ref_id, dist, r_eff, radius: wall-weighted and uniform farthest centres with
+    their k nearest points (the centre among them; ties by id), all from one pass over a case."""
+
+    def group(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("point_id")
+        x, ids, out = p[["x", "y", "z"]].to_numpy(), p["point_id"].to_numpy(), []
+        uniform = np.ones(len(x))
+        for scale, (w, n, start) in enumerate(((p["w"].to_numpy(), n1, 0), (uniform, n2, 1))):
+            for token, c in enumerate(greedy(x, w, n, start)):
+                d2 = _square(x, x[c])
+                # All points up to the k-th distance, then by distance and id.
+                near = np.flatnonzero(d2 <= np.partition(d2, k - 1)[k - 1]) if k < len(x) else np.arange(len(x))
+                near = near[np.lexsort((ids[near], d2[near]))][:k]
+                dist = np.sqrt(d2[near])
+                out.append(pd.DataFrame({"scale": scale, "token": token, "centre_id": ids[c], "rank": np.arange(1, len(near) + 1), "ref_id": ids[near], "dist": dist, "r_eff": dist.max(), "radius": r1 if scale == 0 else r2}))
+        return pd.concat(out).assign(case_id=p["case_id"].iloc[0])[["case_id", *out[0].columns]]
+
+    schema = f"case_id {_case_type(points)}, scale int, token int, centre_id long, rank int, ref_id long, dist double, r_eff double, radius double"
+    return _sorted(points, wall_weight(r1)).groupBy("case_id").applyInPandas(group, schema)
 
 
 def token_coverage(points: DataFrame, groups: DataFrame, near: float = 0.25) -> DataFrame:

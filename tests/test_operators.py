@@ -51,16 +51,17 @@ def test_knn_with_fewer_references_than_k_and_duplicates(spark):
     assert [(r.rank, r.ref_id) for r in spatial.knn(left, right, 4).orderBy("rank").collect()] == [(1, 4), (2, 5)]
 
 
-@pytest.mark.parametrize("fold", [10**6, 10])
-def test_farthest_points_fold_and_arrow_agree(spark, monkeypatch, fold):
-    monkeypatch.setattr(tokens, "FOLD", fold)
+def test_farthest_points_of_every_case(spark):
     got = tokens.farthest_points(cube(spark, 60), 12, tokens.wall_weight(0.5)).orderBy("case_id", "step").collect()
     assert [r.point_id for r in got if r.case_id == 0][:1] == [0] and len(got) == 24
     assert len({(r.case_id, r.point_id) for r in got}) == 24
-    known = getattr(test_farthest_points_fold_and_arrow_agree, "known", None)
-    if known:
-        assert known == [(r.case_id, r.point_id) for r in got]
-    test_farthest_points_fold_and_arrow_agree.known = [(r.case_id, r.point_id) for r in got]
+    for case, rows in cube(spark, 60).toPandas().sort_values("point_id").groupby("case_id"):
+        x, w = rows[["x", "y", "z"]].to_numpy(), (1 / (1 + rows.wall_dist.clip(lower=0) / 0.5)).to_numpy() ** 2
+        want = [0]
+        while len(want) < 12:  # step by step from the definition
+            d = ((x[:, None] - x[want][None]) ** 2).sum(2).min(1) * w
+            want.append(max((i for i in range(len(x)) if i not in want), key=lambda i: (d[i], -i)))
+        assert [r.point_id for r in got if r.case_id == case] == rows.point_id.to_numpy()[want].tolist()
 
 
 def test_farthest_points_of_small_cases(spark):
