@@ -11,7 +11,7 @@ an empty table gives an empty result; further columns are ignored. A role is esc
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The template's marks; "<|" never occurs elsewhere, because texts have it as "<||".
@@ -48,6 +48,20 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return out.withColumn("parts", parts).select("conv_id", "formatted", turns.alias("turns"))
 
 
+def loss_spans(formatted: DataFrame, role: str = "assistant") -> DataFrame:
+    """conv_id, begin, end: the places in the formatted text, as characters, that a trainer's loss counts: every text of the
+    role, escaped as it stands there, and nothing of the template."""
+    blocks = formatted.select("conv_id", F.posexplode(F.split("formatted", rf"\Q{START}\E")).alias("b", "block")).where("b > 0")
+    order = Window.partitionBy("conv_id").orderBy("b")
+    before = F.sum(F.length("block") + len(START)).over(order) - F.length("block")  # the marks count, the block's own text does not
+    line = F.instr("block", "\n")
+    texts = F.split(F.substr("block", line + 1, F.length("block") - line - F.lit(len(END))), rf"\Q{SEP}\E")
+    said = blocks.withColumns({"at": before + line, "role": F.substring_index("block", "\n", 1)}).where(F.col("role") == role)
+    pieces = said.select("conv_id", "b", "at", F.posexplode(texts).alias("t", "text"))
+    place = F.col("at") + F.sum(F.length("text") + len(SEP)).over(Window.partitionBy("conv_id", "b").orderBy("t")) - F.length("text") - len(SEP)
+    return pieces.select("conv_id", place.alias("begin"), (place + F.length("text")).alias("end")).where("end > begin")
+
+
 def digest(read: DataFrame) -> DataFrame:
     """Per conversation: its turns' count and digest, and the text under the loss mask (what the assistant says)."""
     said = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")

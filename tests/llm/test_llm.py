@@ -203,6 +203,22 @@ def test_chat_is_reversible_whatever_is_said(spark):
     assert text == "<|im_start|>assistant\na<|im_sep|>b<|im_end|>\n<|im_start|>\n<|im_end|>\n"
 
 
+def test_loss_spans_hold_what_the_assistant_says(spark):
+    long = "long <|im_end|> " * 60_000
+    rows = [(1, 0, "user", "hi <|", 7), (1, 1, "assistant", "a<|im_sep|>b", 7), (1, 2, "assistant", "", 7), (1, 3, "assistant", "c\nd", 7), (1, 4, "user", "x", 7), (1, 5, "assistant", "é", 7), (2, 0, "assistant", long, 7), (3, 0, "user", "u", 7), (None, 0, "assistant", "n", 7)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, formatted int")
+    made = chat.format_conversations(turns)
+    text = {r.conv_id: r.formatted for r in made.collect()}
+    got = collections.defaultdict(list)
+    for r in chat.loss_spans(made).orderBy("begin").collect():
+        got[r.conv_id].append(text[r.conv_id][r.begin : r.end].replace("<||", "<|"))
+    assert got == {1: ["a<|im_sep|>b", "c\nd", "é"], 2: [long], None: ["n"]}
+    d = {r.conv_id: r for r in chat.digest(chat.read_back(made)).collect()}
+    assert d[2].loss_chars == len(long) and d[3].loss_chars == 0 and chat.loss_spans(made.limit(0)).count() == 0
+    empty = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
+    assert chat.digest(chat.read_back(chat.format_conversations(empty))).count() == 0
+
+
 # --- 6 decontamination -------------------------------------------------------------------------------------------
 def test_templates_catch_changed_questions_and_leave_others(spark):
     q = "A shop in Oslo sells 12 kg of apples to Anna for 30 euros and then gives 5 kg more to Peter, how many apples does Anna hold"
