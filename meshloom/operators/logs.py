@@ -56,23 +56,28 @@ def numbers(lines: DataFrame, text: str = "line") -> DataFrame:
     return d.withColumn("malformed", F.exists("numbers", lambda x: x.isNull())).drop("tokens")
 
 
+def _start(parsed: DataFrame) -> list[str]:
+    """The start time of the file that a line is of, where it is known."""
+    return ["start"] if "start" in parsed.columns else []
+
+
 def forces(parsed: DataFrame) -> DataFrame:
     """it, fx, fy, fz of monitor lines `it (fx fy fz) ...`; fewer than four numbers are malformed."""
     bad = F.col("malformed") | (F.size("numbers") < 4)
-    return parsed.select("run_id", "line_no", bad.alias("malformed"), *[F.when(~bad, F.get("numbers", F.lit(i))).alias(n) for i, n in enumerate(("it", "fx", "fy", "fz"))])
+    return parsed.select("run_id", *_start(parsed), "line_no", bad.alias("malformed"), *[F.when(~bad, F.get("numbers", F.lit(i))).alias(n) for i, n in enumerate(("it", "fx", "fy", "fz"))])
 
 
 def probes(parsed: DataFrame) -> DataFrame:
     """run_id, line_no, malformed, it, speeds: the lengths of the vectors of monitor lines `it (ux uy uz) (ux uy uz) ...`. A
     line is malformed if it holds anything but numbers, not a time and whole vectors, or another number of them than
-    the run's first line does."""
+    the first line of the run (and start) does."""
     n = F.size("numbers")
     bad = F.col("malformed") | (n < 4) | ((n - 1) % 3 != 0)
-    width = F.first(n).over(Window.partitionBy("run_id").orderBy("line_no"))
+    width = F.first(n).over(Window.partitionBy("run_id", *_start(parsed)).orderBy("line_no"))
     d = parsed.withColumn("malformed", bad | (n != width))
     part = lambda k: F.get("numbers", k) * F.get("numbers", k)
     speeds = F.transform(F.sequence(F.lit(1), n - 3, F.lit(3)), lambda k: F.sqrt(part(k) + part(k + 1) + part(k + 2)))
-    return d.select("run_id", "line_no", "malformed", *[F.when(~F.col("malformed"), x).alias(c) for c, x in (("it", F.get("numbers", F.lit(0))), ("speeds", speeds))])
+    return d.select("run_id", *_start(parsed), "line_no", "malformed", *[F.when(~F.col("malformed"), x).alias(c) for c, x in (("it", F.get("numbers", F.lit(0))), ("speeds", speeds))])
 
 
 def last_records(records: DataFrame, keys: list[str], order: str) -> DataFrame:

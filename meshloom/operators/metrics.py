@@ -33,15 +33,18 @@ def near_wall_ratio(df: DataFrame, keys: list[str], predicted: str = "p_", near:
     return out.select(*keys, F.coalesce("near", nan).alias("near"), F.coalesce("far", nan).alias("far"), F.when(F.col("far") > 0, F.col("near") / F.col("far")).otherwise(nan).alias("ratio"))
 
 
-def by_method(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Long table (keys, method): the prior as it is, a uniform inflow, and the mean of both, in one scan."""
-    uniform = {"ux": 1.0}
-    methods = F.array(
-        F.struct(F.lit("prior-alone").alias("method"), *[F.col(f"p_{c}").alias(f"m_{c}") for c in CHANNELS]),
-        F.struct(F.lit("uniform-inflow").alias("method"), *[F.lit(uniform.get(c, 0.0)).alias(f"m_{c}") for c in CHANNELS]),
-        F.struct(F.lit("blend").alias("method"), *[(0.5 * (F.col(f"p_{c}") + uniform.get(c, 0.0))).alias(f"m_{c}") for c in CHANNELS]),
-    )
-    long = df.withColumn("m", F.explode(methods)).select(*keys, "wall_dist", *CHANNELS, "m.*")
+def baselines() -> dict[str, dict[str, Column]]:
+    """The prior as it is, a uniform inflow, and the mean of both."""
+    uniform = {c: F.lit(1.0 if c == "ux" else 0.0) for c in CHANNELS}
+    return {"prior-alone": {c: F.col(f"p_{c}") for c in CHANNELS}, "uniform-inflow": uniform, "blend": {c: 0.5 * (F.col(f"p_{c}") + uniform[c]) for c in CHANNELS}}
+
+
+def by_method(df: DataFrame, keys: list[str], methods: dict[str, dict[str, Column]] | None = None) -> DataFrame:
+    """Long table (keys, method) of the errors of each method, given as the columns that it predicts by channel (by default the
+    baselines), in one scan."""
+    given = baselines() if methods is None else methods
+    rows = F.array(*[F.struct(F.lit(name).alias("method"), *[made[c].cast("double").alias(f"m_{c}") for c in CHANNELS]) for name, made in given.items()])
+    long = df.withColumn("m", F.explode(rows)).select(*keys, "wall_dist", *CHANNELS, "m.*")
     return rel_l2_by_group(long, [*keys, "method"], "m_")
 
 

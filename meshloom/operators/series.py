@@ -57,6 +57,40 @@ def arm_status(failed: Column, diverged: Column, evidence: Column) -> Column:
     return F.when(failed, "failed").when(diverged, "diverged").otherwise(evidence)
 
 
+def score_arms(lines: DataFrame, forces: DataFrame, probes: DataFrame, codes: DataFrame, direction: tuple[float, float, float], fields: list[str], quantities: list[str], tol: float, window: int, rel: float) -> DataFrame:
+    """One row per run of codes (run_id, returncode): status (failed, diverged, invalid, converged, not_converged), admissible
+    (the last two), iterations run and until the criterion, iterations until the residuals alone, execution_time, and the
+    quantities that have no record.
+
+    lines: run_id, line_no, line of the logs; forces and probes as operators.logs makes them, with `start`: of restarted
+    runs the later file counts. The quantities are drag (force along `direction`) and pedestrian_speed (mean over the
+    probes). A malformed record makes a run's evidence invalid.
+    """
+    from . import logs
+
+    found = logs.residuals(lines)
+    told = logs.summary(lines).join(logs.diverged(found), "run_id", "left")
+    drag = sum((F.col(f"f{c}") * d for c, d in zip("xyz", direction)), F.lit(0.0))
+    speed = F.aggregate("speeds", F.lit(0.0), lambda a, x: a + x) / F.size("speeds")
+    one = lambda t, name, value: latest_wins(t.where("not malformed").select("run_id", "start", F.col("line_no").alias("line"), "it", value.alias("value"))).withColumn("name", F.lit(name))
+    monitors = one(forces, "drag", drag).unionByName(one(probes, "pedestrian_speed", speed))
+    series = found.select("run_id", "it", F.col("residual").alias("value"), F.col("field").alias("name")).unionByName(monitors)
+    criterion = convergence(series, fields, quantities, tol, window, rel).withColumnRenamed("status", "evidence")
+    alone = convergence(series, fields, [], tol, 0, 1.0).select("run_id", F.col("iteration").alias("iterations_to_residuals"))
+    broken = forces.select("run_id", "malformed").unionByName(probes.select("run_id", "malformed")).groupBy("run_id").agg(F.bool_or("malformed").alias("broken"))
+    there = monitors.groupBy("run_id").agg(F.collect_set("name").alias("there"))
+    runs = codes.select("run_id", "returncode")
+    for t in (told, criterion, alone, broken, there):
+        runs = runs.join(t, "run_id", "left")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    evidence = F.when(no(F.col("broken")), "invalid").otherwise(F.coalesce("evidence", F.lit("invalid")))
+    status = arm_status(F.coalesce(F.col("returncode") != 0, F.lit(False)), no(F.col("crashed")) | no(F.col("diverged")), evidence)
+    return runs.select(
+        "run_id", status.alias("status"), status.isin("converged", "not_converged").alias("admissible"), F.coalesce("iterations", F.lit(0)).alias("iterations_run"),
+        F.when(status == "converged", F.col("iteration")).alias("iterations_to_criterion"), "iterations_to_residuals", F.coalesce("execution_time", F.lit(float("nan"))).alias("execution_time"),
+        F.array_except(F.lit(list(quantities)).cast("array<string>"), F.coalesce("there", F.array().cast("array<string>"))).alias("missing_monitors"))
+
+
 def safety(series: DataFrame, settle: int, blowup: float, probe: int, ratio: float, accept_below: float) -> DataFrame:
     """run_id, accepted, reason, from a run's residuals in order: rejected when there are fewer than two, one is not
     finite, or one after `settle` reaches blowup; else accepted if the residual at `probe` is small enough."""

@@ -266,3 +266,30 @@ def test_safety_over_all_fields(spark):
     known, reference = spark.createDataFrame([(7, True), (1, False)], "run_id int, diverged boolean"), spark.createDataFrame([(4, 0.3)], "run_id int, reference double")
     got = {r.run_id: r.reason for r in series.safety_all(s, "U", known, 1, 100.0, 2, 0.5, 1e-4, reference).collect()}
     assert got == {1: "blowup", 2: "blowup", 3: "accepted", 4: "no_progress", 5: "too_short", 6: "no_progress", 7: "diverged"}
+
+
+def test_arms_are_scored_from_logs_and_monitors(spark):
+    """One run of each status, and a restart whose later file corrects the earlier one."""
+    def log(n, residual):
+        return [BANNER, *[t for i in range(1, n + 1) for t in (f"Time = {i}", f"Solving for p, Initial residual = {residual(i)}, Final", f"ExecutionTime = {i}.5 s")]]
+
+    falling, flat = (lambda i: 10.0**-i), (lambda i: 0.5)
+    logs_of = {1: log(9, falling), 2: log(9, falling), 3: log(9, flat), 4: log(9, falling) + ["--> FOAM FATAL ERROR"], 5: log(9, falling), 6: log(9, falling), 7: log(9, falling)}
+    lines = spark.createDataFrame([(r, i, t) for r, ts in logs_of.items() for i, t in enumerate(ts)], "run_id int, line_no int, line string")
+    force = [(r, 0.0, i, f"{i} (2 0 0) (1 1 1)") for r in (1, 2, 3, 4, 6, 7) for i in range(1, 10)] + [(6, 0.0, 99, "9 (x 0 0)")] + [(7, 5.0, i, f"{i} ({90 + i} 0 0)") for i in range(4, 7)]
+    probe = [(r, 0.0, i, f"{i} (3 4 0) (0 0 5)") for r in (1, 2, 3, 4, 5, 6, 7) for i in range(1, 10)]
+    read = lambda rows: logs.numbers(spark.createDataFrame(rows, "run_id int, start double, line_no int, line string"))
+    codes = spark.createDataFrame([(1, 0), (2, 9), (3, None), (4, 0), (5, 0), (6, 0), (7, 0), (8, 0)], "run_id int, returncode int")
+    got = {r.run_id: r for r in series.score_arms(lines, logs.forces(read(force)), logs.probes(read(probe)), codes, (1.0, 0.0, 0.0), ["p"], ["drag", "pedestrian_speed"], 1e-3, 2, 0.01).collect()}
+    assert {k: r.status for k, r in got.items()} == {1: "converged", 2: "failed", 3: "not_converged", 4: "diverged", 5: "invalid", 6: "invalid", 7: "converged", 8: "invalid"}
+    assert (got[1].iterations_to_criterion, got[1].iterations_to_residuals, got[1].iterations_run, got[1].execution_time) == (3, 3, 9, 9.5)
+    # Of run 7 the drag of 4 to 6 is that of the later file, so it settles at the seventh iteration.
+    assert got[7].iterations_to_criterion == 7 and got[5].missing_monitors == ["drag"] and got[8].missing_monitors == ["drag", "pedestrian_speed"]
+    assert [k for k, r in got.items() if r.admissible] == [1, 3, 7] and got[2].iterations_to_criterion is None
+
+
+def test_errors_of_methods_that_are_given(spark):
+    p = spark.createDataFrame([(1, 1.0, *[float(i) for i in range(1, 7)], *[0.0] * 6)], "case_id int, wall_dist double, ux double, uy double, uz double, cp double, k double, eps double, p_ux double, p_uy double, p_uz double, p_cp double, p_k double, p_eps double")
+    exact = {c: F.col(c) for c in ("ux", "uy", "uz", "cp", "k", "eps")}
+    got = {r.method: r.rel_l2_u for r in metrics.by_method(p, ["case_id"], {"exact": exact, "none": {c: F.lit(0) for c in exact}}).collect()}
+    assert got == {"exact": 0.0, "none": pytest.approx(1.0)}
