@@ -799,9 +799,39 @@ def _(s, d):
     return retrieval.gram(views.points(s, d), _RF, "cp")
 
 
-@query("ridge_loo")
-def _(s, d):
-    return retrieval.ridge_loo(views.points(s, d), ["case_id"], ["x", "y", "z", "wall_dist"], "cp", tuple(10.0**k for k in range(-5, 6)))
+_RIDGE = tuple(10.0**k for k in range(-5, 6))
+
+
+def _ridge_sql() -> str:
+    """Leave-one-out by the hat diagonal; the 4 x 4 systems are inverted by their minors."""
+    q = range(4)
+    every = lambda f: ", ".join(f(i, j) for i in q for j in q)
+    upper = {0: "m00 * m11 - m10 * m01", 1: "m00 * m12 - m10 * m02", 2: "m00 * m13 - m10 * m03", 3: "m01 * m12 - m11 * m02", 4: "m01 * m13 - m11 * m03", 5: "m02 * m13 - m12 * m03"}
+    lower = {5: "m22 * m33 - m32 * m23", 4: "m21 * m33 - m31 * m23", 3: "m21 * m32 - m31 * m22", 2: "m20 * m33 - m30 * m23", 1: "m20 * m32 - m30 * m22", 0: "m20 * m31 - m30 * m21"}
+    inverse = [
+        ["m11 * c5 - m12 * c4 + m13 * c3", "-m01 * c5 + m02 * c4 - m03 * c3", "m31 * s5 - m32 * s4 + m33 * s3", "-m21 * s5 + m22 * s4 - m23 * s3"],
+        ["-m10 * c5 + m12 * c2 - m13 * c1", "m00 * c5 - m02 * c2 + m03 * c1", "-m30 * s5 + m32 * s2 - m33 * s1", "m20 * s5 - m22 * s2 + m23 * s1"],
+        ["m10 * c4 - m11 * c2 + m13 * c0", "-m00 * c4 + m01 * c2 - m03 * c0", "m30 * s4 - m31 * s2 + m33 * s0", "-m20 * s4 + m21 * s2 - m23 * s0"],
+        ["-m10 * c3 + m11 * c1 - m12 * c0", "m00 * c3 - m01 * c1 + m02 * c0", "-m30 * s3 + m31 * s1 - m32 * s0", "m20 * s3 - m21 * s1 + m22 * s0"],
+    ]
+    return sql(f""", r as (select case_id, cp as t, x as x0, y as x1, z as x2, wall_dist as x3 from points),
+  mo as (select case_id, count(*) as n, avg(t) as mt, {', '.join(f'avg(x{i}) as a{i}, stddev_pop(x{i}) + 1e-12 as d{i}' for i in q)} from r group by 1),
+  z as (select case_id, n, t - mt as t, {', '.join(f'(x{i} - a{i}) / d{i} as z{i}' for i in q)} from r join mo using (case_id)),
+  g as (select case_id, sum(t * t) as total, {every(lambda i, j: f'sum(z{i} * z{j}) as g{i}{j}')}, {', '.join(f'sum(z{i} * t) as v{i}' for i in q)} from z group by 1),
+  m as (select *, {every(lambda i, j: f'g{i}{j}' + (' + alpha' if i == j else '') + f' as m{i}{j}')} from g, (select unnest({[float(x) for x in _RIDGE]}) as alpha)),
+  c as (select *, {', '.join(f'{e} as s{k}' for k, e in upper.items())}, {', '.join(f'{e} as c{k}' for k, e in lower.items())} from m),
+  d as (select *, s0 * c5 - s1 * c4 + s2 * c3 + s3 * c2 - s4 * c1 + s5 * c0 as det from c),
+  b as (select case_id, alpha, total, v0, v1, v2, v3, {every(lambda i, j: f'({inverse[i][j]}) / det as b{i}{j}')} from d),
+  w as (select *, {', '.join('(' + ' + '.join(f'b{i}{j} * v{j}' for j in q) + f') as w{i}' for i in q)} from b),
+  e as (select case_id, alpha, total, n, (t - {' - '.join(f'w{i} * z{i}' for i in q)}) / greatest(1 - ({' + '.join(f'b{i}{j} * z{i} * z{j}' for i in q for j in q)}) - 1 / n, 1e-6) as e from z join w using (case_id)),
+  o as (select case_id, alpha, any_value(n) as n, any_value(total) as total, sum(e * e) as sse from e group by all),
+  p as (select case_id, any_value(n) as n, 1 - min(sse) / any_value(total) as r2, arg_min(alpha, (sse, alpha)) as alpha from o group by 1)
+select case_id, n, {r('r2', 'alpha')}, alpha in ({min(_RIDGE)}, {max(_RIDGE)}) as at_edge from p""", "points")
+
+
+@query("ridge_loo", _ridge_sql())
+def _(s, d):
+    return retrieval.ridge_loo(views.points(s, d), ["case_id"], ["x", "y", "z", "wall_dist"], "cp", _RIDGE)
 
 
 @query("rope_rotate", "with v as (select vec_id, list_transform(embedding[1:10], lambda x: x::double) as v, vec_id % 50 / 10 as p from embeddings) select vec_id, " + ", ".join(r(f"v[{2 * i + 1}] * cos(p * 2 * pi() / power(100, {i} / 3)) - v[{2 * i + 2}] * sin(p * 2 * pi() / power(100, {i} / 3)) as r{2 * i}", f"v[{2 * i + 1}] * sin(p * 2 * pi() / power(100, {i} / 3)) + v[{2 * i + 2}] * cos(p * 2 * pi() / power(100, {i} / 3)) as r{2 * i + 1}") for i in range(4)) + ", " + r("v[9] as r8", "v[10] as r9") + " from v")
