@@ -8,6 +8,7 @@ rows is that of the blocks' distinct keys, whatever the number of blocks and tas
 """
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -115,6 +116,23 @@ def windows(h: np.ndarray, length: int, base: int = 0x9E3779B97F4A7C15) -> np.nd
     return mix(out[:n])
 
 
+def lean(run: Callable) -> Callable:
+    """A function over batches that gives the memory of its work back when it ends: workers are used again for other work,
+    and would keep it."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library; it keeps what it keeps
+                pass
+
+    return wrapped
+
+
 def squeeze(data: bytes | np.ndarray, level: int = 1) -> bytes:
     import zstandard
 
@@ -171,7 +189,7 @@ def ask(blocks: DataFrame, fn: Callable, columns: list[str], schema: str) -> Dat
                     place = pa.array(np.arange(lo, hi, dtype=np.int32))
                     yield pa.RecordBatch.from_arrays([*[pa.array(asked[c][lo:hi]) for c in names], pa.array(np.full(hi - lo, row["block"], np.int64)), place], [*names, "block", "place"])
 
-    return blocks.select("block", *columns).mapInArrow(run, f"{schema}, block long, place int")
+    return blocks.select("block", *columns).mapInArrow(lean(run), f"{schema}, block long, place int")
 
 
 def _packed(answers: DataFrame, rows: int = 1 << 19) -> DataFrame:
@@ -198,7 +216,7 @@ def _packed(answers: DataFrame, rows: int = 1 << 19) -> DataFrame:
         if held:
             yield flush()
 
-    return answers.select("block", "place").mapInArrow(run, "block long, data binary")
+    return answers.select("block", "place").mapInArrow(lean(run), "block long, data binary")
 
 
 def meet(blocks: DataFrame, columns: list[str], answers: list[DataFrame], parts: int, fn: Callable, schema: str) -> DataFrame:
@@ -220,7 +238,7 @@ def meet(blocks: DataFrame, columns: list[str], answers: list[DataFrame], parts:
                 yield from fn({c: row[c] for c in ["block", *columns]}, *told)
                 got = [[] for _ in range(n)]
 
-    return every.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
+    return every.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(lean(run), schema)
 
 
 def rows_of(b: pa.RecordBatch) -> Iterator[dict]:

@@ -36,7 +36,7 @@ BROADCAST_ROWS = 200_000
 # Measuring units, number words, and the signs around words that are not part of them.
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles g kg mg lb lbs pound pounds oz ounce ounces ton tons tonne tonnes s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years ml cl l liter liters litre litres gallon gallons m2 km2 m3 c f k celsius fahrenheit kelvin degree degrees percent cent cents dollar dollars euro euros usd eur gbp yen hz khz mhz w kw mw kwh v mv a ma j kj cal kcal pa kpa bar n kn kb mb gb tb kph mph".split())
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
-PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "¡¿«»“”„‘’‚…–—·•§¶"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’‚…–—·•§¶"
 END = (".", "!", "?", ":", "…")
 TENS = {w: 10 * (i + 2) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
 ONES = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
@@ -196,7 +196,7 @@ def template_windows(rows: DataFrame, only: np.ndarray | None = None, lengths: l
         return only[np.minimum(np.searchsorted(only, h), len(only) - 1)] == h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in B.concat_batches(batches, 6 << 20):
+        for t in B.concat_batches(batches, 3 << 20):
             x = Templates(*B.text_buffer(B.column(t, "text")))
             at, h = x.windows()
             hit = held(h)
@@ -211,7 +211,7 @@ def template_windows(rows: DataFrame, only: np.ndarray | None = None, lengths: l
                 for k in range(0, len(at), 50_000):
                     yield x.whole_rows(B.column(t, "id"), length, at[k : k + 50_000], h[k : k + 50_000])
 
-    return rows.mapInArrow(run, ROWS)
+    return rows.mapInArrow(B.lean(run), ROWS)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: float = 0.5, consistency: float = 0.8) -> DataFrame:

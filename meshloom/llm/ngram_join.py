@@ -149,7 +149,7 @@ def similar_texts(docs: DataFrame, text: str = "text", threshold: float = 0.8, t
     least = least_matches(threshold, tolerance)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in B.concat_batches(batches, 8 << 20):
+        for t in B.concat_batches(batches, 4 << 20):
             h, first = shingle_sets(*B.text_buffer(B.column(t, "text")))
             sig = (signatures(h, first) & np.uint64(0xFFFFFFFF)).astype("<u4")
             n = np.diff(first)
@@ -158,7 +158,7 @@ def similar_texts(docs: DataFrame, text: str = "text", threshold: float = 0.8, t
 
     source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.xxhash64(text_of(docs, text)).alias("x"), text_of(docs, text).alias("text"))
     source = source.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text")
-    signed = cut(source.mapInArrow(sign, "doc_id long, digest binary, n_shingles long, signature binary"), "signatures")
+    signed = cut(source.mapInArrow(B.lean(sign), "doc_id long, digest binary, n_shingles long, signature binary"), "signatures")
 
     # One representative, the smallest id, for all equal texts.
     copies = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")), "copies")
@@ -177,7 +177,7 @@ def similar_texts(docs: DataFrame, text: str = "text", threshold: float = 0.8, t
                 keys[:, k] = x
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(b.column(0)), BANDS))], ["bucket", "rep"])
 
-    keyed = reps.select("rep", "signature").mapInArrow(bands, "bucket long, rep long")
+    keyed = reps.select("rep", "signature").mapInArrow(B.lean(bands), "bucket long, rep long")
     sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / TILE_BUCKET).alias("tiles"))
     placed = _tiled(keyed, sizes, "bucket").join(reps.select("rep", "n_shingles", "signature"), "rep")
 
@@ -191,7 +191,7 @@ def similar_texts(docs: DataFrame, text: str = "text", threshold: float = 0.8, t
                 yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], ["a", "b"])
 
     dealt = placed.select("bucket", "ti", "tj", "t", "rep", "signature").repartition(parts, "bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj")
-    groups = cut(components(dealt.mapInArrow(candidates, "a long, b long")), "groups")
+    groups = cut(components(dealt.mapInArrow(B.lean(candidates), "a long, b long")), "groups")
 
     # Exact verification within the candidate groups.
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), text_of(docs, text).alias("text"))
@@ -226,7 +226,7 @@ def similar_texts(docs: DataFrame, text: str = "text", threshold: float = 0.8, t
                 pa.array(np.concatenate([count[own], np.zeros(len(links), np.int64)])), pa.array([True] * len(own) + [False] * len(links)),
             ], ["a", "b", "n", "counted"])
 
-    found = cut(whole.select("group", "ti", "tj", "t", "rep", "text").mapInArrow(verify, "a long, b long, n long, counted boolean"), "links")
+    found = cut(whole.select("group", "ti", "tj", "t", "rep", "text").mapInArrow(B.lean(verify), "a long, b long, n long, counted boolean"), "links")
     classes = components(found.where("not counted").select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("class_id"))
     counts = found.where("counted").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     known = copies.join(classes, "rep", "left").join(counts, "rep", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -198,11 +198,11 @@ def learn(rows: DataFrame) -> Gam:
     """A model of rows (doc_id, y, text): features are taken in Spark, so that NAMES numbers a document reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in B.concat_batches(batches, 6 << 20):
+        for t in B.concat_batches(batches, 3 << 20):
             x = features(*B.text_buffer(B.column(t, "text")))
             yield pa.RecordBatch.from_arrays([B.column(t, "doc_id"), B.column(t, "y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    got = in_order(rows.select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(run, "doc_id long, y int, x array<double>"))
+    got = in_order(rows.select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(B.lean(run), "doc_id long, y int, x array<double>"))
     return fit(np.array([r.x for r in got]), np.array([float(r.y == 1) for r in got])) if got else Gam(0.0)
 
 
@@ -210,8 +210,8 @@ def score(docs: DataFrame, model: Gam, text: str = "text") -> DataFrame:
     """doc_id, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in B.concat_batches(batches, 6 << 20):
+        for t in B.concat_batches(batches, 3 << 20):
             x = features(*B.text_buffer(B.column(t, "text")))
             yield pa.RecordBatch.from_arrays([B.column(t, "doc_id"), pa.array(1 / (1 + np.exp(-model.logit(x))))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of(docs, text).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), text_of(docs, text).alias("text")).mapInArrow(B.lean(run), "doc_id long, score double")

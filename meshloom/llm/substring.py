@@ -42,7 +42,7 @@ def text_blocks(docs: DataFrame, text: str) -> DataFrame:
             data, offsets = B.text_buffer(B.column(t, "text"))
             yield pa.RecordBatch.from_arrays([pa.array([B.block_number(k)], pa.int64()), pa.array([B.column(t, "doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([B.squeeze(data, 3)], pa.binary()), pa.array([B.squeeze(offsets[1:])], pa.binary())], ["block", "doc_ids", "bytes", "ends"])
 
-    return cut(docs.select(F.col("doc_id").cast("long"), text_of(docs, text).alias("text")).mapInArrow(run, BLOCKS), "texts")
+    return cut(docs.select(F.col("doc_id").cast("long"), text_of(docs, text).alias("text")).mapInArrow(B.lean(run), BLOCKS), "texts")
 
 
 class Block:

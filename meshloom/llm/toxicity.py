@@ -115,7 +115,7 @@ def learn(rows: DataFrame) -> Model:
             for text in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*_bags(text))), pa.string())], ["feature"])
 
-    counted = rows.select("text").mapInArrow(seen, "feature string").groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS)
+    counted = rows.select("text").mapInArrow(B.lean(seen), "feature string").groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS)
     vocabulary = {r.feature: k for k, r in enumerate(counted.select("feature").orderBy("feature").collect())}  # bounded by the sample
     handle = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -129,7 +129,7 @@ def learn(rows: DataFrame) -> Model:
                 held.append(np.array([k for x in bags for k in x], "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(sizes, pa.binary()), pa.array(held, pa.binary())], ["doc_id", "y", "sizes", "held"])
 
-    got = in_order(rows.select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(numbered, "doc_id long, y int, sizes binary, held binary"))
+    got = in_order(rows.select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(B.lean(numbered), "doc_id long, y int, sizes binary, held binary"))
     y = np.array([r.y == 1 for r in got], float)
     parts = [np.frombuffer(r.sizes, "<i4") for r in got]
     if not len(y) or y.min() == y.max():
@@ -221,7 +221,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", offends: float = 0.
             found = [_offending(x, cache, own.bias, offends) if r else [] for x, r in zip(texts, risky.tolist())]
             yield pa.RecordBatch.from_arrays([B.column(t, "doc_id"), pa.array(-np.expm1(-s)), pa.array(n_sent, pa.int64()), pa.array(found, spans)], ["doc_id", "score", "n_sentences", "offending"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of(docs, text).alias("text")).mapInArrow(run, "doc_id long, score double, n_sentences long, offending array<struct<begin: long, end: long, score: double>>")
+    return docs.select(F.col("doc_id").cast("long"), text_of(docs, text).alias("text")).mapInArrow(B.lean(run), "doc_id long, score double, n_sentences long, offending array<struct<begin: long, end: long, score: double>>")
 
 
 def _offending(text: str, cache: _Cache, bias: float, offends: float) -> list[dict]:
