@@ -75,16 +75,36 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(B.expand(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-#: A block's own row (bucket -1) and its questions, one a bucket, whose data are the bucket's words.
-BLOCKS = "block long, bucket int, data binary, doc_ids array<long>, n_words binary, positions binary, dealt binary"
+def _ranked(x: np.ndarray) -> bytes:
+    """Positions, of which small ones are frequent: one byte up to 254, two more up to 65,534 beyond that, else four more."""
+    few = np.minimum(x, 255).astype(np.uint8)
+    rest = x[x >= 255] - 255
+    more = np.minimum(rest, 65_535).astype("<u2")
+    parts = [B.squeeze(few, 3), B.squeeze(np.ascontiguousarray(more.view(np.uint8).reshape(-1, 2).T), 3), _planes(rest[rest >= 65_535])]
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def _unranked(data: bytes) -> np.ndarray:
+    parts, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "little")
+        parts.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    out = B.expand(parts[0], np.uint8).astype(np.int64)
+    more = np.ascontiguousarray(B.expand(parts[1], np.uint8).reshape(2, -1).T).view("<u2").ravel().astype(np.int64)
+    more[more == 65_535] = _numbers(parts[2])
+    out[out == 255] = more + 255
+    return out
+
+
+BLOCKS = "block long, doc_ids array<long>, n_words binary, positions binary, word_bytes binary, word_lengths binary, dealt binary"
 
 
 def word_blocks(docs: DataFrame, text: str, added: list[str], buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of blocks of documents, written once: positions into a block's distinct words and the bucket of each word, from
-    which a block knows the order of its answers without the words; and its words, bucket by bucket."""
+    """One row per block of documents: positions into the block's distinct words, these words, and the bucket
+    of each, from which a block knows the order of its answers without the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in BLOCKS.split(", ")]
         for k, t in enumerate(B.concat_batches(batches, 2 * block_bytes)):
             lists = B.column(t, "words")
             n_words = np.diff(np.asarray(lists.offsets)).astype(np.uint32)
@@ -94,24 +114,12 @@ def word_blocks(docs: DataFrame, text: str, added: list[str], buckets: int, bloc
             place = np.empty_like(rank)
             place[rank] = np.arange(len(rank))
             data, offsets = B.text_buffer(coded.dictionary.take(pa.array(rank)))
-            dealt = (B.hash_spans(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int64)
-            block = B.block_number(k)
+            dealt = B.hash_spans(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)
             yield pa.RecordBatch.from_arrays([
-                pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([B.column(t, "doc_id").to_pylist()], pa.list_(pa.int64())),
-                pa.array([_planes(n_words)], pa.binary()), pa.array([_planes(place[order])], pa.binary()), pa.array([_planes(dealt)], pa.binary())], names)
-            by_bucket = np.argsort(dealt, kind="stable")
-            runs = list(_runs(dealt[by_bucket]))
-            for at in range(0, len(runs), 10_000):
-                asked = []
-                for lo, hi in runs[at : at + 10_000]:
-                    own = by_bucket[lo:hi]
-                    lengths = offsets[own + 1] - offsets[own]
-                    asked.append(B.squeeze(len(own).to_bytes(4, "little") + lengths.astype("<u4").tobytes() + _take_spans(data, offsets[own], lengths).tobytes(), 3))
-                n = len(asked)
-                nothing = pa.nulls(n, pa.binary())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([block] * n, pa.int64()), pa.array([int(dealt[by_bucket[lo]]) for lo, _ in runs[at : at + n]], pa.int32()), pa.array(asked, pa.binary()),
-                    pa.nulls(n, pa.list_(pa.int64())), nothing, nothing, nothing], names)
+                pa.array([B.block_number(k)], pa.int64()), pa.array([B.column(t, "doc_id").to_pylist()], pa.list_(pa.int64())),
+                pa.array([_planes(n_words)], pa.binary()), pa.array([_ranked(place[order])], pa.binary()),
+                pa.array([B.squeeze(data, 3)], pa.binary()), pa.array([_planes(np.diff(offsets))], pa.binary()), pa.array([_planes(dealt)], pa.binary()),
+            ], ["block", "doc_ids", "n_words", "positions", "word_bytes", "word_lengths", "dealt"])
 
     rows = docs.select(F.col("doc_id").cast("long"), split_words(text_of(docs, text), added).alias("words"))
     return cut(rows.mapInArrow(B.lean(run), BLOCKS), "words")
@@ -149,8 +157,15 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", dige
     added, source = _checked(spec), json.dumps(spec)
     size = docs.agg(F.sum(F.octet_length(text_of(docs, text)))).first()[0] or 0
     buckets = max(parts, -(-size // BUCKET_BYTES))
-    rows = word_blocks(docs, text, added, buckets)
-    packed, questions = rows.where("bucket < 0"), rows.where("bucket >= 0").select("bucket", "block", "data")
+    packed = word_blocks(docs, text, added, buckets)
+
+    def asked(row: dict) -> Iterator[tuple[int, bytes]]:
+        data, offsets = B.expand(row["word_bytes"], np.uint8), np.concatenate([[0], np.cumsum(_numbers(row["word_lengths"]).astype(np.int64))])
+        order, bucket = _dealt(row)
+        for lo, hi in _runs(bucket):
+            own = order[lo:hi]
+            lengths = offsets[own + 1] - offsets[own]
+            yield int(bucket[lo]), B.squeeze(len(own).to_bytes(4, "little") + lengths.astype("<u4").tobytes() + _take_spans(data, offsets[own], lengths).tobytes(), 3)
 
     def encoded(requests: list[bytes]) -> Iterator[bytes]:
         """Every distinct word of the bucket is encoded once, however many blocks ask for it."""
@@ -186,12 +201,12 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", dige
             held.append(ids)
             size += len(ids)
         word_ids = np.concatenate(held) if held else np.zeros(0, np.uint32)
-        positions, n_words = _numbers(row["positions"]).astype(np.int64), _numbers(row["n_words"]).astype(np.int64)
+        positions, n_words = _unranked(row["positions"]), _numbers(row["n_words"]).astype(np.int64)
         yield from _finish(row["doc_ids"], n_words, positions, starts, n_ids, word_ids, table, digests)
 
     columns = ["doc_ids", "n_words", "positions", "dealt"]
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return _meet(packed, columns, _answer(questions, parts, encoded), parts, joined, schema)
+    return _meet(packed, columns, _answer(_ask(packed, asked, ["word_bytes", "word_lengths", "dealt"]), parts, encoded), parts, joined, schema)
 
 
 # The exchange. Asking rows: (bucket, block, data); an answer goes back under the same bucket and block.
@@ -202,6 +217,20 @@ def _batch(buckets: list[int], blocks: list[int], data: list[bytes]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blocks, pa.int64()), pa.array(data, pa.binary())], ["bucket", "block", "data"])
 
 
+def _ask(blocks: DataFrame, fn: Callable, columns: list[str]) -> DataFrame:
+    """fn takes a dict of a block's columns and yields (bucket, bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in B.rows_of(b):
+                out = list(fn(row))
+                for at in range(0, len(out), 10_000):
+                    part = out[at : at + 10_000]
+                    yield _batch([k for k, _ in part], [row["block"]] * len(part), [d for _, d in part])
+
+    return blocks.select("block", *columns).mapInArrow(B.lean(run), ASK)
+
+
 def _answer(asked: DataFrame, parts: int, fn: Callable) -> DataFrame:
     """fn takes the list of a bucket's data and yields the answers in the same order."""
 
@@ -223,7 +252,7 @@ def _answer(asked: DataFrame, parts: int, fn: Callable) -> DataFrame:
 def _meet(blocks: DataFrame, columns: list[str], answers: DataFrame, parts: int, fn: Callable, schema: str) -> DataFrame:
     """Each block meets its answers again. fn takes the block's columns and a dict bucket -> data, and yields RecordBatches
     of `schema`. Blocks are streamed, one at a time."""
-    own = blocks.select("block", F.lit(True).alias("own"), "bucket", "data", *columns)
+    own = blocks.select("block", F.lit(True).alias("own"), F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("data"), *columns)
     every = own.unionByName(answers.select("block", F.lit(False).alias("own"), "bucket", "data"), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
