@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, ngram_join, quality_gam, quality_rules, substring, toxicity, warc
+from . import bpe, chat, decontaminate, fill_middle, html, merkle, ngram_join, packing, quality_gam, quality_rules, substring, toxicity, warc
 from .common import cut, fold, new_path, table
 
 
@@ -73,6 +73,32 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    values = lambda text: [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    leaves = docs.select(
+        merkle.tree_key(F.col("source")).alias("tree"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(merkle.leaf(*values(F.col("text")))).alias("node"), F.col("doc_id").cast("string").alias("id"),
+        F.when(tampered, F.unhex(merkle.leaf(*values(F.replace("text", F.lit("\n"), F.lit("")))))).alias("changed"))
+    rows = merkle.manifest(leaves, ["doc_id"], ["id", "changed"])
+    text = lambda c: F.lower(F.hex(c))
+    rows = rows.withColumn("folded_root", merkle.folded(text(F.coalesce("changed", "node")), F.col("shape"), F.col("proof")))
+    return rows.select(
+        F.col("id").cast("long").alias("doc_id"), text("node").alias("leaf"), text("subroot").alias("subroot"), text("root").alias("root"),
+        F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == text("root")).alias("verified"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.transform(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -84,6 +110,9 @@ QUERIES = {
     "op8_quality_gam": op8_quality_gam,
     "op9_ngram_join": op9_ngram_join,
     "op10_html_text": op10_html_text,
+    "op11_merkle": op11_merkle,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_packing": op13_packing,
 }
 
 _CHAT_SQL = """
@@ -151,7 +180,55 @@ o as (select h.r, count(*) filter (where m.i is not null) as n_removed, string_a
 select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(o.n_removed, 0) as n_removed, sha256(coalesce(o.kept, '')) as kept_sha256 from d left join o using (r)
 """
 
+# Each level's runs of three, first within a source, then over the subroots; proofs and folded roots walk the same nodes. The checksum of an
+# id goes over its digits bit by bit (-1: a shift).
+_MERKLE_FIELD = "coalesce(octet_length(encode({0}::varchar)) || ':' || {0}::varchar, '-')"
+_MERKLE_LEAF = " || ".join(_MERKLE_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _MERKLE_FIELD
+_MERKLE_SQL = f"""
+with recursive d as (
+  select row_number() over () as r, coalesce('s' || source, 'n') as tree, doc_id, sha256({_MERKLE_LEAF.format("text")}) as h,
+    case when list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: case when x >= 0 then xor(c, x) when c % 2 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end) % 2 = 1
+      then sha256({_MERKLE_LEAF.format("replace(text, chr(10), '')")}) end as changed
+  from documents),
+p as (select *, row_number() over (partition by tree order by doc_id nulls first, h) - 1 as place, count(*) over (partition by tree) as n from d),
+t as (
+  select tree, 0 as lvl, place as i, n, h from p
+  union all select tree, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' order by i)) from t where n > 1 group by tree, lvl, n, i // 3),
+q as (select tree, h, row_number() over (order by tree) - 1 as place, count(*) over () as n from t where n = 1),
+u as (
+  select 0 as lvl, place as i, n, h from q
+  union all select lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' order by i)) from u where n > 1 group by lvl, n, i // 3),
+ts as (select tree, lvl, i, coalesce(string_agg(h, '') over (w rows between unbounded preceding and 1 preceding), '') as a, coalesce(string_agg(h, '') over (w rows between 1 following and unbounded following), '') as b
+  from t where n > 1 window w as (partition by tree, lvl, i // 3 order by i)),
+us as (select lvl, i, coalesce(string_agg(h, '') over (w rows between unbounded preceding and 1 preceding), '') as a, coalesce(string_agg(h, '') over (w rows between 1 following and unbounded following), '') as b
+  from u where n > 1 window w as (partition by lvl, i // 3 order by i)),
+x as (
+  select r, tree, 0 as lvl, place as i, '' as proof, coalesce(changed, h) as f from p
+  union all select r, tree, lvl + 1, i // 3, proof || a || b, sha256(a || f || b) from x join ts using (tree, lvl, i)),
+xm as (select r, tree, max_by(proof, lvl) as proof, max_by(f, lvl) as f from x group by all),
+y as (
+  select r, 0 as lvl, q.place as i, proof, f from xm join q using (tree)
+  union all select r, lvl + 1, i // 3, proof || a || b, sha256(a || f || b) from y join us using (lvl, i)),
+ym as (select r, max_by(proof, lvl) as proof, max_by(f, lvl) as f from y group by r)
+select doc_id, d.h as leaf, q.h as subroot, (select h from u where n = 1) as root, sha256(proof) as proof_sha256, f as folded_root, f = (select h from u where n = 1) as verified
+from d join q using (tree) join ym using (r)
+"""
+
+_FILL_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as s from documents),
+u as (select *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as u, ('0x' || substr(s, 1, 8))::ubigint as h1, ('0x' || substr(s, 9, 8))::ubigint as h2, ('0x' || substr(s, 25, 8))::ubigint as h4 from d),
+n as (select *, len(u) as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from u),
+p as (select *, array_to_string(u[1:a::bigint], '') as pre, array_to_string(u[a::bigint + 1:b::bigint], '') as mid, array_to_string(u[b::bigint + 1:], '') as suf from n)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256
+from p
+"""
+
 ORACLE_SQL = {
+    "op11_merkle": _MERKLE_SQL,
+    "op12_fill_middle": _FILL_SQL,
     "op7_substring_dedup": _SUBSTRING_SQL,
     "op9_ngram_join": _JOIN_SQL,
     "op10_html_text": _HTML_SQL,
