@@ -36,6 +36,8 @@ CAPACITY, END_ID, BLOCK_BYTES = 1024, 2, 12 << 20
 ORDERS = ((((1,), (2,), (3,)), (1,)), (((1, 2, 3),), (1,)), (((1,),), (1, 2, 3)), (((1,),), ()))
 #: Words whose ids are put together at a time.
 STEP = 1 << 18
+#: Words that are encoded in one call where that is safe.
+TOGETHER = 1000
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, at long"
 
@@ -48,13 +50,29 @@ def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: i
 
     def encoded(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of the distinct words in a row, and where each word's ids begin and how many they are."""
-        tokenizer, n, held = _tokenizer(source), [], []
-        for at in range(0, len(words), 4_000):
-            for e in tokenizer.encode_batch_fast(words.slice(at, 4_000).to_pylist(), add_special_tokens=False):
-                n.append(len(e))
+        tokenizer, texts = _tokenizer(source), words.to_pylist()
+        sizes, held, at = np.zeros(len(texts), np.int64), [], []
+        # Words of a space and letters are words again when they stand in a row, and a row costs one call.
+        plain = [i for i, w in enumerate(texts) if w[0] == " " and w[1:].isalpha()]
+        rows = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        alone = sorted({*range(len(texts))}.difference(plain))
+        for k in range(0, len(rows), 64):
+            for row, e in zip(rows[k : k + 64], tokenizer.encode_batch(["".join([texts[i] for i in row]) for row in rows[k : k + 64]], add_special_tokens=False)):
+                n = np.bincount(np.array(e.word_ids, np.int64))
+                if len(n) != len(row):  # a letter that the library does not take for one
+                    alone += row
+                    continue
+                sizes[row] = n
                 held.append(np.array(e.ids, "<u4"))
-        sizes = np.array(n, np.int64)
-        return np.concatenate(held) if held else np.zeros(0, "<u4"), np.cumsum(sizes) - sizes, sizes
+                at += row
+        for k in range(0, len(alone), 4_000):
+            for i, e in zip(alone[k : k + 4_000], tokenizer.encode_batch_fast([texts[i] for i in alone[k : k + 4_000]], add_special_tokens=False)):
+                sizes[i] = len(e)
+                held.append(np.array(e.ids, "<u4"))
+                at.append(i)
+        starts, order = np.zeros(len(texts), np.int64), np.array(at, np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(held) if held else np.zeros(0, "<u4"), starts, sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

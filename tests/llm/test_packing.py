@@ -110,7 +110,7 @@ def test_documents_of_any_kind(spark, tmp_path):
 
     path = public.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    docs = [(i, f"some words {i} " * (i * 7 % 90)) for i in range(150)] + [(200, None), (201, ""), (None, "x y z"), (202, "long text " * 30_000), (203, "a" * 60_000), (204, "<|endoftext|> é 😀\n\n"), (5, "another text of 5")]
+    docs = [(i, f"some words {i} " * (i * 7 % 90)) for i in range(150)] + [(200, None), (201, ""), (None, "x y z"), (202, "long text " * 30_000), (203, "a" * 60_000), (204, "<|endoftext|> é 😀\n\n ʰ ᾳ ׳ ª² 𞤀𞤁 ꟲ ǅa  b don't I'll x's  tail "), (5, "another text of 5")]
     docs += [docs[3], docs[3], docs[150], (205, " word" * 1023), (206, " word" * 1024)]
     table = spark.createDataFrame([(i, t, 9, "l", 8, 7, 6, "s") for i, t in docs], SCHEMA).repartition(5)
     table.write.parquet(f"{tmp_path}/documents.parquet")
