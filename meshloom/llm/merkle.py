@@ -136,12 +136,11 @@ def siblings(proof: Column) -> Column:
 def folded(start: Column, shape: Column, proof: Column) -> Column:
     """The root that a leaf (hex) and a proof lead to: the check of a single row, which needs nothing else of the table."""
     levels = F.filter(F.sequence(F.lit(0), F.length(shape)), lambda k: k > 0)
-    text = siblings(proof)
 
     def step(state: Column, k: Column) -> Column:
         digit = F.substr(shape, k, F.lit(1)).cast("int")
         left, right = F.floor(digit / 3).cast("int") * 64, digit % 3 * 64
-        node = F.sha2(F.concat(F.substr(text, state["at"] + 1, left), state["node"], F.substr(text, state["at"] + left + 1, right)).cast("binary"), 256)
-        return F.struct(node.alias("node"), (state["at"] + left + right).alias("at"))
+        node = F.sha2(F.concat(F.substr(state["rest"], F.lit(1), left), state["node"], F.substr(state["rest"], left + 1, right)).cast("binary"), 256)
+        return F.struct(node.alias("node"), F.substr(state["rest"], left + right + 1).alias("rest"))
 
-    return F.aggregate(levels, F.struct(start.alias("node"), F.lit(0).alias("at")), step)["node"]
+    return F.aggregate(levels, F.struct(start.alias("node"), siblings(proof).alias("rest")), step)["node"]
