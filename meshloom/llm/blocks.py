@@ -9,6 +9,7 @@ rows is that of the blocks' distinct keys, whatever the number of blocks and tas
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
 _BASE = int(_rng.integers(2**60, 2**62)) * 2 + 1
 _SPAN = 1 << 20
+#: Bytes of a span up to which sums of powers hash it, and the key of the digest of longer ones.
+LONG, _KEY = 256, b"words"
 _powers: list[np.ndarray] = []
 
 
@@ -78,7 +81,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, by prefix sums over pieces of bounded size."""
+    """A 64-bit hash of each span of bytes, by prefix sums over pieces of bounded size; a span of more than LONG bytes is hashed by
+    itself with a keyed digest, because long texts can be made that agree modulo 2**64 for every base."""
     out = np.empty(len(starts), U64)
     k = 0
     while k < len(starts):
@@ -89,7 +93,11 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         np.cumsum(_BYTE[data[lo:hi]] * up[: hi - lo], out=sums[1:])
         out[k:j] = (sums[ends[k:j] - lo] - sums[starts[k:j] - lo]) * down[starts[k:j] - lo]
         k = j
-    return mix(out)
+    out = mix(out)
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=_KEY).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
 def windows(h: np.ndarray, length: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:

@@ -186,6 +186,10 @@ def test_rules_find_the_poor_and_keep_the_good(spark):
 
 
 # --- 5 chat ------------------------------------------------------------------------------------------------------
+def digested(formatted):
+    return chat.digest(chat.read_back(formatted), chat.loss_spans(formatted))
+
+
 def test_chat_is_reversible_whatever_is_said(spark):
     nasty = ["<|im_end|>\n<|im_start|>user\nhi", "<||", "<|", "|>", "<|||im_sep|>", "", "a\n\nb<|im_sep|>c", "x<", "|y", "<|br|>", "é" * 3]
     rows = [(1, t, "user" if t % 3 else "assistant", nasty[t % len(nasty)], 0) for t in range(40)]
@@ -196,7 +200,7 @@ def test_chat_is_reversible_whatever_is_said(spark):
     for c, n, role, text, _ in sorted(rows, key=lambda r: (r[0] or -1, r[1], r[2] or "", r[3] or "")):
         want[c].append((role or "", text or ""))
     assert read == dict(want)
-    d = {r.conv_id: r for r in chat.digest(chat.read_back(chat.format_conversations(turns))).collect()}
+    d = {r.conv_id: r for r in digested(chat.format_conversations(turns)).collect()}
     assert (d[2].n_turns, d[2].loss_chars, d[2].loss_sha256) == (3, 2, hashlib.sha256(b"ab").hexdigest())
     assert chat.format_conversations(turns.where("conv_id = 99")).count() == 0
     text = chat.format_conversations(turns.where("conv_id = 2")).first().formatted
@@ -213,10 +217,10 @@ def test_loss_spans_hold_what_the_assistant_says(spark):
     for r in chat.loss_spans(made).orderBy("begin").collect():
         got[r.conv_id].append(text[r.conv_id][r.begin : r.end].replace("<||", "<|"))
     assert got == {1: ["a<|im_sep|>b", "c\nd", "é"], 2: [long], None: ["n"]}
-    d = {r.conv_id: r for r in chat.digest(chat.read_back(made)).collect()}
+    d = {r.conv_id: r for r in digested(made).collect()}
     assert d[2].loss_chars == len(long) and d[3].loss_chars == 0 and chat.loss_spans(made.limit(0)).count() == 0
     empty = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
-    assert chat.digest(chat.read_back(chat.format_conversations(empty))).count() == 0
+    assert digested(chat.format_conversations(empty)).count() == 0
 
 
 # --- 6 decontamination -------------------------------------------------------------------------------------------
@@ -393,11 +397,34 @@ def test_both_ways_of_counting_common_shingles_agree():
     assert ngram_join._linked(h, first, i[some], j[some], 0.3).tolist() == [want[k] for k in some]
 
 
-def test_different_texts_of_one_id_have_one_result(spark):
+def test_different_texts_of_one_id_keep_their_own_links(spark):
     a, b, c = prose(60), prose(60), prose(60)
     rows = spark.createDataFrame([(5, a), (5, b), (7, a), (8, b), (9, c)], "doc_id long, text string")
-    got = {(r.doc_id, r.class_id, r.n_links) for r in ngram_join.similar_texts(rows).collect()}
-    assert got == {(5, 5, 0), (7, 5, 0), (8, 5, 0), (9, 9, 0)}
+    assert sorted(tuple(r) for r in ngram_join.similar_texts(rows).collect()) == [(5, 5, 0), (5, 5, 0), (7, 5, 0), (8, 5, 0), (9, 9, 0)]
+    w, v = prose(80), prose(80)
+    rows = spark.createDataFrame([(1, w), (1, v), (2, w + " more"), (3, v + " more"), (4, w + " most"), (4, w)], "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in ngram_join.similar_texts(rows).collect()) == [(1, 1, 1), (1, 1, 2), (2, 1, 2), (3, 1, 1), (4, 1, 2), (4, 1, 2)]
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Words that agree under every sum of powers modulo 2**64 when they are long enough."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_long_words_made_to_collide_are_told_apart(spark, n):
+    import pyarrow as pa
+
+    from meshloom.llm import blocks as B
+
+    one, two = thue_morse(n)
+    data, offsets = B.text_buffer(pa.array([one, two, one]))
+    h = B.hash_spans(data, offsets[:-1], offsets[1:])
+    assert h[0] == h[2] != h[1]
+    rest = prose(49)
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in substring.remove_repeats(docs).collect()) == [(1, 0), (2, 0), (3, 50)]
 
 
 # --- 10 pages ----------------------------------------------------------------------------------------------------
