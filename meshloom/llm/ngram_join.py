@@ -10,8 +10,8 @@ the same pruning are verified exactly on the shingle sets, and only counts and s
 
 Defined results: a text of fewer than five words has no shingles and links with nothing but its equal copies;
 a null text is the empty text; rows of a null doc_id have a null class and no links; repeated rows get the
-same result each; of different texts under one doc_id, one (the largest digest) speaks for the document; an
-empty table gives no row; further columns are ignored. n_links is the number of different texts that the
+same result each; different texts under one doc_id are linked each for itself, as rows of their own; an
+empty table gives no row; further columns are ignored; texts of any length are read whole, and a very long one is a tile of its own. n_links is the number of different texts that the
 document's text is linked with.
 """
 from __future__ import annotations
@@ -150,20 +150,21 @@ def similar_texts(docs: DataFrame, text: str = "text", threshold: float = 0.8, t
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in B.concat_batches(batches, 4 << 20):
-            h, first = shingle_sets(*B.text_buffer(B.column(t, "text")))
+            data, offsets = B.text_buffer(B.column(t, "text"))
+            h, first = shingle_sets(data, offsets)
             sig = (signatures(h, first) & np.uint64(0xFFFFFFFF)).astype("<u4")
             n = np.diff(first)
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * VALUES), len(n), [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([B.column(t, "doc_id"), B.column(t, "digest"), pa.array(n, pa.int64()), raw], ["doc_id", "digest", "n_shingles", "signature"])
+            yield pa.RecordBatch.from_arrays([B.column(t, "doc_id"), B.column(t, "digest"), pa.array(n, pa.int64()), pa.array(np.diff(offsets)), raw], ["doc_id", "digest", "n_shingles", "n_bytes", "signature"])
 
     source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.xxhash64(text_of(docs, text)).alias("x"), text_of(docs, text).alias("text"))
     source = source.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text")
-    signed = cut(source.mapInArrow(B.lean(sign), "doc_id long, digest binary, n_shingles long, signature binary"), "signatures")
+    signed = cut(source.mapInArrow(B.lean(sign), "doc_id long, digest binary, n_shingles long, n_bytes long, signature binary"), "signatures")
 
-    # One representative, the smallest id, for all equal texts.
-    copies = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")), "copies")
-    reps = signed.where("n_shingles > 0").join(copies, [signed.digest == copies.digest, signed.doc_id == copies.rep], "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.max_by(F.struct("n_shingles", "signature", "digest"), "digest").alias("x")).select("rep", "x.*")
-    reps = cut(reps, "reps")
+    # A text is told by a number, and stands in the row of its smallest id.
+    copies = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id()), "copies")
+    own = signed.where("n_shingles > 0").join(copies.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("least")))
+    reps = cut(own.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("digest", "least", "n_shingles", "n_bytes", "signature")]), "reps")
 
     # Bands: texts that agree on four values. Only rows of buckets of two or more go on.
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,14 +195,13 @@ def similar_texts(docs: DataFrame, text: str = "text", threshold: float = 0.8, t
     groups = cut(components(dealt.mapInArrow(B.lean(candidates), "a long, b long")), "groups")
 
     # Exact verification within the candidate groups.
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), text_of(docs, text).alias("text"))
-    texts = texts.select("rep", "text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
-    # A shingle is a word more; words and the space behind them are taken as eight bytes.
-    grouped = groups.select(F.col("node").alias("rep"), F.col("component").alias("group")).join(reps.select("rep", "digest", "n_shingles"), "rep")
-    tiles = F.ceil(F.greatest(F.count(F.lit(1)) / TILE_GROUP, F.sum("n_shingles") * 8 / TILE_BYTES))
-    members = _tiled(grouped.select("rep", "digest", "group"), grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"), tiles.alias("tiles")), "group")
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("least"), text_of(docs, text).alias("text"))
+    texts = texts.select("least", "text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    grouped = groups.select(F.col("node").alias("rep"), F.col("component").alias("group")).join(reps.select("rep", "digest", "least", "n_bytes"), "rep")
+    tiles = F.ceil(F.greatest(F.count(F.lit(1)) / TILE_GROUP, F.sum("n_bytes") / TILE_BYTES))
+    members = _tiled(grouped.select("rep", "least", "digest", "group"), grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"), tiles.alias("tiles")), "group")
     # Texts are far larger than the groups' rows, which grow with the corpus: the rows are the side that is hashed.
-    whole = texts.join(members.hint("shuffle_hash"), ["rep", "digest"]).repartition(parts, "group", "ti", "tj").sortWithinPartitions("group", "ti", "tj", "rep")
+    whole = texts.join(members.hint("shuffle_hash"), ["least", "digest"]).repartition(parts, "group", "ti", "tj").sortWithinPartitions("group", "ti", "tj", "rep")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, g in _sorted_groups(batches, ["group", "ti", "tj"]):
@@ -227,9 +227,11 @@ def similar_texts(docs: DataFrame, text: str = "text", threshold: float = 0.8, t
             ], ["a", "b", "n", "counted"])
 
     found = cut(whole.select("group", "ti", "tj", "t", "rep", "text").mapInArrow(B.lean(verify), "a long, b long, n long, counted boolean"), "links")
-    classes = components(found.where("not counted").select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("class_id"))
+    tied = components(found.where("not counted").select("a", "b")).select(F.col("node").alias("rep"), "component")
+    tied = cut(tied.join(copies.select("rep", "least"), "rep"), "tied")
+    classes = tied.join(tied.groupBy("component").agg(F.min("least").alias("class_id")), "component").select("rep", "class_id")
     counts = found.where("counted").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
-    known = copies.join(classes, "rep", "left").join(counts, "rep", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    known = copies.join(classes, "rep", "left").join(counts, "rep", "left").select("digest", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = signed.select("doc_id", "digest").join(known, "digest").select("doc_id", "class_id", "n_links")
     lost = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(lost)
