@@ -218,7 +218,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", cove
     """doc_id, item_id of documents that hold a benchmark item's template: n_windows matched of item_windows,
     n_slots, n_changed (slots whose value differs), consistent share and begin (first matched template word)."""
     spark = docs.sparkSession
-    items = cut(template_windows(benchmark.where(F.col("item_id").isNotNull()).groupBy(F.col("item_id").cast("long").alias("id")).agg(F.max(text_of(benchmark)).alias("text"))), "items")
+    # Every text of an item is searched; a number of its own stands for it until the end.
+    texts = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item"), text_of(benchmark).alias("text")).distinct()
+    texts = cut(texts.withColumn("id", F.monotonically_increasing_id()), "benchmark")
+    items = cut(template_windows(texts.select("id", "text")), "items")
     n_items = items.count()
     only = None
     if n_items <= HELD:  # a size that is checked: 8 bytes a window
@@ -253,4 +256,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", cove
     whole = offsets.withColumn("consistency", F.when(F.col("n_slots") == 0, 1.0).otherwise(kept / F.col("n_slots")))
     good = whole.where((F.col("n_windows") >= coverage * F.col("item_windows")) & (F.col("consistency") >= consistency))
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", -F.col("offset"), "item_windows", "begin", "n_slots", "n_changed", "consistency")).alias("x"))
+    # Of an item's texts the one that the document holds best.
+    best = best.join(texts.select(F.col("id").alias("item_id"), "item"), "item_id").groupBy("doc_id", F.col("item").alias("item_id")).agg(F.max("x").alias("x"))
     return best.select("doc_id", "item_id", *[F.col(f"x.{c}").cast("double" if c == "consistency" else "long").alias(c) for c in ("n_windows", "item_windows", "n_slots", "n_changed", "consistency", "begin")])

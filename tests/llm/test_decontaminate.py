@@ -132,3 +132,11 @@ def test_long_texts_repeated_rows_and_extra_columns(spark):
     got = D.contaminated(docs, items).collect()
     assert [(r.doc_id, r.item_id, r.begin) for r in got] == [(1, 7, 300_000)]
     assert D.contaminated(docs.limit(0), items).count() == 0 == D.contaminated(docs, items.limit(0)).count()
+
+
+def test_every_text_of_an_item_is_searched(spark):
+    one = "The keeper of the harbour counts every lantern twice before the evening boats arrive and writes 12 names into the ledger"
+    two = "A slow machine in the northern mill turns raw wool into 30 metres of thread while the foreman reads the long report aloud"
+    docs = spark.createDataFrame([(1, f"before {one} after"), (2, f"before {two} after"), (3, "nothing of this kind stands here at all, only other words"), (4, f"{one} and {two}")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, one), (7, two), (8, two), (7, one)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()} == {(1, 7), (2, 7), (2, 8), (4, 7), (4, 8)}
