@@ -49,8 +49,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def loss_spans(formatted: DataFrame, role: str = "assistant") -> DataFrame:
-    """conv_id, begin, end: the places in the formatted text, as characters, that a trainer's loss counts: every text of the
-    role, escaped as it stands there, and nothing of the template."""
+    """conv_id, begin, end, masked: the places in the formatted text, as characters, that a trainer's loss counts, and what
+    stands there: every text of the role, escaped, and nothing of the template."""
     blocks = formatted.select("conv_id", F.posexplode(F.split("formatted", rf"\Q{START}\E")).alias("b", "block")).where("b > 0")
     order = Window.partitionBy("conv_id").orderBy("b")
     before = F.sum(F.length("block") + len(START)).over(order) - F.length("block")  # the marks count, the block's own text does not
@@ -59,14 +59,15 @@ def loss_spans(formatted: DataFrame, role: str = "assistant") -> DataFrame:
     said = blocks.withColumns({"at": before + line, "role": F.substring_index("block", "\n", 1)}).where(F.col("role") == role)
     pieces = said.select("conv_id", "b", "at", F.posexplode(texts).alias("t", "text"))
     place = F.col("at") + F.sum(F.length("text") + len(SEP)).over(Window.partitionBy("conv_id", "b").orderBy("t")) - F.length("text") - len(SEP)
-    return pieces.select("conv_id", place.alias("begin"), (place + F.length("text")).alias("end")).where("end > begin")
+    return pieces.select("conv_id", place.alias("begin"), (place + F.length("text")).alias("end"), F.col("text").alias("masked")).where("end > begin")
 
 
-def digest(read: DataFrame) -> DataFrame:
-    """Per conversation: its turns' count and digest, and the text under the loss mask (what the assistant says)."""
-    said = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+def digest(read: DataFrame, spans: DataFrame) -> DataFrame:
+    """Per conversation: its turns' count and digest, and the text under the loss mask (of loss_spans), unescaped."""
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("begin", "masked"))), lambda p: unescape(p["masked"]))
+    said = spans.groupBy(F.col("conv_id").alias("own")).agg(F.array_join(pieces, "").alias("said"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.withColumns({"said": said}).select(
+    return read.join(said, F.col("conv_id").eqNullSafe(F.col("own")), "left").withColumn("said", F.coalesce("said", F.lit(""))).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),

@@ -47,7 +47,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat.digest(chat.read_back(chat.format_conversations(turns.unionByName(more))))
+    formatted = chat.format_conversations(turns.unionByName(more))
+    return chat.digest(chat.read_back(formatted), chat.loss_spans(formatted))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
