@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Cases of a bucket of a fingerprint.
-BUCKET = 100_000
 
 
 class PoolError(ValueError):
@@ -81,16 +79,32 @@ def require(pool: DataFrame, wanted: DataFrame, excluded: DataFrame, native: tup
 
 
 def fingerprint(pool: DataFrame) -> DataFrame:
-    """SHA-256 over the pool: cases are digested in buckets by case_id, then the buckets' digests in order. There are 256
-    buckets, and sixteen times more as long as one would have more than BUCKET cases, so that no task holds the pool."""
-    n, buckets = pool.count(), 256
-    while n > buckets * BUCKET:
-        buckets *= 16
+    """SHA-256 over the pool: cases are digested in 256 buckets by case_id, then the buckets' digests in order. A bucket is one task's
+    row, so this is for pools of up to some 25 million cases; fingerprint_tree is for any."""
     line = F.concat_ws(",", "case_id", "source", "split", "shard")
-    parts = pool.select(F.pmod("case_id", F.lit(buckets)).alias("b"), F.struct("case_id", line.alias("line")).alias("r")).groupBy("b").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["line"]), "\n").cast("binary"), 256).alias("d"), F.count(F.lit(1)).alias("n"))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("case_id", line.alias("line")))), lambda x: x["line"])
+    parts = pool.groupBy(F.pmod("case_id", F.lit(256)).alias("b")).agg(F.sha2(F.array_join(rows, "\n").cast("binary"), 256).alias("d"), F.count(F.lit(1)).alias("n"))
     return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n").cast("binary"), 256).alias("fingerprint"), F.sum("n").alias("n"))
 
 
+#: Buckets of the fingerprint's tree, level by level from the root: always the same, so its value does not depend on the pool's size
+#: or its partitions. The last level has 16 ** 6 buckets, of some thousand cases each at ten billion.
+TREE = (16**2, 16**4, 16**6)
+
+
+def fingerprint_tree(pool: DataFrame) -> DataFrame:
+    """SHA-256 over the pool as a tree: a case's line is digested, cases are dealt to fixed buckets by the digest of their id, a
+    bucket's digests in order are digested, and so on over the levels of TREE; buckets without cases count as absent. The digest
+    of a part can be kept and merged: a changed case changes its bucket and the three digests above."""
+    line = F.concat_ws(",", "case_id", "source", "split", "shard")
+    key = F.conv(F.substring(F.md5(F.col("case_id").cast("string")), 1, 6), 16, 10).cast("long")
+    level = pool.select(key.alias("b"), F.lit(1).cast("long").alias("n"), F.struct(F.lit(0).cast("long").alias("b"), F.sha2(line, 256).alias("d")).alias("r"))
+    digest = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["d"]), "").cast("binary"), 256)
+    for _ in TREE:
+        level = level.groupBy("b").agg(digest.alias("d"), F.sum("n").alias("n")).select(F.expr("b div 256").alias("b"), "n", F.struct("b", "d").alias("r"))
+    return level.agg(digest.alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def next_case(cases: DataFrame, pieces: int = 256) -> DataFrame:
     """case_id, partner: the next larger id, and the smallest for the largest. Ids are cut into ranges, so that no task
     sorts them all; only the ranges' first ids, at most `pieces`, are put in one order."""

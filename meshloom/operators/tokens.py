@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -84,3 +84,39 @@ def tokeniser_stats(groups: DataFrame) -> DataFrame:
     tokens = groups.select("case_id", "scale", "token", "r_eff").distinct()
     q = tokens.groupBy("case_id", "scale").agg(F.percentile("r_eff", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
     return q.groupBy("scale").agg(*[F.percentile(F.col("q")[i], 0.5).alias(n) for i, n in enumerate(("r_q10", "r_q50", "r_q90"))])
+
+
+def assemble(groups: DataFrame, points: DataFrame, features: dict[str, Column]) -> DataFrame:
+    """case_id, scale, token, rank, rx, ry, rz, and the features of every neighbour of every token: the neighbour's place
+    relative to the token's centre over the token's radius, and column expressions over its point. groups: as token_groups gives them."""
+    at = points.select("case_id", F.col("point_id").alias("ref_id"), *[F.col(c).alias(f"at_{c}") for c in "xyz"], *[x.alias(n) for n, x in features.items()])
+    own = points.select("case_id", F.col("point_id").alias("centre_id"), *[F.col(c).alias(f"c_{c}") for c in "xyz"])
+    centres = groups.select("case_id", "scale", "token", "centre_id", "radius").distinct().join(own, ["case_id", "centre_id"])
+    rows = groups.select("case_id", "scale", "token", "rank", "ref_id").join(at, ["case_id", "ref_id"]).join(centres, ["case_id", "scale", "token"])
+    return rows.select("case_id", "scale", "token", "rank", *[((F.col(f"at_{c}") - F.col(f"c_{c}")) / F.col("radius")).alias(f"r{c}") for c in "xyz"], *features)
+
+
+def pooled(assembled: DataFrame, groups: DataFrame, columns: list[str], valid: Column | None = None) -> DataFrame:
+    """case_id, scale, token, the largest value of each column over the token's valid neighbours (0 where none is valid), n_valid, and
+    what describes the token's reach: log_radius and log_reach (of at least 1e-4)."""
+    flag = valid if valid is not None else F.lit(True)
+    best = assembled.groupBy("case_id", "scale", "token").agg(*[F.coalesce(F.max(F.when(flag, F.col(c))), F.lit(0.0)).alias(c) for c in columns], F.count_if(flag).alias("n_valid"))
+    reach = groups.groupBy("case_id", "scale", "token").agg(F.log(F.first("radius")).alias("log_radius"), F.log(F.greatest(F.first("r_eff"), F.lit(1e-4))).alias("log_reach"))
+    return best.join(reach, ["case_id", "scale", "token"])
+
+
+def token_blocks(assembled: DataFrame, columns: list[str], n_tokens: int, k: int) -> DataFrame:
+    """case_id, data, mask, one row a case: float32 values of shape (n_tokens, k, columns) and bytes of shape (n_tokens, k), tokens by scale
+    and number, missing ones and missing neighbours 0. A case is n_tokens * k rows at most; more are an error."""
+
+    def block(p: pd.DataFrame) -> pd.DataFrame:
+        order = p[["scale", "token"]].drop_duplicates().sort_values(["scale", "token"]).reset_index(drop=True)
+        if len(order) > n_tokens or p["rank"].max() > k:
+            raise ValueError(f"{len(order)} tokens of up to {p['rank'].max()} neighbours for {n_tokens} of {k}")
+        row = p.merge(order.assign(row=range(len(order))), on=["scale", "token"])
+        data, mask = np.zeros((n_tokens, k, len(columns)), np.float32), np.zeros((n_tokens, k), np.uint8)
+        data[row["row"], row["rank"] - 1] = row[columns].to_numpy(np.float32)
+        mask[row["row"], row["rank"] - 1] = 1
+        return pd.DataFrame({"case_id": [p["case_id"].iloc[0]], "data": [data.tobytes()], "mask": [mask.tobytes()]})
+
+    return assembled.groupBy("case_id").applyInPandas(block, f"case_id {_case_type(assembled)}, data binary, mask binary")

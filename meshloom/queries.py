@@ -1115,3 +1115,6 @@ def _(s, d):
     p = views.points(s, d)
     out = samples.augment(p, p.select("case_id").distinct().withColumn("rotation_ok", F.col("case_id") % 3 > 0), 4, 1, 2)
     return out.select("case_id", "point_id", "x", "y", "p_uy", "z")
+
+
+from . import queries_model  # noqa: E402, F401  adds its queries to the two tables above

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,26 @@ def read_monitors(spark: SparkSession, path: str, name: str) -> DataFrame:
     return d.withColumns({"case_id": part(1), "monitor": part(2), "raw": part(3)}).withColumn("start", F.expr("try_cast(raw as double)")).where(F.col("start").isNotNull()).drop("raw", "path")
 
 
+_MONITOR = r"([^/]+)/postProcessing/([^/]+)/([^/]+)/([^/]+)$"
+
+
+def monitor_files(paths: DataFrame, name: str) -> DataFrame:
+    """case_id, monitor, nth, start, next_start, path of the files <case>/postProcessing/<monitor>/<start time>/<name> among `path`s, in the
+    order in which a run and its restarts began; folders whose name is no number are none of them. The first file is nth = 1."""
+    part = lambda i: F.regexp_extract("path", _MONITOR, i)
+    d = paths.select("path").distinct().where(part(4) == name).select(part(1).alias("case_id"), part(2).alias("monitor"), part(3).try_cast("double").alias("start"), "path").where(F.col("start").isNotNull())
+    order = Window.partitionBy("case_id", "monitor").orderBy("start", "path")
+    return d.select("case_id", "monitor", F.row_number().over(order).alias("nth"), "start", F.lead("start").over(order).alias("next_start"), "path")
+
+
+def resolved(files: DataFrame, records: DataFrame) -> DataFrame:
+    """case_id, monitor, it, value, start: one record an iteration of a run with restarts. Where files overlap the one that starts later
+    has the word, then the later line. records: path, line, it, value; iterations are told apart to nine places."""
+    rows = records.join(files.select("path", "case_id", "monitor", "start"), "path")
+    last = F.max_by(F.struct("value", "start"), F.struct("start", "path", "line"))
+    return rows.groupBy("case_id", "monitor", F.round("it", 9).alias("it")).agg(last.alias("x")).select("case_id", "monitor", "it", "x.value", "x.start")
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """path, sha256, length of every file below path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
