@@ -1,6 +1,6 @@
 """Packing of tokenised documents into sequences of a fixed length, by best fit with exact complements.
 
-Documents become pieces: a task cuts its texts into words in the JVM, encodes each distinct word of a block of texts once
+Documents become pieces: a task cuts its texts into words in the JVM, encodes each distinct word of a block of texts once, if its worker does not know it yet,
 and keeps of a piece its place, length and checksum. What is to be packed is then a histogram, the number of pieces of
 each length, which has at most as many entries as a sequence has tokens, whatever the corpus. The plan is made of it on
 the driver: for each length, longest first, single, pair and triple sums of the lengths that are still available are
@@ -30,7 +30,7 @@ from .bpe import _checked, _take_spans, _tokenizer, split_words
 from .common import cut, text_of
 
 #: Tokens of a sequence, the id that ends a document, and the text of a block of documents.
-CAPACITY, END_ID, BLOCK_BYTES = 1024, 2, 12 << 20
+CAPACITY, END_ID, BLOCK_BYTES = 1024, 2, 6 << 20
 #: Ways to take exact fillings: passes over all lengths before best fit, each with the numbers of pieces it looks for, and the
 #: numbers of pieces that best fit itself looks for to fill a gap together with the piece it places.
 ORDERS = ((((1,), (2,), (3,)), (1,)), (((1, 2, 3),), (1,)), (((1,),), (1, 2, 3)), (((1,),), ()))
@@ -50,29 +50,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: i
 
     def encoded(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of the distinct words in a row, and where each word's ids begin and how many they are."""
-        tokenizer, texts = _tokenizer(source), words.to_pylist()
-        sizes, held, at = np.zeros(len(texts), np.int64), [], []
-        # Words of a space and letters are words again when they stand in a row, and a row costs one call.
-        plain = [i for i, w in enumerate(texts) if w[0] == " " and w[1:].isalpha()]
-        rows = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
-        alone = sorted({*range(len(texts))}.difference(plain))
-        for k in range(0, len(rows), 64):
-            for row, e in zip(rows[k : k + 64], tokenizer.encode_batch(["".join([texts[i] for i in row]) for row in rows[k : k + 64]], add_special_tokens=False)):
-                n = np.bincount(np.array(e.word_ids, np.int64))
-                if len(n) != len(row):  # a letter that the library does not take for one
-                    alone += row
-                    continue
-                sizes[row] = n
-                held.append(np.array(e.ids, "<u4"))
-                at += row
-        for k in range(0, len(alone), 4_000):
-            for i, e in zip(alone[k : k + 4_000], tokenizer.encode_batch_fast([texts[i] for i in alone[k : k + 4_000]], add_special_tokens=False)):
-                sizes[i] = len(e)
-                held.append(np.array(e.ids, "<u4"))
-                at.append(i)
-        starts, order = np.zeros(len(texts), np.int64), np.array(at, np.int64)
-        starts[order] = np.cumsum(sizes[order]) - sizes[order]
-        return np.concatenate(held) if held else np.zeros(0, "<u4"), starts, sizes
+        texts = words.to_pylist()
+        known = _known.setdefault(hash(source), {})
+        if len(known) > KNOWN:
+            known.clear()
+        new = [w for w in texts if w not in known]
+        _encode(_tokenizer(source), new, known)
+        ids = [known[w] for w in texts]
+        sizes = np.array([len(x) for x in ids], np.int64) // 4
+        return np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -111,6 +97,30 @@ def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: i
     return rows.mapInArrow(B.lean(run), PIECES + ", ids array<int>" * ids)
 
 
+def _encode(tokenizer, words: list[str], known: dict[str, bytes]) -> None:
+    """Put the ids of words into the table. Words of a space and letters are words again when they stand in a row, and a row costs
+    one call."""
+    plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
+    alone = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+    rows = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+    for k in range(0, len(rows), 64):
+        for row, e in zip(rows[k : k + 64], tokenizer.encode_batch(["".join(r) for r in rows[k : k + 64]], add_special_tokens=False)):
+            n = np.bincount(np.array(e.word_ids, np.int64))
+            if len(n) != len(row):  # a letter that the library does not take for one
+                alone += row
+                continue
+            raw, ends = np.array(e.ids, "<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+            known.update(zip(row, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+    for k in range(0, len(alone), 4_000):
+        for w, e in zip(alone[k : k + 4_000], tokenizer.encode_batch_fast(alone[k : k + 4_000], add_special_tokens=False)):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+
+
+#: Ids of words by tokenizer, kept in a worker from block to block and task to task, and the words from which on it starts anew.
+_known: dict[int, dict[str, bytes]] = {}
+KNOWN = 400_000
+
+
 class _Available:
     """Counts by length, and the index of the sums of two available lengths."""
 
