@@ -3,7 +3,8 @@
 Every page becomes a shape: the tree of its blocks, in which runs of equal siblings stand once. The shapes of a host's
 different pages are merged into one template tree by simple tree matching, every page is matched with it, and what
 stands at a template node is counted over all different pages of the host: a text that half of the pages repeat is
-constant and dropped; the node is else a slot, known by how much varying text without links it holds a page. The
+constant and dropped where it stands before or behind the article's varying text, or is no heading, item or paragraph between
+parts of it; the node is else a slot, known by how much varying text without links it holds a page. The
 article is the smallest part that holds most of that text; slots beside it, and slots within it that consist of links,
 of repeated records or of a stray line, are left out. Every page takes part, whatever the size of its host.
 
@@ -12,7 +13,8 @@ for nodes that the template does not have, and for small slots of the article (a
 
 Defined results: a null or empty html and a page without content give the empty text; a null url belongs to no host;
 repeated rows give repeated results and count as one page of the host; pages cut short are read as far as they go; an
-empty table gives no row; further columns are ignored; memory is linear in a page, however deep it is nested.
+empty table gives no row; further columns are ignored; memory is linear in a page, however deep it is nested, but for two bits for
+each pair of children that are aligned with one another, and a number for each pair of different shapes of one name.
 References are decoded, white space within a block becomes one space, blocks are trimmed and joined by a line break,
 and nothing else is dropped or shortened.
 """
@@ -24,6 +26,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +39,8 @@ LEAST_PAGES, CONSTANT = 3, 0.5
 MOST, OVERRULES = 0.5, 0.9
 #: Share below which a block that is no paragraph, between paragraphs, is a stray line (an advert).
 STRAY = 0.05
+#: Products of two numbers of children up to which they are aligned without arrays.
+SMALL = 64
 #: Shapes of a host that one task merges; more of them are merged in rounds.
 BUNCH = 256
 #: A table of wrappers up to this size is sent to all executors; beyond it, only those of hosts with more than this share of the pages.
@@ -298,48 +303,127 @@ def load(text: str, n: int | None = None) -> list[Shape]:
 
 def match(a: Node, b: Node, found: dict[Node, Node]) -> int:
     """Simple tree matching: the size of the largest common top-down, order-keeping alignment of two trees of the same
-    root name; found gets the aligned nodes of a. Of equally large ones, that which aligns more leaves with leaves."""
-    pairs, inner = [(a, b, _elements(a), _elements(b))], []
-    for x, y, xs, ys in pairs:  # grows while it is read; pairs of children come after their parents'
-        at = {}
-        if xs and ys:
-            for i, u in enumerate(xs):
-                for j, v in enumerate(ys):
-                    if u.name == v.name:
-                        at[i, j] = len(pairs)
-                        pairs.append((u, v, _elements(u), _elements(v)))
-        inner.append(at)
-    score, tables = [0] * len(pairs), [None] * len(pairs)
-    for k in range(len(pairs) - 1, -1, -1):
-        x, y, xs, ys = pairs[k]
-        score[k] = (1 << 32) + (bool(xs) == bool(ys))
-        if inner[k]:
-            best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-            for i in range(1, len(xs) + 1):
-                row, over = best[i], best[i - 1]
-                for j in range(1, len(ys) + 1):
-                    w = max(over[j], row[j - 1])
-                    p = inner[k].get((i - 1, j - 1))
-                    row[j] = w if p is None else max(w, over[j - 1] + score[p])
-            tables[k] = best
-            score[k] += best[-1][-1]
-    todo = [0]
-    while todo:
-        k = todo.pop()
-        x, y, xs, ys = pairs[k]
+    root name; found gets the aligned nodes of a. Of equally large ones, that which aligns more leaves with leaves.
+
+    Equal subtrees are one shape, and a pair of shapes is compared once, children by rows of a table of which only one is kept;
+    the table as a whole, two bits a place, is made for the pairs on the way of the alignment alone."""
+    known: dict[tuple, int] = {}
+    kids: list[tuple[int, ...]] = []
+    names: list[str] = []
+    size: list[int] = []
+    whole: list[int] = []  # the score of a shape with itself
+    place: dict[Node, int] = {}
+    for root in (a, b):
+        order = [root]
+        for x in order:
+            order.extend(_elements(x))
+        for x in reversed(order):
+            below = tuple(place[c] for c in _elements(x))
+            k = known.setdefault((x.name, below), len(known))
+            if k == len(kids):
+                kids.append(below)
+                names.append(x.name)
+                size.append(1 + sum(size[c] for c in below))
+                whole.append((1 << 32) + 1 + sum(whole[c] for c in below))
+            place[x] = k
+    pairs = {(place[a], place[b]): 0}
+    for x, y in (todo := list(pairs)):
+        if x == y or not kids[x] or not kids[y]:
+            continue
+        own: dict[str, list[int]] = {}
+        for v in set(kids[y]):
+            own.setdefault(names[v], []).append(v)
+        new = [(u, v) for u in set(kids[x]) for v in own.get(names[u], ()) if (u, v) not in pairs]
+        pairs.update(dict.fromkeys(new, 0))
+        todo += new
+    for x, y in sorted(pairs, key=lambda p: size[p[0]] + size[p[1]]):  # children before their parents
+        if x == y:
+            pairs[x, y] = whole[x]
+        else:
+            pairs[x, y] = (1 << 32) + (bool(kids[x]) == bool(kids[y])) + (_aligned(kids[x], kids[y], pairs) if kids[x] and kids[y] else 0)
+    ways = [(a, b)]
+    while ways:
+        x, y = ways.pop()
         found[x] = y
-        best = tables[k]
-        i, j = (len(xs), len(ys)) if best else (0, 0)
-        while i and j:
-            p = inner[k].get((i - 1, j - 1))
-            if p is not None and best[i][j] == best[i - 1][j - 1] + score[p]:
-                todo.append(p)
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-    return score[0] >> 32
+        xs, ys = _elements(x), _elements(y)
+        if place[x] == place[y]:
+            ways.extend(zip(xs, ys))
+        elif xs and ys:
+            ways.extend((xs[i], ys[j]) for i, j in _way(kids[place[x]], kids[place[y]], pairs))
+    return pairs[place[a], place[b]] >> 32
+
+
+def _scores(xs: tuple[int, ...], ys: tuple[int, ...], pairs: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The scores of the distinct shapes of two rows of children (0: no match), and which of them each child is."""
+    ux, x = np.unique(xs, return_inverse=True)
+    uy, y = np.unique(ys, return_inverse=True)
+    return np.array([[pairs.get((u, v), 0) for v in uy.tolist()] for u in ux.tolist()], np.int64), x, y
+
+
+def _ends(xs: tuple[int, ...], ys: tuple[int, ...]) -> tuple[int, int]:
+    """How many equal shapes two rows of children begin and end with; to align these with one another is never worse."""
+    most, z = min(len(xs), len(ys)), 0
+    while z < most and xs[-1 - z] == ys[-1 - z]:
+        z += 1
+    a = 0
+    while a < most - z and xs[a] == ys[a]:
+        a += 1
+    return a, z
+
+
+def _aligned(xs: tuple[int, ...], ys: tuple[int, ...], pairs: dict[tuple[int, int], int]) -> int:
+    """The largest sum of scores of an order-keeping alignment."""
+    a, z = _ends(xs, ys)
+    if a or z:
+        same = sum(pairs[x, x] for x in (*xs[:a], *xs[len(xs) - z :]))
+        return same + _aligned(xs[a : len(xs) - z], ys[a : len(ys) - z], pairs)
+    if not xs or not ys:
+        return 0
+    if len(xs) * len(ys) <= SMALL:
+        best = [0] * (len(ys) + 1)
+        for u in xs:
+            over = 0  # of the row before, one place to the left
+            for j, v in enumerate(ys, 1):
+                before, p = best[j], pairs.get((u, v), 0)
+                best[j] = max(before, best[j - 1], over + p)
+                over = before
+        return best[-1]
+    score, x, y = _scores(xs, ys, pairs)
+    row = np.zeros(len(ys) + 1, np.int64)
+    for i in x.tolist():
+        row[1:] = np.maximum(row[1:], row[:-1] + score[i, y])
+        np.maximum.accumulate(row, out=row)
+    return int(row[-1])
+
+
+def _way(xs: tuple[int, ...], ys: tuple[int, ...], pairs: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """The places of the aligned children, last ones first."""
+    a, z = _ends(xs, ys)
+    if a or z:
+        n, m = len(xs) - z, len(ys) - z
+        inner = _way(xs[a:n], ys[a:m], pairs) if n > a and m > a else []
+        return [*((n + k, m + k) for k in range(z - 1, -1, -1)), *((i + a, j + a) for i, j in inner), *((k, k) for k in range(a - 1, -1, -1))]
+    score, x, y = _scores(xs, ys, pairs)
+    row, taken, passed = np.zeros(len(ys) + 1, np.int64), [], []
+    for i in x.tolist():
+        own = score[i, y]
+        now = row.copy()
+        now[1:] = np.maximum(row[1:], row[:-1] + own)
+        np.maximum.accumulate(now, out=now)
+        taken.append(np.packbits((own > 0) & (now[1:] == row[:-1] + own)))
+        passed.append(np.packbits(now[1:] == row[1:]))
+        row = now
+    out, i, j = [], len(xs), len(ys)
+    while i and j:
+        byte, bit = divmod(j - 1, 8)
+        if taken[i - 1][byte] >> (7 - bit) & 1:
+            out.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+        elif passed[i - 1][byte] >> (7 - bit) & 1:
+            i -= 1
+        else:
+            j -= 1
+    return out
 
 
 def _elements(node: Node) -> list[Node]:
@@ -492,11 +576,13 @@ def content(page: Page, wrapper: Wrapper | None) -> list[str]:
     """The content's blocks in page order."""
     if wrapper is not None and wrapper.tells:
         keep, to, trust = wrapper.plan(page)
-        got = []
-        for k, text, _, out in page.pieces:
-            if keep[k] if keep[k] is not None else not out:
-                if not (trust and to[k] >= 0 and (to[k], text_hash(text)) in wrapper.constant):
-                    got.append(text)
+        kept = [(k, text) for k, text, _, out in page.pieces if (keep[k] if keep[k] is not None else not out)]
+        fixed = [trust and to[k] >= 0 and (to[k], text_hash(text)) in wrapper.constant for k, text in kept]
+        # What pages repeat goes before and behind the text that varies; between its parts headings, items and paragraphs stay.
+        first, last = next((i for i, f in enumerate(fixed) if not f), 0), next((i for i in range(len(fixed) - 1, -1, -1) if not fixed[i]), -1)
+        flow = lambda k: nodes[k].tag in FLOW
+        nodes = number(page.shape) if any(fixed) else []
+        got = [text for i, (k, text) in enumerate(kept) if not fixed[i] or first < i < last and flow(k)]
         if got or not page.pieces:
             return got
     nodes = number(page.shape)

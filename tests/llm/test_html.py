@@ -117,3 +117,59 @@ def test_matching_prefers_leaves_for_leaves():
     found = {}
     assert html.match(a, b, found) == 6
     assert [found[c].at for c in a.children] == [1, 2, 7]  # menu and advert, equal leaves in a row, stand once
+
+
+def test_headings_items_and_paragraphs_that_recur_stay(spark):
+    pages, want = [], {}
+    for k in range(6):
+        body = [f"Dish {k}", words(k, 12), "Ingredients", "salt", f"{k + 1} onions", "Method", words(50 + k, 30), "Let it rest.", words(90 + k, 20)]
+        tags = ["h1", "p", "h2", "li", "li", "h2", "p", "p", "p"]
+        pages.append(("http://cook.example/", "<body><div>Cook site</div><article>" + "".join(f"<{t}>{b}</{t}>" for t, b in zip(tags, body)) + "</article><div>All rights with us</div></body>"))
+        want[k] = "\n".join(body)
+    assert texts(spark, pages) == want
+
+
+def plain_match(a, b):
+    """The size of the largest alignment, by the textbook recursion."""
+    if a.name != b.name:
+        return 0
+    xs, ys = a.children, b.children
+    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, x in enumerate(xs, 1):
+        for j, y in enumerate(ys, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + plain_match(x, y))
+    return 1 + best[-1][-1]
+
+
+@pytest.mark.parametrize("small", [0, 64])
+def test_matching_equals_the_plain_recursion(monkeypatch, small):
+    import random
+
+    monkeypatch.setattr(html, "SMALL", small)
+    rnd = random.Random(4)
+
+    def tree(depth):
+        s = html.Shape(rnd.choice("ab"))
+        s.children = [tree(depth - 1) for _ in range(rnd.randint(0, 5))] if depth else []
+        return s
+
+    for _ in range(60):
+        a, b = tree(3), tree(3)
+        a.name = b.name
+        found = {}
+        assert html.match(a, b, found) == plain_match(a, b) == len(found)
+        for x, y in found.items():
+            inner = [found[c] for c in x.children if c in found]
+            at = [next(i for i, d in enumerate(y.children) if d is c) for c in inner]
+            assert x.name == y.name and at == sorted(at)
+
+
+def test_wide_pages_of_alternating_records_take_little_memory_and_time():
+    """500 KB of alternating records a page, three pages of a host, under 1 GB and 30 s."""
+    code = ("import resource, time; from meshloom.llm import html; began = time.process_time(); "
+            "record = lambda k, i: f'<div><b>name {k} {i}</b></div><section><div><p>said {k} {i}</p></div></section>'; "
+            "pages = ['<body><article><h1>Head %d</h1><p>Text %d of it that is longer than the rest of the page by far and away</p></article><div>' % (k, k) + ''.join(record(k, i) for i in range(7000 + 50 * k)) + '</div></body>' for k in range(3)]; "
+            "w = html.induce(pages); got = [html.blocks(html.parse(p), w) for p in pages]; "
+            "print(min(map(len, pages)) > 500_000, len(got), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1 << 20, time.process_time() - began < 30)")
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert out.stdout.split() == ["True", "3", "True", "True"], out.stdout + out.stderr
