@@ -1,15 +1,24 @@
 """Farthest-point sampling and two-scale token groups.
 
-The choice is sequential within a case and parallel over cases: a case is one Arrow task, which holds five numbers a point
-(40 MB for a million points), so a case of some ten million points is the largest that an executor takes.
+The choice is sequential within a case. A case of up to LARGE points is one Arrow task, which holds five numbers a point (40 MB for a
+million points). A larger one is cut into chunks and chosen in rounds, with the same result: scores only fall while points
+are chosen, so the best points of each chunk, and the score of the next one, tell the choice exactly until it falls to that score.
 """
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import cut, release
+from .spatial import knn
+
+
+#: Points of a case that one task takes, points of a chunk of a larger case, and of these the best that a round looks at.
+LARGE, CHUNK, BEST = 2_000_000, 200_000, 512
+
 
 def _square(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     d = x - at
@@ -43,7 +52,82 @@ def farthest_points(points: DataFrame, n: int, weight: str = "1.0", start: int =
         chosen = greedy(p[["x", "y", "z"]].to_numpy(), p["w"].to_numpy(), n, start)
         return pd.DataFrame({"case_id": p["case_id"].iloc[0], "step": range(len(chosen)), "point_id": p["point_id"].to_numpy()[chosen]})
 
-    return _sorted(points, weight).groupBy("case_id").applyInPandas(far, f"case_id {_case_type(points)}, step int, point_id long")
+    rows, schema = _sorted(points, weight), f"case_id {_case_type(points)}, step int, point_id long"
+    large = large_cases(points)
+    if not large:
+        return rows.groupBy("case_id").applyInPandas(far, schema)
+    small = rows.where(~F.col("case_id").isin(list(large))).groupBy("case_id").applyInPandas(far, schema)
+    return small.unionByName(points.sparkSession.createDataFrame(_in_rounds(rows.where(F.col("case_id").isin(list(large))), large, n, start), schema))
+
+
+def large_cases(points: DataFrame) -> dict:
+    """Cases of more than LARGE points and their numbers of points."""
+    return {r.case_id: r.n for r in points.groupBy("case_id").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).collect()}
+
+
+def _in_rounds(rows: DataFrame, sizes: dict, n: int, start: int) -> list[tuple]:
+    """(case_id, step, point_id) of large cases. A round updates each point's distance to what was chosen in the round before, writes it, and
+    looks at the BEST points of each chunk; only these reach the driver, a number of rows that is that of the chunks, not of the points."""
+    chunks = F.pmod(F.xxhash64("point_id"), F.element_at(F.create_map(*[F.lit(v) for c, m in sizes.items() for v in (c, -(-m // CHUNK))]), F.col("case_id")))
+    now = cut(rows.withColumns({"chunk": chunks.cast("int"), "least": F.lit(float("inf"))}), "far")
+    columns = ["case_id", "point_id", "x", "y", "z", "w", "chunk", "least"]
+    chosen: dict = {}
+    new: dict = {}
+    for case, m in sizes.items():
+        at = start % m
+        first = rows.where(F.col("case_id") == case).orderBy("point_id").limit(at + 1).orderBy(F.desc("point_id")).first()
+        chosen[case], new[case] = [first.point_id], [(first.point_id, first.x, first.y, first.z)]
+    while new:
+        now, before = cut(_nearer(now.select(columns), dict(new)), "far"), now
+        release(before)
+        order = Window.partitionBy("case_id", "chunk").orderBy(F.desc("score"), "point_id")
+        top = now.where(F.col("case_id").isin(list(new))).withColumn("score", F.col("least") * F.col("w")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= BEST + 1)
+        got = top.select("case_id", "chunk", "rank", "point_id", "x", "y", "z", "w", "least").toPandas()
+        new = {}
+        for case, p in got.groupby("case_id"):
+            picked = _choose(p, n - len(chosen[case]))
+            chosen[case] += [i for i, *_ in picked]
+            if picked and len(chosen[case]) < min(n, sizes[case]):
+                new[case] = picked
+    release(now)
+    return [(case, k, int(i)) for case, ids in chosen.items() for k, i in enumerate(ids[: min(n, sizes[case])])]
+
+
+def _nearer(rows: DataFrame, new: dict) -> DataFrame:
+    """rows with the squared distance to the nearest chosen point; -1 for chosen ones."""
+
+    def run(batches):
+        for b in batches:
+            p = b.to_pandas()
+            for case, centres in new.items():
+                own = np.flatnonzero((p["case_id"] == case).to_numpy())
+                if not len(own):
+                    continue
+                x, ids, least = p[["x", "y", "z"]].to_numpy()[own], p["point_id"].to_numpy()[own], p["least"].to_numpy()[own]
+                for i, *at in centres:
+                    least = np.where(least < 0, least, np.minimum(least, _square(x, np.array(at))))
+                    least[ids == i] = -1
+                p.loc[p.index[own], "least"] = least
+            yield pa.RecordBatch.from_pandas(p, schema=b.schema, preserve_index=False)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _choose(p: pd.DataFrame, most: int) -> list[tuple]:
+    """The next greedy choices among a case's best points, as long as they come before every point that is not among them."""
+    rest = p[p["rank"] > BEST]
+    bound = max(zip((rest["least"] * rest["w"]).tolist(), (-rest["point_id"]).tolist()), default=(-np.inf, 0))
+    p = p[p["rank"] <= BEST].sort_values("point_id")
+    x, w, least, ids, out = p[["x", "y", "z"]].to_numpy(), p["w"].to_numpy(), p["least"].to_numpy().copy(), p["point_id"].to_numpy(), []
+    while len(out) < most:
+        score = least * w
+        k = int(np.argmax(score))
+        if least[k] < 0 or (score[k], -ids[k]) <= bound:
+            break
+        out.append((int(ids[k]), *x[k].tolist()))
+        least = np.where(least < 0, least, np.minimum(least, _square(x, x[k])))
+        least[k] = -1
+    return out
 
 
 def wall_weight(r1: float) -> str:
@@ -69,7 +153,24 @@ def token_groups(points: DataFrame, n1: int, n2: int, k: int, r1: float, r2: flo
         return pd.concat(out).assign(case_id=p["case_id"].iloc[0])[["case_id", *out[0].columns]]
 
     schema = f"case_id {_case_type(points)}, scale int, token int, centre_id long, rank int, ref_id long, dist double, r_eff double, radius double"
-    return _sorted(points, wall_weight(r1)).groupBy("case_id").applyInPandas(group, schema)
+    large = large_cases(points)
+    if not large:
+        return _sorted(points, wall_weight(r1)).groupBy("case_id").applyInPandas(group, schema)
+    is_large = F.col("case_id").isin(list(large))
+    small = _sorted(points.where(~is_large), wall_weight(r1)).groupBy("case_id").applyInPandas(group, schema)
+    return small.unionByName(_large_groups(points.where(is_large), n1, n2, k, r1, r2))
+
+
+def _large_groups(points: DataFrame, n1: int, n2: int, k: int, r1: float, r2: float) -> DataFrame:
+    """The groups of large cases: centres in rounds, their neighbours by the grid join."""
+    scales = [farthest_points(points, n, w, start).withColumn("scale", F.lit(scale)) for scale, (w, n, start) in enumerate(((wall_weight(r1), n1, 0), ("1.0", n2, 1)))]
+    centres = cut(scales[0].unionByName(scales[1]).withColumn("number", F.monotonically_increasing_id()), "centres")
+    at = points.select("case_id", "point_id", "x", "y", "z")
+    asks = centres.join(at, ["case_id", "point_id"]).select("case_id", F.col("number").alias("point_id"), "x", "y", "z")
+    near = knn(asks, at.withColumnRenamed("point_id", "ref_id"), k).withColumnRenamed("point_id", "number")
+    reach = near.groupBy("case_id", "number").agg(F.sqrt(F.max("d2")).alias("r_eff"))
+    out = near.join(centres, ["case_id", "number"]).join(reach, ["case_id", "number"])
+    return out.select("case_id", "scale", F.col("step").alias("token"), F.col("point_id").alias("centre_id"), F.col("rank").cast("int").alias("rank"), "ref_id", F.sqrt("d2").alias("dist"), "r_eff", F.when(F.col("scale") == 0, r1).otherwise(r2).alias("radius"))
 
 
 def token_coverage(points: DataFrame, groups: DataFrame, near: float = 0.25) -> DataFrame:

@@ -640,14 +640,16 @@ def _(s, d):
     return views.points(s, d).select("case_id", "point_id", c[0].alias("c_ux"), c[3].alias("c_cp"), c[4].alias("c_k"), back[0].alias("ux"), back[3].alias("cp"), back[4].alias("k"))
 
 
-@query("lr_schedule", "select cast(i as bigint) as step, " + r("case when i < 10 then 0.001 * (i + 1) / 10 else 0.001 * 0.5 * (1 + cos(pi() * least(1, (i - 10) / 90))) end as lr") + " from range(120) t(i)")
+@query("lr_schedule", "select cast(i as bigint) as step, " + r("case when i < 10 then 0.001 * (i + 1) / 10 else 0.001 * 0.5 * (1 + cos(pi() * least(1, (i - 10) / 90))) end as lr") + " from (select event_id % 120 as i from events)")
 def _(s, d):
-    return s.range(120).select(F.col("id").alias("step"), fields.warmup_cosine(F.col("id"), 0.001, 10, 100).alias("lr"))
+    step = F.col("event_id") % 120
+    return views.table(s, d, "events").select(step.alias("step"), fields.warmup_cosine(step, 0.001, 10, 100).alias("lr"))
 
 
-@query("protocol_lr", "select cast(i as bigint) as step, " + r("case when i < 5 then (i + 1) / 5 else 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (i - 5) / 45))) end as factor") + " from range(60) t(i)")
+@query("protocol_lr", "select cast(i as bigint) as step, " + r("case when i < 5 then (i + 1) / 5 else 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (i - 5) / 45))) end as factor") + " from (select event_id % 60 as i from events)")
 def _(s, d):
-    return s.range(60).select(F.col("id").alias("step"), fields.warmup_cosine(F.col("id"), 1.0, 5, 50, 0.1).alias("factor"))
+    step = F.col("event_id") % 60
+    return views.table(s, d, "events").select(step.alias("step"), fields.warmup_cosine(step, 1.0, 5, 50, 0.1).alias("factor"))
 
 
 # --- meshes ------------------------------------------------------------------------------------------------------
@@ -1030,9 +1032,10 @@ def _(s, d):
     return there.select("case_id", "point_id", "ux", "cp").join(back, ["case_id", "point_id"])
 
 
-@query("evaluation_steps", "select cast(i as bigint) as step, i % 12 <> 5 and (i % 10 = 0 or i = 57) as evaluate from range(60) t(i)")
+@query("evaluation_steps", "select cast(i as bigint) as step, i % 12 <> 5 and (i % 10 = 0 or i = 57) as evaluate from (select event_id % 60 as i from events)")
 def _(s, d):
-    return s.range(60).select(F.col("id").alias("step"), fields.should_evaluate(F.col("id"), 10, F.col("id") == 57, F.col("id") % 12 == 5).alias("evaluate"))
+    step = F.col("event_id") % 60
+    return views.table(s, d, "events").select(step.alias("step"), fields.should_evaluate(step, 10, step == 57, step % 12 == 5).alias("evaluate"))
 
 
 @query("pool_of_sources", sql(_MAN + " select case_id, source, split, shard from u where source in ('1-URGENT', '2-HIGH')", "pool"))

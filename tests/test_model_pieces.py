@@ -75,3 +75,22 @@ def test_tokens_as_blocks_and_pooled(spark):
         assert r.n_valid == len(own) and np.allclose([r[n] for n in columns], np.max(own, 0) if own else 0)
     with pytest.raises(Exception, match="tokens of up to"):
         tokens.token_blocks(found, columns, 8, 6).collect()
+
+
+@pytest.mark.parametrize("best", [1, 3, 50])
+def test_large_cases_are_chosen_as_small_ones(spark, monkeypatch, best):
+    rng = np.random.default_rng(7)
+    rows = [("free", i, *rng.normal(size=3).tolist(), float(rng.uniform(0.1, 2))) for i in range(400)]
+    rows += [("grid", 1000 - i, float(i % 5), float(i // 5 % 5), float(i // 25), 1.0) for i in range(125)]  # ties
+    rows += [("same", i, 1.0, 1.0, 1.0 if i else 2.0, 0.5) for i in range(12)] + [("few", i, float(i), 0.0, 0.0, 1.0) for i in range(3)]
+    points = spark.createDataFrame(rows, "case_id string, point_id long, x double, y double, z double, wall_dist double").repartition(4)
+    sets = lambda d: sorted(map(tuple, d.collect()))
+    near = lambda d: {(r.case_id, r.scale, r.token, r.rank): (r.centre_id, r.ref_id, round(r.dist, 9), round(r.r_eff, 9), r.radius) for r in d.collect()}
+    far, start, groups = sets(tokens.farthest_points(points, 30, "wall_dist", 0)), sets(tokens.farthest_points(points, 8, start=77)), near(tokens.token_groups(points, 9, 6, 5, 0.5, 2.0))
+    monkeypatch.setattr(tokens, "LARGE", 11)
+    monkeypatch.setattr(tokens, "CHUNK", 40)
+    monkeypatch.setattr(tokens, "BEST", best)
+    assert set(tokens.large_cases(points)) == {"free", "grid", "same"}
+    assert sets(tokens.farthest_points(points, 30, "wall_dist", 0)) == far
+    if best == 3:
+        assert sets(tokens.farthest_points(points, 8, start=77)) == start and near(tokens.token_groups(points, 9, 6, 5, 0.5, 2.0)) == groups
