@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import attention, batches, pool, tokens
+from .operators import attention, batches, graph, pool, tokens
 from .plans import views
 from .plans.views import sql
 from .queries import _TOK, _groups, query, r
@@ -130,3 +130,58 @@ def _(s, d):
 def _(s, d):
     p = views.points(s, d).select("case_id", "point_id", "x", "cp")
     return batches.strip_targets(p, p.select("case_id").distinct())[0]
+
+
+# --- files of solver cases, from made paths ---------------------------------------------------------------------------
+_CASE_PATHS = ("select concat('/runs/c', cast(user_id as {s}), case when event_id % 5 = 0 then '/processor1' else '' end, '/', "
+               "case event_id % 6 when 0 then '0' when 1 then '50' when 2 then 'system' when 3 then '1.5e2' when 4 then 'constant' else 'notes' end, '/', "
+               "case event_id % 7 when 0 then 'U' when 1 then 'p' when 2 then 'C' when 3 then 'phi' when 4 then 'polyMesh/points' else event_type end) as path, event_id as length from events")
+_FILES_SQL = ("with p as (" + _CASE_PATHS.format(s="varchar") + "), q as (select path, length, string_split(substr(path, 7), '/') as x from p), "
+              "f as (select path, length, x[1] as case_id, case when x[2] = 'processor1' then x[2] end as part, case when x[2] = 'processor1' then x[3:] else x[2:] end as y from q), "
+              "g as (select path, length, case_id, part, y[1] as folder, array_to_string(y[2:], '/') as file, try_cast(y[1] as double) as time from f)")
+
+
+def _case_files(s, d):
+    views.table(s, d, "events").createOrReplaceTempView("meshloom_events")
+    return text.split_paths(s.sql(_CASE_PATHS.format(s="string").replace("from events", "from meshloom_events")), "/runs")
+
+
+@query("time_folders", _FILES_SQL + " select distinct case_id, part, folder from g where time is not null and time <> 0")
+def _(s, d):
+    return text.time_folders(_case_files(s, d))
+
+
+@query("latest_time", _FILES_SQL + f" select case_id, arg_max(folder, time) as folder, {r('max(time) as time')} from g where time is not null and part is null group by 1")
+def _(s, d):
+    return text.latest_time(_case_files(s, d))
+
+
+@query("case_entries", _FILES_SQL + " select case_id, folder || '/' || file as entry, path, length from g where part is null and (folder in ('constant', 'system') "
+    "or (folder = '0' and not contains(file, '/') and file not in ('C', 'Ccx', 'Ccy', 'Ccz', 'Vc', 'phi', 'Phi')))")
+def _(s, d):
+    return text.case_entries(_case_files(s, d))
+
+
+# --- closed vocabularies, and surfaces whose triangles were turned at random -------------------------------------------
+@query("vocabulary_problems", "select o_orderkey, 'status' as column, o_orderstatus as value from orders where o_orderstatus not in ('F', 'O') "
+    "union all select o_orderkey, 'priority', case when o_orderkey % 10 <> 0 then o_orderpriority end from orders where o_orderkey % 10 = 0 or o_orderpriority not in ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')")
+def _(s, d):
+    rows = views.table(s, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderpriority")).alias("priority"))
+    return dictionary.vocabulary_problems(rows, ["o_orderkey"], {"status": ("F", "O"), "priority": ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")})
+
+
+# Four corners a customer; the faces of the tetrahedron, outward, of which a hash turns some.
+_CORNERS = ("0 0 0", "1 0 0", "0 1 0", "0 0 1")
+_OUTWARD = ((0, 2, 1), (0, 1, 3), (0, 3, 2), (1, 2, 3))
+
+
+@query("surface_orientation", "select c_nationkey as case_id, c_custkey * 4 + f as face_id, substr(md5((c_custkey * 4 + f)::varchar), 1, 1) < '6' as flip, true as closed, true as orientable from customer, range(4) t(f)")
+def _(s, d):
+    c = views.table(s, d, "customer").select(F.col("c_nationkey").alias("case_id"), "c_custkey", F.posexplode(F.array(*[F.array(*map(F.lit, f)) for f in _OUTWARD])).alias("f", "p"))
+    c = c.withColumn("face_id", F.col("c_custkey") * 4 + F.col("f"))
+    turned = F.substring(F.md5(F.col("face_id").cast("string")), 1, 1) < "6"
+    corner = lambda k: F.when(turned, F.col("p")[(0, 2, 1)[k]]).otherwise(F.col("p")[k])
+    base = {"x": F.col("c_custkey") * 3.0, "y": F.lit(0.0), "z": F.lit(0.0)}
+    at = lambda axis, k: base[axis] + F.element_at(F.array(*[F.lit(float(p.split()["xyz".index(axis)])) for p in _CORNERS]), corner(k) + 1)
+    faces = c.select("case_id", "face_id", *[at(a, k).alias(f"{a}{k}") for k in range(3) for a in "xyz"])
+    return graph.orientations(faces).drop("component")

@@ -57,10 +57,15 @@ DERIVED = ("C", "Ccx", "Ccy", "Ccz", "Vc", "phi", "Phi")
 
 
 def case_files(spark: SparkSession, path: str) -> DataFrame:
-    """case_id, part (processor folder or null), folder, file, path, length of the files in solver cases below path; time is the
-    folder's number, or null. Contents are not read."""
+    """split_paths of the files in solver cases below path. Contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    at = F.regexp_replace("path", r"^.*?" + re.escape(path.rstrip("/").split("://")[-1]) + "/", "")
+    return split_paths(files, path)
+
+
+def split_paths(files: DataFrame, root: str) -> DataFrame:
+    """case_id, part (processor folder or null), folder, file, path, length of files (path, length) in solver cases below root;
+    time is the folder's number, or null."""
+    at = F.regexp_replace("path", r"^.*?" + re.escape(root.rstrip("/").split("://")[-1]) + "/", "")
     d = files.select("path", "length", F.split(at, "/").alias("p"))
     parallel = F.get("p", F.lit(1)).startswith("processor")
     d = d.select("path", "length", F.get("p", F.lit(0)).alias("case_id"), F.when(parallel, F.get("p", F.lit(1))).alias("part"), F.when(parallel, F.slice("p", 3, 100)).otherwise(F.slice("p", 2, 100)).alias("p"))
