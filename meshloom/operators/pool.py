@@ -52,22 +52,25 @@ def of_sources(pool: DataFrame, wanted: DataFrame | None) -> DataFrame:
 
 
 def violations(pool: DataFrame, wanted: DataFrame, excluded: DataFrame, native: tuple[str, ...] = ()) -> DataFrame:
-    """rule, n for every rule, 0 where it holds, from one scan: the pool is grouped by case, family and source at once, which
-    combines before the shuffle, and the few rows of sources meet the lists of wanted and excluded ones."""
-    family = F.col("family") if "family" in pool.columns else F.lit(None).cast("string")
-    validated = F.coalesce(F.col("validated"), F.lit(False)) if "validated" in pool.columns else F.lit("validated" not in pool.columns)
-    rows = pool.select("case_id", "source", "split", family.alias("family"), (~F.col("source").isin(list(native)) & ~validated).alias("doubtful"))
-    grouped = rows.groupingSets([["case_id"], ["family"], ["source"]], "case_id", "family", "source").agg(
-        F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.min("split").alias("a"), F.max("split").alias("z"), F.count_if("doubtful").alias("doubtful"))
-    listed = lambda t, name: t.select(F.col("source").alias(name)).distinct()
-    of_source = F.col("g") == 6
-    joined = grouped.join(listed(wanted, "asked"), of_source & (F.col("source") == F.col("asked")), "left").join(listed(excluded, "barred"), of_source & (F.col("source") == F.col("barred")), "left")
-    sums = joined.agg(
-        F.count_if((F.col("g") == 3) & (F.col("n") > 1)).alias("duplicate_case"), F.count_if((F.col("g") == 5) & F.col("family").isNotNull() & (F.col("a") < F.col("z"))).alias("family_in_splits"),
-        F.count("asked").alias("found"), F.coalesce(F.sum(F.when(F.col("barred").isNotNull(), F.col("n"))), F.lit(0)).alias("held_out_source"), F.coalesce(F.sum(F.when(of_source, F.col("doubtful"))), F.lit(0)).alias("not_validated"))
-    sums = sums.join(listed(wanted, "asked").agg(F.count("asked").alias("asked")), F.lit(True)).withColumn("absent_source", F.col("asked") - F.col("found"))
-    rules = ["duplicate_case", "family_in_splits", "absent_source", "held_out_source", *(["not_validated"] if "validated" in pool.columns else [])]
-    return sums.select(F.explode(F.array(*[F.struct(F.lit(x).alias("rule"), F.col(x).cast("long").alias("n")) for x in rules])).alias("r")).select("r.*")
+    """rule, n for every rule, 0 where it holds. Cases, families and sources are counted apart, each from its own columns and
+    combined before its shuffle, so only the cases' ids move as rows; the few rows of sources meet the lists of sources."""
+    validated = F.coalesce(F.col("validated"), F.lit(False)) if "validated" in pool.columns else F.lit(True)
+    cases = pool.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    sources = pool.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("source").isin(list(native)) & ~validated).alias("doubtful"))
+    listed = lambda t: t.select("source").distinct()
+    found = {
+        "duplicate_case": cases.agg(F.count_if(F.col("n") > 1).alias("n")),
+        "absent_source": listed(wanted).join(sources, "source", "left_anti").agg(F.count(F.lit(1)).alias("n")),
+        "held_out_source": sources.join(listed(excluded), "source", "left_semi").agg(F.sum("n").alias("n")),
+    }
+    if "family" in pool.columns:
+        families = pool.where(F.col("family").isNotNull()).groupBy("family").agg(F.min("split").alias("a"), F.max("split").alias("z"))
+        found["family_in_splits"] = families.agg(F.count_if(F.col("a") < F.col("z")).alias("n"))
+    else:
+        found["family_in_splits"] = cases.limit(0).agg(F.count(F.lit(1)).alias("n"))
+    if "validated" in pool.columns:
+        found["not_validated"] = sources.agg(F.sum("doubtful").alias("n"))
+    return reduce(lambda x, y: x.unionByName(y), [d.select(F.lit(rule).alias("rule"), F.coalesce("n", F.lit(0)).cast("long").alias("n")) for rule, d in found.items()])
 
 
 def require(pool: DataFrame, wanted: DataFrame, excluded: DataFrame, native: tuple[str, ...] = ()) -> DataFrame:
