@@ -105,7 +105,7 @@ class FoamSource(DataSource):
         return SCHEMA + ("value array<double>" if self.options.get("table", "points") in ("points", "field") else "labels array<long>")
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return FoamReader(self.options["path"], self.options.get("table", "points"), self.options.get("names", ""), int(self.options.get("bytes", 8 << 20)), schema)
+        return FoamReader(self.options["path"], self.options.get("table", "points"), self.options.get("names", ""), int(self.options.get("bytes", 8 << 20)), schema, self.options.get("pattern", "*"))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return FieldWriter(self.options["path"], self.options.get("time", "0"), schema)
@@ -119,12 +119,12 @@ def _number(text: str) -> float | None:
 
 
 class FoamReader(DataSourceReader):
-    def __init__(self, root: str, table: str, names: str, size: int, schema: StructType):
-        self.root, self.table, self.names, self.size, self.schema = root, table, names.split(",") if names else [], size, schema
+    def __init__(self, root: str, table: str, names: str, size: int, schema: StructType, pattern: str):
+        self.root, self.table, self.names, self.size, self.schema, self.pattern = root, table, names.split(",") if names else [], size, schema, pattern
 
     def _files(self) -> Iterator[tuple[str, str, float | None, str]]:
         """case_id, name, time and path below the root."""
-        for path, _ in files_below(self.root):
+        for path, _ in files_below(self.root, self.pattern):
             parts = path.split("/")
             if self.table == "field":
                 time = _number(parts[-2]) if len(parts) > 1 else None
@@ -231,9 +231,10 @@ def _text(fs, piece: Piece, groups: bool, only_count: bool, floats: bool):
 KEYS = ["case_id", "name", "time"]
 
 
-def records(spark: SparkSession, root: str, table: str, names: str = "", size: int = 8 << 20) -> DataFrame:
-    """case_id, name, time, id (null for a uniform field) and value or labels of every record of a table's files."""
-    source = lambda: spark.read.format("foam").option("table", table).option("names", names).option("bytes", size)
+def records(spark: SparkSession, root: str, table: str, names: str = "", size: int = 8 << 20, pattern: str = "*") -> DataFrame:
+    """case_id, name, time, id (null for a uniform field) and value or labels of every record of a table's files, of those whose path below
+    the root fits the pattern (the parts of a divided case are cases of their own)."""
+    source = lambda: spark.read.format("foam").option("table", table).option("names", names).option("bytes", size).option("pattern", pattern)
     rows = source().load(root)
     of_file = Window.partitionBy(*KEYS)
     counts = source().schema("case_id string, name string, time double, piece int, n long, base long").load(root).where("base is null").groupBy(*KEYS, "piece").agg(F.count("*").alias("held"), F.first("n").alias("declared"))
@@ -248,11 +249,11 @@ def records(spark: SparkSession, root: str, table: str, names: str = "", size: i
     return kept.select(*KEYS, "id", rows.columns[-1])
 
 
-def read(spark: SparkSession, root: str, table: str, names: str = "", size: int = 8 << 20) -> DataFrame:
+def read(spark: SparkSession, root: str, table: str, names: str = "", size: int = 8 << 20, pattern: str = "*") -> DataFrame:
     """points: case_id, point_id, x, y, z; faces: case_id, face_id, vertices; owner, neighbour: case_id, face_id, cell_id;
     field: case_id, field, time, cell_id (null: every cell), value."""
     register(spark)
-    d = records(spark, root, table, names, size)
+    d = records(spark, root, table, names, size, pattern)
     if table == "points":
         return d.select("case_id", F.col("id").alias("point_id"), *[F.col("value")[i].alias(c) for i, c in enumerate("xyz")])
     if table == "field":

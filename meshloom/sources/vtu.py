@@ -46,6 +46,8 @@ FACES = {
     14: [(0, 3, 2, 1), (0, 1, 4), (1, 2, 4), (2, 3, 4), (3, 0, 4)],
 }
 POLYHEDRON = 42
+#: Cells of a range.
+ROWS = 250_000
 
 
 class VolumeError(ValueError):
@@ -301,7 +303,7 @@ class VtuSource(DataSource):
         return StructType([StructField(n, t) for n, t in FIXED.items()] + own)
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return VtuReader(self._root(), self._found(), schema, int(self.options.get("rows", 250_000)))
+        return VtuReader(self._root(), self._found(), schema, int(self.options.get("rows", ROWS)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return VtuWriter(self._root(), schema, self.options.get("mesh", "mesh.vtu"), self.options.get("out", "initial.vtu"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshloom.operators import batches, cases, etl, samples
-from meshloom.sources import npz, polymesh, text
+from meshloom.sources import foam, npz, polymesh, text
 
 HEAD = 'FoamFile\n{\n    version 2.0;\n    format ascii;\n    class %s;\n    object x;\n}\n'
 
@@ -114,3 +114,13 @@ def test_wake_points_are_asked_but_never_shown(spark):
     s = samples.sample(p, spec, 5, wake=wake)
     assert s["context"].join(wake, ["case_id", "point_id"], "left_semi").count() == 0
     assert s["queries"].count() == 160 and s["queries"].join(wake, ["case_id", "point_id"], "left_semi").select("case_id", "point_id").distinct().count() == 18
+
+
+@pytest.mark.parametrize("size", [40, 8 << 20])
+def test_the_data_source_gives_the_same_case(spark, folder, size):
+    tables = {n: foam.read(spark, folder, n, size=size) for n in ("points", "faces", "owner", "neighbour")} | {"boundary": polymesh.read(spark, folder, "boundary")}
+    params = spark.createDataFrame([("box", 3.0, None, 1.0)], "case_id string, u_ref double, l_ref double, p_ref double")
+    out, frame = cases.case_points(tables, params, foam.read(spark, folder, "field", "U,p", size, "box/[0-9]*"))
+    f, (a, b) = frame.first(), out.orderBy("point_id").collect()
+    assert (f.ox, f.oy, f.oz, f.l_ref, f.has_ground) == (2.0, 1.0, 0.0, 2.0, True)
+    assert (a.x, a.y, a.z, b.x, a.wall_dist, a.ux, b.uy, a.cp) == (-0.5, 0.0, 0.5, 0.5, 0.5, 1.0, 1.0, 2 * 2 / 9) and a.k is None

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshloom.sources import backup, foam, polymesh, store, vtu
+from meshloom.operators.checks import CaseError
+from meshloom.sources import backup, foam, polymesh, runs, store, vtu
 
 HEAD = "FoamFile\n{\n    version 2.0;\n    format %s;\n    arch \"LSB;label=32;scalar=64\";\n    class %s;\n    object x;\n}\n"
 
@@ -282,3 +283,65 @@ def test_store_ranges(tmp_path):
     fs, root = store.opened(f"file://{tmp_path}")
     assert b"".join(store.chunks(fs, f"{root}/f", 100, 3000, 7)) == (bytes(range(256)) * 20)[100:3000]
     assert store.files_below(f"file://{tmp_path}") == [("f", 5120)] and store.files_below(f"{tmp_path}/none") == []
+
+
+# --- run folders, from files to points ----------------------------------------------------------------------------------
+MANIFEST = "source string, solid_field string, solid_value double, stress_order string, pressure string, rho double, p_ref double, inflow_dir array<double>, l_ref_value double, l_ref_rule string, origin_point array<double>, origin_rule string, ground string"
+
+
+def stl_file(path, triangles):
+    path.write_text("solid s\n" + "".join("facet normal 0 0 0\nouter loop\n" + "".join("vertex %r %r %r\n" % tuple(map(float, p)) for p in t) + "endloop\nendfacet\n" for t in triangles) + "endsolid\n")
+
+
+def cube(at, size):
+    p = lambda i: tuple(a + size * (i >> k & 1) for k, a in enumerate(at))
+    quads = [(0, 2, 3, 1), (4, 5, 7, 6), (0, 1, 5, 4), (2, 6, 7, 3), (0, 4, 6, 2), (1, 3, 7, 5)]
+    return [t for a, b, c, d in quads for t in ((p(a), p(b), p(c)), (p(a), p(c), p(d)))]
+
+
+def test_run_folders_become_canonical_points(spark, tmp_path):
+    points, grid = box(4)
+    n, data = len(grid), {}
+    for i in (1, 2):
+        (tmp_path / f"run_{i}").mkdir()
+        data[f"run_{i}"] = vtu_file(tmp_path / f"run_{i}" / f"volume_{i}.vtu", points * i, grid, "raw", i == 1)
+        body = cube((1.0, 1.0, 0.5), 2.0)
+        stl_file(tmp_path / f"run_{i}" / "a_body.stl", [t[::-1] if k % 3 else t for k, t in enumerate(body)])
+        stl_file(tmp_path / f"run_{i}" / "b_other.stl", body[:1])
+    manifest = spark.createDataFrame([("s", "mask", 3.0, "none", "kinematic", None, None, [1.0, 0.0, 0.0], 2.0, None, [0.5, 0.0, 0.0], None, "none")], MANIFEST)
+    params = spark.createDataFrame([("run_1", 2.0, 1e-3), ("run_2", 4.0, None)], "case_id string, u_ref double, nu double")
+    got, cases = runs.read_runs(spark, f"file://{tmp_path}", params, manifest, {"U": "UMean", "p": "pMean"}, 10_000)
+    rows = {(r.case_id, r.point_id): r for r in got.collect()}
+    keep = [i for i in range(n) if i % 7 != 3]
+    assert rows.keys() == {(c, i) for c in data for i in keep}
+    told = {r.case_id: r for r in cases.collect()}
+    assert told["run_1"].n_cells == len(keep) and told["run_2"].log10_re is None and list(told["run_1"].presence) == [True, True, False, False]
+    centres = np.array([np.mean(t, 0) for t in cube((1.0, 1.0, 0.5), 2.0)])
+    for (case, i), r in rows.items():
+        u_ref, at = (2.0 if case == "run_1" else 4.0), points[grid[i][1]].mean(0) * int(case[-1])
+        d = np.linalg.norm(at - centres, axis=1).min()
+        assert np.allclose([r.x, r.y, r.z, r.wall_dist, r.cp], [*((at - [0.5, 0, 0]) / 2), d / 2, 2 * data[case]["pMean"][i] / u_ref**2])
+        assert np.allclose([r.ux, r.uy, r.uz], data[case]["UMean"][i] / u_ref)
+    with pytest.raises(CaseError, match="UPrime"):
+        runs.read_runs(spark, str(tmp_path), params, manifest, {"U": "UMean", "p": "pMean", "R": "UPrime"})
+    outward = {(r.case_id, r.face_id): r for r in runs.bodies(spark, f"file://{tmp_path}").collect()}
+    assert len(outward) == 24
+    for r in outward.values():
+        a, b, c = (np.array([r[f"{x}{k}"] for x in "xyz"]) for k in range(3))
+        assert np.cross(b - a, c - a) @ ((a + b + c) / 3 - [2.0, 2.0, 1.5]) > 0
+
+
+def test_grids_to_be_predicted_and_predictions_written_back(spark, tmp_path):
+    points, grid = box(3)
+    (tmp_path / "new").mkdir()
+    vtu_file(tmp_path / "new" / "mesh.vtu", points, grid, "base64", True)
+    stl_file(tmp_path / "new" / "walls.stl", cube((1.0, 1.0, 0.0), 2.0))
+    params = spark.createDataFrame([("new", 3.0, None)], "case_id string, u_ref double, l_ref double")
+    got, frame = runs.read_volumes(spark, f"file://{tmp_path}", params, ground=0.0)
+    f = frame.first()
+    assert (round(f.ox, 9), round(f.oy, 9), f.oz, round(f.l_ref, 9)) == (2.0, 2.0, 0.0, 2.0) and got.count() == len(grid)
+    assert sorted(round((r.cell_size * 2) ** 3, 6) for r in got.collect()) == sorted(round(c[3], 6) for c in grid)
+    predicted = got.select("case_id", F.col("point_id").alias("cell_id"), (F.col("wall_dist") * 2).alias("k"))
+    vtu.by_case(predicted).write.format("vtu").mode("append").option("out", "start.vtu").save(f"file://{tmp_path}")
+    back = spark.read.format("vtu").option("pattern", "*/start.vtu").load(str(tmp_path))
+    assert sorted((r.cell_id, r.k) for r in back.collect()) == sorted((r.cell_id, r.k) for r in predicted.collect())
