@@ -59,3 +59,8 @@ SQL = {
 def sql(body: str, *views: str, recursive: bool = False) -> str:
     """body behind the named views; body may begin with further common tables after a comma."""
     return f"with {'recursive ' if recursive else ''}{', '.join(SQL[v] for v in views)} {body}"
+
+
+def over(df: DataFrame, name: str, text: str) -> DataFrame:
+    """SQL text in which `from name` means df; no view stays in the session."""
+    return df.sparkSession.sql(text.replace("{", "{{").replace("}", "}}").replace(f"from {name}", f"from {{{name}}}"), **{name: df})

@@ -101,8 +101,7 @@ _RESTART = ("select run_id, cast(floor(value) as double) / 7 as it, case name wh
 @query("series_latest_wins", sql(f"select run_id, {r('it')}, {r('value')} from (select run_id, round(it, 9) as it, arg_max(value, "
     f"(start, line)) as value from ({_RESTART}) group by all)", "series"))
 def _(s, d):
-    views.series(s, d).createOrReplaceTempView("meshloom_series")
-    return series.latest_wins(s.sql(_RESTART.replace("from series", "from meshloom_series")))
+    return series.latest_wins(views.over(views.series(s, d), "series", _RESTART))
 
 
 @query("arm_status", sql(""", a as (select run_id, run_id % 11 = 0 as failed, coalesce(max(value) filter (where name = 'error') > 250, false) as diverged from series group by run_id),
@@ -158,8 +157,7 @@ union all select run_id, line_no + 1000000000 as line_no, case run_id % 8 when 0
   coalesce(arg_max(cast(nullif(regexp_extract(line, 'ExecutionTime = ([0-9.]+) s', 1), '') as double), case when line like 'ExecutionTime%' then line_no end), 'nan'::double) as execution_time,
   bool_or(line like '%Floating point exception (core dumped)%' or regexp_matches(line, '^#[0-9]+ +Foam::error::printStack') or line like '%--> FOAM FATAL%' or regexp_matches(line, '^ *nan([^a-z]|$)')) as crashed from l group by 1""", "lines"))
 def _(s, d):
-    views.log_lines(s, d).createOrReplaceTempView("meshloom_lines")
-    return logs.summary(s.sql(_LOG.format(t="meshloom_lines", s="string")))
+    return logs.summary(views.over(views.log_lines(s, d), "lines", _LOG.format(t="lines", s="string")))
 
 
 _MONITOR = ("select run_id, event_id as line_no, case when event_id % 17 = 0 then concat('# comment ', "
@@ -173,8 +171,7 @@ _MONITOR = ("select run_id, event_id as line_no, case when event_id % 17 = 0 the
   b as (select *, len(list_filter(v, lambda x: x is null)) > 0 or len(v) < 4 as bad from p)
 select run_id, line_no, bad as malformed, case when not bad then v[1] end as it, case when not bad then v[2] end as fx, case when not bad then v[3] end as fy from b""", "series"))
 def _(s, d):
-    views.series(s, d).createOrReplaceTempView("meshloom_series")
-    return logs.forces(logs.numbers(s.sql(_MONITOR.format(s="string", t="meshloom_series")))).drop("fz")
+    return logs.forces(logs.numbers(views.over(views.series(s, d), "series", _MONITOR.format(s="string", t="series")))).drop("fz")
 
 
 _PROBES = ("select run_id, event_id as line_no, case when event_id % 29 = 0 then concat(cast(it as {s}), "
@@ -188,8 +185,7 @@ _PROBES = ("select run_id, event_id as line_no, case when event_id % 29 = 0 then
   b as (select *, len(list_filter(v, lambda x: x is null)) > 0 or len(v) < 4 or (len(v) - 1) % 3 <> 0 or len(v) <> first_value(len(v)) over (partition by run_id order by line_no) as bad from p)
 select run_id, line_no, bad as malformed, case when not bad then v[1] end as it, case when not bad then round(sqrt(v[2] ** 2 + v[3] ** 2 + v[4] ** 2), 6) end as first_speed, case when not bad then len(v) // 3 end as n_probes from b""", "series"))
 def _(s, d):
-    views.series(s, d).createOrReplaceTempView("meshloom_series")
-    p = logs.probes(logs.numbers(s.sql(_PROBES.format(s="string", t="meshloom_series"))))
+    p = logs.probes(logs.numbers(views.over(views.series(s, d), "series", _PROBES.format(s="string", t="series"))))
     return p.select("run_id", "line_no", "malformed", "it", F.get("speeds", F.lit(0)).alias("first_speed"), F.when(~F.col("malformed"), F.size("speeds").cast("long")).alias("n_probes"))
 
 
@@ -978,8 +974,7 @@ _CASES = ("select distinct label as case_id, case when label = 5 then 0.0 when l
 select case_id, rule, cast(n as bigint) as n from r where n > 0""", "points"))
 def _(s, d):
     p = views.points(s, d).withColumns({c: F.expr(e.format(nan="double('nan')", inf="double('inf')")) for c, e in _ODD.items()})
-    views.table(s, d, "embeddings").createOrReplaceTempView("meshloom_embeddings")
-    c = s.sql(_CASES.format(nan="double('nan')").replace("from embeddings", "from meshloom_embeddings"))
+    c = views.over(views.table(s, d, "embeddings"), "embeddings", _CASES.format(nan="double('nan')"))
     no = F.lit(False)
     return checks.case_problems(p, c.select("case_id", "l_ref", "u_ref", F.array(no, no, F.col("k_there"), no).alias("presence"), F.array(no, F.col("cp_there"), no, no).alias("prior_presence")))
 
@@ -1005,8 +1000,8 @@ _PAPERS = """select n_name as source, case when n_nationkey % 9 = 1 then 'solid'
     case when inflow_dir[1] = 0 then 'inflow_dir: a non-zero 3-vector' end, case when l_ref_value <= 0 then 'l_ref: a length or x-extent' when source = 'INDONESIA' and l_ref_value is null then 'l_ref: this source needs a length' end, case when ground = 'high' then 'ground_z: a height or none' end], lambda x: x is not null) as bad from a)
 select source, array_to_string(case when len(lack) > 0 then lack else bad end, '; ') as problems from b""")
 def _(s, d):
-    views.table(s, d, "nation").createOrReplaceTempView("meshloom_nation")
-    m = s.sql(_PAPERS.format(zero="array(0.0D, 0.0D, 0.0D)", one="array(1.0D, 0.0D, 0.0D)", point="array(1.0D, 2.0D, 3.0D)").replace("from nation", "from meshloom_nation"))
+    papers = _PAPERS.format(zero="array(0.0D, 0.0D, 0.0D)", one="array(1.0D, 0.0D, 0.0D)", point="array(1.0D, 2.0D, 3.0D)")
+    m = views.over(views.table(s, d, "nation"), "nation", papers)
     return checks.manifest_problems(m, ("INDONESIA",)).select("source", F.array_join("problems", "; ").alias("problems"))
 
 

@@ -86,14 +86,12 @@ _FOUND_SQL = ("with p as (" + _PATHS.format(s="varchar") + r"), f as (select *,
 @query("monitor_files", _FOUND_SQL + ", h as (select distinct case_id, monitor, start, path from g) select case_id, monitor, cast(row_number() over (partition by case_id, monitor order by start, path) as int) as nth, " + r("start")
     + ", lead(start) over (partition by case_id, monitor order by start, path) as next_start, path from h")
 def _(s, d):
-    views.table(s, d, "events").createOrReplaceTempView("meshloom_events")
-    return text.monitor_files(s.sql(_PATHS.format(s="string").replace("from events", "from meshloom_events")).select("path"), "forces.dat")
+    return text.monitor_files(views.over(views.table(s, d, "events"), "events", _PATHS.format(s="string")).select("path"), "forces.dat")
 
 
 @query("monitor_series", _FOUND_SQL + f", w as (select case_id, monitor, event_id % 50 as it, arg_max(value, (start, path, event_id)) as value, arg_max(start, (start, path, event_id)) as start from g group by all) select case_id, monitor, {r('it', 'value', 'start')} from w")
 def _(s, d):
-    views.table(s, d, "events").createOrReplaceTempView("meshloom_events")
-    rows = s.sql(_PATHS.format(s="string").replace("from events", "from meshloom_events"))
+    rows = views.over(views.table(s, d, "events"), "events", _PATHS.format(s="string"))
     records = rows.select("path", F.col("event_id").alias("line"), (F.col("event_id") % 50).cast("double").alias("it"), "value")
     return text.resolved(text.monitor_files(rows.select("path"), "forces.dat"), records)
 
@@ -142,8 +140,7 @@ _FILES_SQL = ("with p as (" + _CASE_PATHS.format(s="varchar") + "), q as (select
 
 
 def _case_files(s, d):
-    views.table(s, d, "events").createOrReplaceTempView("meshloom_events")
-    return text.split_paths(s.sql(_CASE_PATHS.format(s="string").replace("from events", "from meshloom_events")), "/runs")
+    return text.split_paths(views.over(views.table(s, d, "events"), "events", _CASE_PATHS.format(s="string")), "/runs")
 
 
 @query("time_folders", _FILES_SQL + " select distinct case_id, part, folder from g where time is not null and time <> 0")
