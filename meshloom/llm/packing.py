@@ -17,6 +17,7 @@ stand in which sequence is not defined; other columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -63,6 +64,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would wait for others
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for t in B.concat_batches(batches, 2 * BLOCK_BYTES):
             lists = B.column(t, "words")
