@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import cut
+
 
 class BackfillError(ValueError):
     """Rows that cannot be enriched."""
@@ -29,17 +31,17 @@ def voxels_to_points(voxels: DataFrame, keys: list[str], dx: float, l_ref: float
     """Fluid voxels as points at cell centres over l_ref, with the distance to the nearest solid voxel less half a
     cell, not below 0. voxels: ix, iy, iz, fluid. The ground layer (iz = -1) counts as solid. With `normals` also nx, ny, nz,
     the unit vector from that solid voxel (of equally near ones the first by number; the ground last) to the point."""
-    from .spatial import knn
+    from .spatial import nearest_lists
 
-    at = {c: (F.col(f"i{c}") + 0.5) * dx for c in "xyz"}
     case = F.struct(*keys).alias("case_id") if len(keys) > 1 else F.col(keys[0]).alias("case_id")
-    number = F.xxhash64(*[F.col(f"i{c}") for c in "xyz"])
-    solid = voxels.where("not fluid").select(case, number.alias("ref_id"), *[v.alias(c) for c, v in at.items()])
-    fluid = voxels.where("fluid").select(case, number.alias("point_id"), *[v.alias(c) for c, v in at.items()], "ix", "iy", "iz")
-    near = knn(fluid, solid, 1).select("case_id", "point_id", "ref_id", F.sqrt("d2").alias("d"))
+    number, fluid = F.xxhash64(*[F.col(f"i{c}") for c in "xyz"]), F.col("fluid")
+    rows = voxels.where("fluid is not null").select(
+        case, fluid.cast("int").alias("asks"), F.when(~fluid, number).alias("ref_id"), F.when(fluid, F.struct("ix", "iy", "iz")).alias("point_id"), *[((F.col(f"i{c}") + 0.5) * dx).alias(c) for c in "xyz"])
+    rows = cut(rows, "voxels")
+    out = nearest_lists(rows, 1).select("case_id", "point_id.*", "x", "y", "z", F.get("near", F.lit(0)).alias("near")).select("*", "near.ref_id", F.sqrt("near.d2").alias("d"))
     if normals:
-        near = near.join(solid.select("case_id", "ref_id", *[F.col(c).alias(f"s{c}") for c in "xyz"]), ["case_id", "ref_id"])
-    out = fluid.join(near, ["case_id", "point_id"], "left")
+        solid = rows.where("asks = 0").select("case_id", "ref_id", *[F.col(c).alias(f"s{c}") for c in "xyz"])
+        out = out.join(solid, ["case_id", "ref_id"], "left")
     down = F.col("z") + 0.5 * dx
     wall = F.greatest(F.least(F.coalesce("d", F.lit(float("inf"))), down) - 0.5 * dx, F.lit(0.0))
     building = F.coalesce(F.col("d") <= down, F.lit(False))

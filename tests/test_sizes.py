@@ -1,9 +1,7 @@
 """What must not grow with a table's rows: what passes through the driver, and what one task holds."""
-import math
+import numpy as np
 
-import pytest
-
-from meshloom.operators import graph
+from meshloom.operators import etl, graph, spatial
 
 
 def test_orientation_sends_no_table_of_faces_through_the_driver(spark, monkeypatch):
@@ -24,3 +22,29 @@ def test_an_open_surface_with_as_many_faces_each_way_keeps_its_first(spark):
     faces = spark.createDataFrame(rows, "case_id string, face_id long, " + ", ".join(f"{x}{k} double" for k in range(3) for x in "xyz"))
     for parts in (faces, faces.orderBy("face_id").coalesce(1)):
         assert {r.face_id: r.flip for r in graph.orientations(parts).collect()} == {3: False, 7: True}
+
+
+def test_neighbours_over_tiles_of_copies_lines_and_short_cases(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "DIRECT", 50)
+    monkeypatch.setattr(spatial, "TILE", 64)
+    monkeypatch.setattr(spatial, "SAMPLED", 2)
+    monkeypatch.setattr(spatial, "HELD", 500)
+    rng = np.random.default_rng(4)
+    line = np.round(np.stack([rng.integers(0, 3, 900) / 10, rng.integers(0, 2, 900) / 2, rng.uniform(0, 3, 900)], 1), 2)
+    refs = {1: np.concatenate([line, np.repeat(line[:2], 300, 0)]), 2: rng.uniform(-1, 1, (30, 3)), 3: np.zeros((2, 3)), 4: np.full((400, 3), 1.5)}
+    asked = {1: np.concatenate([line[::7], rng.uniform(-1, 4, (60, 3))]), 2: rng.uniform(-2, 2, (40, 3)), 3: np.ones((4, 3)), 4: np.ones((3, 3)), 5: np.ones((2, 3))}
+    frame = lambda cases, name: spark.createDataFrame([(c, i, *map(float, p)) for c, x in cases.items() for i, p in enumerate(x)], f"case_id long, {name} long, x double, y double, z double").repartition(3)
+    got = spatial.knn(frame(asked, "point_id"), frame(refs, "ref_id"), 3).toPandas().sort_values(["case_id", "point_id", "rank"])
+    assert set(got.case_id) == {1, 2, 3, 4}
+    for c in (1, 2, 3, 4):
+        e = asked[c][:, None] - refs[c][None]
+        d, n = (e[..., 0] ** 2 + e[..., 1] ** 2) + e[..., 2] ** 2, min(3, len(refs[c]))
+        g, at = got[got.case_id == c], np.argsort(d, axis=1, kind="stable")[:, :n]
+        assert (g.ref_id.to_numpy().reshape(-1, n) == at).all() and (g.d2.to_numpy().reshape(-1, n) == np.take_along_axis(d, at, 1)).all()
+
+
+def test_no_join_of_a_case_makes_rows_of_its_pairs(spark):
+    """The plan has no join of points and references, whose pairs filled the disk."""
+    cells = spark.range(400).selectExpr("id % 2 as case_id", "int(id % 5) as ix", "int(id / 5 % 5) as iy", "int(id / 25) as iz", "id % 3 > 0 as fluid")
+    plan = etl.voxels_to_points(cells, ["case_id"], 0.5, 2.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
