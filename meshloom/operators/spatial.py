@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from ..plans.shared import cut
 
 #: Reference points of a case up to which it is one tile, and those of a tile of a larger case, about.
-DIRECT, TILE = 1024, 1024
+DIRECT, TILE = 512, 256
 #: Of a large case's references one in so many places the tiles, a million at most; fewer than FEWEST of them make no tile.
-SAMPLED, MOST, FEWEST = 32, 1_000_000, 8
+SAMPLED, MOST, FEWEST = 16, 1_000_000, 8
 #: Rows of a task, distances that are held at once, and k up to which a row of distances is searched k times.
-ROWS, HELD, SMALL_K = 500_000, 1 << 18, 16
+ROWS, HELD, SMALL_K = 500_000, 1 << 16, 16
 
 
 def _plant(x: np.ndarray, least: int) -> list[tuple]:
@@ -79,14 +79,16 @@ def _changes(column: pa.Array) -> np.ndarray:
 def _closest(asked: np.ndarray, refs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and squared distances of the k nearest references, ties by place; not a number comes last."""
     with np.errstate(all="ignore"):
-        d = np.zeros((len(asked), len(refs)))
+        d, e = np.empty((2, len(asked), len(refs)))
         for c in range(3):
-            e = asked[:, c, None] - refs[None, :, c]
-            e *= e
-            d += e
+            into = e if c else d
+            np.subtract(asked[:, c, None], refs[None, :, c], out=into)
+            into *= into
+            if c:
+                d += e
     k = min(k, len(refs))
     rows = np.arange(len(asked))
-    if k > SMALL_K or not np.isfinite(d).all():
+    if k > SMALL_K or not np.isfinite(d.max()):
         at = np.argsort(d, axis=1, kind="stable")[:, :k]
         return at, np.take_along_axis(d, at, 1)
     at, far = np.empty((len(asked), k), np.int64), np.empty((len(asked), k))
@@ -227,14 +229,13 @@ def nearest_lists(rows: DataFrame, k: int) -> DataFrame:
     spark = rows.sparkSession
     rows = rows.where(F.col("case_id").isNotNull() | (F.col("asks") == 1))
     refs = rows.where("asks = 0")
-    sizes = refs.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DIRECT)
+    sizes = cut(refs.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DIRECT), "large")
     parts = max(spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS))
-    big = cut(sizes, "large") if sizes.limit(1).count() else None
-    if big is None:
+    if not sizes.limit(1).count():
         placed = rows.withColumns({"tile": F.lit(0), "no": F.lit(None).cast("int")})
         return _meet(placed.repartition(parts, "case_id"), k, None).select("case_id", "point_id", "x", "y", "z", F.arrays_zip(F.col("refs").alias("ref_id"), F.col("d2s").alias("d2")).alias("near"))
     # At most a row for DIRECT references, numbered in one task.
-    big = cut(big.withColumn("no", (F.row_number().over(Window.orderBy("case_id")) - 1).cast("int")), "large")
+    big = cut(sizes.withColumn("no", (F.row_number().over(Window.orderBy("case_id")) - 1).cast("int")), "large")
     roots, (axis, value, left, right, leaf) = _trees(big, refs)
 
     @F.pandas_udf("int")
