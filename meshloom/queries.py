@@ -663,8 +663,17 @@ _GRID_VALUES = "l_quantity / 50 as ux, l_discount * 10 as uy, l_tax * 10 as uz,
 _NUMBERED = f"(select *, row_number() over (partition by l_suppkey order by {', '.join(_IN_ORDER)}) - 1 as i from lineitem)"
 
 
+#: Lines of a task: the number of tasks goes by the lines, not by how small these look when compressed.
+LINES = 250_000
+
+
+def _tasks(lines):
+    return max(lines.sparkSession.sparkContext.defaultParallelism, -(-lines.count() // LINES))
+
+
 def _numbered(s, d):
-    return views.table(s, d, "lineitem").withColumn("i", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*_IN_ORDER)) - 1)
+    lines = views.table(s, d, "lineitem")
+    return lines.repartition(_tasks(lines), "l_suppkey").withColumn("i", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*_IN_ORDER)) - 1)
 
 
 def _grid(s, d):
