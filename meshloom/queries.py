@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fields
 from .operators import attention, batches, checks, etl, logs, mesh, metrics, pool, retrieval, samples, sampling, series, spatial, tokens
 from .plans import views
+from .plans.shared import cut
 from .plans.views import sql
 from .streaming import series as streaming
 
@@ -1055,9 +1057,18 @@ _LINES = ("select l_returnflag || l_linestatus as case_id, row_number() over (or
 
 
 def _line_points(s, d):
-    """Every line as a point, and the lines with an id in ten as references: clustered on planes of discount and quantity."""
-    # Ids are row numbers; they only have to be the same on both sides.
-    return s.sql(_LINES.replace("from lineitem", f"from parquet.`{d}/lineitem.parquet`")).withColumns({c: F.col(c).cast("double") for c in "xyz"})
+    """The lines that ask or are asked for, of all as points: clustered on planes of discount and quantity. They are numbered by ranges
+    of the order's first column, each after the number of lines before it, and written, so that both sides have the same numbers."""
+    lines = views.table(s, d, "lineitem")
+    n = _tasks(lines)
+    ends = sorted(set(lines.approxQuantile("l_orderkey", [i / n for i in range(1, n)], 0.2 / n if lines.count() else 0.1) or [0.0]))
+    ranged = Bucketizer(splits=[-float("inf"), *ends, float("inf")], inputCol="at", outputCol="range", handleInvalid="keep").transform(lines.withColumn("at", F.col("l_orderkey").cast("double")))
+    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("c"))
+    before = counts.select("range", (F.sum("c").over(Window.orderBy("range")) - F.col("c")).alias("base"))  # a row a range
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+    number = F.col("base") + F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    p = ranged.repartition(n, "range").join(F.broadcast(before), "range").withColumn("id", number).where("id % 10 = 0 or id % 25 = 0")
+    return cut(p.selectExpr("l_returnflag || l_linestatus as case_id", "id", "cast(l_quantity / 50 as double) as x", "cast(l_discount * 10 as double) as y", "cast(l_extendedprice / 50000 as double) as z"), "lines")
 
 
 @query("knn_large", f"with p as ({_LINES}), n as (select a.case_id, a.id as point_id, b.id as ref_id, {_D2} as d2, "
