@@ -17,6 +17,8 @@ from ..plans.shared import cut
 
 #: Vectors of a packed block, and bytes of queries that are sent to all parts of the index.
 BLOCK, SENT_BYTES = 4096, 32 << 20
+#: Scores that a task holds at once.
+SCORES = 1 << 20
 
 
 def standardise(vectors: DataFrame, dims: int) -> DataFrame:
@@ -47,6 +49,23 @@ def _packed(vectors: DataFrame, name: str) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), "v").mapInArrow(run, schema)
 
 
+def best(qi: np.ndarray, q: np.ndarray, xi: np.ndarray, x: np.ndarray, k: int, held: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of queries and of their k most similar vectors, and the scores, for so many queries at a time that `held` scores are
+    enough (one query's at least)."""
+    step = max(1, held // max(1, len(xi)))
+    for a in range(0, len(qi), step):
+        ids = qi[a : a + step]
+        scores = (q[a : a + step] @ x.T).round(12)  # equal vectors have equal scores, wherever they stand in a product
+        # All that reach the k-th best are in it, so that ties are decided by id.
+        least = np.partition(scores, -k, axis=1)[:, -k] if k < len(xi) else np.full(len(ids), -np.inf)
+        i, j = np.nonzero(scores >= least[:, None])
+        order = np.lexsort((xi[j], -scores[i, j], i))
+        i, j = i[order], j[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[nth < k], j[nth < k]
+        yield ids[i], xi[j], scores[i, j]
+
+
 def top_k(index: DataFrame, queries: DataFrame, k: int, dims: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k most similar vectors (of `dims` numbers) of each stated query, ties by vec_id.
 
@@ -58,20 +77,14 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, dims: int) -> DataFrame:
     few = queries.count() * 8 * dims <= SENT_BYTES
     pairs = x.join(F.broadcast(q)) if few else cut(x, "index").hint("shuffle_replicate_nl").join(cut(q, "queries"))
 
+    held = SCORES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x_ids, x_values, q_ids, q_values in zip(*[b.column(c).to_pylist() for c in ("x_ids", "x_values", "q_ids", "q_values")]):
-                xi, qi = np.frombuffer(x_ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                scores = np.frombuffer(q_values, "<f8").reshape(len(qi), -1) @ np.frombuffer(x_values, "<f8").reshape(len(xi), -1).T
-                scores = scores.round(12)  # equal vectors have equal scores, wherever they stand in a product
-                # All that reach the k-th best are in it, so that ties are decided by id.
-                least = np.partition(scores, -k, axis=1)[:, -k] if k < len(xi) else np.full(len(qi), -np.inf)
-                i, j = np.nonzero(scores >= least[:, None])
-                order = np.lexsort((xi[j], -scores[i, j], i))
-                i, j = i[order], j[order]
-                nth = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j = i[nth < k], j[nth < k]
-                yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(xi[j]), pa.array(scores[i, j])], ["query_id", "vec_id", "score"])
+            for row in range(b.num_rows):
+                xi, xv, qi, qv = (np.frombuffer(b.column(c)[row].as_buffer(), t) for c, t in (("x_ids", "<i8"), ("x_values", "<f8"), ("q_ids", "<i8"), ("q_values", "<f8")))
+                for part in best(qi, qv.reshape(len(qi), -1), xi, xv.reshape(len(xi), -1), k, held):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], ["query_id", "vec_id", "score"])
 
     scored = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
