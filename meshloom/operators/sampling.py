@@ -4,6 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Cases of a key prefix in a weighted epoch, at most, on average.
+PREFIX = 100_000
+
 
 def key(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
@@ -61,15 +64,26 @@ def epoch_order(pool: DataFrame, seed: int, epoch: int, start: int = 0) -> DataF
 
 
 def weighted_epoch(pool: DataFrame, group: str, weights: dict[str, float], seed: int, epoch: int) -> DataFrame:
-    """case_id, draw per group: round(n w / sum w) draws by going through fresh permutations of the group."""
+    """case_id, draw per group: round(n w / sum w) draws by going through fresh permutations of the group. All rounds of a group
+    but its last are whole. Of the last the first by key are taken: counts by key prefix tell which prefixes are in or out, and only the
+    one prefix a group that the end falls into is ranked, so no task sorts a group."""
     spark = pool.sparkSession
-    total = sum(weights.values())
-    n = pool.agg(F.count(F.lit(1)).alias("n_all"))
+    total, n, digits = sum(weights.values()), pool.count(), 2
+    while n > 16**digits * PREFIX:
+        digits += 1
     w = spark.createDataFrame([(g, v / total) for g, v in sorted(weights.items())], f"{group} string, share double")
-    sizes = pool.groupBy(group).agg(F.count(F.lit(1)).alias("size")).join(w, group).crossJoin(n).withColumn("m", F.bround(F.col("n_all") * F.col("share"), 0).cast("long"))
-    rounds = pool.select("case_id", group).join(sizes, group).withColumn("round", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("m") / F.col("size")).cast("int") - 1))))
-    ranked = rounds.withColumn("r", F.row_number().over(Window.partitionBy(group, "round").orderBy(key(seed, epoch, F.col("round"), F.col("case_id")), "case_id")))
-    return ranked.where(F.col("round") * F.col("size") + F.col("r") <= F.col("m")).select("case_id", group, "round")
+    sizes = pool.groupBy(group).agg(F.count(F.lit(1)).alias("size")).join(F.broadcast(w), group).withColumn("m", F.bround(F.lit(n) * F.col("share"), 0).cast("long"))
+    sizes = sizes.withColumn("last", F.greatest(F.lit(0), F.ceil(F.col("m") / F.col("size")).cast("int") - 1))
+    ends = sizes.select(group, "last", (F.col("m") - F.col("last") * F.col("size")).alias("need"))  # a row a group
+    k = pool.select("case_id", group).join(F.broadcast(ends), group).withColumn("key", key(seed, epoch, F.col("last"), F.col("case_id"))).withColumn("s", F.substring("key", 1, digits))
+    counts = k.groupBy(group, "s").agg(F.count(F.lit(1)).alias("c"))
+    before = counts.select(group, "s", "c", (F.sum("c").over(Window.partitionBy(group).orderBy("s")) - F.col("c")).alias("base"))
+    placed = k.join(F.broadcast(before), [group, "s"])  # a row a group and prefix: 256, or one for about PREFIX cases or more
+    whole = F.col("base") + F.col("c") <= F.col("need")
+    rounds = F.filter(F.sequence(F.lit(0), F.col("last")), lambda i: (i < F.col("last")) | whole)
+    ranked = placed.where(~whole & (F.col("base") < F.col("need"))).withColumn("r", F.row_number().over(Window.partitionBy(group, "s").orderBy("key", "case_id")))
+    rest = ranked.where(F.col("base") + F.col("r") <= F.col("need")).select("case_id", group, F.col("last").alias("round"))
+    return placed.select("case_id", group, F.explode(rounds).alias("round")).unionByName(rest)
 
 
 def point_mask(df: DataFrame, keys: list[str], score: Column, ratio: float) -> DataFrame:

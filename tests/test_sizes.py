@@ -1,7 +1,13 @@
 """What must not grow with a table's rows: what passes through the driver, and what one task holds."""
+import hashlib
+import tracemalloc
+
 import numpy as np
+import pandas as pd
+import pytest
 
-from meshloom.operators import etl, graph, spatial
+from meshloom import queries
+from meshloom.operators import etl, graph, retrieval, sampling, spatial
 
 
 def test_orientation_sends_no_table_of_faces_through_the_driver(spark, monkeypatch):
@@ -48,3 +54,52 @@ def test_no_join_of_a_case_makes_rows_of_its_pairs(spark):
     cells = spark.range(400).selectExpr("id % 2 as case_id", "int(id % 5) as ix", "int(id / 5 % 5) as iy", "int(id / 25) as iz", "id % 3 > 0 as fluid")
     plan = etl.voxels_to_points(cells, ["case_id"], 0.5, 2.0)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_tasks_of_a_grid_go_by_its_lines(spark, monkeypatch, tmp_path):
+    n = 3000
+    pd.DataFrame({"l_orderkey": range(n), "l_partkey": 1, "l_suppkey": np.arange(n) % 60, "l_linenumber": 1, "l_quantity": 30.0, "l_discount": 0.0, "l_tax": 0.0}).to_parquet(tmp_path / "lineitem.parquet")
+    monkeypatch.setattr(queries, "LINES", 100, raising=False)
+    for name in ("vorticity", "vorticity_all"):
+        assert queries.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 30
+
+
+def test_scores_of_large_blocks_are_held_in_pieces():
+    rng = np.random.default_rng(5)
+    q, x = rng.normal(size=(2, 3000, 8))
+    tracemalloc.start()
+    got = [np.concatenate(c) for c in zip(*retrieval.best(np.arange(3000), q, np.arange(3000) + 7, x, 4, 1 << 16))]
+    assert tracemalloc.get_traced_memory()[1] < 16e6  # all scores at once are 72 MB
+    tracemalloc.stop()
+    assert (got[1].reshape(3000, 4)[:50] - 7 == np.argsort(-(q[:50] @ x.T), axis=1)[:, :4]).all()
+
+
+@pytest.mark.parametrize("prefix", [1, 100_000])
+def test_weighted_epoch_ranks_only_where_it_ends(spark, monkeypatch, prefix):
+    monkeypatch.setattr(sampling, "PREFIX", prefix, raising=False)
+    rows = pd.DataFrame({"case_id": range(1000), "g": ["a"] * 100 + ["b"] * 700 + ["c"] * 200})
+    out = sampling.weighted_epoch(spark.createDataFrame(rows), "g", {"a": 2.5, "b": 1.0, "c": 0.0}, 7, 2)
+    want = set()
+    for g, m in (("a", 714), ("b", 286), ("c", 0)):
+        ids = rows.case_id[rows.g == g].tolist()
+        for i in range(max(1, -(-m // len(ids)))):
+            order = sorted(ids, key=lambda c: (hashlib.md5(f"7|2|{i}|{c}".encode()).hexdigest(), c))
+            want |= {(c, g, i) for c in order[: max(0, m - i * len(ids))]}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) == 1000 and set(got) == want
+    ranks = [w for w in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "row_number" in w]
+    assert ranks and all("g#" in w and "s#" in w.split("windowspecdefinition(")[1].split("ASC")[0] for w in ranks)  # by group and prefix
+
+
+def test_lines_are_numbered_by_ranges(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(6)
+    n = 2000
+    f = pd.DataFrame({"l_orderkey": rng.integers(0, 300, n), "l_partkey": rng.permutation(n), "l_suppkey": 1, "l_linenumber": rng.integers(1, 4, n), "l_quantity": 5.0, "l_extendedprice": 1.0, "l_discount": 0.0, "l_returnflag": "A", "l_linestatus": "F"})
+    f["l_quantity"] = np.arange(n) * 1.0
+    f.to_parquet(tmp_path / "lineitem.parquet")
+    monkeypatch.setattr(queries, "LINES", 150, raising=False)
+    p = queries._line_points(spark, str(tmp_path))
+    got = {r.id: round(r.x * 50) for r in p.collect() if r.id % 10 == 0}
+    order = f.sort_values(["l_orderkey", "l_linenumber", "l_partkey"]).l_quantity.astype(int).tolist()
+    assert got == {i: order[i - 1] for i in range(10, n + 1, 10)}
+    assert p.count() == 240  # the lines that neither ask nor are asked for are not carried on
