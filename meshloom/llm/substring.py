@@ -75,7 +75,7 @@ class Keys:
         self.of = np.empty(len(order), np.int64)  # the key's number by place
         self.of[order] = group
         self.high, self.low, self.least = h[new], lo[new], i[new]
-        last = np.append(np.flatnonzero(new)[1:], len(order)) - 1
+        last = np.append(np.flatnonzero(new), len(order))[1:] - 1  # none where there is no place
         self.many = i[last] != self.least
 
     def told(self, places: np.ndarray) -> np.ndarray:

@@ -288,6 +288,19 @@ def test_passages_with_texts_and_spans(spark):
     assert r[2].text == "one two" and [(s.start, s.end) for s in r[2].removed] == [(1, 61)] and r[1].text == p
 
 
+@pytest.mark.parametrize("repeated", [0, 2])
+def test_blocks_in_which_no_passage_repeats(spark, repeated):
+    """A document a block: long ones of their own, short, blank and null ones, alone and beside blocks that share a passage."""
+    some = random.Random(repeated)
+    texts = [" ".join(some.choices(WORDS, k=n)) for n in (90, 49, 50, 70, 20, 21)]
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (4, "word" * 5000), (5, ""), (6, None), (None, texts[3]), *[(10 + i, f"{texts[4 + i]} {texts[3]}") for i in range(repeated)]]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    assert substring.text_blocks(docs, "text").count() == len(rows)
+    assert collections.Counter(tuple(r) for r in substring.remove_repeats(docs).collect()) == brute_passages(rows)
+    kept = {r.doc_id: (r.text, r.n_removed) for r in substring.remove_repeats(docs, digests=False).collect()}
+    assert kept[1] == (texts[0], 0) and kept[2] == (texts[1], 0) and sum(n for _, n in kept.values()) == 70 * (repeated > 1)
+
+
 # --- 8 quality model ---------------------------------------------------------------------------------------------
 def test_gam_learns_and_scores_odd_texts(spark, odd):
     rows = [{"y": int(i % 3 > 0), "text": prose(60) if i % 3 else " ".join([random.choice(WORDS) + "!!"] * 60)} for i in range(300)]

@@ -93,3 +93,10 @@ def test_stages_take_empty_tables(spark, odd_folder, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == 0
     kept = corpus_pipeline.STAGES[0][1](spark, table(spark, odd_folder, "documents"), folder)
     assert kept.count() == 10  # without labels the base filter alone decides
+
+
+def test_passages_keep_a_table_in_which_none_repeats(spark, tmp_path):
+    rows = [(i, prose(i + 1, 60 + i), "en", "web", 1) for i in range(4)]
+    spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    assert sorted(tuple(r) for r in dict(corpus_pipeline.STAGES)["passages"](spark, docs, SF).collect()) == rows
