@@ -41,13 +41,16 @@ END = (".", "!", "?", ":", "…")
 TENS = {w: 10 * (i + 2) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
 ONES = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
 POWERS = {"hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9}
+#: Python refuses to write out numbers of more than 4,300 digits, and each further hundred would take longer than the one before.
+MOST = 10**4000
 PLAIN, NUMBER, NAME = range(3)
 _NUMBER = re.compile(r"[\d.,:/]*\d[\d.,:/]*")
 _QUANTITY = re.compile(r"([\d.,:/]*\d[\d.,:/]*)([^\W\d_]{1,10}\d?)")
 
 
 def amount(words: list[str]) -> str:
-    """The value of a run of number words, perhaps after figures and before a unit: digits and the unit."""
+    """The value of a run of number words, perhaps after figures and before a unit: digits and the unit; where hundreds of hundreds
+    go beyond MOST, the words themselves."""
     unit = [words.pop()] if len(words) > 1 and words[-1] in UNITS else []
     if words[0] not in NUMBER_WORDS:
         return " ".join([*words, *unit])
@@ -55,6 +58,8 @@ def amount(words: list[str]) -> str:
     for w in words:
         if (n := POWERS.get(w)) == 100:
             part = (part or 1) * 100
+            if part > MOST:
+                return " ".join([*words, *unit])
         elif n:
             whole, part = whole + (part or 1) * n, 0
         else:

@@ -503,6 +503,16 @@ def test_amounts_have_one_value_in_figures_and_words():
     assert decontaminate.canonical("Twenty-five,")[4] == "25" and decontaminate.canonical("(12%)")[4] == "12 percent" and decontaminate.canonical("12kg")[4] == "12 kg"
 
 
+def test_amounts_of_any_length_have_a_value(spark):
+    many = ["hundred"] * 3000
+    assert decontaminate.amount([*many, "kg"]) == " ".join([*many, "kg"]) != decontaminate.amount([*many, "hundred", "kg"])
+    assert decontaminate.amount(many[:2000]) == str(100**2000) and decontaminate.canonical("-".join(many))[1] == decontaminate.NUMBER
+    texts = {1: " ".join(many), 2: f"two {'-'.join(many)} kg", 3: "Anna gave seven of the old books to her sister in the spring"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame([(7, "Paul gave nine of the old books to her sister in the spring")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(rows, items).collect()] == [(3, 7)]
+
+
 def test_short_items_are_found_where_they_stand_whole(spark):
     items = {1: "Convert 12 kg to grams", 2: "Anna Peter Clara Hugo Jon", 3: "Paris hosts seven old bridges over cold rivers", 4: "What is 7 + 12?", 5: "7 + 12 = 19", 6: "", 7: "Anna 1 Peter 2 Hugo 3 Clara 4 Jon 5 Lisa 6 Max 7"}
     docs = {i: f"{prose(9)} and {t} {prose(9)}" for i, t in items.items()} | {20: f"{prose(9)} Convert 13 kg to grams", 21: f"{prose(9)} Anna Peter Clara Hugo", 22: "convert 12 kg"}
